@@ -15,11 +15,20 @@ def _bpe_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.bpe import token_digests
 
     return token_digests(table(spark, sf_dir, "documents"), _bpe_path())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op8_bpe": op8_bpe}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op7_neardup": op7_neardup,
+    "op8_bpe": op8_bpe,
+}
 ORACLE_SQL: dict[str, str] = {}
