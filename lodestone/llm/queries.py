@@ -15,6 +15,12 @@ def _bpe_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.toxicity import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.neardup import near_duplicates
 
@@ -28,6 +34,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op7_neardup": op7_neardup,
     "op8_bpe": op8_bpe,
 }
