@@ -33,9 +33,16 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"), _bpe_path())
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.quality import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op7_neardup": op7_neardup,
     "op8_bpe": op8_bpe,
+    "op9_quality": op9_quality,
 }
 ORACLE_SQL: dict[str, str] = {}
