@@ -1,6 +1,6 @@
 """Language identification by the nearest of several centroids per language.
 
-A text is the vector of its lower-cased byte 2- and 3-gram counts, hashed into ``DIM``
+A text is the vector of the byte 2- and 3-gram counts of its lower-cased letters, hashed into ``DIM``
 buckets, dampened by log(1 + count), weighted by inverse document frequency and scaled to
 length one. Each language has a few centroids from spherical clustering of labelled texts.
 A text takes the language of the most similar centroid; one less similar than nearly all of
@@ -27,6 +27,8 @@ PER_LANGUAGE, CENTROIDS = 1500, 4
 LANGUAGES = 512
 #: Share of a centroid's own texts that its rejection distance leaves out.
 REJECT = 0.001
+#: ASCII other than letters counts as a space, a run of them as one.
+_FOLD = np.array([c if chr(c).isalpha() or c > 127 else 32 for c in range(256)], np.uint8)
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -34,7 +36,8 @@ def _bags(texts: list[str | None]) -> np.ndarray:
     """Dampened n-gram counts, a row for each text."""
     out = np.zeros((len(texts), DIM), np.float32)
     for i, text in enumerate(texts):
-        b = np.frombuffer((" " + (text or "").lower() + " ").encode("utf-8", "surrogatepass"), np.uint8).astype(np.uint32)
+        b = _FOLD[np.frombuffer((" " + (text or "").lower() + " ").encode("utf-8", "surrogatepass"), np.uint8)]
+        b = b[1:][(b[1:] != 32) | (b[:-1] != 32)].astype(np.uint32)
         two = b[:-1] << 8 | b[1:]
         three = two[:-1] << 8 | b[2:]
         for grams, seed in ((two, 0x9E3779B1), (three, 0x85EBCA6B)):
