@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import licenses
+from lodestone.llm import decontam, licenses
 from lodestone.plans.stages import table
 
 
@@ -22,6 +22,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.licenses import scan
 
@@ -54,10 +58,14 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op4_decontamination": op4_decontamination,
     "op5_licenses": op5_licenses,
     "op6_language": op6_language,
     "op7_neardup": op7_neardup,
     "op8_bpe": op8_bpe,
     "op9_quality": op9_quality,
 }
-ORACLE_SQL: dict[str, str] = {"op5_licenses": licenses.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {
+    "op4_decontamination": decontam.oracle_sql(),
+    "op5_licenses": licenses.oracle_sql(),
+}
