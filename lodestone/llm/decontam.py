@@ -78,7 +78,7 @@ def oracle_sql(percent: int = PERCENT) -> str:
 
     def grams(name: str, key: str) -> str:
         return f"""
-        {name}_w AS (SELECT {key} AS id, list_filter(string_split_regex(lower(text), '[\\x20\\x09-\\x0D]+'), w -> w <> '') AS w FROM {name} WHERE text IS NOT NULL),
+        {name}_w AS (SELECT {key} AS id, list_filter(string_split_regex(lower(text), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM {name} WHERE text IS NOT NULL),
         {name}_s AS (SELECT DISTINCT id, array_to_string(w[a : a + {WORDS - 1}], ' ') AS g
             FROM (SELECT id, w, unnest(range(1, greatest(len(w) - {WORDS - 1}, 1) + 1)) AS a FROM {name}_w WHERE len(w) > 0) u)"""
 

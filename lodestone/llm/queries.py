@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import decontam, licenses
+from lodestone.llm import decontam, licenses, topk
 from lodestone.plans.stages import table
 
 
@@ -56,6 +56,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op4_decontamination": op4_decontamination,
@@ -64,8 +68,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_neardup": op7_neardup,
     "op8_bpe": op8_bpe,
     "op9_quality": op9_quality,
+    "op10_topk": op10_topk,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_decontamination": decontam.oracle_sql(),
     "op5_licenses": licenses.oracle_sql(),
+    "op10_topk": topk.oracle_sql(),
 }
