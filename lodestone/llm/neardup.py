@@ -6,11 +6,12 @@ with a probability of 4e-7. The lowest two bits of each minimum are packed into
 longs, and the share of equal two-bit lanes, less what equals by chance, estimates the
 similarity of a candidate pair before its full sets are compared.
 
-Groups of any size: equal sets are one class from the start. A band's bucket links each
-class to its first class only. Classes of one bucket that are still in different
-components after that are compared with each other, but only those outside the bucket's
-largest component against the others, so no link that could join components is left out
-and a bucket of n similar classes costs n pairs rather than n squared.
+Groups of any size: equal sets are one class from the start. First each class is compared
+with one other, the smallest first class of a few of its buckets; then with the first
+class of any bucket that is still in another component. Classes of one bucket that are
+in different components after that are compared with each other, but only those outside
+the bucket's largest component against the others. So no link that could join components
+is left out, and a bucket of n similar classes costs about n pairs rather than n squared.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from lodestone.plans.stages import materialise
 
 BANDS, ROWS, BITS = 25, 5, 2
 LANES = BANDS * ROWS
+#: Bands of the first round, which compares each class with one other.
+FIRST_BANDS = 5
 #: Estimated similarity below which a candidate pair is not compared: six standard
 #: deviations of the estimate below a similarity of 0.85.
 LEAST_ESTIMATE = 0.62
@@ -135,7 +138,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, n:
                 keep.append(100 * both >= percent * (len(p) + len(q) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    own = docs.select(id_col, text_col).join(ids, id_col, "left_semi").mapInArrow(sets, f"id {id_type}, own binary")
+    own = docs.select(id_col, text_col).join(ids.hint("merge"), id_col, "left_semi").mapInArrow(sets, f"id {id_type}, own binary")
     own = materialise(own, "sets")
     both = pairs.select("a", "b").join(own.select(F.col("id").alias("a"), F.col("own").alias("a_own")), "a")
     both = both.join(own.select(F.col("id").alias("b"), F.col("own").alias("b_own")), "b").select("a", "b", "a_own", "b_own")
@@ -159,30 +162,48 @@ def near_duplicates(docs: DataFrame, percent: int = 85, n: int = 5, id_col: str
     member = own.select("id", "k1", "k2", "n_shingles").join(classes, ["k1", "k2", "n_shingles"]).select("id", "rep")
     member = materialise(member, "members")
     first = materialise(own.join(member.where("id = rep").select("id"), "id", "left_semi").withColumnRenamed("id", "rep"), "classes")
-    buckets = first.select(F.explode("bands").alias("band"), "rep")
+    buckets = first.select(F.posexplode("bands").alias("at", "band"), "rep")
+
+    def placed(comp: DataFrame) -> DataFrame:
+        return buckets.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("component"))
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        likely = _sides(pairs, first).where(near & (estimate("a", "b") >= LEAST_ESTIMATE)).select("a", "b")
+        return materialise(_confirmed(materialise(likely, "pairs"), docs, id_col, text_col, n, percent), "links")
 
-    leaders = buckets.groupBy("band").agg(F.min("rep").alias("a"), F.count("*").alias("n")).where("n > 1").select("band", "a")
-    star = buckets.join(leaders, "band").where("a < rep").select("a", F.col("rep").alias("b")).distinct()
     near = F.expr(f"100 * least(a_n_shingles, b_n_shingles) >= {percent} * greatest(a_n_shingles, b_n_shingles)")
-    likely = materialise(_sides(star, first).where(near & (estimate("a", "b") >= LEAST_ESTIMATE)).select("a", "b"), "pairs")
-    links = materialise(_confirmed(likely, docs, id_col, text_col, n, percent), "links")
+    # each class with the smallest first class of its first few buckets: one pair a class
+    few = buckets.where(F.col("at") < FIRST_BANDS)
+    leaders = few.groupBy("band").agg(F.min("rep").alias("a"), F.count("*").alias("n")).where("n > 1").select("band", "a")
+    links = confirmed(few.join(leaders, "band").where("a < rep").groupBy(F.col("rep").alias("b")).agg(F.min("a").alias("a")))
     comp = connected_components(links, "a", "b")
-
-    placed = buckets.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
-    inside = materialise(placed.join(mixed, "band"), "mixed")
-    if not inside.isEmpty():
-        sized = inside.groupBy("band", "component").agg(F.count("*").alias("n"))
-        largest = sized.groupBy("band").agg(F.max(F.struct("n", "component")).alias("top")).select("band", F.col("top.component").alias("most"))
-        signs = first.select("rep", "n_shingles", "s0", "s1", "s2", "s3")
-        right = inside.join(signs, "rep").select("band", F.col("component").alias("cb"), F.col("rep").alias("b"), *(F.col(c).alias(f"b_{c}") for c in ("n_shingles", "s0", "s1", "s2", "s3")))
-        left = inside.join(largest, "band").where("component <> most").join(signs, "rep").select("band", F.col("component").alias("ca"), F.col("rep").alias("a"), *(F.col(c).alias(f"a_{c}") for c in ("n_shingles", "s0", "s1", "s2", "s3")))
-        rest = left.join(right, (left.band == right.band) & (left.ca != right.cb) & near & (estimate("a", "b") >= LEAST_ESTIMATE))
-        rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(likely, ["a", "b"], "left_anti")
-        more = materialise(rest, "pairs")
-        if not more.isEmpty():
-            links = links.union(materialise(_confirmed(more, docs, id_col, text_col, n, percent), "links"))
-            comp = connected_components(links, "a", "b")
+    # each class with its buckets' first classes, where those are in another component
+    whole = placed(comp)
+    leaders = whole.groupBy("band").agg(F.min("rep").alias("a"), F.min_by("component", "rep").alias("ca"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band", "a", "ca")
+    star = materialise(whole.join(leaders, "band").where("component <> ca").select("a", F.col("rep").alias("b")).distinct(), "star")
+    if not star.isEmpty():
+        links = links.union(confirmed(star))
+        comp = connected_components(links, "a", "b")
+        # classes outside a bucket's largest component with the bucket's other components
+        whole = placed(comp)
+        mixed = whole.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi and n > 2").select("band")
+        inside = materialise(whole.join(mixed, "band"), "mixed")
+        if not inside.isEmpty():
+            sized = inside.groupBy("band", "component").agg(F.count("*").alias("n"))
+            largest = sized.groupBy("band").agg(F.max_by("component", "n").alias("most"))
+            signs = first.select("rep", "n_shingles", "s0", "s1", "s2", "s3")
+
+            def side(rows: DataFrame, name: str) -> DataFrame:
+                own = rows.join(signs, "rep")
+                return own.select(F.col("band").alias(f"{name}_band"), F.col("component").alias(f"{name}_c"), F.col("rep").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in ("n_shingles", "s0", "s1", "s2", "s3")))
+
+            left, right = side(inside.join(largest, "band").where("component <> most"), "a"), side(inside, "b")
+            rest = left.join(right, F.expr("a_band = b_band and a_c <> b_c") & near & (estimate("a", "b") >= LEAST_ESTIMATE))
+            rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
+            rest = materialise(rest, "pairs")
+            if not rest.isEmpty():
+                links = links.union(confirmed(rest))
+                comp = connected_components(links, "a", "b")
 
     found = member.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component_id"))
     out = signed.select("id", "n_shingles").join(found, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
