@@ -28,6 +28,12 @@ def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept_digests(table(spark, sf_dir, "documents"))
 
 
+def op3_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.maxent import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -69,6 +75,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_substrings": op2_substrings,
+    "op3_maxent": op3_maxent,
     "op4_decontamination": op4_decontamination,
     "op5_licenses": op5_licenses,
     "op6_language": op6_language,
