@@ -194,3 +194,20 @@ def classify(docs: DataFrame, labels: DataFrame, folds: int = 4, part: int = 2,
 
     out = docs.select("doc_id", "text").mapInArrow(run, f"id {id_type}, score double, predicted int").withColumnRenamed("id", "doc_id")
     return out.select("doc_id", fold("doc_id", folds, part).alias("held_out"), "score", "predicted")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, folds: int = 4, part: int = 2, least: float = 0.7) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text scores at least ``least``.
+
+    The model is that of :func:`classify`; rows are judged where they are, without a join.
+    """
+    model = train(docs, labels, folds, part)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, x in statistics(batch.column(at)):
+                score = model.score(x) if model is not None else np.full(hi - lo, 0.5)
+                yield batch.slice(lo, hi - lo).filter(pa.array(score >= least))
+
+    return docs.mapInArrow(run, docs.schema)

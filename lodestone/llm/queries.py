@@ -10,7 +10,7 @@ from lodestone.llm import decontam, licenses, topk
 from lodestone.plans.stages import table
 
 
-def _bpe_path() -> str:
+def bpe_path() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json")
@@ -59,7 +59,7 @@ def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.bpe import token_digests
 
-    return token_digests(table(spark, sf_dir, "documents"), _bpe_path())
+    return token_digests(table(spark, sf_dir, "documents"), bpe_path())
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
