@@ -156,6 +156,6 @@ def resolve_sources(sources: DataFrame, files: DataFrame) -> DataFrame:
     n = files.select(F.explode(above).alias("root")).join(broadcast_if_small(sources.select("root")), "root").groupBy("root").agg(F.count("*").alias("files"))
     out = sources.join(n, "root", "left")
     reason = F.when(F.col("root").isNull(), "missing").when(F.coalesce("files", F.lit(0)) == 0, "empty").when(F.col("files") < F.col("least"), "below_minimum")
-    reason = reason.when(F.col("pin").isNotNull() & ~F.col("pin").eqNullSafe(F.col("commit")), "off_pin").when("dirty", "dirty")
+    reason = reason.when(F.col("pin").isNotNull() & ~F.col("pin").eqNullSafe(F.col("commit")), "off_pin").when(F.col("dirty"), "dirty")
     out = out.withColumn("reason", reason)
     return out.select("name", F.coalesce("files", F.lit(0)).alias("files"), F.when(F.col("reason").isNull(), "disk").otherwise("needs_crawl").alias("decision"), "reason")
