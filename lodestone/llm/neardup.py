@@ -9,9 +9,9 @@ similarity of a candidate pair before its full sets are compared.
 Groups of any size: equal sets are one class from the start. First each class is compared
 with one other, the smallest first class of a few of its buckets; then with the first
 class of any bucket that is still in another component. Classes of one bucket that are
-in different components after that are compared with each other, but only those outside
-the bucket's largest component against the others. So no link that could join components
-is left out, and a bucket of n similar classes costs about n pairs rather than n squared.
+in different components after that are compared with each other in blocks, by signatures
+of 1024 lanes, and the likely pairs of them by their full sets. So no link that could join
+components is left out, and few pairs are written down that are none.
 """
 
 from __future__ import annotations
@@ -29,6 +29,9 @@ from lodestone.plans.stages import materialise
 
 BANDS, ROWS, BITS = 25, 5, 2
 LANES = BANDS * ROWS
+#: Lanes of the signatures that are taken of what the first rounds leave, the estimate that
+#: lies five standard deviations below 0.85 there, and classes in a block of a bucket.
+WIDE, LEAST_WIDE, BLOCK = 1024, 0.784, 1024
 #: Bands of the first round, which compares each class with one other.
 FIRST_BANDS = 5
 #: Estimated similarity below which a candidate pair is not compared: six standard
@@ -117,6 +120,52 @@ def _sides(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs
 
 
+def _within_buckets(inside: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
+    """Pairs (a, b) of classes in one bucket and different components that wide signatures call likely.
+
+    ``inside`` has ``band, n, rep, component``. A bucket is cut into blocks, and each pair
+    of blocks is compared in one group, so that no group grows with the bucket. A pair is
+    named once, in the first bucket that it shares.
+    """
+    id_type = docs.schema[id_col].dataType.simpleString()
+
+    def widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mul, add = (mix(np.arange(k, k + WIDE, dtype=np.uint64)) for k in (1 << 20, 1 << 21))
+        for batch in batches:
+            for lo, hi, data, offsets in slices(batch.column(1)):
+                g, at = _sets(data, offsets, n)
+                low = np.empty((WIDE, hi - lo), np.uint8)
+                for k in range(WIDE):
+                    low[k] = mix(np.minimum.reduceat(g * (mul[k] | np.uint64(1)) + add[k], at[:-1])) & np.uint64(3)
+                packed = np.packbits(((low.T[:, :, None] >> np.arange(2, dtype=np.uint8)) & 1).reshape(hi - lo, -1), axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([x.tobytes() for x in packed], pa.binary())], ["rep", "wide"])
+
+    def pairs(key: tuple, part: pa.Table) -> pa.Table:
+        sign = np.frombuffer(b"".join(part.column("wide").to_pylist()), np.uint64).reshape(len(part), -1)
+        bands = np.array(part.column("bands").to_pylist(), np.int64)
+        rep, comp, block = (part.column(c).to_numpy() for c in ("rep", "component", "block"))
+        i, j = key[1].as_py(), key[2].as_py()
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        odd, a, b = np.uint64(0x5555555555555555), [], []
+        for r in left:
+            x = sign[right] ^ sign[r]
+            same = 1 - np.bitwise_count((x | x >> np.uint64(1)) & odd).sum(1) / WIDE
+            near = right[((same - 0.25) / 0.75 >= LEAST_WIDE) & (comp[right] != comp[r]) & ((rep[right] > rep[r]) if i == j else True)]
+            common = bands[near] == bands[r]
+            near = near[bands[r][common.argmax(1)] == key[0].as_py()] if len(near) else near
+            a += np.minimum(rep[near], rep[r]).tolist()
+            b += np.maximum(rep[near], rep[r]).tolist()
+        return pa.table({"a": pa.array(a, part.schema.field("rep").type), "b": pa.array(b, part.schema.field("rep").type)})
+
+    ids = inside.select(F.col("rep").alias(id_col)).distinct()
+    wide = docs.select(id_col, text_col).join(ids.hint("merge"), id_col, "left_semi").mapInArrow(widen, f"rep {id_type}, wide binary")
+    own = materialise(wide.join(classes.select("rep", "bands"), "rep"), "wide")
+    blocks = F.ceil(F.col("n") / BLOCK)
+    rows = inside.withColumn("block", F.pmod(F.xxhash64("rep"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    rows = rows.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "component").join(own, "rep")
+    return rows.groupBy("band", "i", "j").applyInArrow(pairs, f"a {id_type}, b {id_type}")
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
     """Those pairs (a, b) for which 100 * intersection >= percent * union of the full sets."""
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -184,25 +233,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85, n: int = 5, id_col: str
     if not star.isEmpty():
         links = links.union(confirmed(star))
         comp = connected_components(links, "a", "b")
-        # classes outside a bucket's largest component with the bucket's other components
+        # what is left: buckets whose classes are still in several components
         whole = placed(comp)
-        mixed = whole.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi and n > 2").select("band")
+        mixed = whole.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi and n > 2").select("band", "n")
         inside = materialise(whole.join(mixed, "band"), "mixed")
         if not inside.isEmpty():
-            sized = inside.groupBy("band", "component").agg(F.count("*").alias("n"))
-            largest = sized.groupBy("band").agg(F.max_by("component", "n").alias("most"))
-            signs = first.select("rep", "n_shingles", "s0", "s1", "s2", "s3")
-
-            def side(rows: DataFrame, name: str) -> DataFrame:
-                own = rows.join(signs, "rep")
-                return own.select(F.col("band").alias(f"{name}_band"), F.col("component").alias(f"{name}_c"), F.col("rep").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in ("n_shingles", "s0", "s1", "s2", "s3")))
-
-            left, right = side(inside.join(largest, "band").where("component <> most"), "a"), side(inside, "b")
-            rest = left.join(right, F.expr("a_band = b_band and a_c <> b_c") & near & (estimate("a", "b") >= LEAST_ESTIMATE))
-            rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-            rest = materialise(rest, "pairs")
-            if not rest.isEmpty():
-                links = links.union(confirmed(rest))
+            likely = materialise(_within_buckets(inside, first, docs, id_col, text_col, n).join(star, ["a", "b"], "left_anti"), "pairs")
+            if not likely.isEmpty():
+                links = links.union(materialise(_confirmed(likely, docs, id_col, text_col, n, percent), "links"))
                 comp = connected_components(links, "a", "b")
 
     found = member.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component_id"))
