@@ -319,7 +319,7 @@ def test_quality_held_out_and_edges(spark):
 def test_topk_matches_brute_force(spark):
     rng = np.random.default_rng(6)
     v = {i: rng.normal(size=6).astype("float32").tolist() for i in range(1500)}
-    v |= {200: None, 300: [1.0, None, 0, 0, 0, 0], 301: [float("nan")] * 6, 302: [float("inf")] * 6, 1: v[2], 3: v[2]}
+    v |= {200: None, 300: [1.0, None, 0.0, 0.0, 0.0, 0.0], 301: [float("nan")] * 6, 302: [float("inf")] * 6, 1: v[2], 3: v[2]}
     df = spark.createDataFrame([(i, x, 0) for i, x in v.items()], "vec_id long, embedding array<float>, score int")
     own = {i: np.floor(1024 * np.array(x, float)).astype(np.int64) for i, x in v.items() if x and None not in x and np.isfinite(x).all()}
     want = sorted((q, k + 1, i, s) for q in own if q % 100 == 0 for k, (s, i) in enumerate(sorted(((-int(own[q] @ x), i) for i, x in own.items() if i != q))[:10]) for s in [-s])
