@@ -299,3 +299,17 @@ def dependency_tokens(files: DataFrame) -> DataFrame:
     """``path, tokens``: names that a text imports, sources or refers to, each once."""
     found = [F.regexp_extract_all("content", F.lit(p), 1) for p in (r"(?m)^\s*import\s+([\w.]+)", r"(?m)^\s*from\s+([\w.]+)\s+import", r"(?m)^\s*(?:source|\.)\s+(\S+)", r"\$\{(\w+)\}")]
     return files.select("path", F.array_distinct(F.flatten(F.array(*found))).alias("tokens"))
+
+
+def experiment_edges(files: DataFrame, most: int = 50) -> DataFrame:
+    """``src, dst, rel`` of experiment configurations (``path`` is experiment/config): PART_OF,
+    RESOLVES_FROM the base configuration of the same short name, and SETS_ENV of the first variables."""
+    part = F.split("path", "/")
+    x = files.select("path", F.element_at(part, -2).alias("experiment"), F.element_at(part, -1).alias("config")).where("config is not null")
+    belongs = x.select(F.col("path").alias("src"), F.col("experiment").alias("dst"), F.lit("PART_OF").alias("rel"))
+    own = x.where("experiment <> 'base' and not startswith(config, 'config.resources')")
+    base = x.where("experiment = 'base'").select("config", F.col("path").alias("base"))
+    resolves = own.join(base, "config").select(F.col("path").alias("src"), F.col("base").alias("dst"), F.lit("RESOLVES_FROM").alias("rel"))
+    w = Window.partitionBy("path").orderBy("n", "name")
+    sets = config_vars(files).withColumn("k", F.row_number().over(w)).where(F.col("k") <= most).select(F.col("path").alias("src"), F.col("name").alias("dst"), F.lit("SETS_ENV").alias("rel"))
+    return belongs.union(resolves).union(sets)

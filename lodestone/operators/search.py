@@ -200,3 +200,12 @@ def hash_embed(docs: DataFrame, dim: int = 256) -> DataFrame:
     tf = HashingTF(inputCol="w", outputCol="tf", numFeatures=dim).transform(docs.select("id", terms(F.col("text")).alias("w")))
     x = IDF(inputCol="tf", outputCol="idf").fit(tf).transform(tf)
     return Normalizer(inputCol="idf", outputCol="unit").transform(x).select("id", vector_to_array("unit").cast("array<float>").alias("vector"))
+
+
+def multi_search(hits: dict[str, DataFrame], k: int) -> DataFrame:
+    """The k best of all collections' hits (``query_id, id, content, score``); of contents that begin
+    alike the best one."""
+    from lodestone.operators.joins import multi_collection
+    from lodestone.operators.ranking import merge_topk
+
+    return merge_topk(multi_collection(hits), "query_id", k)

@@ -190,3 +190,61 @@ def hard_negatives(edges: DataFrame, membership: DataFrame, per_anchor: int = 3)
     near = near.withColumn("n", F.row_number().over(Window.partitionBy("anchor", "same").orderBy("node"))).where(F.col("n") <= per_anchor)
     a, b = near.where("same"), near.where("not same")
     return a.select("anchor", F.col("node").alias("positive"), "n").join(b.select("anchor", F.col("node").alias("negative"), "n"), ["anchor", "n"]).drop("n")
+
+
+def dependency_paths(edges: DataFrame, files: DataFrame, depth: int, nodes: DataFrame | None = None) -> DataFrame:
+    """``anchor, depth, path``: dependency paths of files; nodes' labels stand before their names if given."""
+    chains = call_chain(edges, files, depth).select("anchor", "depth", "path")
+    if nodes is None:
+        return chains
+    steps = chains.select("anchor", "depth", "path", F.posexplode("path").alias("i", "node_id"))
+    steps = steps.join(nodes.select("node_id", "label"), "node_id", "left").withColumn("step", F.concat_ws(":", "label", "node_id"))
+    typed = steps.groupBy("anchor", "depth", "path").agg(F.array_sort(F.collect_list(F.struct("i", "step"))).alias("s"))
+    return typed.select("anchor", "depth", F.transform("s", lambda x: x["step"]).alias("path"))
+
+
+def file_symbols(edges: DataFrame, nodes: DataFrame, rel: str = "DEFINES") -> DataFrame:
+    """``file, symbol, kind``: functions and classes that a file defines, by their labels; others go."""
+    labels = F.col("labels")
+    kind = F.when(F.exists(labels, lambda x: x.contains("Class")), "CLASS").when(F.exists(labels, lambda x: x.contains("Function") | x.contains("Subroutine") | x.contains("Method")), "FUNCTION")
+    symbols = nodes.select(F.col("node_id").alias("dst"), F.col("name").alias("symbol"), kind.alias("kind")).where("kind is not null")
+    return edges.where(F.col("rel") == rel).join(symbols, "dst").select(F.col("src").alias("file"), "symbol", "kind").distinct()
+
+
+def entity_type(nodes: DataFrame) -> DataFrame:
+    """``node_id, kind``: python, fortran, shell or function, the first that a label names; else unknown."""
+    text = F.array_join("labels", " ")
+    out = None
+    for word, kind in (("Python", "python"), ("Fortran", "fortran"), ("Shell", "shell"), ("Function", "function")):
+        out = F.when(text.contains(word), kind) if out is None else out.when(text.contains(word), kind)
+    return nodes.select("node_id", out.otherwise("unknown").alias("kind"))
+
+
+def job_details(edges: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """``job`` and a column of sorted names for each kind (``kinds``: relationship to kind)."""
+    kind = F.create_map(*(F.lit(x) for pair in kinds.items() for x in pair))[F.col("rel")]
+    rows = edges.select(F.col("src").alias("job"), kind.alias("kind"), "dst").where("kind is not null")
+    return rows.groupBy("job").pivot("kind", sorted(set(kinds.values()))).agg(F.array_sort(F.collect_set("dst")))
+
+
+def script_env(edges: DataFrame) -> DataFrame:
+    """``variable, dependents, exporters, setters``: sorted scripts of each variable."""
+    return job_details(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "rel"), {"DEPENDS_ON_ENV": "dependents", "EXPORTS": "exporters", "SETS": "setters"}).withColumnRenamed("job", "variable")
+
+
+def cross_language_trace(edges: DataFrame, roots: DataFrame, first: str, then: str, depth: int = 3) -> DataFrame:
+    """``root, trace``: distinct (program, routine, depth) from each root over one bridge relationship,
+    then over calls up to ``depth``; a program without calls has a null routine."""
+    start = roots.select("root").join(edges.where(F.col("rel") == first), F.expr("root = src")).select("root", F.col("dst").alias("program")).distinct()
+    calls = call_chain(edges, start.select(F.col("program").alias("anchor")).distinct(), depth, [then]).select(F.col("anchor").alias("program"), F.col("node").alias("routine"), "depth").distinct()
+    rows = start.join(calls, "program", "left")
+    return rows.groupBy("root").agg(F.array_sort(F.collect_set(F.struct("program", "routine", "depth"))).alias("trace"))
+
+
+def code_with_dependencies(edges: DataFrame, nodes: DataFrame, symbols: DataFrame, depth: int = 2) -> DataFrame:
+    """``symbol, file, imports, functions, callers``: the file that defines each symbol and what belongs to it."""
+    home = edges.where("rel = 'DEFINES'").join(symbols.select(F.col("symbol").alias("dst")), "dst").select(F.col("dst").alias("symbol"), F.col("src").alias("file")).distinct()
+    imports = reach(edges, home.select(F.col("file").alias("anchor")).distinct(), "out", depth, ["IMPORTS"]).where("hop > 0").groupBy(F.col("anchor").alias("file")).agg(F.array_sort(F.collect_set("node")).alias("imports"))
+    functions = file_symbols(edges, nodes).where("kind = 'FUNCTION'").groupBy("file").agg(F.array_sort(F.collect_set("symbol")).alias("functions"))
+    callers = edges.where("rel = 'CALLS'").groupBy(F.col("dst").alias("symbol")).agg(F.array_sort(F.collect_set("src")).alias("callers"))
+    return home.join(imports, "file", "left").join(functions, "file", "left").join(callers, "symbol", "left").select("symbol", "file", "imports", "functions", "callers")

@@ -369,3 +369,14 @@ def s14(spark, d):
     SELECT DISTINCT coalesce(a.keeper, e.src) AS src, coalesce(b.keeper, e.dst) AS dst, e.rel FROM edges e LEFT JOIN k a ON e.src = a.node_id LEFT JOIN k b ON e.dst = b.node_id WHERE e.rel = 'PROVIDED_BY'""")
 def x18(spark, d):
     return S.merge_duplicate_nodes(nodes(spark, d).where("label = 'Part'"), edges(spark, d))[1].where("rel = 'PROVIDED_BY'")
+
+
+@query("g13_dependency_paths", f"{GRAPH}, {ANCHORS}, one AS (SELECT anchor, 1 AS depth, anchor || '>' || dst AS path, dst AS node FROM anchors JOIN edges ON anchor = src), two AS (SELECT anchor, 2, path || '>' || dst, dst FROM one JOIN edges ON node = src) SELECT anchor, depth, path FROM one UNION ALL SELECT anchor, 2, path FROM (SELECT anchor, path || '>' || dst AS path FROM one JOIN edges ON node = src) t")
+def g13(spark, d):
+    return G.dependency_paths(edges(spark, d), customers(spark, d), 2).withColumn("path", F.array_join("path", ">"))
+
+
+@query("g18_details", f"{GRAPH} SELECT src AS job, coalesce(array_to_string(list_sort(list(DISTINCT dst) FILTER (WHERE rel = 'CONTAINS')), ','), '') AS parts, coalesce(array_to_string(list_sort(list(DISTINCT dst) FILTER (WHERE rel = 'DEPENDS_ON')), ','), '') AS owner FROM edges WHERE rel IN ('CONTAINS', 'DEPENDS_ON') GROUP BY 1")
+def g18(spark, d):
+    x = G.job_details(edges(spark, d), {"CONTAINS": "parts", "DEPENDS_ON": "owner"})
+    return x.select("job", *(F.coalesce(F.array_join(c, ","), F.lit("")).alias(c) for c in ("parts", "owner")))

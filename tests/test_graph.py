@@ -161,3 +161,30 @@ def test_summaries(spark, rows):
     assert rows(C.infer_purpose(t, {"forecasting": ["forecast", "model"], "running": ["run"]})) == [(7, "forecasting"), (8, "general")]
     lv = spark.createDataFrame([("1", 0, 3), ("1", 1, 9), ("2", 0, 4), ("2", 1, 9)], "node string, level int, community int")
     assert rows(C.children(lv)) == [(9, 3), (9, 4)] and rows(C.members(lv.where("level = 1"), 9)) == [("1",), ("2",)]
+
+
+NODES = [("fn", "fn", ["PythonFunction"]), ("run.py", "run.py", ["PythonModule"]), ("prog", "prog", ["FortranProgram"]), ("K", "K", ["PythonClass"]), ("x", "x", ["Thing"])]
+
+
+@pytest.fixture(scope="module")
+def nodes(spark):
+    return spark.createDataFrame(NODES, "node_id string, name string, labels array<string>")
+
+
+def test_symbols_types_and_bundles(spark, nodes, rows):
+    e = spark.createDataFrame([("run.py", "fn", "DEFINES"), ("run.py", "K", "DEFINES"), ("run.py", "x", "DEFINES"), ("run.py", "os", "IMPORTS"), ("os", "sys", "IMPORTS"), ("a", "fn", "CALLS")], "src string, dst string, rel string")
+    assert rows(G.file_symbols(e, nodes)) == [("run.py", "K", "CLASS"), ("run.py", "fn", "FUNCTION")]
+    assert rows(G.entity_type(nodes)) == [("K", "python"), ("fn", "python"), ("prog", "fortran"), ("run.py", "python"), ("x", "unknown")]
+    s = spark.createDataFrame([("fn",)], "symbol string")
+    assert rows(G.code_with_dependencies(e, nodes, s)) == [("fn", "run.py", ["os", "sys"], ["fn"], ["a"])]
+
+
+def test_jobs_variables_traces_and_paths(spark, edges, rows):
+    e = spark.createDataFrame([("J", "c", "CONFIG"), ("J", "s", "SOURCES"), ("s1", "V", "EXPORTS"), ("s2", "V", "DEPENDS_ON_ENV")], "src string, dst string, rel string")
+    assert rows(G.job_details(e, {"CONFIG": "config", "SOURCES": "sources"})) == [("J", ["c"], ["s"])]
+    assert rows(G.script_env(e)) == [("V", ["s2"], ["s1"], [])] or rows(G.script_env(e)) == [("V", ["s2"], ["s1"], None)]
+    roots = spark.createDataFrame([("a.sh",)], "root string")
+    got = G.cross_language_trace(edges, roots, "EXECUTES", "CALLS").first()
+    assert [tuple(x) for x in got.trace] == [("prog", "sub1", 1), ("prog", "sub2", 2)]
+    labelled = spark.createDataFrame([("m1", "File"), ("m2", "File")], "node_id string, label string")
+    assert (1, ["File:m1", "File:m2"]) in [(d, p) for _, d, p in rows(G.dependency_paths(edges, anchors(spark, "m1"), 1, labelled))]

@@ -289,3 +289,12 @@ def test_provenance_and_functions(spark, rows):
     hits = spark.createDataFrame([("cat", 1)], "query_id string, id int")
     chunks = spark.createDataFrame([(1, "- one\n- two")], "id int, text string")
     assert rows(V.checklist_report(hits, chunks)) == [("cat", 1, "one"), ("cat", 1, "two")]
+
+
+def test_experiments_and_multi_search(spark, rows):
+    f = files(spark, base__config_a="A=1", exp1__config_a="B=2\nC=3")
+    got = rows(X.experiment_edges(f, 1))
+    assert got == [("base/config_a", "A", "SETS_ENV"), ("base/config_a", "base", "PART_OF"), ("exp1/config_a", "B", "SETS_ENV"), ("exp1/config_a", "base/config_a", "RESOLVES_FROM"), ("exp1/config_a", "exp1", "PART_OF")]
+    a = spark.createDataFrame([("q", 1, "same", 0.5)], "query_id string, id int, content string, score double")
+    b = spark.createDataFrame([("q", 2, "same", 0.9), ("q", 3, None, 0.1)], "query_id string, id int, content string, score double")
+    assert sorted((r.id, r.collection) for r in R.multi_search({"a": a, "b": b}, 5).collect()) == [(2, "b"), (3, "b")]
