@@ -2,14 +2,15 @@
 
 A window is one word, lower-cased and written twice, so that the block's fixed cost does
 not hide how well a dictionary covers it. Its distance is its compressed length under the
-ordinary dictionary less that under the toxic one. Windows at or above a calibrated
-threshold are toxic, and a document's score is the smoothed share of toxic documents
+ordinary dictionary less that under the toxic one. Windows at or above calibrated thresholds,
+in bytes and as a share of what could be saved at all, are toxic, and a document's score is the smoothed share of toxic documents
 among calibration documents with as many such windows.
 
-The toxic dictionary is trained on those windows of toxic documents that occur in toxic
-documents far more often than their share (likelihood ratio), because most of a toxic
-document's text is ordinary; the ordinary dictionary is trained on windows of ordinary
-documents. Half of the bounded sample trains the dictionaries, the other half sets
+The toxic dictionary is trained on those parts of words of toxic documents whose grams
+stand in toxic documents far more often than their share (likelihood ratio over different
+contexts, so that copies of one text count once), because most of a toxic document's text
+is ordinary; the ordinary dictionary is trained on windows of ordinary documents and is
+the first part of the content that toxic text is compared with. Half of the bounded sample trains the dictionaries, the other half sets
 threshold and shares. A sample too small for the dictionary trainer gives dictionaries of
 plain content; without any toxic window every score is the toxic share.
 """
@@ -17,7 +18,6 @@ plain content; without any toxic window every score is the toxic share.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,14 +27,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.samples import fold, labelled
-from lodestone.llm.tokens import LOWER, slices, words
+from lodestone.llm.tokens import LOWER, SPACE, mix, slices, words
 
 #: Labelled documents of each class to fit on at most.
 PER_CLASS = 2500
 #: Bytes of each dictionary.
 DICT_BYTES = 4096
-#: Twice the log likelihood ratio from which a word is a toxic sample.
+#: Bytes of a gram, and twice the log likelihood ratio from which one is toxic.
+GRAM = 5
 RATIO = 24.0
+#: How many times more frequent such a gram is in toxic documents, at least.
+LIFT = 8.0
 #: Windows of ordinary text that train the ordinary dictionary at most.
 ORDINARY_WINDOWS = 60_000
 #: Numbers of toxic windows that are told apart: 0, 1, ..., this many or more.
@@ -45,7 +48,9 @@ LEVELS = 4
 class Model:
     ordinary: bytes
     toxic: bytes
-    threshold: int
+    least: int
+    ratio: float
+    floor: int
     shares: list[float]
 
 
@@ -66,71 +71,127 @@ def _lengths(dictionary: bytes, windows: list[bytes]) -> np.ndarray:
     import zstandard
 
     spec = zstandard.ZstdCompressionParameters.from_level(3, write_content_size=False, write_checksum=False, write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
-    coder = zstandard.ZstdCompressor(compression_params=spec, dict_data=zstandard.ZstdCompressionDict(dictionary))
+    coder = zstandard.ZstdCompressor(compression_params=spec, dict_data=zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
     if not windows:
         return np.zeros(0, np.int64)
     out = coder.multi_compress_to_buffer(windows, threads=1)
     return np.array([len(out[i]) for i in range(len(out))], np.int64)
 
 
-def _toxic_words(toxic: list[set[bytes]], ordinary: list[set[bytes]]) -> set[bytes]:
-    """Words whose documents are toxic far more often than documents are."""
-    a, b = Counter(w for s in toxic for w in s), Counter(w for s in ordinary for w in s)
-    share = len(toxic) / max(1, len(toxic) + len(ordinary))
-    found = set()
+def _grams(texts: list[str]) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray]]:
+    """Lower-case bytes, places, values and contexts of the grams of GRAM bytes that lie in a word
+    (a space may come first). A gram's context is its word with both neighbours, so copies of a
+    text and near copies add next to nothing."""
+    for _, _, data, offsets in slices(pa.array(texts, pa.string())):
+        s, e, h, _ = words(data, offsets, lower=True)
+        low = LOWER[data]
+        if len(low) < GRAM or not len(h):
+            continue
+        around = mix(np.roll(h, 1) * np.uint64(3) + np.roll(h, -1) * np.uint64(5) + h)
+        solid = ~SPACE[low]
+        n = len(low) - GRAM + 1
+        inside = solid[1 : n + 1].copy()
+        for k in range(2, GRAM):
+            inside &= solid[k : n + k]
+        at = np.flatnonzero(inside)
+        value = np.zeros(len(at), np.uint64)
+        for k in range(GRAM):
+            value = value << np.uint64(8) | np.where(solid[at + k], low[at + k], 32).astype(np.uint64)
+        yield low.tobytes(), at, value, around[np.searchsorted(s, at + 1, "right") - 1]
+
+
+def _contexts(texts: list[str]) -> dict[int, int]:
+    """In how many different contexts each gram stands."""
+    seen = [np.stack([value, mix(value * np.uint64(3) + around)]) for _, _, value, around in _grams(texts)]
+    if not seen:
+        return {}
+    both = np.concatenate(seen, axis=1)
+    own = both[0][np.unique(both[1], return_index=True)[1]]
+    one, n = np.unique(own, return_counts=True)
+    return dict(zip(one.tolist(), n.tolist(), strict=True))
+
+
+def _toxic_grams(toxic: list[str], ordinary: list[str]) -> np.ndarray:
+    """Grams whose contexts are in toxic documents far more often than contexts are."""
+    a, b = _contexts(toxic), _contexts(ordinary)
+    total = sum(a.values()), sum(b.values())
+    share = total[0] / max(1, sum(total))
+    found = []
     for w, k in a.items():
-        n = k + b[w]
-        if k < 4 or k / n <= share:
+        n = k + b.get(w, 0)
+        if k < 4 or k * total[1] < LIFT * (n - k + 0.5) * total[0]:
             continue
         ratio = 2 * (k * math.log(k / n / share) + ((n - k) * math.log((n - k) / n / (1 - share)) if n > k else 0.0))
         if ratio >= RATIO:
-            found.add(w)
-    return found
+            found.append(w)
+    return np.array(sorted(found), np.uint64)
+
+
+def _toxic_parts(texts: list[str], grams: np.ndarray) -> list[bytes]:
+    """The longest parts of words that marked grams cover, as windows, as often as they occur."""
+    out = []
+    for low, at, value, _ in _grams(texts):
+        hit = at[np.isin(value, grams)]
+        cover = np.zeros(len(low) + 2, bool)
+        for k in range(GRAM):
+            cover[hit + k + 1] = True
+        edge = np.flatnonzero(cover[1:] != cover[:-1])
+        out += [_window(part) for i, j in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True) for part in low[i:j].split()]
+    return out
 
 
 def _counts(model: Model, column: pa.Array, distances: bool = False) -> Iterator[tuple[int, int, np.ndarray]]:
-    """Rows from, to, and for each text its number of toxic windows (or its words' distances)."""
+    """Rows from, to, and for each text its number of toxic windows (or its words' two lengths)."""
     for lo, hi, data, offsets in slices(column):
         s, e, h, first = words(data, offsets, lower=True)
         _, at, back = np.unique(h, return_index=True, return_inverse=True)
         text = LOWER[data].tobytes()
         windows = [_window(text[i:j]) for i, j in zip(s[at].tolist(), e[at].tolist(), strict=True)]
-        far = (_lengths(model.ordinary, windows) - _lengths(model.toxic, windows))[back]
+        plain, toxic = (_lengths(d, windows)[back] for d in (model.ordinary, model.toxic))
         if distances:
-            yield lo, hi, [far[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
+            yield lo, hi, [(plain[a:b], toxic[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
         else:
-            total = np.concatenate(([0], np.cumsum(far >= model.threshold)))
+            total = np.concatenate(([0], np.cumsum(_flags(plain, toxic, model.least, model.ratio, model.floor))))
             yield lo, hi, total[first[1:]] - total[first[:-1]]
 
 
+def _flags(plain: np.ndarray, toxic: np.ndarray, least: int, ratio: float, floor: int) -> np.ndarray:
+    """Windows that toxic text shortens by ``least`` bytes and by ``ratio`` of what can be saved at all."""
+    saved = plain - toxic
+    return (saved >= least) & (saved >= ratio * (plain - floor))
+
+
 def fit(sample: DataFrame) -> Model:
     """The model from a bounded DataFrame of ``text, label``."""
     rows = sample.toPandas().sort_values(["label", "text"]).reset_index(drop=True)
     rows["text"] = rows.text.fillna("")
     prior = (rows.label.sum() + 0.5) / (len(rows) + 1)
-    sets = [set(x.encode().lower().split()) for x in rows.text]
     half = rows.index.to_numpy() % 2 == 0
-    toxic = [s for s, y, f in zip(sets, rows.label, half, strict=True) if f and y == 1]
-    ordinary = [s for s, y, f in zip(sets, rows.label, half, strict=True) if f and y == 0]
-    marked = _toxic_words(toxic, ordinary)
-    if not marked:
-        return Model(b" " * 8, b" " * 8, 1 << 30, [prior] * (LEVELS + 1))
-    plain = [_window(w) for s in ordinary for w in sorted(s)]
+    toxic, ordinary = (rows.text[half & (rows.label == y)].tolist() for y in (1, 0))
+    marked = _toxic_parts(toxic, _toxic_grams(toxic, ordinary))
+    if not marked or half.all():
+        return Model(b" " * 8, b" " * 8, 1 << 30, 0.0, 0, [prior] * (LEVELS + 1))
+    plain = [_window(w) for x in ordinary for w in sorted(set(x.encode().lower().split()))]
     step = max(1, len(plain) // ORDINARY_WINDOWS)
-    model = Model(_train(plain[::step]), _train([_window(w) for s in toxic for w in sorted(s & marked)]), 0, [])
+    common = _train(plain[::step])
+    # toxic text is ordinary text with toxic parts: what is common to both cancels out
+    model = Model(common, common + _train(marked), 0, 0.0, 0, [])
     rest = rows[~half]
     far = [d for _, _, x in _counts(model, pa.array(rest.text), distances=True) for d in x]
+    doc = np.repeat(np.arange(len(far)), [len(a) for a, _ in far])
+    plain, toxic = (np.concatenate([d[k] for d in far]) for k in (0, 1))
     y = rest.label.to_numpy()
+    model.floor = int(min(plain.min(), toxic.min())) if len(plain) else 0
     best = None
-    for t in range(1, 16):
-        n = np.minimum([int((d >= t).sum()) for d in far], LEVELS)
-        k = np.bincount(n, minlength=LEVELS + 1)
-        p = np.bincount(n, y, minlength=LEVELS + 1)
-        share = (p + prior) / (k + 1)
-        fit_ = float((p * np.log(share) + (k - p) * np.log(1 - share)).sum())
-        if best is None or fit_ > best[0]:
-            best = (fit_, t, np.maximum.accumulate(share).tolist())
-    model.threshold, model.shares = best[1], best[2]
+    for least in range(1, 13):
+        for ratio in (0.0, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0):
+            n = np.minimum(np.bincount(doc, _flags(plain, toxic, least, ratio, model.floor), len(far)).astype(int), LEVELS)
+            k, p = np.bincount(n, minlength=LEVELS + 1), np.bincount(n, y, minlength=LEVELS + 1)
+            share = (p + prior) / (k + 1)
+            fit_ = float((p * np.log(share) + (k - p) * np.log(1 - share)).sum())
+            if best is None or fit_ > best[0]:
+                best = (fit_, least, ratio, np.maximum.accumulate(share).tolist())
+    model.least, model.ratio, model.shares = best[1:]
     return model
 
 
