@@ -15,13 +15,23 @@ from lodestone.llm.queries import bpe_path
 from lodestone.plans.stages import materialise, table
 
 
+#: Rows of an Arrow batch: texts are long, and two batches of each task are held at a time.
+BATCH_ROWS = 1000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the positive-unlabelled classifier accepts."""
+    _small_batches(spark)
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each near-duplicate group."""
+    _small_batches(spark)
     kept = neardup.near_duplicates(docs).where("kept").select("doc_id")
     return docs.join(kept.hint("merge"), "doc_id", "left_semi").select(docs.columns)
 
@@ -32,6 +42,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     A document that loses words has its other words joined by single spaces, and n_chars
     follows; any other stays as it is.
     """
+    _small_batches(spark)
     cut = substrings.drop_repeats(docs).where("n_removed > 0").select("doc_id", "kept")
     out = docs.join(materialise(cut, "cut").hint("merge"), "doc_id", "left").where("kept is null or kept <> ''")
     out = out.withColumn("n_chars", F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.length("kept")).cast(docs.schema["n_chars"].dataType))
@@ -46,6 +57,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Number of tokens, and digests of ids and decoded text, of each document."""
+    _small_batches(spark)
     return bpe.token_digests(docs, bpe_path())
 
 

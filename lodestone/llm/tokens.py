@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once; a longer single text is handled alone.
-SLICE = 1 << 21
+SLICE = 1 << 20
 #: Bytes hashed at once inside a text, cut at white space.
 CHUNK = 1 << 20
 
