@@ -38,7 +38,7 @@ SPAN = WINDOW - GRAM + 1
 #: Occurrences of an anchor from which its windows are routed one by one.
 HOT = 4000
 #: Segments in a shard, about.
-SHARD = 40_000
+SHARD = 15_000
 
 
 class WaveletTree:
