@@ -4,6 +4,7 @@ import hashlib
 import random
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -207,6 +208,29 @@ def test_licenses_normalise_and_join(spark, rows):
     assert licenses.scan(table(spark, own).limit(0)).count() == 0
 
 
+def test_licenses_full_texts(spark):
+    full = {i: t for i, t in licenses.full_texts()[::-1]}
+    mit = licenses.STATEMENTS[-1][1]
+    text = lambda i: (Path(licenses.__file__).parent / "licence_texts" / f"{i}.txt").read_text()
+    titled = [("MIT", "MIT License\n\nCopyright (c) 2020 Someone\n\n" + mit), ("MIT", "The MIT License (MIT)\n\nCopyright © 2020 Someone\nAll rights reserved.\n\n" + mit)]
+    titled += [("BSD-3-Clause", "BSD 3-Clause License\n\nCopyright (c) 2020, Someone\nAll rights reserved.\n\n" + text("BSD-3-Clause").replace("\n1. ", "\n* ").replace("\n2. ", "\n* ").replace("\n3. ", "\n* "))]
+    titled += [("BSD-2-Clause", " ".join(text("BSD-2-Clause").split())), ("Zlib", "zlib License\n\n(C) 2020 Someone\n\n" + text("Zlib")), ("Apache-2.0", text("Apache-2.0").split("END OF TERMS")[0]), ("GPL-3.0", text("GPL-3.0").replace("https", "http"))]
+    # wrapped elsewhere, so that a line begins with "copyright notice"
+    titled += [("ISC", "ISC License\n\nCopyright 2020 Someone\n" + text("ISC").replace("that the above\ncopyright", "that the above copyright").replace("above copyright", "above\n  copyright"))]
+    titled += [(i, text(i)) for i in ("GPL-2.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense", "CC0-1.0")]
+    for mark in ("# ", " * ", "// ", "-- "):
+        titled += [("MIT", "\n".join(mark + line for line in titled[0][1].split("\n"))), ("BSD-3-Clause", "\n".join(mark + line for line in titled[2][1].split("\n")))]
+        titled += [("Apache-2.0", "\n".join(mark + line for line in ("Copyright 2020 Someone\n" + text("Apache-2.0").split("owner]\n")[1]).split("\n")))]
+    assert set(full) == set(licenses.TITLES)
+    got = {r.doc_id: r.license_id for r in licenses.scan(table(spark, [t for _, t in titled])).collect()}
+    assert [got[i] for i in range(len(titled))] == [i for i, _ in titled]
+    # no text without its end
+    cut = licenses.scan(table(spark, [text("MPL-2.0")[:-900], mit[:-40]])).collect()
+    assert [r.license_id for r in cut] == [None, None]
+    # every known text can pass the filter before lines are looked up
+    assert all(any(k in t.lower() for k in ("licen", "permission", "redistribution", "public domain")) for _, t in licenses.KNOWN)
+
+
 # -- op6 languages
 
 
