@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import cosine, keyword_coverage, word_array, word_jaccard
-from lodestone.plans.stages import broadcast_if_small, small
+from lodestone.plans.stages import broadcast_if_small, materialise, small
 
 K1, B, RRF = 1.2, 0.75, 60
 
@@ -103,6 +103,34 @@ def rrf(*rankings: DataFrame, k: int = 10, constant: int = RRF) -> DataFrame:
     return top(x.groupBy("query_id", "id").agg(F.round(F.sum(1.0 / (constant + F.col("rank"))), 9).alias("score")), k)
 
 
+def nearest_ids(queries: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """``query_id, id, rank``: the k numerically nearest ids of each query, at any distance.
+
+    Ids are dealt into cells; a query meets its own and both neighbouring cells, which hold
+    all ids up to a cell's width away. Queries with fewer than k ids that near go on to
+    cells four times as wide, until a cell is as wide as all ids.
+    """
+    left = materialise(queries.select("query_id").distinct(), "asked")
+    own = ids.select("id").where("id is not null")
+    low, high = left.select(F.col("query_id").alias("id")).union(own).agg(F.min("id"), F.max("id")).first()
+    w = Window.partitionBy("query_id").orderBy(F.abs(F.col("id") - F.col("query_id")), "id")
+    width, out = 2 * k, None
+    while True:
+        cell = lambda c: F.expr(f"(({c}) - pmod(({c}), {width}L)) div {width}L")  # noqa: B023, E731
+        q = left.select("query_id", F.explode(F.array(*(cell("query_id") + i for i in (-1, 0, 1)))).alias("cell"))
+        near = q.join(own.withColumn("cell", cell("id")), "cell").where(F.abs(F.col("id") - F.col("query_id")) <= width)
+        near = materialise(near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "id", "rank"), "near")
+        if low is None or width >= high - low:
+            return near if out is None else out.union(near)
+        done = near.where(F.col("rank") == k).select("query_id")
+        found = near.join(done, "query_id", "left_semi")
+        out = found if out is None else out.union(found)
+        left = materialise(left.join(done, "query_id", "left_anti"), "asked")
+        if left.isEmpty():
+            return out
+        width *= 4
+
+
 def similar(queries: DataFrame, vectors: DataFrame, least: float, k: int) -> DataFrame:
     """The k most similar of the vectors with at least ``least``."""
     return top(cosine_scores(queries, vectors).where(F.col("score") >= least), k)

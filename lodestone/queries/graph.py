@@ -130,6 +130,12 @@ def g10(spark, d):
     return G.shortest_paths(edges(spark, d), pairs, 2).withColumn("path", F.array_join("path", ">"))
 
 
+@query("g10_shortest_paths_all", ORACLE_SQL["g10_shortest_paths"].replace(" WHERE o_orderkey % 50 = 0", ""))
+def g10_all(spark, d):
+    pairs = table(spark, d, "orders").join(table(spark, d, "customer"), F.expr("o_custkey = c_custkey")).select(F.concat(F.lit("o"), "o_orderkey").alias("src"), F.concat(F.lit("n"), "c_nationkey").alias("dst"))
+    return G.shortest_paths(edges(spark, d), pairs, 2).withColumn("path", F.array_join("path", ">"))
+
+
 @query("g11_outgoing", f"{GRAPH}, {ANCHORS} SELECT anchor, rel, node FROM (SELECT anchor, rel, dst AS node, row_number() OVER (PARTITION BY anchor ORDER BY rel, dst) AS n FROM anchors JOIN edges ON anchor = src) q WHERE n <= 3")
 def g11(spark, d):
     return G.outgoing(edges(spark, d), customers(spark, d), 3)

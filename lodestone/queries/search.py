@@ -79,17 +79,26 @@ def r04(spark, d):
     return R.hybrid(lex, R.knn(q, v, 20), 10, 2.0, 1.0)
 
 
+@query("r04_hybrid_texts")
+def r04_texts(spark, d):
+    """BM25 of all items and documents, and the cosine of their hashed vectors."""
+    q, x = asked(spark, d), docs(spark, d)
+    return hybrid_texts(q, x)
+
+
+def hybrid_texts(q, x, candidates=20, k=10):
+    # items and documents are embedded together, for one set of document frequencies
+    both = q.select(F.concat(F.lit("q"), F.col("query_id").cast("string")).alias("id"), "text").union(x.select(F.concat(F.lit("d"), F.col("id").cast("string")), "text"))
+    own = lambda a, key, like: R.hash_embed(both).where(F.col("id").startswith(a)).select(F.expr("substring(id, 2)").cast(like.schema[key].dataType).alias(key), "vector")
+    return R.hybrid(R.bm25(q, x, candidates), R.knn(own("q", "query_id", q), own("d", "id", x), candidates), k, 2.0, 1.0)
+
+
 @query("r05_rrf", f"""WITH {COS}, b AS (SELECT query_id, vec_id AS id, row_number() OVER (PARTITION BY query_id ORDER BY abs(vec_id - query_id), vec_id) AS rank FROM vq, embeddings),
     u AS (SELECT query_id, id, rank FROM csr WHERE rank <= 10 UNION ALL SELECT * FROM b WHERE rank <= 10), s AS (SELECT query_id, id, round(sum(1.0 / (60 + rank)), 9) AS score FROM u GROUP BY 1, 2),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) SELECT * FROM r WHERE rank <= 10""")
 def r05(spark, d):
-    from pyspark.sql import Window
-
     q, v = vqueries(spark, d), vectors(spark, d)
-    # a bounded band of ids around each query holds its ten nearest ids
-    near = q.select("query_id", F.explode(F.sequence(F.col("query_id") - 20, F.col("query_id") + 20)).alias("id")).join(v.select("id"), "id")
-    w = Window.partitionBy("query_id").orderBy(F.abs(F.col("id") - F.col("query_id")), "id")
-    return R.rrf(R.knn(q, v, 10), near.withColumn("rank", F.row_number().over(w)).where("rank <= 10"), k=10)
+    return R.rrf(R.knn(q, v, 10), R.nearest_ids(q, v, 10), k=10)
 
 
 @query("r07_similar", f"WITH {COS}, t AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM cs WHERE score >= 0.5) SELECT * FROM t WHERE rank <= 5")
@@ -115,6 +124,12 @@ def r11(spark, d):
     return R.text_relevance(asked(spark, d).where("query_id % 4 = 0"), c, 5)
 
 
+@query("r11_text_relevance_all", ORACLE_SQL["r11_text_relevance"].replace(" WHERE item_id % 4 = 0", ""))
+def r11_all(spark, d):
+    c = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("title"), "text")
+    return R.text_relevance(asked(spark, d), c, 5)
+
+
 @query("r12_category_search", """WITH a AS (SELECT 1 AS query_id, doc_id AS id, CAST(doc_id % 7 AS DOUBLE) * 0.5 AS score FROM documents UNION ALL SELECT 1, doc_id, CAST(n_chars % 11 AS DOUBLE) * 0.3 FROM documents),
     m AS (SELECT query_id, id, max(score) AS score FROM a GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM m) SELECT query_id, id, round(score, 6) AS score, rank FROM r WHERE rank <= 20""")
 def r12(spark, d):

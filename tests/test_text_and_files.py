@@ -298,3 +298,41 @@ def test_experiments_and_multi_search(spark, rows):
     a = spark.createDataFrame([("q", 1, "same", 0.5)], "query_id string, id int, content string, score double")
     b = spark.createDataFrame([("q", 2, "same", 0.9), ("q", 3, None, 0.1)], "query_id string, id int, content string, score double")
     assert sorted((r.id, r.collection) for r in R.multi_search({"a": a, "b": b}, 5).collect()) == [(2, "b"), (3, "b")]
+
+
+def test_nearest_ids_across_gaps(spark):
+    from lodestone.operators import search as R
+
+    ids = [-5000, -3, 0, 1, 2, 40, 45, 1000, 1001, 2**40, 2**40 + 9]
+    v = spark.createDataFrame([(i,) for i in ids], "id long")
+    for k in (1, 3, 20):
+        got = sorted((r.query_id, r["rank"], r.id) for r in R.nearest_ids(v.withColumnRenamed("id", "query_id"), v, k).collect())
+        want = [(q, n + 1, i) for q in ids for n, i in enumerate(sorted(ids, key=lambda i: (abs(i - q), i))[:k])]
+        assert got == sorted(want)
+    assert R.nearest_ids(v.limit(0).withColumnRenamed("id", "query_id"), v.limit(0), 3).count() == 0
+
+
+def test_hybrid_texts_against_brute_force(spark):
+    import math
+    from collections import Counter
+
+    from lodestone.operators import search as R
+    from lodestone.queries.search import hybrid_texts
+
+    texts = [f"w{i} w{i % 3} w{i % 5} common" for i in range(25)]
+    asked = {7: "w1 w4 common", 9: "w24", 11: "nothing here"}
+    q = spark.createDataFrame(list(asked.items()), "query_id long, text string")
+    x = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {(r.query_id, r["rank"]): (r.id, r.score) for r in hybrid_texts(q, x, 30, 30).collect()}
+    rows = {r.id: r.vector for r in R.hash_embed(spark.createDataFrame([(f"q{k}", t) for k, t in asked.items()] + [(f"d{k}", t) for k, t in enumerate(texts)], "id string, text string")).collect()}
+    docs = [t.split() for t in texts]
+    df, mean = Counter(w for d in docs for w in set(d)), sum(map(len, docs)) / len(docs)
+    for k, t in asked.items():
+        want = {}
+        for i, d in enumerate(docs):
+            bm = sum(math.log(1 + (len(docs) - df[w] + 0.5) / (df[w] + 0.5)) * d.count(w) * 2.2 / (d.count(w) + 1.2 * (0.25 + 0.75 * len(d) / mean)) for w in set(t.split()) if w in d)
+            a, b = rows[f"q{k}"], rows[f"d{i}"]
+            norm = math.sqrt(sum(u * u for u in a) * sum(u * u for u in b))
+            want[i] = 2 * bm + (sum(u * v for u, v in zip(a, b, strict=True)) / norm if norm else 0)
+        mine = {i: s for (kk, _), (i, s) in got.items() if kk == k}
+        assert set(mine) == set(want) and all(abs(mine[i] - want[i]) < 1e-4 for i in want)
