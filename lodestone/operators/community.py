@@ -30,38 +30,65 @@ def modularity(pairs: DataFrame, membership: DataFrame, gamma: float = 1.0) -> D
     return x.agg(F.round(F.sum(part), 6).alias("modularity"))
 
 
-def communities(pairs: DataFrame, gamma: float = 1.0, rounds: int = 6, max_levels: int = 2) -> DataFrame:
+def communities(pairs: DataFrame, gamma: float = 1.0, max_levels: int = 5, patience: int = 3) -> DataFrame:
     """``node, level, community``: communities by local moves, refinement and contraction.
 
-    In a round half of the nodes (by a hash of node and round) move to the neighbouring
-    community with the highest positive modularity gain, ties to the smallest name. Then
-    every community is split into its connected components, the graph is contracted, and the
-    next level starts from those. Each round is written to shared storage. Null ends and
-    loops are left out. Community names are those of their smallest nodes.
+    In a sweep first one half of the nodes (by a hash of node and sweep), then the other moves
+    to the neighbouring community with the highest positive modularity gain, ties to the
+    smallest name. A level's sweeps end when neither half moves a node; as nodes that move at
+    once can undo each other's gain, they also end when ``patience`` sweeps on end have not
+    raised the modularity, and the best places count. Then every community is split into its
+    connected components, the graph is contracted, and the next level starts from those, until
+    nothing merges. Each half is written to shared storage. Null ends and loops are left out.
+    Community names are those of their smallest nodes.
     """
     level_pairs = materialise(pairs.where("a is not null and b is not null and a <> b").select("a", "b", F.col("weight").cast("double").alias("weight")), "pairs")
     total = level_pairs.agg(F.sum("weight")).first()[0] or 1.0
     weight = materialise(_ends(level_pairs).groupBy(F.col("a").alias("node")).agg(F.sum("weight").alias("k")), "weight")
     out, above = None, None
+
+    def quality(place: DataFrame) -> float:
+        """Modularity, up to what lies inside the level's nodes."""
+        held = level_pairs.join(place.toDF("a", "ca"), "a").join(place.toDF("b", "cb"), "b").where("ca = cb").agg(F.sum("weight")).first()[0] or 0.0
+        size = place.join(weight, "node").groupBy("community").agg(F.sum("k").alias("kc"))
+        return held / total - gamma * (size.agg(F.sum(F.pow(F.col("kc") / (2 * total), 2))).first()[0] or 0.0)
+
     for level in range(max_levels):
         place = weight.select("node", F.col("node").alias("community"))
-        for r in range(rounds):
-            size = place.join(weight, "node").groupBy("community").agg(F.sum("k").alias("kc"))
-            near = _ends(level_pairs).select(F.col("a").alias("node"), "b", "weight").join(place.toDF("b", "community"), "b").groupBy("node", "community").agg(F.sum("weight").alias("w"))
-            own = place.toDF("node", "own").join(weight, "node")
-            x = near.join(own, "node").join(size, "community")
-            # gain of joining a community, the node's own part taken out
-            rest = F.col("kc") - F.when(F.col("community") == F.col("own"), F.col("k")).otherwise(0.0)
-            x = x.withColumn("gain", F.col("w") - F.lit(gamma) * F.col("k") * rest / (2 * total))
-            base = x.where("community = own").select("node", F.col("gain").alias("stay"))
-            best = x.where("community <> own").withColumn("n", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("gain"), "community"))).where("n = 1")
-            best = best.join(base, "node", "left").where(F.col("gain") > F.coalesce("stay", -F.lit(gamma) * F.col("k") * 0.0) + 1e-9).select("node", F.col("community").alias("to"))
-            turn = F.pmod(F.xxhash64("node", F.lit(r)), F.lit(2)) == 0
-            place = materialise(place.join(best.where(turn), "node", "left").select("node", F.coalesce("to", "community").alias("community")), "place")
+        best_place, most, waited, sweep = place, quality(place), 0, 0
+        while waited < patience:
+            moved = False
+            for half in (0, 1):
+                size = place.join(weight, "node").groupBy("community").agg(F.sum("k").alias("kc"))
+                near = _ends(level_pairs).select(F.col("a").alias("node"), "b", "weight").join(place.toDF("b", "community"), "b").groupBy("node", "community").agg(F.sum("weight").alias("w"))
+                own = place.toDF("node", "own").join(weight, "node")
+                x = near.join(own, "node").join(size, "community")
+                # gain of joining a community, the node's own part taken out
+                rest = F.col("kc") - F.when(F.col("community") == F.col("own"), F.col("k")).otherwise(0.0)
+                x = x.withColumn("gain", F.col("w") - F.lit(gamma) * F.col("k") * rest / (2 * total))
+                # a node without neighbours in its community leaves w = 0 there
+                alone = own.join(size.withColumnRenamed("community", "own"), "own").select("node", (-F.lit(gamma) * F.col("k") * (F.col("kc") - F.col("k")) / (2 * total)).alias("bare"))
+                base = x.where("community = own").select("node", F.col("gain").alias("stay"))
+                best = x.where("community <> own").withColumn("n", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("gain"), "community"))).where("n = 1")
+                best = best.select("node", F.col("community").alias("to"), "gain").join(base, "node", "left").join(alone, "node")
+                best = best.where(F.col("gain") > F.coalesce("stay", "bare") + 1e-9).select("node", "to")
+                turn = F.pmod(F.xxhash64("node", F.lit(sweep)), F.lit(2)) == half
+                new = place.join(best.where(turn), "node", "left").select("node", F.coalesce("to", "community").alias("community"), F.col("to").isNotNull().alias("moved"))
+                new = materialise(new, "place")
+                moved = not new.where("moved").isEmpty() or moved
+                place = new.select("node", "community")
+            if not moved:
+                break
+            now = quality(place)
+            best_place, most, waited = (place, now, 0) if now > most + 1e-9 else (best_place, most, waited + 1)
+            sweep += 1
+        place = best_place
         inside = level_pairs.join(place.toDF("a", "ca"), "a").join(place.toDF("b", "cb"), "b").where("ca = cb").select("a", "b")
         comp = connected_components(inside, "a", "b")
         place = place.join(comp, "node", "left").select("node", F.coalesce("component", "node").alias("community"))
-        place = materialise(place if above is None else place, "place")
+        place = materialise(place, "place")
+        if above is not None and place.where("community <> node").isEmpty():
+            break  # nothing merges any more
         member = place if above is None else above.join(place.toDF("community", "next"), "community").select("node", F.col("next").alias("community"))
         above = materialise(member, "members")
         row = above.select("node", F.lit(level).alias("level"), "community")

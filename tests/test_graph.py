@@ -147,6 +147,33 @@ def test_communities_of_two_cliques(spark):
     assert len(got) == 10 and best > 0.3
 
 
+def test_communities_of_a_chain_need_three_levels(spark):
+    n = 150
+    pairs = spark.createDataFrame([(i, i + 1, 1) for i in range(n - 1)], "a long, b long, weight int")
+    levels = {}
+    for r in C.communities(pairs).collect():
+        levels.setdefault(r.level, {})[r.node] = r.community
+    degree = [1] + [2] * (n - 2) + [1]
+
+    def quality(of):
+        size = {}
+        for i in range(n):
+            size[of[i]] = size.get(of[i], 0) + degree[i]
+        return sum(of[i] == of[i + 1] for i in range(n - 1)) / (n - 1) - sum((k / (2 * n - 2)) ** 2 for k in size.values())
+
+    assert sorted(levels) == list(range(len(levels))) and 3 <= len(levels) <= 5
+    assert all(len(of) == n for of in levels.values())
+    scores = [quality(levels[k]) for k in sorted(levels)]
+    assert scores == sorted(scores) and scores[-1] > 0.8
+    # the last level is whole: joining no two neighbours would gain
+    last = levels[len(levels) - 1]
+    for i in range(n - 1):
+        joined = {k: last[i] if c == last[i + 1] else c for k, c in last.items()}
+        assert quality(joined) <= scores[-1] + 1e-9
+    # a community holds a connected stretch and has its smallest node's name
+    assert all(last[i] == last[i + 1] or last[i + 1] == i + 1 for i in range(n - 1))
+
+
 def test_summaries(spark, rows):
     m = spark.createDataFrame([("1", 7, "Job", "alpha"), ("2", 7, "Job", "beta"), ("3", 7, "File", "c")], "node string, community int, label string, name string")
     e = spark.createDataFrame([("1", "2", "CALLS")], "src string, dst string, rel string")
