@@ -156,11 +156,45 @@ def test_maxent_counts_and_normalisation(spark, docs, texts, monkeypatch, common
     assert held.score.sum() > held.base_score.sum()
 
 
-def test_maxent_class_probabilities_sum_to_one():
-    w = np.random.default_rng(0).normal(size=(maxent.TABLES * maxent.BUCKETS + 1, maxent.CLASSES)).astype(np.float32)
-    t = maxent.tokens(*next((d, o) for _, _, d, o in tokens.slices(pa.array(["a b c", "d e"]))))
-    assert np.exp(maxent.log_classes(w, maxent.features(t))).sum(1) == pytest.approx(1, abs=1e-5)
-    assert t.first.tolist() == [0, 4, 7] and (t.classes == 0).sum() == 2
+def test_maxent_probabilities_sum_to_one_and_match_brute_force(spark, docs):
+    learn = docs.selectExpr("doc_id as id", "text").limit(60).cache()
+    vocab = maxent.count_words(learn).cache()
+    m, hashes, counts, totals, distinct = maxent.build(vocab, learn)
+    place, none = m.layout, int(m.layout.start[-1])
+    # every row after two words, one word and none
+    of = np.repeat(np.arange(maxent.CLASSES), np.diff(place.start))
+    some = np.array([place.start[5], place.start[9]])
+    for length in (0, 1, 2):
+        rows = np.stack([np.full(none, x) for x in some[:length]] + [np.arange(none)], 1).reshape(-1)
+        classes = np.append(of, 0)[rows]
+        first = np.arange(none + 1) * (length + 1)
+        t = maxent.Tokens(rows, classes, np.repeat(np.arange(none), length + 1), first)
+        assert (10 ** m.log10(t, rows)[length :: length + 1]).sum() == pytest.approx(1, abs=2e-3)
+    seen = {int(h): int(c) for h, c in vocab.select("h", "c").collect()}
+    got = {r.doc_id: r for r in maxent.score_texts(learn.withColumnRenamed("id", "doc_id"), learn.withColumnRenamed("id", "doc_id")).collect()}
+    for r in learn.limit(8).collect():
+        text = (r.text or "").encode()
+        t = maxent.tokens(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+        k1, k2, u, total = maxent.CLASSES, maxent.CLASSES, none, 0.0
+        for h, c in zip(t.hashes, t.classes.tolist()):
+            row = int(place.rows(np.array([h]), np.array([c]))[0])
+            z = float(m.base[row]) + float(m.near[row, k1]) + float(m.skip[row, k2]) - float(m.norm[c, k1, k2]) + float(m.go[u, c]) + float(m.tri[k1, k2, c]) - float(m.total[u, k2])
+            total += z / np.log(10)
+            if row >= place.hashed[c]:
+                total += np.log10(seen[int(h.astype(np.int64))] + 1) - m.room[row]
+            k1, k2, u = c, k1, row
+        assert got[r.id].score == pytest.approx(total, rel=1e-4)
+
+
+def test_maxent_gains_a_tenth_held_out_and_keeps_repeated_rows(spark):
+    own = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    got = maxent.score_documents(own).where("held_out").selectExpr("sum(score) a", "sum(base_score) b").first()
+    assert got.a > 0.9 * got.b
+    twice = table(spark, ["a b c", "x y"]).union(table(spark, ["a b c", "d"])).select("doc_id", "text")
+    rows = sorted((r.doc_id, r.n_tokens, r.n_known) for r in maxent.score_texts(twice, twice).collect())
+    assert rows == [(0, 4, 4), (0, 4, 4), (1, 2, 2), (1, 3, 3)]
+    lone = maxent.score_texts(table(spark, ["a b c", "x y"]).select("doc_id", "text"), twice).where("doc_id = 0").first().score
+    assert {round(r.score, 9) for r in maxent.score_texts(twice, twice).where("doc_id = 0").collect()} == {round(lone, 9)}
 
 
 def test_maxent_empty_tables(spark):
