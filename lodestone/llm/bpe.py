@@ -1,12 +1,15 @@
-"""Byte-level BPE encoding and decoding of whole texts, with tree concatenation.
-
-Ordinary texts are split by the vocabulary's pattern and merged piece by piece. A
-piece that the pattern leaves unsplit for ``LONG`` characters or more is cut into
-halves again and again; the leaves are encoded as one parallel batch, and neighbours
-are joined by re-encoding a growing window around the join. A window is taken once
-its first and last token are the ones that the two sides had there: every adjacent
-pair of tokens is then one that BPE itself leaves apart, so the joined sequence is
-the encoding of the whole.
+"""Byte-level BPE encoding and decoding of whole texts by tree concatenation.
+
+A text is cut into halves, wherever that is, until no part has more than ``LEAF`` characters.
+The leaves are encoded in parallel, and neighbours are joined level by level. Around a join,
+the text is split anew by the vocabulary's pattern: from the last place in the left side where
+a piece must begin (white space after another character) on to a growing part of the right
+side, until a piece ends where one of the right side's own pieces ends. From there on the right
+side's tokens hold, before the place the left side's do, and only the pieces between are
+encoded anew. A piece that is itself cut is joined from its halves' tokens: a window of tokens
+around the cut is encoded anew and grows until its first and last token are the ones that the two
+sides had there; every adjacent pair of tokens is then one that BPE itself leaves apart. So the
+joined sequence is the encoding of the whole text.
 """
 
 from __future__ import annotations
@@ -16,16 +19,15 @@ import json
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lodestone.llm.tokens import SPACE, slices
+from lodestone.llm.tokens import slices
 
-#: Characters from which an unsplit piece is encoded as a tree.
-LONG = 4096
-#: Characters of a leaf of that tree at most.
-LEAF = 1024
+#: Characters of a leaf at most, and characters around a join that are split anew at first.
+LEAF, AROUND = 2048, 64
+#: Leaves of one text that a task encodes at once.
+THREADS = 2
 
 #: The vocabulary's published split pattern (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -55,35 +57,70 @@ class Bpe:
         self.core = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=self.special)
         # the pattern's \s is Unicode white space; Python's also holds 0x1C-0x1F
         self.pieces = regex.compile(PATTERN.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
+        self.pool = ThreadPoolExecutor(THREADS)
         self.parts = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
 
-    def encode(self, text: str, unsplit: bool = True) -> list[int]:
-        """Ids of a whole text; ``unsplit``: it may hold a piece of ``LONG`` characters or more."""
-        if not unsplit:
-            return self.core.encode(text, allowed_special="all")
+    def encode(self, text: str, leaf: int = LEAF) -> list[int]:
+        """Ids of a whole text; its special tokens' strings are never cut."""
+        if self.parts is None or not any(x in text for x in self.special):
+            return self.tree(text, leaf)
         out: list[int] = []
-        for part in self.parts.split(text) if self.parts else [text]:
-            if part in self.special:
-                out.append(self.special[part])
-                continue
-            for m in self.pieces.finditer(part):
-                piece = m.group()
-                out += self.tree(piece) if len(piece) >= LONG else self.core._encode_single_piece(piece)
+        for part in self.parts.split(text):
+            out += [self.special[part]] if part in self.special else self.tree(part, leaf)
         return out
 
-    def tree(self, piece: str, leaf: int = LEAF) -> list[int]:
-        """Ids of one unsplit piece: leaves in parallel, then joins, level by level."""
-        cuts = [piece]
+    def tree(self, text: str, leaf: int = LEAF) -> list[int]:
+        """Ids of a text without special tokens: leaves in parallel, then joins, level by level."""
+        cuts = [text]
         while any(len(x) > leaf for x in cuts):
             cuts = [y for x in cuts for y in ((x[: len(x) // 2], x[len(x) // 2 :]) if len(x) > 1 else (x,))]
-        with ThreadPoolExecutor(2) as pool:
-            level = list(pool.map(self.core._encode_single_piece, [x for x in cuts if x]))
+        if len(cuts) == 1:
+            return self.core.encode_ordinary(text)
+        level = list(zip(cuts, self.pool.map(self.core.encode_ordinary, cuts), strict=True))
         while len(level) > 1:
-            level = [self.join(*level[i : i + 2]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
-        return level[0] if level else []
+            level = [self.join(*level[i], *level[i + 1]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
+        return level[0][1]
 
-    def join(self, left: list[int], right: list[int]) -> list[int]:
-        """The encoding of two encoded neighbours' text."""
+    def join(self, left: str, a: list[int], right: str, b: list[int]) -> tuple[str, list[int]]:
+        """The text and ids of two neighbours with ids ``a`` and ``b``."""
+        start, width = self.safe_start(left), AROUND
+        tail = left[start:]
+        while True:
+            head = right[:width]
+            whole = len(head) == len(right)
+            new_ends = self.ends(tail + head, whole)
+            own_ends = [0, *self.ends(head, whole)]
+            stop = next((e - len(tail) for e in new_ends if e - len(tail) in own_ends), None)
+            if stop is not None:
+                break
+            width *= 2
+        cuts = [0, *(e for e in new_ends if e <= len(tail) + stop)]
+        new = [(tail + head)[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
+        before, after = self.pieces.findall(tail), self.pieces.findall(head[:stop])
+        # a side of one piece has its tokens already
+        ids_before = [a] if start == 0 and len(before) == 1 else [self.core._encode_single_piece(x) for x in before]
+        ids_after = [b] if stop == len(right) and len(after) == 1 else [self.core._encode_single_piece(x) for x in after]
+        if len(new) == len(before) == len(after) == 1:
+            ids = self.join_piece(ids_before[0], ids_after[0])
+        else:
+            ids = [t for x in new for t in self.core._encode_single_piece(x)]
+        return left + right, a[: len(a) - sum(map(len, ids_before))] + ids + b[sum(map(len, ids_after)) :]
+
+    @staticmethod
+    def safe_start(text: str) -> int:
+        """The last place where a piece begins whatever follows the text: a space after no white space."""
+        at = text.rfind(" ", 1)
+        while at > 0 and text[at - 1].isspace():
+            at = text.rfind(" ", 1, at)
+        return max(0, at)
+
+    def ends(self, text: str, whole: bool) -> list[int]:
+        """Where the pieces of a text end; unless it is whole, without those that what follows could change."""
+        found = [m.end() for m in self.pieces.finditer(text)]
+        return found if whole else [e for e in found if e < len(text) - 1]
+
+    def join_piece(self, left: list[int], right: list[int]) -> list[int]:
+        """The encoding of one piece that is cut into two encoded ones."""
         k = 4
         while True:
             a, b = left[-k:], right[:k]
@@ -107,19 +144,6 @@ def load(path: str) -> Bpe:
     return _loaded[path]
 
 
-def longest_run(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """For each text, the longest run of bytes without a change from or to white space."""
-    if not len(data):
-        return np.zeros(len(offsets) - 1, np.int64)
-    solid = SPACE[data]
-    change = np.flatnonzero(np.concatenate(([True], solid[1:] != solid[:-1])))
-    change = np.union1d(change, offsets[offsets < len(data)])
-    run = np.diff(np.append(change, len(data)))
-    out = np.zeros(len(offsets) - 1, np.int64)
-    np.maximum.at(out, np.searchsorted(offsets, change, "right") - 1, run)
-    return out
-
-
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, ids, decoded)`` for every document: token ids, and the text they decode to.
 
@@ -133,9 +157,8 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
         bpe = load(path)
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)
-            for lo, hi, data, offsets in slices(texts):
-                unsplit = longest_run(data, offsets) >= LONG
-                ids = [bpe.encode(t or "", bool(u)) for t, u in zip(texts.slice(lo, hi - lo).to_pylist(), unsplit, strict=True)]
+            for lo, hi, _, _ in slices(texts):
+                ids = [bpe.encode(t or "") for t in texts.slice(lo, hi - lo).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [keys.slice(lo, hi - lo), pa.array(ids, pa.list_(pa.int32())), pa.array([bpe.decode(x) for x in ids], pa.string())],
                     ["id", "ids", "decoded"],
@@ -151,6 +174,7 @@ def token_digests(docs: DataFrame, path: str) -> DataFrame:
     texts leave it.
     """
     encoded = encode_documents(docs, path)
+    id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [str(i) for i in range(1 << 17)]
@@ -163,4 +187,4 @@ def token_digests(docs: DataFrame, path: str) -> DataFrame:
                 b.append(hashlib.sha256(text.as_buffer()).hexdigest())
             yield pa.RecordBatch.from_arrays([keys, pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return encoded.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return encoded.mapInArrow(run, f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -350,10 +350,26 @@ def test_bpe_matches_the_library(spark, vocabulary, texts):
 
 
 @pytest.mark.parametrize("leaf", [1, 3, 64])
-def test_bpe_trees_of_any_leaf(vocabulary, leaf):
+def test_bpe_trees_of_any_leaf(vocabulary, texts, leaf):
     coder, library = bpe.load(vocabulary[0]), vocabulary[1]
-    text = "".join(random.Random(leaf).choice("abcdeth") for _ in range(700))
-    assert coder.tree(text, leaf) == library.encode(text, add_special_tokens=False).ids
+    rng = random.Random(leaf)
+    own = ["".join(rng.choice("abcdeth") for _ in range(700))]
+    own += ["".join(rng.choice(["a", "b ", " ", "  ", "\n", "'s", "'", "ll", "12", "é", "?!", "\t\t", "日本", "\x1c", "\u3000", "the"]) for _ in range(n)) for n in (2, 3, 5, 9, 60, 200, 300) * 6]
+    own += [t[:1500] for t in list(texts.values())[:10]] + [" " * 300 + "x" * 300 + " " * 7]
+    for text in own:
+        assert coder.tree(text, leaf) == library.encode(text, add_special_tokens=False).ids
+
+
+def test_bpe_takes_the_tree_on_the_given_tables(vocabulary, texts, monkeypatch):
+    coder, library, joins = bpe.load(vocabulary[0]), vocabulary[1], []
+    join = bpe.Bpe.join
+    monkeypatch.setattr(bpe.Bpe, "join", lambda self, *a: joins.append(1) or join(self, *a))
+    long = 0
+    for text in texts.values():
+        before = len(joins)
+        assert coder.encode(text or "") == library.encode(text or "", add_special_tokens=False).ids
+        long += len(joins) > before
+    assert long >= 50
 
 
 # -- op9 quality
