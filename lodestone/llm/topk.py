@@ -8,9 +8,11 @@ is scored through its forward index (the block's matrix of vectors), which gives
 score to beat; in the second, blocks are taken in the order of their bounds until these
 fall below the k-th score.
 
-Queries go out in blocks too: a task gets one block of queries and a slice of the candidate
-blocks, so what it holds is bounded whatever the tables' sizes; a candidate block is only
+Queries go out in blocks too. For bounds a task gets ``GROUP`` query blocks and the summaries of a
+slice of the candidate blocks, for scores one query block and a slice of the candidate blocks
+themselves, so what it holds is bounded whatever the tables' sizes; a candidate block is only
 sent to query blocks that have a query whose bound reaches the k-th score of the first step.
+Products are taken in floating point only where every sum is an exact integer there.
 """
 
 from __future__ import annotations
@@ -22,10 +24,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.plans.stages import materialise
+from lodestone.plans.stages import broadcast_if_small, materialise
 
-#: Ids in a candidate block and in a query block, and candidate blocks in a slice.
-BLOCK, QUERIES, SLICE = 512, 256, 32
+#: Ids in a candidate block and in a query block, candidate blocks in a slice, and query blocks in a group.
+BLOCK, QUERIES, SLICE, GROUP = 512, 256, 32, 32
 SCALE = 1024
 
 
@@ -49,9 +51,17 @@ def _pack(rows: DataFrame, size: int) -> DataFrame:
     return keyed.groupBy("block", "dim").applyInPandas(pack, "block long, dim int, ids binary, m binary, hi binary, lo binary")
 
 
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``a @ b.T`` of integer matrices; by floating point where no sum can reach 2**53."""
+    size = lambda m: max(abs(int(m.max(initial=0))), abs(int(m.min(initial=0))))
+    if size(a) * size(b) * a.shape[1] < 1 << 52:
+        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
+    return a @ b.T
+
+
 def _bounds(q: np.ndarray, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
     """Each query's bound on each block."""
-    return np.maximum(q, 0) @ hi.T + np.minimum(q, 0) @ lo.T
+    return _times(np.maximum(q, 0), hi) + _times(np.minimum(q, 0), lo)
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -65,8 +75,9 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_
     Queries are the rows whose id is divisible by ``every``; candidates are all rows but the
     query's own, ties go to the smaller id. Vectors that are null, have a null id, or hold
     null or non-finite components take no part. Vectors are compared with vectors of the same
-    length only. A query with fewer candidates gets them all. A repeated id's rows are
-    candidates of their own, and it is asked once for each; an empty table gives no rows.
+    length only. A query with fewer candidates gets them all. Rows that repeat an id are
+    candidates each, and each asks for itself, with ranks of its own, among the rows of other ids; an
+    empty table gives no rows.
     """
     rows = materialise(integers(vectors, id_col, vector_col), "vectors")
     blocks = materialise(_pack(rows, BLOCK), "blocks")
@@ -77,8 +88,11 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_
 
     # summaries are 1/256 of the data; they meet the query blocks by vector length, in slices
     sums = blocks.select("dim", "block", F.floor(F.col("block") / (SLICE * 8)).alias("slice"), "hi", "lo")
-    slices = sums.select(F.col("dim").alias("dim"), F.col("slice").alias("qslice")).distinct()
-    met = asked.join(slices, "dim")
+    slices = broadcast_if_small(sums.select("dim", F.col("slice").alias("qslice")).distinct())
+    group = F.floor(F.col("qblock") / GROUP).alias("qgroup")
+    groups = broadcast_if_small(asked.select("dim", group).distinct())
+    near = sums.join(groups, "dim").groupBy("dim", "slice", "qgroup")
+    met = asked.select("*", group).join(slices, "dim").groupBy("dim", "qslice", "qgroup")
 
     def promise(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -93,7 +107,7 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_
                 out.append(pd.DataFrame({"qblock": r.qblock, "dim": dim, "n": np.arange(len(ids)), "block": names[at], "bound": b[np.arange(len(ids)), at]}))
         return pd.concat(out) if out else pd.DataFrame({c: pd.Series(dtype="int64") for c in ("qblock", "dim", "n", "block", "bound")})
 
-    best = met.groupBy("dim", "qslice").cogroup(sums.groupBy("dim", "slice")).applyInPandas(promise, "qblock long, dim int, n long, block long, bound long")
+    best = met.cogroup(near).applyInPandas(promise, "qblock long, dim int, n long, block long, bound long")
     first = best.groupBy("qblock", "dim", "n").agg(F.max_by("block", "bound").alias("block"))
     first = first.groupBy("qblock", "dim", "block").agg(F.collect_list("n").alias("ns"))
 
@@ -102,7 +116,7 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_
             for r in part.itertuples():
                 qids, ids = np.frombuffer(r.qids, np.int64), np.frombuffer(r.ids, np.int64)
                 ns = np.sort(np.asarray(r.ns, np.int64))
-                s = matrix(r.qm, len(qids), r.dim)[ns] @ matrix(r.m, len(ids), r.dim).T
+                s = _times(matrix(r.qm, len(qids), r.dim)[ns], matrix(r.m, len(ids), r.dim))
                 kth = []
                 for i, row in zip(ns, s, strict=True):
                     other = np.sort(row[ids != qids[i]])[::-1]
@@ -132,12 +146,12 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_
                 out.append(pd.DataFrame({"qblock": r.qblock, "dim": dim, "block": names[some]}))
         return pd.concat(out)
 
-    pairs = ready.join(slices, "dim").groupBy("dim", "qslice").cogroup(sums.groupBy("dim", "slice")).applyInPandas(admit, "qblock long, dim int, block long")
+    pairs = ready.select("*", group).join(slices, "dim").groupBy("dim", "qslice", "qgroup").cogroup(near).applyInPandas(admit, "qblock long, dim int, block long")
     pairs = materialise(pairs, "admitted")
     sent = pairs.join(blocks, ["block", "dim"]).withColumn("slice", F.floor(F.col("block") / SLICE))
 
     def score(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({c: pd.Series(dtype="int64") for c in ("query_id", "vec_id", "score")})
+        empty = pd.DataFrame({c: pd.Series(dtype="int64") for c in ("qblock", "n", "query_id", "vec_id", "score")})
         if not len(left) or not len(right):
             return empty
         dim = int(key[1])
@@ -149,23 +163,26 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_
             qids = np.frombuffer(r.qids, np.int64)
             q = matrix(r.qm, len(qids), dim)
             bounds, low = _bounds(q, hi, lo), floor_of(r, len(qids))
+            exact = bool(np.abs(q).max(initial=0) < 1 << 20) and max((int(np.abs(m).max(initial=0)) for m in ms), default=0) < 1 << 20 and dim < 1 << 12
+            qs, blocks_ = (q.astype(np.float64), [m.astype(np.float64) for m in ms]) if exact else (q, ms)
             for i in range(len(qids)):
                 have_i, have_s, need = np.zeros(0, np.int64), np.zeros(0, np.int64), low[i]
                 for b in np.argsort(-bounds[i], kind="stable"):
                     if bounds[i, b] < need:
                         break
                     other = ids[b] != qids[i]
-                    have_i, have_s = _best(np.concatenate([have_s, (ms[b] @ q[i])[other]]), np.concatenate([have_i, ids[b][other]]), k)
+                    have_i, have_s = _best(np.concatenate([have_s, (blocks_[b] @ qs[i]).astype(np.int64)[other]]), np.concatenate([have_i, ids[b][other]]), k)
                     if len(have_s) == k:
                         need = max(need, have_s[-1])
-                out.append(pd.DataFrame({"query_id": np.full(len(have_i), qids[i]), "vec_id": have_i, "score": have_s}))
+                out.append(pd.DataFrame({"qblock": r.wblock, "n": i, "query_id": np.full(len(have_i), qids[i]), "vec_id": have_i, "score": have_s}))
         return pd.concat(out)
 
     wanted = pairs.select(F.col("qblock").alias("wblock"), F.col("dim").alias("wdim"), F.floor(F.col("block") / SLICE).alias("wslice")).distinct()
     asking = ready.join(wanted, F.expr("qblock = wblock and dim = wdim")).drop("qblock", "dim")
     found = sent.groupBy("qblock", "dim", "slice").cogroup(asking.groupBy("wblock", "wdim", "wslice"))
-    found = found.applyInPandas(score, "query_id long, vec_id long, score long")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    found = found.applyInPandas(score, "qblock long, n long, query_id long, vec_id long, score long")
+    # a query row is its place in its block
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("qblock", "n", "query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", F.col("vec_id").alias(id_col), "score")
 
 

@@ -401,3 +401,19 @@ def test_topk_matches_brute_force(spark):
     assert got == want
     assert topk.top_k(df.limit(0)).count() == 0
     assert [tuple(r) for r in topk.top_k(df.where("vec_id in (0, 7)")).select("query_id", "rank", "vec_id").collect()] == [(0, 1, 7)]
+
+
+def test_topk_repeated_rows_and_small_groups(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    v = [(i, rng.normal(size=4).tolist()) for i in [0, 0, *range(1, 700), 100, 5, 5, 300]] + [(400, [1e6] * 4), (17, [-3e6, 1e6, 2e6, 1e5])]
+    want = []
+    own = [(i, np.floor(1024 * np.array(x)).astype(np.int64)) for i, x in v]
+    for q, x in own:
+        if q % 100 == 0:
+            best = sorted((-int(x @ y), i) for i, y in own if i != q)[:10]
+            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    df = spark.createDataFrame(v, "vec_id long, embedding array<double>")
+    for block, queries, slice_, group in ((512, 256, 32, 32), (16, 1, 2, 1)):
+        for name, x in zip(("BLOCK", "QUERIES", "SLICE", "GROUP"), (block, queries, slice_, group)):
+            monkeypatch.setattr(topk, name, x)
+        assert sorted(tuple(r) for r in topk.top_k(df).collect()) == sorted(want)
