@@ -202,15 +202,20 @@ def near_duplicates(docs: DataFrame, percent: int = 85, n: int = 5, id_col: str
     reachable over links, kept says whether that is the document itself. Documents
     without words (null and empty texts) have n_shingles 0 and are alone; a text of
     fewer than n words is one shingle. Equal texts are linked whatever their number.
-    Rows are kept one for one; other columns are not read. Ids must not repeat. An empty
-    table gives an empty result.
+    Rows are kept one for one. Rows that repeat an id are one document with several texts:
+    each has its own n_shingles, and the links of all of them hold for all. Null ids are
+    alone, with a null component and kept null. Other columns are not read. An empty table gives an empty result.
     """
     signed = materialise(signatures(docs, id_col, text_col, n), "signatures")
-    own = signed.where("n_shingles > 0")
+    own = signed.where("n_shingles > 0 and id is not null")
     classes = own.groupBy("k1", "k2", "n_shingles").agg(F.min("id").alias("rep"))
     member = own.select("id", "k1", "k2", "n_shingles").join(classes, ["k1", "k2", "n_shingles"]).select("id", "rep")
     member = materialise(member, "members")
-    first = materialise(own.join(member.where("id = rep").select("id"), "id", "left_semi").withColumnRenamed("id", "rep"), "classes")
+    # an id with several texts may be in several classes, which are then linked
+    several = member.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("id", "a")
+    same = materialise(member.join(several.hint("merge"), "id").where("a < rep").select("a", F.col("rep").alias("b")).distinct(), "same")
+    first = own.join(member.where("id = rep").select("id"), "id", "left_semi").withColumnRenamed("id", "rep")
+    first = materialise(first.dropDuplicates(["rep", "k1", "k2", "n_shingles"]), "classes")
     buckets = first.select(F.posexplode("bands").alias("at", "band"), "rep")
 
     def placed(comp: DataFrame) -> DataFrame:
@@ -224,7 +229,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, n: int = 5, id_col: str
     # each class with the smallest first class of its first few buckets: one pair a class
     few = buckets.where(F.col("at") < FIRST_BANDS)
     leaders = few.groupBy("band").agg(F.min("rep").alias("a"), F.count("*").alias("n")).where("n > 1").select("band", "a")
-    links = confirmed(few.join(leaders, "band").where("a < rep").groupBy(F.col("rep").alias("b")).agg(F.min("a").alias("a")))
+    links = same.union(confirmed(few.join(leaders, "band").where("a < rep").groupBy(F.col("rep").alias("b")).agg(F.min("a").alias("a"))))
     comp = connected_components(links, "a", "b")
     # each class with its buckets' first classes, where those are in another component
     whole = placed(comp)
@@ -243,6 +248,6 @@ def near_duplicates(docs: DataFrame, percent: int = 85, n: int = 5, id_col: str
                 links = links.union(materialise(_confirmed(likely, docs, id_col, text_col, n, percent), "links"))
                 comp = connected_components(links, "a", "b")
 
-    found = member.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component_id"))
+    found = member.join(comp.withColumnRenamed("node", "rep"), "rep", "left").groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
     out = signed.select("id", "n_shingles").join(found, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))

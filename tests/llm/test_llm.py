@@ -324,6 +324,14 @@ def test_near_duplicate_blocks(spark, monkeypatch):
     test_near_duplicates_match_brute_force(spark)
 
 
+def test_near_duplicates_of_repeated_and_null_ids(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(40)) for k in "abc")
+    rows = [(1, a), (1, a), (2, b), (3, a), (3, a), (4, c), (4, b), (5, c), (6, None), (6, ""), (None, a), (7, "q")]
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+    want = [(1, 36, 1, True)] * 2 + [(2, 36, 2, True)] + [(3, 36, 1, False)] * 2 + [(4, 36, 2, False)] * 2 + [(5, 36, 2, False)] + [(6, 0, 6, True)] * 2 + [(7, 1, 7, True), (None, 36, None, None)]
+    assert got == sorted(want, key=repr)
+
+
 # -- op8 BPE
 
 
