@@ -2,7 +2,8 @@
 
 A text is the vector of the byte 2- and 3-gram counts of its lower-cased letters, hashed into ``DIM``
 buckets, dampened by log(1 + count), weighted by inverse document frequency and scaled to
-length one. Each language has a few centroids from spherical clustering of labelled texts.
+length one. Each language has a few centroids from spherical clustering of labelled texts, made
+in one task for each language; the model grows with the number of languages (80 KB each) only.
 A text takes the language of the most similar centroid; one less similar than nearly all of
 that centroid's own texts is marked rejected.
 """
@@ -15,16 +16,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.samples import fold
+from lodestone.plans.stages import broadcast_if_small
 
 DIM = 4096
 #: Labelled texts of each language to cluster at most, and centroids of each language.
 PER_LANGUAGE, CENTROIDS = 1500, 4
-#: Languages at most; texts of further (rarer) labels are not learned.
-LANGUAGES = 512
 #: Share of a centroid's own texts that its rejection distance leaves out.
 REJECT = 0.001
 #: ASCII other than letters counts as a space, a run of them as one.
@@ -87,7 +87,7 @@ class Model:
 
 
 def _cluster(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spherical k-means from evenly spread starts: unit centroids, and each row's centroid."""
+    """Spherical k-means, started from rows far from each other: unit centroids, and each row's centroid."""
     k = min(k, len(x))
     centers = [x[0]]
     for _ in range(k - 1):  # the row that is farthest from the ones taken
@@ -100,30 +100,40 @@ def _cluster(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(docs: DataFrame, folds: int, part: int) -> Model:
-    """The model from text and lang of documents outside the held-out fold.
+    """The model from text and non-null lang of documents outside the held-out fold.
 
-    Document frequencies are counted over all those texts; centroids come from at most
-    ``PER_LANGUAGE`` texts of each language, picked by a hash of the id.
+    Document frequencies are counted over all those texts that have a letter; centroids come from
+    ``PER_LANGUAGE`` of each language at most, those with the smallest hashes of id and text.
     """
-    own = docs.select("doc_id", "text", "lang").where(~fold("doc_id", folds, part) & F.col("text").isNotNull() & (F.length("text") > 0))
+    own = docs.select("doc_id", "text", "lang").where(~fold("doc_id", folds, part) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     df, n = document_frequency(own)
-    counts = own.where("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
     idf = np.log((1 + n) / (1 + df)).astype(np.float32) + np.float32(0.01)
-    centroids, languages, least = [], [], []
-    for lang, count in counts:
-        share = int(1_000_000 * min(1.0, 1.5 * PER_LANGUAGE / count + 50 / count))
-        pick = own.where((F.col("lang") == lang) & (F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1_000_000)) < share)).select("doc_id", "text")
-        texts = [r.text for r in sorted(pick.limit(2 * PER_LANGUAGE + 100).collect(), key=lambda r: (r.doc_id, r.text))][:PER_LANGUAGE]
-        texts = [t for t in texts if _LETTER.search(t)]
-        if not texts:
-            continue
-        x = _unit(_bags(texts) * idf)
+    place = F.pmod(F.xxhash64("doc_id", "text", F.lit(6)), F.lit(1 << 40))
+    # a share of each language's texts that holds enough of them, then the smallest hashes: no task ranks a whole language
+    share = own.groupBy("lang").agg(F.count("*").alias("n")).select("lang", F.least(F.lit(1.0), (2.0 * PER_LANGUAGE + 200) / F.col("n")).alias("share"))
+    pick = own.withColumn("place", place).join(broadcast_if_small(share), "lang").where(F.col("place") < F.col("share") * (1 << 40))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id"))
+    pick = pick.select("lang", "place", "doc_id", "text").withColumn("rank", rank).where(F.col("rank") <= PER_LANGUAGE)
+
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, len(batch), 256):
+                some = batch.slice(k, 256)
+                x = _unit(_bags(some.column(2).to_pylist()) * idf)
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "rank", "x"])
+
+    def cluster(part_: pa.Table) -> pa.Table:
+        order = np.argsort(part_.column("rank").to_numpy(), kind="stable")
+        x = np.stack([np.frombuffer(r.as_buffer(), np.float32) for r in part_.column("x")])[order]
         c, at = _cluster(x, CENTROIDS)
-        own_near = (x * c[at]).sum(1)
-        centroids.append(c)
-        languages += [lang] * len(c)
-        least += [np.quantile(own_near[at == j], REJECT) if (at == j).any() else 0.0 for j in range(len(c))]
-    return Model(idf, np.concatenate(centroids) if centroids else np.zeros((0, DIM)), languages, np.array(least))
+        near = (x * c[at]).sum(1)
+        least = [float(np.quantile(near[at == j], REJECT)) if (at == j).any() else 0.0 for j in range(len(c))]
+        return pa.table({"lang": pa.array([part_.column("lang")[0].as_py()] * len(c), pa.string()), "j": pa.array(range(len(c)), pa.int32()), "c": pa.array([r.astype(np.float32).tobytes() for r in c], pa.binary()), "least": pa.array(least)})
+
+    found = pick.select("lang", "rank", "text").mapInArrow(bags, "lang string, rank int, x binary").groupBy("lang").applyInArrow(cluster, "lang string, j int, c binary, least double")
+    rows = sorted(found.collect(), key=lambda r: (r.lang, r.j))  # CENTROIDS rows for each language
+    centroids = np.stack([np.frombuffer(r.c, np.float32) for r in rows]) if rows else np.zeros((0, DIM), np.float32)
+    return Model(idf, centroids, [r.lang for r in rows], np.array([r.least for r in rows]))
 
 
 def identify(docs: DataFrame, folds: int = 4, part: int = 2) -> DataFrame:

@@ -5,7 +5,12 @@ hidden. With the estimated class prior p, the risk of a scorer f is
 ``p * E_positive[loss(f)] + max(0, E_unlabelled[loss(-f)] - p * E_positive[loss(-f)])``;
 where the bracket is negative, the step goes the other way, as published for this
 estimator. f is a small network over surface statistics of the whole text, so its logistic
-value is comparable between texts of any length.
+value is comparable between texts of any length. The prior is estimated without negatives: a
+network that tells positives from unlabelled text is fitted on half of both; on the other half,
+the share of unlabelled documents above a threshold over that of positives is at least the
+prior, and near it where hardly any but positives are; the least such quotient is taken.
+
+A text without words has nothing to judge; its score is 0.
 """
 
 from __future__ import annotations
@@ -21,8 +26,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.samples import fold, labelled
 from lodestone.llm.tokens import slices, words
 
-#: Trusted positives and labelled documents for the prior (each), and unlabelled documents
-#: to fit on at most.
+#: Trusted positives and unlabelled documents to fit on at most.
 POSITIVES, UNLABELLED = 8_000, 16_000
 HIDDEN, STEPS, RATE = 16, 1500, 0.02
 
@@ -102,11 +106,26 @@ class Model:
     def score(self, x: np.ndarray) -> np.ndarray:
         z = np.clip((x - self.mean) / self.scale, -6, 6)
         f = np.tanh(z @ self.w1 + self.b1) @ self.w2 + self.b2
-        return 1 / (1 + np.exp(-np.clip(f.astype(np.float64), -30, 30)))
+        return np.where(x[:, 0] > 0, 1 / (1 + np.exp(-np.clip(f.astype(np.float64), -30, 30))), 0.0)
+
+
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The estimated share of positives among ``unlabelled``."""
+    rng = np.random.default_rng(1)
+    p, u = rng.permutation(len(positive)), rng.permutation(len(unlabelled))
+    model = fit(positive[p[::2]], unlabelled[u[::2]], 0.5, tell=True)
+    a, b = model.score(positive[p[1::2]]), model.score(unlabelled[u[1::2]])
+    if len(a) < 10 or len(b) < 10:
+        return 0.5
+    cuts = np.quantile(a, np.linspace(0.05, 0.7, 14))
+    return float(np.clip(min((b >= t).mean() / (a >= t).mean() for t in cuts), 0.01, 0.99))
+
 
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, tell: bool = False) -> Model:
+    """Minimise the non-negative unbiased risk with logistic loss by Adam over all rows.
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
-    """Minimise the non-negative unbiased risk with logistic loss by Adam over all rows."""
+    ``tell``: minimise the loss of telling positives from unlabelled rows instead.
+    """
     rng = np.random.default_rng(0)
     both = np.vstack([positive, unlabelled]).astype(np.float64)
     mean, scale = both.mean(0), both.std(0) + 1e-6
@@ -126,7 +145,9 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
         fx, fz = ax @ theta["w2"] + theta["b2"], az @ theta["w2"] + theta["b2"]
         negative = np.logaddexp(0, fz).mean() - prior * np.logaddexp(0, fx).mean()
         pos_grad, neg_x, neg_z = -prior * sigmoid(-fx) / batch, -prior * sigmoid(fx) / batch, sigmoid(fz) / batch
-        if negative >= 0:
+        if tell:
+            gx, gz = pos_grad, neg_z * (1 - prior)
+        elif negative >= 0:
             gx, gz = pos_grad + neg_x, neg_z
         else:  # the step that raises the negative part again
             gx, gz = -neg_x, -neg_z
@@ -157,16 +178,8 @@ def _matrix(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int, part: int) -> Model | None:
-    """The model from a bounded sample outside the held-out fold; None without positives.
-
-    The prior is the share of good documents among all labelled ones outside the fold.
-    """
+    """The model from a bounded sample outside the held-out fold; None without positives."""
     held = fold("id", folds, part)
-    marks = labels.select(F.col("doc_id").alias("id"), "quality").where(~held & F.col("quality").isin(0, 1))
-    n, good = marks.agg(F.count("*"), F.sum("quality")).first()
-    if not good:
-        return None
-    prior = min(0.99, good / n)
     positive, _ = _matrix(labelled(docs, labels.where("quality = 1"), "quality", POSITIVES, held))
     pool = docs.select(F.col("doc_id").alias("id"), "text").where(~held)
     share = min(1.0, 1.25 * UNLABELLED / max(1, pool.count()))
@@ -174,14 +187,14 @@ def train(docs: DataFrame, labels: DataFrame, folds: int, part: int) -> Model |
     unlabelled, _ = _matrix(pick)
     if not len(positive) or not len(unlabelled):
         return None
-    return fit(positive, unlabelled, prior)
+    return fit(positive, unlabelled, class_prior(positive, unlabelled))
 
 
 def classify(docs: DataFrame, labels: DataFrame, folds: int = 4, part: int = 2, least: float = 0.7) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every document, from its whole text.
 
-    A null text counts as empty. Labels outside {0, 1} and null labels are left out;
-    without a trusted positive every score is 0.5. Repeated rows are scored alike.
+    A null text counts as empty; a text without words scores 0. Labels other than 1 are not
+    used; without a trusted positive every score is 0.5. Repeated rows are scored alike.
     """
     model = train(docs, labels, folds, part)
     id_type = docs.schema["doc_id"].dataType.simpleString()

@@ -278,6 +278,35 @@ def test_language_held_out_and_edges(spark, docs):
     assert language.identify(docs.limit(0)).count() == 0
 
 
+def test_language_learns_every_label_and_scores_as_brute_force(spark, monkeypatch):
+    rng = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = []
+    for k in range(600):  # more languages than any bound was, each of two letters of its own
+        a, b = letters[k % 26], letters[k // 26]
+        rows += [(len(rows) + i, " ".join((a + b) * rng.randrange(1, 4) + a for _ in range(30)), f"l{k:03}") for i in range(3)]
+    odd = [(10**6 + i, t, "l000") for i, t in enumerate([None, "", "12 3", "ab " * 40_000, rows[0][1], rows[0][1]])]
+    df = spark.createDataFrame(rows + odd + [(10**7, rows[3][1], None)], "doc_id long, text string, lang string")
+    model = language.train(df, 4, 2)
+    assert {lang for i, _, lang in rows if zlib.crc32(str(i).encode()) % 4 != 2} == set(model.languages)
+    got = {r.doc_id: r for r in language.identify(df).collect()}
+    assert [got[10**6 + i].lang_pred for i in range(3)] == ["und"] * 3
+    for i, text, _ in rows[:200:7] + odd[3:]:
+        count = Counter()
+        low = "".join(c if c.isalpha() else " " for c in f" {text.lower()} ")
+        low = " ".join(low.split()).join("  ").encode()
+        for n, seed in ((2, 0x9E3779B1), (3, 0x85EBCA6B)):
+            for j in range(len(low) - n + 1):
+                count[((int.from_bytes(low[j : j + n], "big") * seed) % (1 << 32)) >> 20] += 1
+        x = np.zeros(language.DIM)
+        for bucket, c in count.items():
+            x[bucket] = np.log1p(c) * model.idf[bucket]
+        near = model.centroids @ x / np.linalg.norm(x)
+        assert got[i].score == pytest.approx(near.max(), abs=1e-4)
+        assert near.max() == pytest.approx(near[[k for k, x in enumerate(model.languages) if x == got[i].lang_pred]].max(), abs=1e-4)
+    assert got[10**6 + 4].score == got[10**6 + 5].score == got[0].score
+
+
 # -- op7 near-duplicates
 
 
