@@ -16,6 +16,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.plans.stages import broadcast_if_small
+
 #: Known licence statements (fixed values): identifier, text. The SQL knows these.
 STATEMENTS = [
     ("MIT", "Released under the MIT License."),
@@ -142,32 +144,34 @@ def normal_form(text: Column) -> Column:
     return F.trim(F.regexp_replace(low, r"[^\p{L}\p{N}]+", " "))
 
 
-def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
+def known_digests(spark: SparkSession, known: DataFrame | list[tuple[str, str]] | None = None) -> DataFrame:
     """``known_digest, known_id`` of the table of known texts, one row for each digest.
 
-    The digests are fetched first, so that plans do not carry the texts.
+    Several licences of one digest give the first by name. The digests of this module's own
+    table are fetched first, so that plans do not carry the texts; a DataFrame of ``id, text``
+    stays where it is and is broadcast if its counted rows allow it.
     """
-    rows = spark.createDataFrame(KNOWN if known is None else known, "id string, text string")
-    found = rows.select(F.sha2(normal_form(F.col("text")), 256).alias("digest"), "id").groupBy("digest").agg(F.min("id").alias("id")).collect()
-    rows = [F.struct(F.lit(r.digest).alias("known_digest"), F.lit(r.id).alias("known_id")) for r in found]
-    return spark.range(1).select(F.inline(F.array(*rows)))
+    rows = known if isinstance(known, DataFrame) else spark.createDataFrame(KNOWN if known is None else known, "id string, text string")
+    rows = rows.where("text is not null").select(F.sha2(normal_form(F.col("text")), 256).alias("known_digest"), "id").groupBy("known_digest").agg(F.min("id").alias("known_id"))
+    if isinstance(known, DataFrame):
+        return broadcast_if_small(rows)
+    found = [F.struct(F.lit(r.known_digest).alias("known_digest"), F.lit(r.known_id).alias("known_id")) for r in rows.collect()]
+    return F.broadcast(spark.range(1).select(F.inline(F.array(*found))))
 
 
-def scan(docs: DataFrame, known: list[tuple[str, str]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, known: DataFrame | list[tuple[str, str]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, digest, license_id, line_licenses`` for every document.
 
     digest is that of the whole text's normal form, license_id the licence whose text the
-    whole document is (null if none), line_licenses the sorted licences of which some line
-    of it is a statement (joined by commas, empty if none). Only lines that hold "licen",
-    "permission", "redistribution" or "public domain" in any case are looked up; no known text is without.
+    whole document is (null if none), line_licenses the sorted licences that some line
+    of it is the text of (joined by commas, empty if none). Every line is looked up.
     Null texts have a null digest and no licences; empty texts match none. Rows are kept one
     for one; ids that repeat share their lines' licences; other columns are not read.
     """
-    table = F.broadcast(known_digests(docs.sparkSession, known))  # as many rows as the module's table at most
+    table = known_digests(docs.sparkSession, known)
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     whole = own.select("id", F.sha2(normal_form(F.col("text")), 256).alias("digest")).join(table, F.expr("digest = known_digest"), "left")
-    low = F.lower("line")
-    lines = own.select("id", F.explode(F.split("text", "\n")).alias("line")).where(low.contains("licen") | low.contains("permission") | low.contains("redistribution") | low.contains("public domain"))
+    lines = own.select("id", F.explode(F.split("text", "\n")).alias("line"))
     found = lines.select("id", F.sha2(normal_form(F.col("line")), 256).alias("line_digest")).join(table, F.expr("line_digest = known_digest"))
     found = found.groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("known_id")), ",").alias("line_licenses"))
     return whole.join(found, "id", "left").select(

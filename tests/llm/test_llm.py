@@ -261,8 +261,17 @@ def test_licenses_full_texts(spark):
     # no text without its end
     cut = licenses.scan(table(spark, [text("MPL-2.0")[:-900], mit[:-40]])).collect()
     assert [r.license_id for r in cut] == [None, None]
-    # every known text can pass the filter before lines are looked up
-    assert all(any(k in t.lower() for k in ("licen", "permission", "redistribution", "public domain")) for _, t in licenses.KNOWN)
+    # a caller's own table, also of texts without any usual word, and equal texts of two licences
+    known = spark.createDataFrame([("Own-2", "Use it, or not."), ("Own-1", "use it or NOT"), ("Own-3", None)], "id string, text string")
+    got = licenses.scan(table(spark, ["Use it or not", "x\nuse it; or not\ny"]), known).orderBy("doc_id").collect()
+    assert [(r.license_id, r.line_licenses) for r in got] == [("Own-1", "Own-1"), (None, "Own-1")]
+
+
+def test_licenses_whole_texts_are_joined_on_the_given_tables(spark, docs):
+    # the given documents hold licence lines only; each such line as a document of its own is found whole
+    lines = docs.selectExpr("explode(split(text, '\n')) as text").selectExpr("monotonically_increasing_id() as doc_id", "text")
+    got = licenses.scan(lines).where("license_id is not null")
+    assert got.count() > 5 and got.where("license_id <> line_licenses").count() == 0
 
 
 # -- op6 languages
