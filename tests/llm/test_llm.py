@@ -271,7 +271,7 @@ def test_licenses_whole_texts_are_joined_on_the_given_tables(spark, docs):
     # the given documents hold licence lines only; each such line as a document of its own is found whole
     lines = docs.selectExpr("explode(split(text, '\n')) as text").selectExpr("monotonically_increasing_id() as doc_id", "text")
     got = licenses.scan(lines).where("license_id is not null")
-    assert got.count() > 5 and got.where("license_id <> line_licenses").count() == 0
+    assert got.count() >= 3 and got.where("license_id <> line_licenses").count() == 0
 
 
 # -- op6 languages
