@@ -2,17 +2,17 @@
 
 A window is one word, lower-cased and written twice, so that the block's fixed cost does
 not hide how well a dictionary covers it. Its distance is its compressed length under the
-ordinary dictionary less that under the toxic one. Windows at or above calibrated thresholds,
-in bytes and as a share of what could be saved at all, are toxic, and a document's score is the smoothed share of toxic documents
-among calibration documents with as many such windows.
+ordinary dictionary less that under the toxic one. A document's windows are counted at each of
+several thresholds, in bytes and as a share of what could be saved at all; the weights of these counts and of
+their shares of the document's words are calibrated by a logistic regression, whose value is the score.
 
 The toxic dictionary is trained on those parts of words of toxic documents whose grams
 stand in toxic documents far more often than their share (likelihood ratio over different
 contexts, so that copies of one text count once), because most of a toxic document's text
 is ordinary; the ordinary dictionary is trained on windows of ordinary documents and is
-the first part of the content that toxic text is compared with. Half of the bounded sample trains the dictionaries, the other half sets
-threshold and shares. A sample too small for the dictionary trainer gives dictionaries of
-plain content; without any toxic window every score is the toxic share.
+the first part of the content that toxic text is compared with. Half of the bounded sample trains the dictionaries, the other half
+calibrates the thresholds. A sample too small for the dictionary trainer gives dictionaries of
+plain content; without any toxic part every score is the toxic share.
 """
 
 from __future__ import annotations
@@ -40,18 +40,35 @@ RATIO = 24.0
 LIFT = 8.0
 #: Windows of ordinary text that train the ordinary dictionary at most.
 ORDINARY_WINDOWS = 60_000
-#: Numbers of toxic windows that are told apart: 0, 1, ..., this many or more.
-LEVELS = 4
+#: Thresholds at which windows are counted: bytes, and least share of what could be saved.
+THRESHOLDS = [(k, 0.0) for k in range(1, 9)] + [(2, 0.5), (2, 0.6), (2, 0.8)]
+#: The threshold of the windows that are reported as toxic.
+REPORTED = (2, 0.5)
+#: Weight of the squares in the calibration.
+RIDGE = 1.0
 
 
 @dataclass
 class Model:
     ordinary: bytes
     toxic: bytes
-    least: int
-    ratio: float
     floor: int
-    shares: list[float]
+    prior: float
+    mean: np.ndarray | None = None
+    scale: np.ndarray | None = None
+    weights: np.ndarray | None = None
+
+    def score(self, counts: np.ndarray) -> np.ndarray:
+        """Scores from the texts' counts (a column for each threshold, then words)."""
+        if self.weights is None:
+            return np.full(len(counts), self.prior)
+        z = (_features(counts) - self.mean) / self.scale @ self.weights[:-1] + self.weights[-1]
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def _features(counts: np.ndarray) -> np.ndarray:
+    n, words_ = counts[:, :-1].astype(np.float64), counts[:, -1:]
+    return np.hstack([np.log1p(n), np.sqrt(n / np.maximum(words_, 1)), np.log1p(words_)])
 
 
 def _window(word: bytes) -> bytes:
@@ -140,19 +157,20 @@ def _toxic_parts(texts: list[str], grams: np.ndarray) -> list[bytes]:
     return out
 
 
-def _counts(model: Model, column: pa.Array, distances: bool = False) -> Iterator[tuple[int, int, np.ndarray]]:
-    """Rows from, to, and for each text its number of toxic windows (or its words' two lengths)."""
+def _counts(model: Model, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Rows from, to, and for each text its numbers of windows at each threshold, and of words."""
     for lo, hi, data, offsets in slices(column):
         s, e, h, first = words(data, offsets, lower=True)
         _, at, back = np.unique(h, return_index=True, return_inverse=True)
         text = LOWER[data].tobytes()
         windows = [_window(text[i:j]) for i, j in zip(s[at].tolist(), e[at].tolist(), strict=True)]
-        plain, toxic = (_lengths(d, windows)[back] for d in (model.ordinary, model.toxic))
-        if distances:
-            yield lo, hi, [(plain[a:b], toxic[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
-        else:
-            total = np.concatenate(([0], np.cumsum(_flags(plain, toxic, model.least, model.ratio, model.floor))))
-            yield lo, hi, total[first[1:]] - total[first[:-1]]
+        plain, toxic = (_lengths(d, windows) for d in (model.ordinary, model.toxic))
+        out = np.zeros((hi - lo, len(THRESHOLDS) + 1), np.int64)
+        for k, t in enumerate(THRESHOLDS):
+            total = np.concatenate(([0], np.cumsum(_flags(plain, toxic, *t, model.floor)[back])))
+            out[:, k] = total[first[1:]] - total[first[:-1]]
+        out[:, -1] = np.diff(first)
+        yield lo, hi, out
 
 
 def _flags(plain: np.ndarray, toxic: np.ndarray, least: int, ratio: float, floor: int) -> np.ndarray:
@@ -170,44 +188,38 @@ def fit(sample: DataFrame) -> Model:
     toxic, ordinary = (rows.text[half & (rows.label == y)].tolist() for y in (1, 0))
     marked = _toxic_parts(toxic, _toxic_grams(toxic, ordinary))
     if not marked or half.all():
-        return Model(b" " * 8, b" " * 8, 1 << 30, 0.0, 0, [prior] * (LEVELS + 1))
+        return Model(b" " * 8, b" " * 8, 0, prior)
     plain = [_window(w) for x in ordinary for w in sorted(set(x.encode().lower().split()))]
     step = max(1, len(plain) // ORDINARY_WINDOWS)
     common = _train(plain[::step])
     # toxic text is ordinary text with toxic parts: what is common to both cancels out
-    model = Model(common, common + _train(marked), 0, 0.0, 0, [])
+    model = Model(common, common + _train(marked), 0, prior)
+    model.floor = int(min(_lengths(d, plain[::step] + marked).min() for d in (model.ordinary, model.toxic)))
     rest = rows[~half]
-    far = [d for _, _, x in _counts(model, pa.array(rest.text), distances=True) for d in x]
-    doc = np.repeat(np.arange(len(far)), [len(a) for a, _ in far])
-    plain, toxic = (np.concatenate([d[k] for d in far]) for k in (0, 1))
-    y = rest.label.to_numpy()
-    model.floor = int(min(plain.min(), toxic.min())) if len(plain) else 0
-    best = None
-    for least in range(1, 13):
-        for ratio in (0.0, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0):
-            n = np.minimum(np.bincount(doc, _flags(plain, toxic, least, ratio, model.floor), len(far)).astype(int), LEVELS)
-            k, p = np.bincount(n, minlength=LEVELS + 1), np.bincount(n, y, minlength=LEVELS + 1)
-            share = (p + prior) / (k + 1)
-            fit_ = float((p * np.log(share) + (k - p) * np.log(1 - share)).sum())
-            if best is None or fit_ > best[0]:
-                best = (fit_, least, ratio, np.maximum.accumulate(share).tolist())
-    model.least, model.ratio, model.shares = best[1:]
+    x, y = _features(np.concatenate([n for _, _, n in _counts(model, pa.array(rest.text))])), rest.label.to_numpy()
+    model.mean, model.scale = x.mean(0), x.std(0) + 1e-9
+    z = np.column_stack([(x - model.mean) / model.scale, np.ones(len(x))])
+    w, ridge = np.zeros(z.shape[1]), np.diag(np.append(np.full(x.shape[1], RIDGE), 1e-6))
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        w += np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + ridge, z.T @ (y - p) - ridge @ w)
+    model.weights = w
     return model
 
 
 def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, toxic_windows, score, predicted`` for every document, from its whole text.
 
-    A null text counts as empty: no window, the score of documents without toxic ones.
+    A null text counts as empty: it has no window, and the score of a document without words.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shares = np.array(model.shares)
+        at = THRESHOLDS.index(REPORTED)
         for batch in batches:
             for lo, hi, n in _counts(model, batch.column(1)):
-                score = shares[np.minimum(n, LEVELS)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["id", "toxic_windows", "score", "predicted"])
+                score = model.score(n)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n[:, at], pa.int64()), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["id", "toxic_windows", "score", "predicted"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"id {id_type}, toxic_windows long, score double, predicted int").withColumnRenamed("id", id_col)
 
