@@ -15,7 +15,10 @@ removed if that interval holds an earlier start.
 
 Anchors that occur very often (a passage that a third of all documents share) would put all
 text around that passage into one shard; their windows are routed one by one, by the hash
-of the whole window. A false match needs equal 64-bit hashes in each of the four symbols.
+of the whole window. So that one window's places do not all meet in one shard either, they are dealt
+over several first; each shard's index finds the first of its places, and only these go on to the
+next round, until one shard holds a window's places. A false match needs equal 64-bit hashes in each
+of the four symbols.
 """
 
 from __future__ import annotations
@@ -207,25 +210,44 @@ def repeated_spans(docs: DataFrame, packed: DataFrame) -> DataFrame:
                 own = open_.decompress(blob.as_buffer()).split()
                 for p in parts:
                     if p["seen"] < HOT:
-                        out.append((p["anchor"], key, p["start"], b" ".join(own[p["start"] : p["start"] + p["n"] + WINDOW - 1])))
+                        out.append((p["anchor"], key, p["start"], b" ".join(own[p["start"] : p["start"] + p["n"] + WINDOW - 1]), 1))
                     else:
                         for i in range(p["start"], p["start"] + p["n"]):
                             window = b" ".join(own[i : i + WINDOW])
-                            out.append((int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little", signed=True), key, i, window))
-            route, ids, start, text = zip(*out, strict=True) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(route, pa.int64()), pa.array(ids, batch.schema.field(0).type), pa.array(start, pa.int32()), pa.array(text, pa.binary()).cast(pa.string())], ["route", "id", "start", "segment"])
+                            out.append((int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little", signed=True), key, i, window, 1 + p["seen"] // HOT))
+            route, ids, start, text, deal = zip(*out, strict=True) if out else ((), (), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(route, pa.int64()), pa.array(ids, batch.schema.field(0).type), pa.array(start, pa.int32()), pa.array(text, pa.binary()).cast(pa.string()), pa.array(deal, pa.int64())], ["route", "id", "start", "segment", "deal"])
 
     wanted = firsts.groupBy("id").agg(F.collect_list(F.struct("start", "n", "anchor", "seen")).alias("parts"))
-    segments = packed.join(wanted.hint("merge"), "id").select("id", "packed", "parts").mapInArrow(cut, f"route long, id {kind}, start int, segment string")
+    segments = packed.join(wanted.hint("merge"), "id").select("id", "packed", "parts").mapInArrow(cut, f"route long, id {kind}, start int, segment string, deal long")
     segments = materialise(segments, "cut")
-    shards = max(1, -(-segments.count() // SHARD))
+
+    def sharded(rows: DataFrame) -> DataFrame:
+        shards = max(1, -(-rows.count() // SHARD))
+        return rows.withColumn("shard", F.pmod(F.xxhash64("route", F.pmod(F.xxhash64("id", "start"), "deal")), F.lit(shards))).groupBy("shard")
+
+    def reduce(table: pa.Table) -> pa.Table:
+        gone = np.zeros(len(table), bool)
+        gone[_repeats(table)[0]] = True
+        return table.select(["route", "id", "start", "segment", "deal"]).append_column("gone", pa.array(gone))
+
+    # windows that are dealt over several shards: only the first of each shard goes on
+    found, hot = [], segments.where("deal > 1")
+    segments = segments.where("deal = 1")
+    while not hot.isEmpty():
+        seen = materialise(sharded(hot).applyInArrow(reduce, f"route long, id {kind}, start int, segment string, deal long, gone boolean"), "round")
+        found.append(seen.where("gone").select("id", F.col("start").cast("long").alias("first"), (F.col("start") + WINDOW - 1).cast("long").alias("last")))
+        left = seen.where("not gone").drop("gone").withColumn("deal", F.when(F.col("deal") <= HOT, 1).otherwise(F.floor(F.col("deal") / HOT) + 1).cast("long"))
+        segments, hot = segments.unionByName(left.where("deal = 1")), left.where("deal > 1")
 
     def search(table: pa.Table) -> pa.Table:
         row, first, last = _repeats(table)
         start = table.column("start").to_numpy()[row].astype(np.int64)
         return pa.table({"id": table.column("id").take(pa.array(row)), "first": pa.array(start + first), "last": pa.array(start + last + WINDOW - 1)})
 
-    inside = segments.withColumn("shard", F.pmod(F.xxhash64("route"), F.lit(shards))).groupBy("shard").applyInArrow(search, f"id {kind}, first long, last long")
+    inside = sharded(segments).applyInArrow(search, f"id {kind}, first long, last long")
+    for part in found:
+        inside = inside.union(part)
     one = firsts.select("anchor", "content", "n", F.col("id").alias("one_id"), F.col("start").alias("one_start"))
     copies = again.join(one.hint("merge"), ["anchor", "content", "n"]).where("id <> one_id or start <> one_start")
     return inside.union(copies.select("id", F.col("start").cast("long"), (F.col("start") + F.col("n") + WINDOW - 2).cast("long")))
@@ -237,8 +259,8 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Words are runs of bytes without ASCII white space, unchanged. A word goes if a window of
     20 words that covers it has a word sequence that also starts earlier: in a document with
     a smaller id, or earlier in the same one. Windows are judged on the input. Null and empty
-    texts have no words; a text of fewer than 20 words stays as it is. Ids must not repeat;
-    other columns are not read; an empty table gives an empty result.
+    texts have no words; a text of fewer than 20 words stays as it is. Rows that repeat an id
+    with its text are cut alike and do not repeat each other; other columns are not read; an empty table gives an empty result.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))

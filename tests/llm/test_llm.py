@@ -135,6 +135,12 @@ def test_substrings_match_brute_force(spark, monkeypatch, hot):
     assert got == brute_removed(rows)
 
 
+def test_substrings_of_repeated_rows(spark):
+    a = " ".join(f"w{i}" for i in range(30))
+    rows = spark.createDataFrame([(1, a), (1, a), (2, a), (2, a), (3, "x")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_removed) for r in substrings.kept_digests(rows).collect()) == [(1, 0), (1, 0), (2, 30), (2, 30), (3, 0)]
+
+
 def test_substrings_empty_table(spark):
     assert substrings.kept_digests(table(spark, ODD).limit(0)).count() == 0
 
