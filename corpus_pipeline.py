@@ -16,11 +16,12 @@ from lodestone.plans.stages import materialise, table
 
 
 #: Rows of an Arrow batch: texts are long, and two batches of each task are held at a time.
-BATCH_ROWS = 1000
+BATCHES, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
 
 def _small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    """Set for the session: a stage's tasks run only when its caller writes it. :func:`run` puts it back."""
+    spark.conf.set(BATCHES, BATCH_ROWS)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,10 +44,13 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     follows; any other stays as it is.
     """
     _small_batches(spark)
-    cut = substrings.drop_repeats(docs).where("n_removed > 0").select("doc_id", "kept")
-    out = docs.join(materialise(cut, "cut").hint("merge"), "doc_id", "left").where("kept is null or kept <> ''")
-    out = out.withColumn("n_chars", F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.length("kept")).cast(docs.schema["n_chars"].dataType))
-    return out.withColumn("text", F.coalesce("kept", "text")).select(docs.columns)
+    left = "left"
+    while left in docs.columns:  # documents may have any further columns
+        left += "_"
+    cut = substrings.drop_repeats(docs).where("n_removed > 0").select("doc_id", F.col("kept").alias(left)).distinct()
+    out = docs.join(materialise(cut, "cut").hint("merge"), "doc_id", "left").where(F.col(left).isNull() | (F.col(left) != ""))
+    out = out.withColumn("n_chars", F.when(F.col(left).isNull(), F.col("n_chars")).otherwise(F.length(left)).cast(docs.schema["n_chars"].dataType))
+    return out.withColumn("text", F.coalesce(left, "text")).select(docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,8 +78,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, one after the other, over the table ``documents``."""
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+    """All stages, one after the other, over the table ``documents``; the session's setting is put back."""
+    docs, before = table(spark, sf_dir, "documents"), spark.conf.get(BATCHES)
+    try:
+        for name, stage in STAGES:
+            docs = materialise(stage(spark, docs, sf_dir), name)
+    finally:
+        spark.conf.set(BATCHES, before)
     return docs
