@@ -6,7 +6,7 @@ hidden. With the estimated class prior p, the risk of a scorer f is
 where the bracket is negative, the step goes the other way, as published for this
 estimator. f is a small network over surface statistics of the whole text, so its logistic
 value is comparable between texts of any length. The prior is estimated without negatives: a
-network that tells positives from unlabelled text is fitted on half of both; on the other half,
+network that tells positives from unlabelled text is fitted on each half of both; on the other half,
 the share of unlabelled documents above a threshold over that of positives is at least the
 prior, and near it where hardly any but positives are; the least such quotient is taken.
 
@@ -29,6 +29,8 @@ from lodestone.llm.tokens import slices, words
 #: Trusted positives and unlabelled documents to fit on at most.
 POSITIVES, UNLABELLED = 8_000, 16_000
 HIDDEN, STEPS, RATE = 16, 1500, 0.02
+#: Steps of the network that tells positives from unlabelled rows.
+TELL_STEPS = 60
 
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
@@ -113,12 +115,14 @@ def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     """The estimated share of positives among ``unlabelled``."""
     rng = np.random.default_rng(1)
     p, u = rng.permutation(len(positive)), rng.permutation(len(unlabelled))
-    model = fit(positive[p[::2]], unlabelled[u[::2]], 0.5, tell=True)
-    a, b = model.score(positive[p[1::2]]), model.score(unlabelled[u[1::2]])
-    if len(a) < 10 or len(b) < 10:
+    if len(p) < 4 or len(u) < 4:
         return 0.5
-    cuts = np.quantile(a, np.linspace(0.05, 0.7, 14))
-    return float(np.clip(min((b >= t).mean() / (a >= t).mean() for t in cuts), 0.01, 0.99))
+    found = []
+    for k in (0, 1):
+        model = fit(positive[p[k::2]], unlabelled[u[k::2]], 0.5, tell=True)
+        a, b = model.score(positive[p[1 - k :: 2]]), model.score(unlabelled[u[1 - k :: 2]])
+        found.append([(b >= t).mean() / (a >= t).mean() for t in np.quantile(a, np.linspace(0.02, 0.5, 25))])
+    return float(np.clip(np.mean(found, axis=0).min(), 0.01, 0.99))
 
 
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, tell: bool = False) -> Model:
@@ -139,7 +143,8 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, tell: bool =
         return {"w1": x.T @ d, "b1": d.sum(0), "w2": a.T @ g, "b2": np.array([g.sum()])}
 
     batch = 2048
-    for step in range(1, STEPS + 1):
+    steps = TELL_STEPS if tell else STEPS
+    for step in range(1, steps + 1):
         x, z = p[rng.integers(0, len(p), batch)], u[rng.integers(0, len(u), batch)]
         ax, az = np.tanh(x @ theta["w1"] + theta["b1"]), np.tanh(z @ theta["w1"] + theta["b1"])
         fx, fz = ax @ theta["w2"] + theta["b2"], az @ theta["w2"] + theta["b2"]
@@ -156,7 +161,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, tell: bool =
             g = one[k] + two[k] + 1e-4 * theta[k]
             m[k] = 0.9 * m[k] + 0.1 * g
             v[k] = 0.999 * v[k] + 0.001 * g * g
-            rate = RATE * (1 - step / (STEPS + 1))
+            rate = RATE * (1 - step / (steps + 1))
             theta[k] = theta[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
     return Model(mean, scale, theta["w1"], theta["b1"], theta["w2"], float(theta["b2"][0]), prior)
 

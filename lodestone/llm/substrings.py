@@ -168,7 +168,11 @@ def _repeats(shard: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return tuple(np.zeros(0, np.int64) for _ in range(3))
     when = np.full(len(string), len(string), np.int64)
     ids, starts = shard.column("id").to_numpy(), shard.column("start").to_numpy().astype(np.int64)
-    when[at[window[np.lexsort((starts[seg[window]] + place[window], ids[seg[window]]))]]] = np.arange(len(window))
+    of, pos = ids[seg[window]], starts[seg[window]] + place[window]
+    order = np.lexsort((pos, of))
+    # rows that are given twice have one place
+    new = (of[order][1:] != of[order][:-1]) | (pos[order][1:] != pos[order][:-1])
+    when[at[window[order]]] = np.concatenate(([0], np.cumsum(new)))
     ranges, back = np.unique(np.stack([lo[again], hi[again]]), axis=1, return_inverse=True)
     ordered = np.append(when[index.suffixes], len(string))
     earliest = np.minimum.reduceat(ordered, ranges.T.reshape(-1))[::2]

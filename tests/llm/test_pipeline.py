@@ -32,3 +32,27 @@ def test_stages(spark):
     assert set(seen["decontamination"]) == set(cut) - leaks
     assert set(seen["bpe"]) == set(seen["decontamination"])
     assert corpus_pipeline.run(spark, SF).count() == len(seen["bpe"])
+
+
+def test_stages_with_odd_rows(spark, tmp_path):
+    """Nulls, empty and very long texts, repeated rows, clashing columns and empty tables."""
+    d = str(tmp_path)
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(f"{d}/{name}.parquet")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    first = docs.where("length(text) > 300 and lang is not null").orderBy("doc_id").limit(5).collect()
+    odd = [(10**6 + i, t, None, None, None) for i, t in enumerate([None, "", "   ", first[0].text, first[0].text, " ".join([first[1].text] * 60)])]
+    odd += [tuple(first[0]), tuple(first[0])]
+    own = docs.limit(40).union(spark.createDataFrame(odd, docs.schema)).selectExpr("*", "'k' as kept", "1 as left", "0.5D as score", "true as gone")
+    own.write.parquet(f"{d}/documents.parquet")
+    before = spark.conf.get(corpus_pipeline.BATCHES)
+    got = [r.doc_id for r in corpus_pipeline.run(spark, d).collect()]
+    assert got and spark.conf.get(corpus_pipeline.BATCHES) == before
+    assert not {10**6 + i for i in range(5)} & set(got)  # without words, or a copy of an earlier document
+    rows = own
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        rows = corpus_pipeline.materialise(stage(spark, rows, d), name)
+        assert rows.columns == own.columns
+    none = own.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert corpus_pipeline.materialise(stage(spark, none, d), name).count() == 0
