@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,7 +89,7 @@ def shell_counts(files: DataFrame) -> DataFrame:
 def snippets(files: DataFrame, patterns: list[str], around: int = 3) -> DataFrame:
     """``path, n, snippet``: each line that a pattern matches with the lines around it."""
     x = file_lines(files)
-    hit = x.where(" or ".join(f"line rlike '{p}'" for p in patterns)).select("path", F.col("n").alias("hit"))
+    hit = x.where(reduce(lambda a, p: a | F.col("line").rlike(p), patterns, F.lit(False))).select("path", F.col("n").alias("hit"))
     near = hit.select("path", "hit", F.explode(F.sequence(F.col("hit") - around, F.col("hit") + around)).alias("n")).join(x, ["path", "n"])
     return near.groupBy("path", F.col("hit").alias("n")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda r: r["line"]), "\n").alias("snippet"))
 
@@ -109,20 +111,23 @@ def denoise(log_lines: DataFrame) -> DataFrame:
     return log_lines.withColumn("t", inside).where(~F.col("t") & ~F.col("line").rlike(r"^\s*(?:export\s+)?[A-Z_][A-Z0-9_]*=")).drop("t")
 
 
+def _signal(size: int, align: int) -> Column:
+    """The last bytes of ``text`` from a line's begin."""
+    n = F.octet_length("text")
+    cut = F.decode(F.when(n > size, F.expr(f"substring(encode(text, 'UTF-8'), -{size}, {size})")).otherwise(F.encode("text", "UTF-8")), "UTF-8")
+    at = F.instr(cut, "\n")
+    return F.when((n > size) & at.between(1, align), F.substr(cut, at + 1)).otherwise(cut)
+
+
 def log_signal(logs: DataFrame, size: int = 8192, align: int = 500) -> DataFrame:
     """``id, signal, omitted_bytes, exit_code``: the last bytes from a line's begin, and the exit code that
     the last 50 lines name."""
-    raw = F.encode("text", "UTF-8")
-    n = F.octet_length("text")
-    cut = F.decode(F.when(n > size, F.expr(f"substring(encode(text, 'UTF-8'), -{size}, {size})")).otherwise(raw), "UTF-8")
-    at = F.instr(cut, "\n")
-    text = F.when((n > size) & at.between(1, align), F.substr(cut, at + 1)).otherwise(cut)
     tail = F.array_join(F.slice(F.split("text", "\n"), F.greatest(F.size(F.split("text", "\n")) - 49, F.lit(1)), F.lit(50)), "\n")
     code = None
     for p in (r"(?i)exit(?:ed)?(?: with)?(?: code| status)?[: =]+(\d+)", r"(?i)return code[: =]+(\d+)", r"(?i)\brc\s*=\s*(\d+)"):
         one = F.regexp_extract(tail, p, 1).try_cast("int")
         code = one if code is None else F.coalesce(code, one)
-    out = logs.select("id", text.alias("signal"), n.alias("n"), code.alias("exit_code"))
+    out = logs.select("id", _signal(size, align).alias("signal"), F.octet_length("text").alias("n"), code.alias("exit_code"))
     return out.select("id", "signal", (F.col("n") - F.octet_length("signal")).alias("omitted_bytes"), "exit_code")
 
 
@@ -145,7 +150,8 @@ def classify_log(logs: DataFrame) -> DataFrame:
             out = F.when(c.rlike(p), name) if out is None else out.when(c.rlike(p), name)
         return out
 
-    return logs.join(log_signal(logs), "id").select("id", F.coalesce(first(F.col("signal")), first(F.col("text")), F.lit("unknown")).alias("failure"))
+    own = logs.select("id", "text", _signal(8192, 500).alias("signal"))
+    return own.select("id", F.coalesce(first(F.col("signal")), first(F.col("text")), F.lit("unknown")).alias("failure"))
 
 
 def checklist_report(hits: DataFrame, chunks: DataFrame, most: int = 8) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.plans.stages import materialise
 from lodestone.sources.star_graph import UNKNOWN_WEIGHT, rel_weights
 
 MAX_DEPTH = 5
@@ -38,21 +39,21 @@ def trim_to_budget(rows: DataFrame, key: str, order: list[Column], name: str, bu
     return rows.withColumn("used", F.sum(row_tokens(F.col(name))).over(w) + header).where(F.col("used") <= budget)
 
 
-def _weighted(edges: DataFrame) -> DataFrame:
-    """Undirected edges with their relationship's weight; the vocabulary is a fixed small table."""
-    w = F.broadcast(rel_weights(edges.sparkSession))
+def _weighted(edges: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+    """Undirected edges with their relationship's weight; the vocabulary is a table in the code or a parameter."""
+    w = F.broadcast(rel_weights(edges.sparkSession, weights))
     return undirected(edges).join(w, "rel", "left").withColumn("weight", F.coalesce("weight", F.lit(UNKNOWN_WEIGHT)))
 
 
-def neighborhood(edges: DataFrame, anchors: DataFrame, hops: int = 1, budget: int = 4000, max_results: int = 50, min_weight: float = 0.0, mode: str = "decay") -> DataFrame:
+def neighborhood(edges: DataFrame, anchors: DataFrame, hops: int = 1, budget: int = 4000, max_results: int = 50, min_weight: float = 0.0, mode: str = "decay", weights: dict[str, float] | None = None) -> DataFrame:
     """``anchor, name, rel, hop, score, used``: the scored neighbourhood of each anchor.
 
     decay: score = weight * 0.5 ** hop; over two hops the second relationship's weight
     counts and a name's first occurrence wins. product: one hop scores the weight, two hops
-    the product of both weights times 0.5, and a name's best score wins. Rows below
-    ``min_weight`` go, the best ``max_results`` stay, then the token budget cuts.
+    the product of both weights times 0.5, and a name's best score wins. ``weights`` replaces the
+    fixed vocabulary; relationships outside it weigh 0.3. Rows below ``min_weight`` go, the best ``max_results`` stay, then the token budget cuts.
     """
-    e = _weighted(edges)
+    e = _weighted(edges, weights)
     step = lambda w: w * (0.5 if mode == "decay" else 1.0)
     one = anchors.select("anchor").join(e, F.expr("anchor = src")).select("anchor", F.col("dst").alias("name"), "rel", F.lit(1).alias("hop"), "weight", step(F.col("weight")).alias("score"))
     rows = one.drop("weight")
@@ -128,17 +129,35 @@ def change_impact(edges: DataFrame, anchors: DataFrame, direct_rels: list[str],
 
 
 def shortest_paths(edges: DataFrame, pairs: DataFrame, depth: int = 5, ties: int = 3) -> DataFrame:
-    """``src, dst, length, path``: up to ``ties`` shortest directed paths of each pair."""
+    """``src, dst, length, path``: up to ``ties`` shortest directed paths of each pair, by their names.
+
+    Levels of a breadth-first search from each source: a node is entered at its first level only, so a level
+    has at most one row for each source, node and predecessor, and each is written to shared storage. Paths
+    are then followed back from the pairs that were met, over predecessors one level nearer.
+    """
     e = edges.select(F.col("src").alias("near"), F.col("dst").alias("far")).distinct()
-    level = pairs.select("src", "dst", F.array("src").alias("path"), F.col("src").alias("at"))
-    found = None
+    asked = materialise(pairs.select("src", "dst").where("src <> dst").distinct(), "pairs")
+    level = asked.select("src", F.col("src").alias("node")).distinct()
+    seen, steps, met = level, [], None
     for d in range(1, clamp_depth(depth) + 1):
-        level = level.join(e, F.expr("at = near")).where(~F.array_contains("path", F.col("far"))).select("src", "dst", F.concat("path", F.array("far")).alias("path"), F.col("far").alias("at"))
-        hit = level.where("at = dst").select("src", "dst", F.lit(d).alias("length"), "path")
-        found = hit if found is None else found.union(hit.join(found.select("src", "dst").distinct(), ["src", "dst"], "left_anti"))
-        level = level.where("at <> dst")
+        new = level.join(e, F.expr("node = near")).select("src", F.col("near").alias("before"), F.col("far").alias("node"))
+        new = materialise(new.join(seen, ["src", "node"], "left_anti"), "level")
+        steps.append(new)
+        level = new.select("src", "node").distinct()
+        hit = asked.join(level.withColumnRenamed("node", "dst"), ["src", "dst"], "left_semi").select("src", "dst", F.lit(d).alias("length"))
+        met = hit if met is None else met.union(hit)
+        seen = seen.union(level)
+        if new.isEmpty():
+            break
+    met = materialise(met, "met")
+    out = None
+    for d in range(1, len(steps) + 1):
+        paths = met.where(F.col("length") == d).select("src", "dst", "length", F.array("dst").alias("path"), F.col("dst").alias("node"))
+        for step in reversed(steps[:d]):
+            paths = paths.join(step, ["src", "node"]).select("src", "dst", "length", F.concat(F.array("before"), "path").alias("path"), F.col("before").alias("node"))
+        out = paths if out is None else out.union(paths)
     w = Window.partitionBy("src", "dst").orderBy("length", F.array_join("path", ">"))
-    return found.withColumn("n", F.row_number().over(w)).where(F.col("n") <= ties).drop("n")
+    return out.drop("node").withColumn("n", F.row_number().over(w)).where(F.col("n") <= ties).drop("n")
 
 
 def cycles(edges: DataFrame, max_len: int = 5) -> DataFrame:

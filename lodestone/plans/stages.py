@@ -5,11 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a side may be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
+#: Bytes up to which a side may be broadcast.
+BROADCAST_BYTES = 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,11 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (local tests) a temporary folder is made and
-    set, so that all stages of one session use the same one.
+    A local session that names none (tests) gets a temporary folder, which is set, so that all of its
+    stages use the same one. On a cluster that would be each machine's own, so it is an error there.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="lodestone-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -37,16 +41,32 @@ def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
     not compute it again.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    # below the application's own folder, which can go once it has ended
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``rows`` rows; reads no more than that many plus one."""
-    return df.limit(rows + 1).count() <= rows
+def _bytes(df: DataFrame) -> Column:
+    """A row's size: the bytes of text and binary columns, eight for a number, an array's elements times eight."""
+    size = F.lit(0).cast("long")
+    for name, kind in df.dtypes:
+        c = F.col(f"`{name}`")
+        if kind in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(c), F.lit(0))
+        elif kind.startswith(("array", "map")):
+            size = size + (F.coalesce(F.octet_length(F.to_json(c)), F.lit(0)) if "string" in kind else F.greatest(F.size(c), F.lit(0)) * 8)
+        else:
+            size = size + 8
+    return size
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint when its counted rows allow it, else ``df`` as it is."""
-    return F.broadcast(df) if small(df, rows) else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` has at most ``rows`` rows and ``size`` bytes; reads no more than that many rows plus one."""
+    n, b = df.limit(rows + 1).agg(F.count("*"), F.sum(_bytes(df))).first()
+    return n <= rows and (b or 0) <= size
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint when its counted rows and bytes allow it, else ``df`` as it is."""
+    return F.broadcast(df) if small(df, rows, size) else df

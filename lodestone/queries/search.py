@@ -163,15 +163,15 @@ def j17(spark, d):
     t AS (SELECT query_id, count(*) AS total FROM rel GROUP BY 1) SELECT t.query_id, round(coalesce(n / 5, 0), 6) AS precision, round(coalesce(n / total, 0), 6) AS recall, round(coalesce(1 / f, 0), 6) AS rr,
     round(coalesce(dcg / list_sum(list_transform(range(1, least(total, 5) + 1), lambda i: 1 / log2(i + 1))), 0), 6) AS ndcg FROM t LEFT JOIN p ON t.query_id = p.query_id""")
 def e01(spark, d):
-    # shared 5-word starts find candidates; containment of the whole passage decides
-    q, x = asked(spark, d), docs(spark, d)
-    first = lambda c: F.array_join(F.slice(F.split(c, " "), 2, 4), " ")
-    words = F.split("text", " ")
-    grams = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 3, F.lit(1))), lambda i: F.array_join(F.slice(words, i, 4), " "))))
+    # a passage's 2nd to 5th word find candidates: only ids and hashes are exploded and joined; then texts decide
     from lodestone.plans.stages import broadcast_if_small
 
-    key = broadcast_if_small(q.select("query_id", F.col("text").alias("item"), first(F.col("text")).alias("g")))
-    hits = x.select("id", "text", grams.alias("g")).join(key, "g").where(F.contains("text", "item")).select("query_id", "id").distinct()
+    q, x = asked(spark, d), docs(spark, d)
+    grams = F.arrays_zip(*(F.slice("w", i, F.greatest(F.size("w") - 3, F.lit(0))).alias(f"w{i}") for i in range(1, 5)))
+    key = q.select("query_id", F.xxhash64(*(F.get(F.split("text", " "), i) for i in range(1, 5))).alias("g"))
+    starts = x.select("id", F.split("text", " ").alias("w")).select("id", F.inline(grams)).select("id", F.xxhash64("w1", "w2", "w3", "w4").alias("g"))
+    near = starts.join(broadcast_if_small(key), "g").select("query_id", "id").distinct()
+    hits = x.join(near, "id").join(broadcast_if_small(q.select("query_id", F.col("text").alias("item"))), "query_id").where(F.contains("text", "item")).select("query_id", "id")
     return E.metrics(R.bm25(q, x, 5), hits, 5)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Letters of a string property, and the mark where it was cut.
-MOST, MARK = 8000, "...[truncated]"
+MOST, MARK = 8000, "... [TRUNCATED]"
 
 
 def read_tree(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:

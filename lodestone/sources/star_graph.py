@@ -9,7 +9,11 @@ from lodestone.plans.stages import table
 
 #: Relationship weights of the scoring vocabulary (fixed values); unknown ones weigh 0.3.
 REL_WEIGHTS = {
-    "CALLS": 1.0, "DEPENDS_ON": 0.8, "USES": 0.7, "PROVIDED_BY": 0.6, "CONTAINS": 0.5, "SAME_DIRECTORY": 0.4,
+    "CALLS": 1.0, "EXECUTES": 1.0, "SOURCES": 0.95, "INVOKES": 0.9, "CALLED_BY": 0.9, "DEPENDS_ON": 0.8, "DEPENDS_ON_ENV": 0.8,
+    "IMPORTS": 0.7, "USES": 0.7, "INHERITS": 0.7, "DEFINES": 0.65, "PROVIDED_BY": 0.6, "EXPORTS": 0.6, "DOC_REFERENCES": 0.6,
+    "DOC_DESCRIBES": 0.55, "TRANSITIVELY_DEPENDS": 0.5, "HAS_METHOD": 0.5, "CONTAINS": 0.5, "SETS": 0.5, "DOCUMENTED_BY": 0.4,
+    "SAME_DIRECTORY": 0.4, "BUILT_BY": 0.35, "BUILD_ORCHESTRATES": 0.35, "REQUIRES_VERSION": 0.3, "AUTHORED": 0.3,
+    "AUTHORED_BY": 0.3, "CONTRIBUTED_TO": 0.3,
 }
 UNKNOWN_WEIGHT = 0.3
 LABELS = {"c": "Customer", "o": "Order", "p": "Part", "s": "Supplier", "n": "Nation", "r": "Region"}
