@@ -336,3 +336,33 @@ def test_hybrid_texts_against_brute_force(spark):
             want[i] = 2 * bm + (sum(u * v for u, v in zip(a, b, strict=True)) / norm if norm else 0)
         mine = {i: s for (kk, _), (i, s) in got.items() if kk == k}
         assert set(mine) == set(want) and all(abs(mine[i] - want[i]) < 1e-4 for i in want)
+
+
+def test_snippets_take_patterns_as_they_are(spark, rows):
+    f = files(spark, a="one\nset x\nrc=12 it's \"q\"\nfour\nfoobar\nfoo bar")
+    assert [(r[1], r[2].split("\n")[0]) for r in rows(V.snippets(f, [r"\d+", r"it's \"q\""], 1))] == [(3, "set x")]
+    assert [r[1] for r in rows(V.snippets(f, [r"\bfoo\b"], 0))] == [6]
+    assert rows(V.snippets(f, [], 0)) == []
+
+
+def test_relationship_weights_and_own_ones(spark):
+    from lodestone.operators.traversal import neighborhood
+    from lodestone.sources.star_graph import REL_WEIGHTS
+
+    e = spark.createDataFrame([("a", "b", "EXECUTES"), ("a", "c", "SOURCES"), ("a", "d", "OTHER")], "src string, dst string, rel string")
+    anchors = spark.createDataFrame([("a",)], "anchor string")
+    got = {r.name: r.score for r in neighborhood(e, anchors, 1).collect()}
+    assert len(REL_WEIGHTS) == 27 and got == {"b": 0.5, "c": 0.475, "d": 0.15}
+    assert {r.name: r.score for r in neighborhood(e, anchors, 1, weights={"OTHER": 1.0}).collect()} == {"b": 0.15, "c": 0.15, "d": 0.5}
+
+
+def test_logs_of_one_id_stay_apart(spark):
+    logs = spark.createDataFrame([(1, "timed out"), (1, "oom-kill")], "id int, text string")
+    assert sorted(r.failure for r in V.classify_log(logs).collect()) == ["out_of_memory", "timeout"]
+
+
+def test_small_counts_bytes(spark):
+    from lodestone.plans.stages import small
+
+    df = spark.createDataFrame([(1, "x" * 1000, [1, 2])], "a int, b string, c array<int>")
+    assert small(df) and not small(df, size=1000) and not small(df, rows=0)
