@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -64,9 +64,20 @@ def source_summary(sources: DataFrame) -> DataFrame:
 
 
 def scan_summary(violations: DataFrame, files: int = 20, examples: int = 3) -> DataFrame:
-    """``category, issues, files, examples``: issues of each category with its first files and examples."""
-    names = F.slice(F.sort_array(F.collect_set("path")), 1, files)
-    return violations.groupBy("category").agg(F.count("*").alias("issues"), names.alias("files"), F.slice(F.sort_array(F.collect_set("message")), 1, examples).alias("examples"))
+    """``category, issues, files, examples``: issues of each category with its first files and examples.
+
+    Only the rows that are shown are collected: each category's are ranked first.
+    """
+
+    def first(column: str, most: int, name: str) -> DataFrame:
+        w = Window.partitionBy("category").orderBy(column)
+        x = violations.select("category", column).where(F.col(column).isNotNull()).distinct().withColumn("n", F.row_number().over(w)).where(F.col("n") <= most)
+        return x.groupBy("category").agg(F.sort_array(F.collect_list(column)).alias(name))
+
+    out = violations.groupBy("category").agg(F.count("*").alias("issues"))
+    for column, most, name in (("path", files, "files"), ("message", examples, "examples")):
+        out = out.join(first(column, most, name), "category", "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
+    return out
 
 
 def community_stats(membership: DataFrame) -> DataFrame:
@@ -112,13 +123,32 @@ def quality_buckets(chunks: DataFrame, score: str) -> DataFrame:
 
 
 def session_analytics(events: DataFrame, done: str, dropped: str) -> DataFrame:
-    """``session, status, steps, minutes``: completed beats abandoned, else started."""
+    """``session, status, steps, minutes, last_ts``: completed beats abandoned, else started."""
     out = events.groupBy("session").agg(
         F.max(F.when(F.col("event") == done, 2).when(F.col("event") == dropped, 1).otherwise(0)).alias("s"),
         F.count("*").alias("steps"),
         F.round((F.unix_timestamp(F.max("ts")) - F.unix_timestamp(F.min("ts"))) / 60, 4).alias("minutes"),
+        F.max("ts").alias("last_ts"),
     )
-    return out.select("session", F.when(F.col("s") == 2, "completed").when(F.col("s") == 1, "abandoned").otherwise("started").alias("status"), "steps", "minutes")
+    return out.select("session", F.when(F.col("s") == 2, "completed").when(F.col("s") == 1, "abandoned").otherwise("started").alias("status"), "steps", "minutes", "last_ts")
+
+
+def session_summary(sessions: DataFrame, last: int = 10) -> DataFrame:
+    """One row of ``completed, abandoned, in_progress, mean_minutes, least_minutes, most_minutes, mean_steps``
+    of sessions (``session, status, steps, minutes, last_ts``): minutes are those of completed sessions,
+    steps those of the ``last`` sessions to end."""
+    of = lambda s: F.count(F.when(F.col("status") == s, 1))
+    done = F.when(F.col("status") == "completed", F.col("minutes"))
+    counts = sessions.agg(of("completed").alias("completed"), of("abandoned").alias("abandoned"), of("started").alias("in_progress"), F.round(F.avg(done), 4).alias("mean_minutes"), F.min(done).alias("least_minutes"), F.max(done).alias("most_minutes"))
+    recent = sessions.orderBy(F.desc("last_ts"), F.desc("session")).limit(last).agg(F.round(F.avg("steps"), 1).alias("mean_steps"))
+    return counts.withColumn("one", F.lit(1)).join(recent.withColumn("one", F.lit(1)), "one").drop("one")
+
+
+def tag_distribution(steps: DataFrame) -> DataFrame:
+    """``tag, n, percent`` of steps (``tag``); no tag counts as unknown. Percents are whole, halves go to the even one."""
+    n = steps.groupBy(F.coalesce(F.when(F.col("tag") != "", F.col("tag")), F.lit("unknown")).alias("tag")).agg(F.count("*").alias("n"))
+    total = n.agg(F.sum("n")).first()[0] or 0
+    return n.withColumn("percent", F.bround(F.col("n") * 100 / F.lit(total)).cast("long"))
 
 
 def language_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -132,3 +162,12 @@ def crawl_stats(pages: DataFrame) -> DataFrame:
     """``host, depth, n``: pages of each host and path depth of ``host, path``."""
     depth = F.size(F.filter(F.split("path", "/"), lambda x: x != ""))
     return pages.groupBy("host", depth.alias("depth")).agg(F.count("*").alias("n"))
+
+
+def sitemap_stats(urls: DataFrame) -> DataFrame:
+    """``kind, bucket, n`` of urls (``priority, changefreq``): how many have each priority, down to a tenth, and
+    each change frequency. No priority, or 0, counts as 0.5, no frequency as unknown."""
+    p = F.floor(F.coalesce(F.when(F.col("priority") != 0, F.col("priority")), F.lit(0.5)) * 10) / 10
+    f = F.coalesce(F.when(F.col("changefreq") != "", F.col("changefreq")), F.lit("unknown"))
+    both = urls.select(F.explode(F.array(F.struct(F.lit("priority").alias("kind"), p.cast("string").alias("bucket")), F.struct(F.lit("changefreq").alias("kind"), f.alias("bucket")))).alias("x"))
+    return both.groupBy("x.kind", "x.bucket").agg(F.count("*").alias("n"))

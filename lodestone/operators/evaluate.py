@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.plans.stages import broadcast_if_small, materialise
+
 
 def metrics(rankings: DataFrame, qrels: DataFrame, k: int) -> DataFrame:
     """``query_id, precision, recall, rr, ndcg`` of every judged query; no hits give 0."""
@@ -24,12 +26,21 @@ def mean_metrics(per_query: DataFrame) -> DataFrame:
 
 
 def keyword_metrics(results: DataFrame, k: int) -> DataFrame:
-    """``query_id, precision, coverage`` of result texts (``query_id, text, expected array``)."""
-    text = results.groupBy("query_id").agg(F.lower(F.concat_ws(" ", F.collect_list("text"))).alias("text"), F.first("expected").alias("expected"))
-    found = F.size(F.filter("expected", lambda w: F.contains(F.col("text"), F.lower(w))))
-    n = F.size("expected")
-    one = lambda c: F.round(F.least(F.lit(1.0), c), 4)
-    return text.select("query_id", one(found / F.least(F.lit(k), n)).alias("precision"), one(found / n).alias("coverage"))
+    """``query_id, precision, recall, rr, coverage`` of result texts (``query_id, rank, text, expected array``).
+
+    A keyword counts once, whichever of the query's texts holds it; ``rr`` is one over the first rank up to k
+    whose text holds any; ``coverage`` is the share of keywords found. Without keywords all are 0.
+    """
+    low = F.lower(F.coalesce("text", F.lit("")))
+    held = F.filter(F.array_distinct("expected"), lambda w: F.contains(low, F.lower(w)))
+    x = results.select("query_id", "rank", F.size(F.array_distinct("expected")).alias("n"), held.alias("held"))
+    first = F.min(F.when((F.size("held") > 0) & (F.col("rank") <= k), F.col("rank")))
+    per = x.groupBy("query_id").agg(F.max("n").alias("n"), first.alias("first"))
+    found = x.select("query_id", F.explode("held").alias("w")).distinct().groupBy("query_id").agg(F.count("*").alias("found"))
+    one = lambda c: F.round(F.least(F.lit(1.0), F.coalesce(c, F.lit(0.0))), 4)
+    hit = F.when(F.col("n") > 0, F.col("found"))
+    out = per.join(found, "query_id", "left")
+    return out.select("query_id", one(hit / F.least(F.lit(k), F.col("n"))).alias("precision"), one(hit / F.col("n")).alias("recall"), one(1 / F.col("first")).alias("rr"), one(hit / F.col("n")).alias("coverage"))
 
 
 def is_hit(text: Column, names: Column, keywords: Column) -> Column:
@@ -41,12 +52,26 @@ def is_hit(text: Column, names: Column, keywords: Column) -> Column:
 
 
 def latency_percentiles(rows: DataFrame, key: str, value: str, p: float) -> DataFrame:
-    """``key, nearest, floor_index, linear`` percentiles by the three definitions."""
-    w = Window.partitionBy(key)
-    x = rows.where(F.col(value).isNotNull()).withColumn("n", F.count("*").over(w)).withColumn("i", F.row_number().over(w.orderBy(value)))
-    nearest, low = F.greatest(F.ceil(F.col("n") * p), F.lit(1)), F.least(F.floor(F.col("n") * p), F.col("n") - 1) + 1
-    out = x.groupBy(key).agg(F.max(F.when(F.col("i") == nearest, F.col(value))).alias("nearest"), F.max(F.when(F.col("i") == low, F.col(value))).alias("floor_index"))
-    return out.join(rows.groupBy(key).agg(F.round(F.percentile(value, F.lit(p)), 6).alias("linear")), key)
+    """``key, nearest, floor_index, linear`` percentiles by the three definitions; nulls are left out.
+
+    Equal values are counted first; the distinct ones are dealt by ranges, so that one key's values may lie in
+    many tasks, and the counts of the ranges before give each value its place.
+    """
+    x = rows.where(F.col(value).isNotNull()).groupBy(F.col(key).alias("k"), F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    x = materialise(x.repartitionByRange("k", "v").withColumn("part", F.spark_partition_id()), "ranges")
+    parts = x.groupBy("k", "part").agg(F.sum("c").alias("c"))
+    w = Window.partitionBy("k").orderBy("part")
+    parts = parts.select("k", "part", (F.sum("c").over(w) - F.col("c")).alias("before"), F.sum("c").over(Window.partitionBy("k")).alias("n"))
+    same = F.expr("x.k <=> parts.k AND x.part = parts.part")
+    y = x.alias("x").join(broadcast_if_small(parts).alias("parts"), same).select("x.k", "x.part", "v", "c", "before", "n")
+    last = F.col("before") + F.sum("c").over(Window.partitionBy("k", "part").orderBy("v"))
+    y = y.withColumn("last", last).withColumn("first", F.col("last") - F.col("c") + 1)
+    n, at = F.col("n"), (F.col("n") - 1) * F.lit(p)
+    places = {"nearest": F.greatest(F.ceil(n * p), F.lit(1)), "floor_index": F.least(F.floor(n * p), n - 1) + 1, "low": F.floor(at) + 1, "high": F.ceil(at) + 1}
+    pick = {name: F.max(F.when(place.between(F.col("first"), F.col("last")), F.col("v"))) for name, place in places.items()}
+    out = y.groupBy("k").agg(F.first("n").alias("n"), *(c.alias(name) for name, c in pick.items()))
+    linear = F.round(F.col("low") + (F.col("high") - F.col("low")) * (at - F.floor(at)), 6)
+    return out.select(F.col("k").alias(key), "nearest", "floor_index", linear.alias("linear"))
 
 
 def system_comparison(results: DataFrame) -> DataFrame:

@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import cosine, keyword_coverage, word_array, word_jaccard
-from lodestone.plans.stages import broadcast_if_small, materialise, small
+from lodestone.plans.stages import broadcast_if_small, materialise
 
 K1, B, RRF = 1.2, 0.75, 60
 
@@ -50,47 +51,109 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     return top(bm25_scores(queries, docs), k)
 
 
-def cosine_scores(queries: DataFrame, vectors: DataFrame) -> DataFrame:
-    """``query_id, id, score`` of each query with every vector.
+#: Vectors of a block. A task holds one block of queries, one of vectors, and their scores.
+BLOCK = 1024
 
-    Few queries are broadcast; many are dealt into blocks that meet the vectors' rows by an
-    equi-join on the block, so neither side has to fit anywhere as a whole.
-    """
-    q = queries.select("query_id", F.col("vector").alias("q"))
-    v = vectors.select("id", F.col("vector").alias("v"))
-    if small(q, 2000):
-        pairs = v.withColumn("one", F.lit(1)).join(F.broadcast(q.withColumn("one", F.lit(1))), "one")
-    else:
-        blocks = 64
-        left = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-        pairs = v.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(left, "block")
-    return pairs.select("query_id", "id", F.round(cosine(F.col("q"), F.col("v")), 6).alias("score"))
-
-
-def knn(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """``query_id, id, score, rank``: the k most similar vectors by exact cosine."""
-    return top(cosine_scores(queries, vectors), k)
 
+def _usable(df: DataFrame, key: str, *more: str) -> DataFrame:
+    """``key, v`` of the rows whose vector is there and holds finite numbers only."""
+    fine = F.forall("v", lambda x: x.isNotNull() & (F.abs(x) < float("inf")))
+    return df.select(key, F.col("vector").cast("array<double>").alias("v"), *more).where(F.col("v").isNotNull() & (F.size("v") > 0) & fine)
 
-def ann(queries: DataFrame, vectors: DataFrame, k: int, tables: int = 8, length: float = 2.0, dim: int | None = None) -> DataFrame:
-    """Approximate k-NN: random-projection hash tables give candidates, exact cosine ranks them."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    v = vectors.select("id", F.col("vector").alias("v"), array_to_vector(F.col("vector").cast("array<double>")).alias("features"))
-    q = queries.select("query_id", F.col("vector").alias("q"), array_to_vector(F.col("vector").cast("array<double>")).alias("features"))
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=length, numHashTables=tables, seed=1).fit(v)
+def knn(queries: DataFrame, vectors: DataFrame, k: int, by: str | None = None) -> DataFrame:
+    """``query_id, id, score, rank``: the k most similar vectors by exact cosine.
 
-    def cells(df: DataFrame, keep: list[str]) -> DataFrame:
-        rows = model.transform(df).select(*keep, F.posexplode("hashes").alias("t", "h"))
-        return rows.select(*keep, "t", vector_to_array("h")[0].alias("cell"))
-
-    pairs = cells(q, ["query_id", "q"]).join(cells(v, ["id", "v"]), ["t", "cell"]).select("query_id", "id", "q", "v").dropDuplicates(["query_id", "id"])
+    Queries and vectors are dealt into blocks, whose numbers follow the counts of both; each pair of blocks is
+    one group, which gives its k best for each query, so that the last ranking sees k rows of a block instead
+    of all. With ``by``, a column of the vectors, the k best of each of its values are given beside ``by``.
+    Vectors that are null, empty or hold null or infinite numbers have no hits, nor have those of another
+    length than the query's; the similarity with a vector of zeros is 0.
+    """
+    q, v = _usable(queries, "query_id"), _usable(vectors, "id", *([by] if by else []))
+    qn, vn = (max(1, -(-df.count() // BLOCK)) for df in (q, v))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    q = q.withColumn("qb", F.pmod(F.xxhash64("query_id", "v"), F.lit(qn))).withColumn("vb", every(vn))
+    v = v.withColumn("vb", F.pmod(F.xxhash64("id", "v"), F.lit(vn))).withColumn("qb", every(qn))
+    names = ["query_id", "id", "score"] + ([by] if by else [])
+    kind = {"score": "double"} | {f.name: f.dataType.simpleString() for f in [*queries.schema, *vectors.schema]}
+
+    def block(left, right):
+        import numpy as np
+        import pandas as pd
+
+        out = []
+        right = right.assign(size=right["v"].map(len)).sort_values("id", kind="stable")
+        for size, some in left.groupby(left["v"].map(len)):
+            a = np.stack(some["v"].to_list())
+            asked, length = some["query_id"].to_numpy(), np.linalg.norm(a, axis=1)
+            own = right[right["size"] == size]
+            for value, rows in own.groupby(by, dropna=False) if by else [(None, own)]:
+                if not len(rows):
+                    continue
+                b = np.stack(rows["v"].to_list())
+                n = np.outer(length, np.linalg.norm(b, axis=1))
+                score = np.round(np.divide(a @ b.T, n, out=np.zeros_like(n), where=n > 0), 6) + 0.0
+                best = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                x = pd.DataFrame({"query_id": np.repeat(asked, best.shape[1]), "id": rows["id"].to_numpy()[best.ravel()], "score": np.take_along_axis(score, best, 1).ravel()})
+                out.append(x.assign(**{by: value}) if by else x)
+        return pd.concat(out)[names] if out else pd.DataFrame(columns=names)
+
+    near = q.groupBy("qb", "vb").cogroup(v.groupBy("qb", "vb")).applyInPandas(block, ", ".join(f"`{c}` {kind[c]}" for c in names))
+    w = Window.partitionBy("query_id", *([by] if by else [])).orderBy(F.desc("score"), "id")
+    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def ann(queries: DataFrame, vectors: DataFrame, k: int, cells: int | None = None, probes: int | None = None, recall: float = 0.97) -> DataFrame:
+    """Approximate k-NN: ``query_id, id, score, rank`` by exact cosine among the vectors of the nearest cells.
+
+    The cells are k-means centres, as many as the root of the count (at most 1,024) by default, fitted on a
+    hashed sample of about 64 vectors a cell; every vector is then put into its cell. A query looks into its
+    ``probes`` nearest cells. By default that number comes from about 64 of the vectors, whose true
+    neighbours are found by :func:`knn`: so many cells hold ``recall`` of these. All vectors have one length.
+    """
+    import numpy as np
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    v = materialise(_usable(vectors, "id"), "vectors")
+    n = v.count()
+    cells = max(1, min(cells or int(n**0.5), 1024))
+    share = lambda rows: F.pmod(F.xxhash64("id", "v"), F.lit(max(n, 1))) < rows
+    unit = v.where(share(64 * cells) & F.exists("v", lambda x: x != 0)).select(array_to_vector("v").alias("features"))
+    if cells == 1 or unit.limit(cells).count() < cells:
+        return knn(queries, vectors, k)
+    centres = np.array(KMeans(k=cells, seed=1, maxIter=10, distanceMeasure="cosine").fit(unit).clusterCenters())
+    centres = centres / np.linalg.norm(centres, axis=1, keepdims=True)
+
+    def order(most: int):
+        @F.pandas_udf("array<int>")
+        def nearest(x: pd.Series) -> pd.Series:
+            near = np.argsort(-(np.stack(x.to_list()) @ centres.T), axis=1, kind="stable")[:, :most]
+            return pd.Series(list(near.astype("int32")))
+
+        return nearest
+
+    placed = materialise(v.select("id", "v", order(1)("v")[0].alias("cell")), "cells")
+    if probes is None:
+        some = placed.where(share(64)).select(F.col("id").alias("query_id"), F.col("v").alias("vector"))
+        true = knn(some, placed.select("id", F.col("v").alias("vector")), k).join(placed.select("id", "cell"), "id")
+        true = true.join(some.select("query_id", order(len(centres))("vector").alias("order")), "query_id")
+        at = true.select(F.percentile(F.array_position("order", F.col("cell")), F.lit(recall))).first()[0]
+        probes = int(np.ceil(at)) if at else len(centres)
+    q = _usable(queries, "query_id").select("query_id", F.col("v").alias("q"), F.explode(order(probes)("v")).alias("cell"))
+    pairs = placed.join(broadcast_if_small(q), "cell")
     return top(pairs.select("query_id", "id", F.round(cosine(F.col("q"), F.col("v")), 6).alias("score")), k)
 
 
-def hybrid(lexical: DataFrame, vector: DataFrame, k: int, w_lex: float = 1.0, w_vec: float = 1.0) -> DataFrame:
-    """``query_id, id, score, clamped, rank``: the weighted sum of both scores (``query_id, id, score``)."""
+def hybrid(lexical: DataFrame, vector: DataFrame, k: int, w_lex: float = 1.0, w_vec: float = 1.0, allowed: DataFrame | None = None) -> DataFrame:
+    """``query_id, id, score, clamped, rank``: the weighted sum of both scores (``query_id, id, score``).
+
+    ``allowed`` holds the ids that pass a filter of the metadata; it applies to both sides.
+    """
+    if allowed is not None:
+        ids = broadcast_if_small(allowed.select("id").distinct())
+        lexical, vector = lexical.join(ids, "id", "left_semi"), vector.join(ids, "id", "left_semi")
     x = lexical.select("query_id", "id", F.col("score").alias("a")).join(vector.select("query_id", "id", F.col("score").alias("b")), ["query_id", "id"], "full")
     score = F.round(w_lex * F.coalesce("a", F.lit(0.0)) + w_vec * F.coalesce("b", F.lit(0.0)), 6)
     x = x.select("query_id", "id", score.alias("score"))
@@ -133,7 +196,7 @@ def nearest_ids(queries: DataFrame, ids: DataFrame, k: int) -> DataFrame:
 
 def similar(queries: DataFrame, vectors: DataFrame, least: float, k: int) -> DataFrame:
     """The k most similar of the vectors with at least ``least``."""
-    return top(cosine_scores(queries, vectors).where(F.col("score") >= least), k)
+    return knn(queries, vectors, k).where(F.col("score") >= least)
 
 
 def architecture_search(hits: DataFrame, k: int) -> DataFrame:
@@ -189,9 +252,17 @@ def keyword_search(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
 
 
 def explain(topics: DataFrame, hits: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Hits of each topic (``query_id, text``) and the nodes whose name contains it."""
-    t = broadcast_if_small(topics)
-    near = nodes.join(t, F.contains(F.lower("name"), F.lower("text"))).select("query_id", F.lit("graph").alias("kind"), F.col("node_id").cast("string").alias("id"))
+    """Hits of each topic (``query_id, text``) and the nodes whose name contains it.
+
+    A name is met over its runs of letters as long as a topic's key, its first three letters or all of a
+    shorter topic, and only then searched for the topic. An empty topic has no nodes.
+    """
+    t = topics.select("query_id", F.lower("text").alias("text")).where("text <> ''").withColumn("key", F.substring("text", 1, 3))
+    name = F.lower(F.col("name"))
+    runs = lambda n: F.transform(F.sequence(F.lit(1), F.length(name)), lambda i: F.substr(name, i, F.lit(n)))
+    keys = F.array_distinct(F.flatten(F.array(runs(1), runs(2), runs(3))))
+    n = nodes.where("name <> ''").select("node_id", "name", F.explode(keys).alias("key"))
+    near = n.join(broadcast_if_small(t), "key").where(F.contains(name, F.col("text"))).select("query_id", F.lit("graph").alias("kind"), F.col("node_id").cast("string").alias("id"))
     return hits.select("query_id", F.lit("text").alias("kind"), F.col("id").cast("string").alias("id")).union(near)
 
 

@@ -33,9 +33,10 @@ def l01(spark, d):
 
 
 @query("l03_session_rollup", """WITH x AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) > 3600000000 THEN 1 ELSE 0 END AS new FROM events),
-    y AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM x) SELECT user_id, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS events FROM y GROUP BY user_id, s""")
+    y AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM x) SELECT user_id, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS events,
+    coalesce(arg_min(CASE event_type WHEN 'purchase' THEN 'completed' ELSE 'abandoned' END, ts) FILTER (WHERE event_type IN ('purchase', 'error')), 'in_progress') AS status FROM y GROUP BY user_id, s""")
 def l03(spark, d):
-    x = L.session_rollup(events(spark, d), "user_id", "ts", late=None)
+    x = L.session_rollup(events(spark, d), "user_id", "ts", late=None, event="event_type", terminal={"purchase": "completed", "error": "abandoned"})
     return x.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first_ts", "last_ts")})
 
 

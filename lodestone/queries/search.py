@@ -79,6 +79,16 @@ def r04(spark, d):
     return R.hybrid(lex, R.knn(q, v, 20), 10, 2.0, 1.0)
 
 
+@query("r04_hybrid_where", f"""WITH {COS}, ok AS (SELECT vec_id AS id FROM embeddings WHERE label % 2 = 0), lx AS (SELECT query_id, id, score AS a FROM (SELECT q.query_id, e.vec_id AS id, CAST(e.label AS DOUBLE) / 10 AS score FROM vq q JOIN embeddings e ON e.label = q.label) WHERE id IN (SELECT id FROM ok)),
+    vr AS (SELECT query_id, id, score AS b FROM csr WHERE rank <= 20 AND id IN (SELECT id FROM ok)), x AS (SELECT coalesce(lx.query_id, vr.query_id) AS query_id, coalesce(lx.id, vr.id) AS id, round(2.0 * coalesce(a, 0.0) + coalesce(b, 0.0), 6) AS score FROM lx FULL JOIN vr ON lx.query_id = vr.query_id AND lx.id = vr.id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM x) SELECT query_id, id, score, rank, greatest(0.0, least(1.0, score)) AS clamped FROM r WHERE rank <= 10""")
+def r04_where(spark, d):
+    """A filter of the metadata on both sides; vectors of the query's label are its lexical side."""
+    v, q = vectors(spark, d), table(spark, d, "embeddings").where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), "label")
+    lex = v.select("id", "label", (F.col("label").cast("double") / 10).alias("score")).join(q, "label").select("query_id", "id", "score")
+    return R.hybrid(lex, R.knn(vqueries(spark, d), v, 20), 10, 2.0, 1.0, allowed=v.where("label % 2 = 0"))
+
+
 @query("r04_hybrid_texts")
 def r04_texts(spark, d):
     """BM25 of all items and documents, and the cosine of their hashed vectors."""
@@ -109,7 +119,7 @@ def r07(spark, d):
 @query("r08_architecture", f"WITH {COS}, t AS (SELECT query_id, id, round(score * (1 + 0.25 * label), 8) AS score FROM cs JOIN (SELECT vec_id, label FROM embeddings) e ON e.vec_id = id WHERE label >= 1 AND score >= 0.2), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM t) SELECT * FROM r WHERE rank <= 5")
 def r08(spark, d):
     v = vectors(spark, d)
-    hits = R.cosine_scores(vqueries(spark, d), v).join(v.select("id", F.col("label").alias("level")), "id")
+    hits = R.knn(vqueries(spark, d), v.where("label >= 1"), 5, by="label").drop("rank").withColumnRenamed("label", "level")  # a level's first five are among its best
     return R.architecture_search(hits, 5).select("query_id", "id", "score", "rank")
 
 
@@ -180,10 +190,10 @@ def e03(spark, d):
     return E.mean_metrics(e01(spark, d))
 
 
-@query("e05_keyword_metrics", """WITH x AS (SELECT lang AS query_id, lower(string_agg(source, ' ')) AS t FROM documents GROUP BY 1), y AS (SELECT query_id, len(list_filter(['src1', 'src2', 'nothing'], lambda w: contains(t, w))) AS f FROM x)
-    SELECT query_id, round(least(1.0, f / 2), 4) AS precision, round(least(1.0, f / 3), 4) AS coverage FROM y""")
+@query("e05_keyword_metrics", """WITH x AS (SELECT lang AS query_id, lower(string_agg(source, ' ')) AS t, min(doc_id + 1) FILTER (WHERE doc_id < 2 AND (contains(source, 'src1') OR contains(source, 'src2'))) AS first FROM documents GROUP BY 1), y AS (SELECT query_id, first, len(list_filter(['src1', 'src2', 'nothing'], lambda w: contains(t, w))) AS f FROM x)
+    SELECT query_id, round(least(1.0, f / 2), 4) AS precision, round(least(1.0, f / 3), 4) AS recall, round(coalesce(1 / first, 0.0), 4) AS rr, round(least(1.0, f / 3), 4) AS coverage FROM y""")
 def e05(spark, d):
-    x = table(spark, d, "documents").select(F.col("lang").alias("query_id"), F.col("source").alias("text"), F.array(F.lit("src1"), F.lit("src2"), F.lit("nothing")).alias("expected"))
+    x = table(spark, d, "documents").select(F.col("lang").alias("query_id"), (F.col("doc_id") + 1).alias("rank"), F.col("source").alias("text"), F.array(F.lit("src1"), F.lit("src2"), F.lit("nothing")).alias("expected"))
     return E.keyword_metrics(x, 2)
 
 

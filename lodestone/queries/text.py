@@ -160,9 +160,32 @@ def a18(spark, d):
 
 @query("a19_session_analytics", "SELECT user_id AS session, CASE WHEN max(CASE WHEN event_type = 'purchase' THEN 2 WHEN event_type = 'error' THEN 1 ELSE 0 END) = 2 THEN 'completed' WHEN max(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) = 1 THEN 'abandoned' ELSE 'started' END AS status, count(*) AS steps, round((floor(epoch(max(ts))) - floor(epoch(min(ts)))) / 60, 4) AS minutes FROM events GROUP BY 1")
 def a19(spark, d):
+    return sessions(spark, d).drop("last_ts")
+
+
+def sessions(spark, d):
     return A.session_analytics(table(spark, d, "events").select(F.col("user_id").alias("session"), F.col("event_type").alias("event"), "ts"), "purchase", "error")
 
 
+@query("a19_session_summary", """WITH s AS (SELECT user_id AS session, max(CASE WHEN event_type = 'purchase' THEN 2 WHEN event_type = 'error' THEN 1 ELSE 0 END) AS st, count(*) AS steps, round((floor(epoch(max(ts))) - floor(epoch(min(ts)))) / 60, 4) AS minutes, max(ts) AS last_ts FROM events GROUP BY 1),
+    l AS (SELECT steps FROM s ORDER BY last_ts DESC, session DESC LIMIT 10)
+    SELECT count(*) FILTER (WHERE st = 2) AS completed, count(*) FILTER (WHERE st = 1) AS abandoned, count(*) FILTER (WHERE st = 0) AS in_progress, round(avg(minutes) FILTER (WHERE st = 2), 4) AS mean_minutes, min(minutes) FILTER (WHERE st = 2) AS least_minutes, max(minutes) FILTER (WHERE st = 2) AS most_minutes, (SELECT round(avg(steps), 1) FROM l) AS mean_steps FROM s""")
+def a19_summary(spark, d):
+    return A.session_summary(sessions(spark, d))
+
+
+@query("a19_tag_distribution", "SELECT coalesce(nullif(event_type, 'error'), 'unknown') AS tag, count(*) AS n, CAST(round_even(count(*) * 100 / (SELECT count(*) FROM events), 0) AS BIGINT) AS percent FROM events GROUP BY 1")
+def a19_tags(spark, d):
+    return A.tag_distribution(table(spark, d, "events").select(F.nullif("event_type", F.lit("error")).alias("tag")))
+
+
+@query("a17_sitemap_stats", """WITH u AS (SELECT CASE WHEN length(url) % 3 > 0 THEN CAST(length(url) % 10 AS DOUBLE) / 8 END AS p, CASE WHEN url LIKE 'https%' THEN 'daily' END AS f FROM pages),
+    x AS (SELECT 'priority' AS kind, CAST(floor(coalesce(nullif(p, 0), 0.5) * 10) / 10 AS VARCHAR) AS bucket FROM u UNION ALL SELECT 'changefreq', coalesce(f, 'unknown') FROM u) SELECT kind, bucket, count(*) AS n FROM x GROUP BY 1, 2""")
+def a17_sitemap(spark, d):
+    p = table(spark, d, "pages").select(F.expr("CASE WHEN length(url) % 3 > 0 THEN CAST(length(url) % 10 AS DOUBLE) / 8 END").alias("priority"), F.expr("CASE WHEN url LIKE 'https%' THEN 'daily' END").alias("changefreq"))
+    return A.sitemap_stats(p)
+
+
 @query("w02_snapshot_delta", "SELECT event_id, round(value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id), 6) AS delta FROM events")
 def w02(spark, d):
     return W.snapshot_delta(table(spark, d, "events"), "user_id", "ts", "value", "event_id").select("event_id", F.round("delta", 6).alias("delta"))

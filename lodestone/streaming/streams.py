@@ -7,9 +7,10 @@ late rows fall to the watermark.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -41,17 +42,19 @@ def upsert_batch(path: str, key: str = "doc_id", order: str = "ts"):
 
 
 def jumps(rows: DataFrame, source: str, ts: str, value: str, share: float = 0.10, late: str = "10 minutes") -> DataFrame:
-    """``source, ts, previous, value, jump``: values that differ from the source's last one by more than a share."""
+    """``source, ts, previous, value, jump``: values that differ from the source's last one by more than a share.
+
+    One source's rows of a micro-batch are ordered together; the trigger bounds how many those are.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
         out = []
-        for part in batches:
-            for r in part.sort_values(ts).itertuples():
-                now = float(getattr(r, value))
-                if last is not None and last > 0 and abs(now - last) / last > share:
-                    out.append((str(key[0]), getattr(r, ts), last, now, abs(now - last) / last))
-                last = now
+        for at, now in pd.concat([part[[ts, value]] for part in batches]).dropna().sort_values(ts, kind="stable").itertuples(index=False):
+            now = float(now)
+            if last is not None and last > 0 and abs(now - last) / last > share:
+                out.append((str(key[0]), at, last, now, abs(now - last) / last))
+            last = now
         if last is not None:
             state.update((last,))
         yield pd.DataFrame(out, columns=["source", "ts", "previous", "value", "jump"])
@@ -60,12 +63,21 @@ def jumps(rows: DataFrame, source: str, ts: str, value: str, share: float = 0.10
     return x.groupBy(source).applyInPandasWithState(step, "source string, ts timestamp, previous double, value double, jump double", "last double", "append", GroupStateTimeout.NoTimeout)
 
 
-def session_rollup(events: DataFrame, key: str, ts: str, gap: str = "60 minutes", late: str | None = "10 minutes") -> DataFrame:
-    """``key, first_ts, last_ts, events``: sessions that a pause of ``gap`` closes; ``late`` None: a batch."""
+def session_rollup(events: DataFrame, key: str, ts: str, gap: str = "60 minutes", late: str | None = "10 minutes", event: str | None = None, terminal: dict[str, str] | None = None) -> DataFrame:
+    """``key, first_ts, last_ts, events``: sessions that a pause of ``gap`` closes; ``late`` None: a batch.
+
+    With ``event``, a column, there is a ``status`` too: that of the session's first terminal event
+    (``terminal``: status by event), in_progress if it has none.
+    """
     x = events.withWatermark(ts, late) if late else events
+    more = []
+    if event:
+        known = terminal or {"completed": "completed", "abandoned": "abandoned"}
+        status = reduce(lambda c, kv: c.when(F.col(event) == kv[0], F.lit(kv[1])), known.items(), F.when(F.lit(False), F.lit("")))
+        more = [F.coalesce(F.min(F.when(F.col(event).isin(list(known)), F.struct(F.col(ts).alias("at"), status.alias("status"))))["status"], F.lit("in_progress")).alias("status")]
     # a session window ends a gap after its last event
-    out = x.groupBy(key, F.session_window(ts, gap).alias("w")).agg(F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), F.count("*").alias("events"))
-    return out.select(key, "first_ts", "last_ts", "events")
+    out = x.groupBy(key, F.session_window(ts, gap).alias("w")).agg(F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), F.count("*").alias("events"), *more)
+    return out.drop("w")
 
 
 def windowed_counts(events: DataFrame, keys: list[str], ts: str, window: str = "1 hour", late: str | None = "10 minutes") -> DataFrame:
@@ -87,10 +99,6 @@ def compact(events: DataFrame, session: str, ts: str, now: str, days: int, check
 
 def search_log(tables: dict[str, DataFrame], text: str, ts: str, rows: int, most_bytes: int) -> DataFrame:
     """``kind, ts, body``: records of any kind that hold the text, newest first, within caps of rows and bytes."""
-    from functools import reduce
-
-    from pyspark.sql import Window
-
     x = reduce(DataFrame.union, [df.select(F.lit(k).alias("kind"), F.col(ts).alias("ts"), F.to_json(F.struct(*df.columns)).alias("body")) for k, df in tables.items()])
     x = x.where(F.contains(F.lower("body"), F.lit(text.lower()))).orderBy(F.desc("ts"), "kind", "body").limit(rows)
     # a window over at most ``rows`` rows

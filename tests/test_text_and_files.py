@@ -366,3 +366,51 @@ def test_small_counts_bytes(spark):
 
     df = spark.createDataFrame([(1, "x" * 1000, [1, 2])], "a int, b string, c array<int>")
     assert small(df) and not small(df, size=1000) and not small(df, rows=0)
+
+
+def test_knn_odd_vectors(spark, rows):
+    v = spark.createDataFrame(
+        [(1, "a", [1.0, 0.0]), (2, "a", [1.0, 0.0]), (3, "b", [0.0, 0.0]), (4, "b", [-1.0, 0.0]), (5, "a", None), (6, "a", [None, 1.0]), (7, "a", [1.0, 0.0, 0.0]), (8, "a", []), (9, "a", [float("nan"), 1.0])],
+        "id int, kind string, vector array<double>",
+    )
+    q = spark.createDataFrame([("x", [2.0, 0.0]), ("y", None), ("z", [0.0, 0.0, 3.0])], "query_id string, vector array<double>")
+    assert rows(R.knn(q, v, 3).select("query_id", "id", "score", "rank")) == [("x", 1, 1.0, 1), ("x", 2, 1.0, 2), ("x", 3, 0.0, 3), ("z", 7, 0.0, 1)]
+    assert rows(R.knn(q, v, 1, by="kind").select("query_id", "id", "kind", "rank")) == [("x", 1, "a", 1), ("x", 3, "b", 1), ("z", 7, "a", 1)]
+    assert R.knn(q, v.limit(0), 3).count() == 0 and R.knn(q.limit(0), v, 3).count() == 0
+
+
+def test_knn_over_many_blocks(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(R, "BLOCK", 16)
+    x = np.random.default_rng(1).normal(size=(120, 5))
+    df = spark.createDataFrame([(i, y.tolist()) for i, y in enumerate(x)], "id int, vector array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    score = np.round(u @ u.T, 6)
+    want = {(i, int(j), n + 1) for i in range(40) for n, j in enumerate(sorted(range(120), key=lambda j: (-score[i, j], j))[:4])}
+    got = R.knn(df.where("id < 40").withColumnRenamed("id", "query_id"), df, 4)
+    assert {(r.query_id, r.id, r.rank) for r in got.collect()} == want
+
+
+def test_percentiles_with_ties_and_nulls(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    data = [("a", float(v)) for v in rng.integers(0, 9, 101)] + [("b", 3.0), (None, 1.0), (None, 2.0), ("a", None)]
+    got = {r.k: r for r in E.latency_percentiles(spark.createDataFrame(data, "k string, v double"), "k", "v", 0.9).collect()}
+    assert set(got) == {"a", "b", None}
+    a = sorted(v for k, v in data if k == "a" and v is not None)
+    assert (got["a"].nearest, got["a"].floor_index) == (a[90], a[90]) and abs(got["a"].linear - np.quantile(a, 0.9)) < 1e-6
+    assert (got["b"].nearest, got["b"].floor_index, got["b"].linear) == (3.0, 3.0, 3.0) and abs(got[None].linear - 1.9) < 1e-6
+
+
+def test_keyword_ranks(spark, rows):
+    x = spark.createDataFrame([("q", 1, "none", ["Alpha", "beta"]), ("q", 2, "ALPHA", ["Alpha", "beta"]), ("q", 9, None, ["Alpha", "beta"]), ("e", 1, "x", [])], "query_id string, rank int, text string, expected array<string>")
+    assert rows(E.keyword_metrics(x, 5)) == [("e", 0.0, 0.0, 0.0, 0.0), ("q", 0.5, 0.5, 0.5, 0.5)]
+
+
+def test_topics_of_any_length(spark, rows):
+    n = spark.createDataFrame([(1, "aab"), (2, "b"), (3, None), (4, "Forecast model")], "node_id int, name string")
+    t = spark.createDataFrame([("1", "B"), ("2", "ab"), ("3", "cast m"), ("4", ""), ("5", None)], "query_id string, text string")
+    hits = spark.createDataFrame([], "query_id string, id string")
+    assert rows(R.explain(t, hits, n).select("query_id", "id")) == [("1", "1"), ("1", "2"), ("2", "1"), ("3", "4")]
