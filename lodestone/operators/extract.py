@@ -266,8 +266,8 @@ def invoke_edges(files: DataFrame, modules: DataFrame) -> DataFrame:
 
 
 def doc_mentions(chunks: DataFrame) -> DataFrame:
-    """``id, mention, kind, confidence``: files, functions and jobs named in texts."""
-    rules = {"file": r"([\w/.-]+\.(?:py|sh|f90|F90|js|xml|yaml))\b", "function": r"\b(\w+)\(\)", "job": r"\b(J[A-Z][A-Z0-9_]{3,})\b"}
+    """``id, mention, kind, confidence``: files, functions, jobs and scripts named in texts."""
+    rules = {"file": r"([\w/.-]+\.(?:py|sh|f90|F90|js|xml|yaml))\b", "function": r"\b(\w+)\(\)", "job": r"\b(J[A-Z][A-Z0-9_]{3,})\b", "script": r"(?:scripts|ush|jobs)/([A-Za-z_]\w*)"}
     out = None
     for kind, p in rules.items():
         x = chunks.select("id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(p), 1))).alias("mention"), F.lit(kind).alias("kind"), F.lit(0.8).alias("confidence"))
@@ -275,6 +275,21 @@ def doc_mentions(chunks: DataFrame) -> DataFrame:
     return out
 
 
+def doc_links(chunks: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``src, dst, rel, confidence``: DOC_DESCRIBES edges from texts (``id, text``) to the code they name.
+
+    ``nodes`` has ``node_id, label, name, path``. A file is named by its last part, a job or script also without
+    its extension, a function by its name; each pair has one edge, however often it is named.
+    """
+    last = F.regexp_extract("path", r"([^/]+)$", 1)
+    stem = F.regexp_replace(last, r"\.[^.]*$", "")
+    keys = F.array(*(F.struct(F.lit(kind).alias("kind"), key.alias("key")) for kind, key in (("file", last), ("job", stem), ("script", stem))))
+    files = nodes.where("label = 'File'").select("node_id", F.explode(keys).alias("k")).select("node_id", "k.kind", "k.key")
+    known = files.union(nodes.where("label = 'Function'").select("node_id", F.lit("function"), "name")).where("key <> ''")
+    m = doc_mentions(chunks).select("id", "kind", "confidence", F.regexp_extract("mention", r"([^/]+)$", 1).alias("key")).distinct()
+    return m.join(known, ["kind", "key"]).select(F.col("id").alias("src"), F.col("node_id").alias("dst"), F.lit("DOC_DESCRIBES").alias("rel"), "confidence").distinct()
+
+
 def library_uses(facts: DataFrame, libraries: dict[str, str]) -> DataFrame:
     """``path, library``: files whose USE names match a library's pattern."""
     hit = F.array_compact(F.array(*(F.when(F.col("name").rlike(p), F.lit(n)) for n, p in libraries.items())))

@@ -129,18 +129,20 @@ def change_impact(edges: DataFrame, anchors: DataFrame, direct_rels: list[str],
 
 
 def shortest_paths(edges: DataFrame, pairs: DataFrame, depth: int = 5, ties: int = 3) -> DataFrame:
-    """``src, dst, length, path``: up to ``ties`` shortest directed paths of each pair, by their names.
+    """``src, dst, length, path, rels``: up to ``ties`` shortest directed paths of each pair, by their names.
+
+    ``rels`` has the relationship of each step, the first by name where two nodes have several.
 
     Levels of a breadth-first search from each source: a node is entered at its first level only, so a level
     has at most one row for each source, node and predecessor, and each is written to shared storage. Paths
     are then followed back from the pairs that were met, over predecessors one level nearer.
     """
-    e = edges.select(F.col("src").alias("near"), F.col("dst").alias("far")).distinct()
+    e = edges.select(F.col("src").alias("near"), F.col("dst").alias("far"), "rel").groupBy("near", "far").agg(F.min("rel").alias("rel"))
     asked = materialise(pairs.select("src", "dst").where("src <> dst").distinct(), "pairs")
     level = asked.select("src", F.col("src").alias("node")).distinct()
     seen, steps, met = level, [], None
     for d in range(1, clamp_depth(depth) + 1):
-        new = level.join(e, F.expr("node = near")).select("src", F.col("near").alias("before"), F.col("far").alias("node"))
+        new = level.join(e, F.expr("node = near")).select("src", F.col("near").alias("before"), F.col("far").alias("node"), "rel")
         new = materialise(new.join(seen, ["src", "node"], "left_anti"), "level")
         steps.append(new)
         level = new.select("src", "node").distinct()
@@ -152,9 +154,9 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, depth: int = 5, ties: int
     met = materialise(met, "met")
     out = None
     for d in range(1, len(steps) + 1):
-        paths = met.where(F.col("length") == d).select("src", "dst", "length", F.array("dst").alias("path"), F.col("dst").alias("node"))
+        paths = met.where(F.col("length") == d).select("src", "dst", "length", F.array("dst").alias("path"), F.array().cast("array<string>").alias("rels"), F.col("dst").alias("node"))
         for step in reversed(steps[:d]):
-            paths = paths.join(step, ["src", "node"]).select("src", "dst", "length", F.concat(F.array("before"), "path").alias("path"), F.col("before").alias("node"))
+            paths = paths.join(step, ["src", "node"]).select("src", "dst", "length", F.concat(F.array("before"), "path").alias("path"), F.concat(F.array("rel"), "rels").alias("rels"), F.col("before").alias("node"))
         out = paths if out is None else out.union(paths)
     w = Window.partitionBy("src", "dst").orderBy("length", F.array_join("path", ">"))
     return out.drop("node").withColumn("n", F.row_number().over(w)).where(F.col("n") <= ties).drop("n")

@@ -219,12 +219,20 @@ def x15(spark, d):
 
 
 @query("x16_doc_mentions", f"""WITH {files_sql()}, m AS (SELECT path AS id, unnest(list_distinct(regexp_extract_all(content, '([\\w/.-]+\\.(?:py|sh|f90|F90|js|xml|yaml))\\b', 1))) AS mention, 'file' AS kind FROM f
-    UNION ALL SELECT path, unnest(list_distinct(regexp_extract_all(content, '\\b(\\w+)\\(\\)', 1))), 'function' FROM f UNION ALL SELECT path, unnest(list_distinct(regexp_extract_all(content, '\\b(J[A-Z][A-Z0-9_]{{3,}})\\b', 1))), 'job' FROM f)
+    UNION ALL SELECT path, unnest(list_distinct(regexp_extract_all(content, '\\b(\\w+)\\(\\)', 1))), 'function' FROM f UNION ALL SELECT path, unnest(list_distinct(regexp_extract_all(content, '\\b(J[A-Z][A-Z0-9_]{{3,}})\\b', 1))), 'job' FROM f UNION ALL SELECT path, unnest(list_distinct(regexp_extract_all(content, '(?:scripts|ush|jobs)/([A-Za-z_]\\w*)', 1))), 'script' FROM f)
     SELECT id, mention, kind, CAST(0.8 AS DOUBLE) AS confidence FROM m""")
 def x16(spark, d):
     return X.doc_mentions(files(spark, d).select(F.col("path").alias("id"), F.col("content").alias("text")))
 
 
+@query("x16_doc_links", f"""WITH m AS (SELECT DISTINCT 'lib/tool_' || p_size || '.py' AS module, p_size AS s FROM part), r AS (SELECT DISTINCT 'ush/run_' || p_size || '.sh' AS module, p_size AS s FROM part)
+    SELECT DISTINCT {SCRIPT_PATH} AS src, module AS dst, 'DOC_DESCRIBES' AS rel, CAST(0.8 AS DOUBLE) AS confidence FROM orders JOIN m ON o_orderkey % 17 = s UNION SELECT {SCRIPT_PATH}, module, 'DOC_DESCRIBES', 0.8 FROM orders JOIN r ON o_orderkey % 13 = s""")
+def x16_links(spark, d):
+    p = table(spark, d, "part").select(F.explode(F.array(F.concat(F.lit("lib/tool_"), "p_size", F.lit(".py")), F.concat(F.lit("ush/run_"), "p_size", F.lit(".sh")))).alias("path")).distinct()
+    nodes = p.select(F.col("path").alias("node_id"), F.lit("File").alias("label"), F.col("path").alias("name"), "path")
+    return X.doc_links(files(spark, d).select(F.col("path").alias("id"), F.col("content").alias("text")), nodes)
+
+
 @query("x17_library_uses", f"SELECT {PART_PATH} AS path, 'netcdf' AS library FROM part WHERE p_size % 5 IN (1, 2) UNION ALL SELECT {PART_PATH}, 'iso' FROM part")
 def x17(spark, d):
     return X.library_uses(X.fortran_facts(files(spark, d, FORTRAN, PART_PATH, "part")), {"netcdf": "^netcdf_[12]$", "iso": "^iso"})

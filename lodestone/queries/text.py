@@ -43,7 +43,7 @@ simple("f01_token_estimate", lambda: T.token_estimate(F.col("text")), f"CAST(cei
 simple("f02_deterministic_id", lambda: T.deterministic_id(F.col("source"), F.col("text")), "left(sha256(source || left(text, 500)), 16)")
 simple("f03_normalised_hash", lambda: T.normalised_hash(F.col("text")), "sha256(trim(regexp_replace(lower(text), '[\\t\\n\\v\\f\\r ]+', ' ', 'g')))")
 simple("f04_md5", lambda: F.md5("text"), "md5(text)")
-simple("f06_slug", lambda: T.slug(F.left("text", F.lit(60))), "regexp_replace(regexp_replace(lower(left(text, 60)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')")
+simple("f06_slug", lambda: T.slug(F.col("text")), "regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')")
 simple("f06_slug_whole", lambda: T.slug(F.col("text")), "regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')")
 simple("f07_code_identifier", lambda: T.is_code_identifier(F.col("text")), "regexp_matches(text, '[a-z][A-Z]') OR regexp_matches(text, '\\w_\\w') OR regexp_matches(text, '\\w\\.\\w') OR contains(text, '/')")
 simple("f08_quality_content", lambda: T.quality_content(F.col("text")), "length(text) >= 20 AND length(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')) / length(text) > 0.5")
@@ -201,10 +201,9 @@ def w04(spark, d):
     return W.trend(table(spark, d, "events"), "user_id", "ts", "value", "event_id", 10)
 
 
-@query("w05_dedupe_first", "SELECT conv_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY role, left(text, 20) ORDER BY conv_id, turn) AS n FROM conversations) q WHERE n = 1")
+@query("w05_dedupe_first", "SELECT conv_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY role, text ORDER BY conv_id, turn) AS n FROM conversations) q WHERE n = 1")
 def w05(spark, d):
-    x = table(spark, d, "conversations").withColumn("k", F.concat("role", F.left("text", F.lit(20))))
-    return W.dedupe_first(x, "k", ["conv_id", "turn"]).select("conv_id", "turn")
+    return W.dedupe_first(table(spark, d, "conversations"), F.struct("role", "text"), ["conv_id", "turn"]).select("conv_id", "turn")
 
 
 @query("w05_dedupe_first_whole", "SELECT conv_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY role, text ORDER BY conv_id, turn) AS n FROM conversations) q WHERE n = 1")

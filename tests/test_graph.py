@@ -39,6 +39,7 @@ def test_cycles_have_one_rotation(edges, rows):
 def test_shortest_paths_keep_ties(spark, edges, rows):
     pairs = spark.createDataFrame([("s", "t"), ("m1", "m3"), ("t", "s")], "src string, dst string")
     got = rows(G.shortest_paths(edges, pairs).select("src", "dst", "length", "path"))
+    assert all(len(r.rels) == r.length for r in G.shortest_paths(edges, pairs).collect())
     assert got == [("m1", "m3", 2, ["m1", "m2", "m3"]), ("s", "t", 2, ["s", "p1", "t"]), ("s", "t", 2, ["s", "p2", "t"])]
 
 

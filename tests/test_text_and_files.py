@@ -126,7 +126,10 @@ def test_other_extractors(spark, rows):
     assert [r[1] for r in rows(X.execute_refs(x))] == ["model", "post", "tool"]
     assert rows(X.invoke_edges(files(spark, s="python Run_It.py"), files(spark, **{"u__run_it.py": ""}))) == [("s", "u/run_it.py")]
     d = rows(X.doc_mentions(spark.createDataFrame([(1, "see ush/a.sh and go() in JGFS_RUN")], "id int, text string")).select("mention", "kind"))
-    assert d == [("JGFS_RUN", "job"), ("go", "function"), ("ush/a.sh", "file")]
+    assert d == [("JGFS_RUN", "job"), ("a", "script"), ("go", "function"), ("ush/a.sh", "file")]
+    nodes = spark.createDataFrame([("f1", "File", None, "x/a.sh"), ("f2", "File", None, "jobs/JGFS_RUN"), ("f3", "File", None, "x/b.sh"), ("g", "Function", "go", None), ("n", "File", None, None)], "node_id string, label string, name string, path string")
+    links = X.doc_links(spark.createDataFrame([(1, "see ush/a.sh and go() in JGFS_RUN"), (2, None)], "id int, text string"), nodes)
+    assert rows(links) == [(1, n, "DOC_DESCRIBES", 0.8) for n in ("f1", "f2", "g")]
     assert rows(X.dependency_tokens(files(spark, p="import a.b\nfrom c import d\n${E}\nimport a.b"))) == [("p", ["a.b", "c", "E"])]
     u = spark.createDataFrame([("f", "use", "netcdf_mod")], "path string, kind string, name string")
     assert rows(X.library_uses(u, {"netcdf": "^netcdf"})) == [("f", "netcdf")]
