@@ -16,13 +16,14 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lodestone.llm.tokens import slices
+from lodestone.llm.worker import kept
 
 #: Characters of a leaf at most, and characters around a join that are split anew at first.
 LEAF, AROUND = 2048, 64
@@ -57,26 +58,28 @@ class Bpe:
         self.core = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=self.special)
         # the pattern's \s is Unicode white space; Python's also holds 0x1C-0x1F
         self.pieces = regex.compile(PATTERN.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
-        self.pool = ThreadPoolExecutor(THREADS)
         self.parts = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
 
-    def encode(self, text: str, leaf: int = LEAF) -> list[int]:
-        """Ids of a whole text; its special tokens' strings are never cut."""
+    def encode(self, text: str, leaf: int = LEAF, each: Callable = map) -> list[int]:
+        """Ids of a whole text; its special tokens' strings are never cut.
+
+        ``each`` maps a function over a text's leaves; a pool's ``map`` does so in parallel.
+        """
         if self.parts is None or not any(x in text for x in self.special):
-            return self.tree(text, leaf)
+            return self.tree(text, leaf, each)
         out: list[int] = []
         for part in self.parts.split(text):
-            out += [self.special[part]] if part in self.special else self.tree(part, leaf)
+            out += [self.special[part]] if part in self.special else self.tree(part, leaf, each)
         return out
 
-    def tree(self, text: str, leaf: int = LEAF) -> list[int]:
-        """Ids of a text without special tokens: leaves in parallel, then joins, level by level."""
+    def tree(self, text: str, leaf: int = LEAF, each: Callable = map) -> list[int]:
+        """Ids of a text without special tokens: leaves first, then joins, level by level."""
         cuts = [text]
         while any(len(x) > leaf for x in cuts):
             cuts = [y for x in cuts for y in ((x[: len(x) // 2], x[len(x) // 2 :]) if len(x) > 1 else (x,))]
         if len(cuts) == 1:
             return self.core.encode_ordinary(text)
-        level = list(zip(cuts, self.pool.map(self.core.encode_ordinary, cuts), strict=True))
+        level = list(zip(cuts, each(self.core.encode_ordinary, cuts), strict=True))
         while len(level) > 1:
             level = [self.join(*level[i], *level[i + 1]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
         return level[0][1]
@@ -134,14 +137,9 @@ class Bpe:
         return self.core.decode_bytes(ids).decode("utf-8", "replace")
 
 
-_loaded: dict[str, Bpe] = {}
-
-
 def load(path: str) -> Bpe:
-    """The vocabulary at ``path``, read once in each Python worker."""
-    if path not in _loaded:
-        _loaded[path] = Bpe(path)
-    return _loaded[path]
+    """The vocabulary at ``path``, read once in each Python process."""
+    return kept(("bpe", path), lambda: Bpe(path))
 
 
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -155,14 +153,15 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
-        for batch in batches:
-            keys, texts = batch.column(0), batch.column(1)
-            for lo, hi, _, _ in slices(texts):
-                ids = [bpe.encode(t or "") for t in texts.slice(lo, hi - lo).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [keys.slice(lo, hi - lo), pa.array(ids, pa.list_(pa.int32())), pa.array([bpe.decode(x) for x in ids], pa.string())],
-                    ["id", "ids", "decoded"],
-                )
+        with ThreadPoolExecutor(THREADS) as pool:
+            for batch in batches:
+                keys, texts = batch.column(0), batch.column(1)
+                for lo, hi, _, _ in slices(texts):
+                    ids = [bpe.encode(t or "", each=pool.map) for t in texts.slice(lo, hi - lo).to_pylist()]
+                    yield pa.RecordBatch.from_arrays(
+                        [keys.slice(lo, hi - lo), pa.array(ids, pa.list_(pa.int32())), pa.array([bpe.decode(x) for x in ids], pa.string())],
+                        ["id", "ids", "decoded"],
+                    )
 
     return docs.select(id_col, text_col).mapInArrow(run, f"id {id_type}, ids array<int>, decoded string").withColumnRenamed("id", id_col)
 

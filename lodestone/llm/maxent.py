@@ -183,7 +183,7 @@ def _pair_counts(docs: DataFrame, known: object) -> DataFrame:
     wide = {0: BEFORE, 1: BEFORE, 2: CLASSES, 3: BEFORE, 4: CLASSES}
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place: Layout = known.value
+        place = Layout(**known.value)
         none = place.start[-1]
         starts = np.append(place.start, none + 1)
 
@@ -275,7 +275,7 @@ def train(docs: DataFrame, place: Layout, totals: np.ndarray, room: np.ndarray)
     """The model from all texts of ``docs`` (``id, text``); ``totals`` are the classes' tokens."""
     classes = np.log((totals + 1) / (totals.sum() + CLASSES)).astype(np.float32)
     sizes = np.append(np.diff(place.start), 1)
-    pairs = _pair_counts(docs, docs.sparkSession.sparkContext.broadcast(place))
+    pairs = _pair_counts(docs, docs.sparkSession.sparkContext.broadcast(vars(place)))
 
     def fit(table: pa.Table) -> pa.Table:
         k = table.column("class")[0].as_py()
@@ -361,11 +361,13 @@ def score_texts(docs: DataFrame, train_docs: DataFrame, id_col: str = "doc_id",
     model, hashes, counts, totals, distinct = build(vocab, learn)
     total = int(totals.sum())
     floor = np.log10(total + distinct + 1)
-    lookup = docs.sparkSession.sparkContext.broadcast((model, hashes, counts))
+    # broadcasts hold arrays, no objects of this package: those are pickled by name, which executors may not know
+    lookup = docs.sparkSession.sparkContext.broadcast((vars(model.layout), {k: v for k, v in vars(model).items() if k != "layout"}, hashes, counts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, hashes, counts = lookup.value
-        place, key = model.layout, TaskContext.get().partitionId() << 40
+        place, weights, hashes, counts = lookup.value
+        place, key = Layout(**place), TaskContext.get().partitionId() << 40
+        model = Model(layout=place, **weights)
         for batch in batches:
             for lo, hi, data, offsets in slices(batch.column(1)):
                 t = tokens(data, offsets)

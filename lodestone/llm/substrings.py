@@ -167,11 +167,11 @@ def _repeats(shard: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if not len(again):
         return tuple(np.zeros(0, np.int64) for _ in range(3))
     when = np.full(len(string), len(string), np.int64)
-    ids, starts = shard.column("id").to_numpy(), shard.column("start").to_numpy().astype(np.int64)
-    of, pos = ids[seg[window]], starts[seg[window]] + place[window]
-    order = np.lexsort((pos, of))
+    ids, tags, starts = shard.column("id").to_numpy(), shard.column("tag").to_numpy(), shard.column("start").to_numpy().astype(np.int64)
+    of, tag, pos = ids[seg[window]], tags[seg[window]], starts[seg[window]] + place[window]
+    order = np.lexsort((tag, pos, of))
     # rows that are given twice have one place
-    new = (of[order][1:] != of[order][:-1]) | (pos[order][1:] != pos[order][:-1])
+    new = (of[order][1:] != of[order][:-1]) | (pos[order][1:] != pos[order][:-1]) | (tag[order][1:] != tag[order][:-1])
     when[at[window[order]]] = np.concatenate(([0], np.cumsum(new)))
     ranges, back = np.unique(np.stack([lo[again], hi[again]]), axis=1, return_inverse=True)
     ordered = np.append(when[index.suffixes], len(string))
@@ -186,23 +186,26 @@ def _repeats(shard: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def repeated_spans(docs: DataFrame, packed: DataFrame) -> DataFrame:
-    """``id, first, last``: runs of words that some window with an earlier start also has."""
+    """``id, tag, first, last``: runs of words that some window with an earlier start also has.
+
+    ``docs`` has ``id, tag, text``; ids are not null.
+    """
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in slices(batch.column(1)):
+            for lo, hi, data, offsets in slices(batch.column(2)):
                 doc, start, n, anchor, content, times = _runs(data, offsets)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo).take(pa.array(doc)), *(pa.array(x.astype(t)) for x, t in ((start, np.int32), (n, np.int32), (anchor, np.int64), (content, np.int64), (times, np.int32)))],
-                    ["id", "start", "n", "anchor", "content", "times"],
+                    [*(batch.column(i).slice(lo, hi - lo).take(pa.array(doc)) for i in (0, 1)), *(pa.array(x.astype(t)) for x, t in ((start, np.int32), (n, np.int32), (anchor, np.int64), (content, np.int64), (times, np.int32)))],
+                    ["id", "tag", "start", "n", "anchor", "content", "times"],
                 )
 
     kind = docs.schema["id"].dataType.simpleString()
-    rows = docs.mapInArrow(runs, f"id {kind}, start int, n int, anchor long, content long, times int")
+    rows = docs.mapInArrow(runs, f"id {kind}, tag long, start int, n int, anchor long, content long, times int")
     seen = rows.groupBy("anchor").agg(F.sum("times").alias("seen")).where("seen > 1")
     again = materialise(rows.drop("times").join(seen.hint("merge"), "anchor"), "segments")
-    firsts = again.groupBy("anchor", "content", "n").agg(F.min(F.struct("id", "start")).alias("one"), F.max("seen").alias("seen"))
-    firsts = materialise(firsts.select("anchor", "content", "n", "one.id", "one.start", "seen"), "firsts")
+    firsts = again.groupBy("anchor", "content", "n").agg(F.min(F.struct("id", "start", "tag")).alias("one"), F.max("seen").alias("seen"))
+    firsts = materialise(firsts.select("anchor", "content", "n", "one.id", "one.tag", "one.start", "seen"), "firsts")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -210,72 +213,76 @@ def repeated_spans(docs: DataFrame, packed: DataFrame) -> DataFrame:
         open_ = zstandard.ZstdDecompressor()
         for batch in batches:
             out: list[tuple] = []
-            for key, blob, parts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+            for key, tag, blob, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
                 own = open_.decompress(blob.as_buffer()).split()
                 for p in parts:
                     if p["seen"] < HOT:
-                        out.append((p["anchor"], key, p["start"], b" ".join(own[p["start"] : p["start"] + p["n"] + WINDOW - 1]), 1))
+                        out.append((p["anchor"], key, tag, p["start"], b" ".join(own[p["start"] : p["start"] + p["n"] + WINDOW - 1]), 1))
                     else:
                         for i in range(p["start"], p["start"] + p["n"]):
                             window = b" ".join(own[i : i + WINDOW])
-                            out.append((int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little", signed=True), key, i, window, 1 + p["seen"] // HOT))
-            route, ids, start, text, deal = zip(*out, strict=True) if out else ((), (), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(route, pa.int64()), pa.array(ids, batch.schema.field(0).type), pa.array(start, pa.int32()), pa.array(text, pa.binary()).cast(pa.string()), pa.array(deal, pa.int64())], ["route", "id", "start", "segment", "deal"])
+                            out.append((int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little", signed=True), key, tag, i, window, 1 + p["seen"] // HOT))
+            route, ids, tags, start, text, deal = zip(*out, strict=True) if out else ((), (), (), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(route, pa.int64()), pa.array(ids, batch.schema.field(0).type), pa.array(tags, pa.int64()), pa.array(start, pa.int32()), pa.array(text, pa.binary()).cast(pa.string()), pa.array(deal, pa.int64())], ["route", "id", "tag", "start", "segment", "deal"])
 
-    wanted = firsts.groupBy("id").agg(F.collect_list(F.struct("start", "n", "anchor", "seen")).alias("parts"))
-    segments = packed.join(wanted.hint("merge"), "id").select("id", "packed", "parts").mapInArrow(cut, f"route long, id {kind}, start int, segment string, deal long")
+    shape = f"route long, id {kind}, tag long, start int, segment string, deal long"
+    wanted = firsts.groupBy("id", "tag").agg(F.collect_list(F.struct("start", "n", "anchor", "seen")).alias("parts"))
+    segments = packed.join(wanted.hint("merge"), ["id", "tag"]).select("id", "tag", "packed", "parts").mapInArrow(cut, shape)
     segments = materialise(segments, "cut")
 
     def sharded(rows: DataFrame) -> DataFrame:
         shards = max(1, -(-rows.count() // SHARD))
-        return rows.withColumn("shard", F.pmod(F.xxhash64("route", F.pmod(F.xxhash64("id", "start"), "deal")), F.lit(shards))).groupBy("shard")
+        return rows.withColumn("shard", F.pmod(F.xxhash64("route", F.pmod(F.xxhash64("id", "tag", "start"), "deal")), F.lit(shards))).groupBy("shard")
 
     def reduce(table: pa.Table) -> pa.Table:
         gone = np.zeros(len(table), bool)
         gone[_repeats(table)[0]] = True
-        return table.select(["route", "id", "start", "segment", "deal"]).append_column("gone", pa.array(gone))
+        return table.select(["route", "id", "tag", "start", "segment", "deal"]).append_column("gone", pa.array(gone))
 
     # windows that are dealt over several shards: only the first of each shard goes on
     found, hot = [], segments.where("deal > 1")
     segments = segments.where("deal = 1")
     while not hot.isEmpty():
-        seen = materialise(sharded(hot).applyInArrow(reduce, f"route long, id {kind}, start int, segment string, deal long, gone boolean"), "round")
-        found.append(seen.where("gone").select("id", F.col("start").cast("long").alias("first"), (F.col("start") + WINDOW - 1).cast("long").alias("last")))
+        seen = materialise(sharded(hot).applyInArrow(reduce, f"{shape}, gone boolean"), "round")
+        found.append(seen.where("gone").select("id", "tag", F.col("start").cast("long").alias("first"), (F.col("start") + WINDOW - 1).cast("long").alias("last")))
         left = seen.where("not gone").drop("gone").withColumn("deal", F.when(F.col("deal") <= HOT, 1).otherwise(F.floor(F.col("deal") / HOT) + 1).cast("long"))
         segments, hot = segments.unionByName(left.where("deal = 1")), left.where("deal > 1")
 
     def search(table: pa.Table) -> pa.Table:
         row, first, last = _repeats(table)
         start = table.column("start").to_numpy()[row].astype(np.int64)
-        return pa.table({"id": table.column("id").take(pa.array(row)), "first": pa.array(start + first), "last": pa.array(start + last + WINDOW - 1)})
+        return pa.table({**{c: table.column(c).take(pa.array(row)) for c in ("id", "tag")}, "first": pa.array(start + first), "last": pa.array(start + last + WINDOW - 1)})
 
-    inside = sharded(segments).applyInArrow(search, f"id {kind}, first long, last long")
+    inside = sharded(segments).applyInArrow(search, f"id {kind}, tag long, first long, last long")
     for part in found:
         inside = inside.union(part)
-    one = firsts.select("anchor", "content", "n", F.col("id").alias("one_id"), F.col("start").alias("one_start"))
-    copies = again.join(one.hint("merge"), ["anchor", "content", "n"]).where("id <> one_id or start <> one_start")
-    return inside.union(copies.select("id", F.col("start").cast("long"), (F.col("start") + F.col("n") + WINDOW - 2).cast("long")))
+    one = firsts.select("anchor", "content", "n", F.col("id").alias("one_id"), F.col("tag").alias("one_tag"), F.col("start").alias("one_start"))
+    copies = again.join(one.hint("merge"), ["anchor", "content", "n"]).where("id <> one_id or start <> one_start or tag <> one_tag")
+    return inside.union(copies.select("id", "tag", F.col("start").cast("long"), (F.col("start") + F.col("n") + WINDOW - 2).cast("long")))
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, n_words, n_removed, kept`` for every document; kept joins what is left by spaces.
+    """``id, tag, n_words, n_removed, kept`` for every document; kept joins what is left by spaces.
 
     Words are runs of bytes without ASCII white space, unchanged. A word goes if a window of
     20 words that covers it has a word sequence that also starts earlier: in a document with
     a smaller id, or earlier in the same one. Windows are judged on the input. Null and empty
     texts have no words; a text of fewer than 20 words stays as it is. Rows that repeat an id
-    with its text are cut alike and do not repeat each other; other columns are not read; an empty table gives an empty result.
+    with its text are cut alike and do not repeat each other. Rows of one id with different texts are each cut
+    by their own spans; ``tag``, a hash of the text, tells them apart and orders starts at the same
+    place. Rows without an id take no part and keep their words. Other columns are not read; an empty table gives an empty result.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    text = F.col(text_col)
+    own = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("tag"), text.alias("text"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         coder = zstandard.ZstdCompressor(3)
         for batch in batches:
-            blobs = [coder.compress(t.as_buffer() if t.is_valid else b"") for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], ["id", "packed"])
+            blobs = [coder.compress(t.as_buffer() if t.is_valid else b"") for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blobs, pa.binary())], ["id", "tag", "packed"])
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -283,7 +290,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         open_ = zstandard.ZstdDecompressor()
         for batch in batches:
             total, gone, left = [], [], []
-            for blob, spans in zip(batch.column(1), batch.column(2), strict=True):
+            for blob, spans in zip(batch.column(2), batch.column(3), strict=True):
                 text = open_.decompress(blob.as_buffer()).split()
                 total.append(len(text))
                 if spans.is_valid:
@@ -294,12 +301,13 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     text = [w for w, c in zip(text, np.cumsum(cover)[:-1].tolist(), strict=True) if not c]
                 gone.append(total[-1] - len(text))
                 left.append(b" ".join(text))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(left, pa.binary()).cast(pa.string())], ["id", "n_words", "n_removed", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(left, pa.binary()).cast(pa.string())], ["id", "tag", "n_words", "n_removed", "kept"])
 
-    packed = own.mapInArrow(pack, f"id {kind}, packed binary")
-    spans = repeated_spans(own, packed).groupBy("id").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
-    out = packed.join(materialise(spans, "spans").hint("merge"), "id", "left").select("id", "packed", "spans")
-    return out.mapInArrow(keep, f"id {kind}, n_words long, n_removed long, kept string").withColumnRenamed("id", id_col)
+    packed = own.mapInArrow(pack, f"id {kind}, tag long, packed binary")
+    # spans of repeated rows are the same ones, and so one
+    spans = repeated_spans(own.where("id is not null"), packed).groupBy("id", "tag").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
+    out = packed.join(materialise(spans, "spans").hint("merge"), ["id", "tag"], "left").select("id", "tag", "packed", "spans")
+    return out.mapInArrow(keep, f"id {kind}, tag long, n_words long, n_removed long, kept string").withColumnRenamed("id", id_col)
 
 
 def kept_digests(docs: DataFrame) -> DataFrame:

@@ -141,6 +141,15 @@ def test_substrings_of_repeated_rows(spark):
     assert sorted((r.doc_id, r.n_removed) for r in substrings.kept_digests(rows).collect()) == [(1, 0), (1, 0), (2, 30), (2, 30), (3, 0)]
 
 
+def test_substrings_of_one_id_with_several_texts(spark):
+    w = [f"w{i}" for i in range(120)]
+    texts = [(1, w[:40]), (1, w[60:100] + w[:25]), (1, w[100:]), (2, w[50:100]), (None, w[:40]), (None, w[60:90])]
+    rows = spark.createDataFrame([(i, " ".join(t)) for i, t in texts], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in substrings.drop_repeats(rows).collect()), key=repr)
+    want = [(1, 40, 0, w[:40]), (1, 65, 25, w[60:100]), (1, 20, 0, w[100:]), (2, 50, 40, w[50:60]), (None, 40, 0, w[:40]), (None, 30, 0, w[60:90])]
+    assert got == sorted(((i, n, k, " ".join(t)) for i, n, k, t in want), key=repr)
+
+
 def test_substrings_empty_table(spark):
     assert substrings.kept_digests(table(spark, ODD).limit(0)).count() == 0
 
@@ -445,6 +454,19 @@ def test_bpe_takes_the_tree_on_the_given_tables(vocabulary, texts, monkeypatch):
     assert long >= 50
 
 
+def test_bpe_vocabulary_stays_in_its_process(spark, vocabulary):
+    import pickle
+
+    from pyspark import cloudpickle
+
+    coder = bpe.load(vocabulary[0])
+    assert bpe.load(vocabulary[0]) is coder
+    assert len(pickle.dumps(cloudpickle.dumps(lambda: bpe.load("x")))) < 100_000
+    docs = table(spark, ["a b c"] * 64).repartition(32)
+    read = docs.rdd.mapPartitions(lambda _: [id(bpe.load(vocabulary[0]))]).distinct().count()
+    assert read <= 8  # one a Python worker, not one a task
+
+
 # -- op9 quality
 
 

@@ -42,7 +42,8 @@ def test_stages_with_odd_rows(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     first = docs.where("length(text) > 300 and lang is not null").orderBy("doc_id").limit(5).collect()
     odd = [(10**6 + i, t, None, None, None) for i, t in enumerate([None, "", "   ", first[0].text, first[0].text, " ".join([first[1].text] * 60)])]
-    odd += [tuple(first[0]), tuple(first[0])]
+    odd += [tuple(first[0]), tuple(first[0]), (None, first[3].text, None, None, None), (None, first[4].text, None, None, None)]
+    odd += [(2 * 10**6, " ".join(f"{k}{i}" for i in range(60)), None, None, None) for k in "pq"]
     own = docs.limit(40).union(spark.createDataFrame(odd, docs.schema)).selectExpr("*", "'k' as kept", "1 as left", "0.5D as score", "true as gone")
     own.write.parquet(f"{d}/documents.parquet")
     before = spark.conf.get(corpus_pipeline.BATCHES)
