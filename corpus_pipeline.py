@@ -31,30 +31,31 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group."""
+    """The document with the smallest id of each near-duplicate group; documents without an id are in none and stay."""
     _small_batches(spark)
-    kept = neardup.near_duplicates(docs).where("kept").select("doc_id")
-    return docs.join(kept.hint("merge"), "doc_id", "left_semi").select(docs.columns)
+    gone = neardup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that start earlier elsewhere; those with nothing else go.
 
     A document that loses words has its other words joined by single spaces, and n_chars
-    follows; any other stays as it is.
+    follows; any other stays as it is, as do documents without an id. Rows of one id with different texts are told apart by their text.
     """
     _small_batches(spark)
-    left = "left"
-    while left in docs.columns:  # documents may have any further columns
-        left += "_"
-    cut = substrings.drop_repeats(docs).where("n_removed > 0").select("doc_id", F.col("kept").alias(left)).distinct()
-    out = docs.join(materialise(cut, "cut").hint("merge"), "doc_id", "left").where(F.col(left).isNull() | (F.col(left) != ""))
+    left, tag = "left", "tag"
+    while {left, tag} & set(docs.columns):  # documents may have any further columns
+        left, tag = left + "_", tag + "_"
+    cut = substrings.drop_repeats(docs).where("n_removed > 0").select("doc_id", F.col("tag").alias(tag), F.col("kept").alias(left)).distinct()
+    docs_ = docs.withColumn(tag, F.xxhash64("text"))
+    out = docs_.join(materialise(cut, "cut").hint("merge"), ["doc_id", tag], "left").where(F.col(left).isNull() | (F.col(left) != ""))
     out = out.withColumn("n_chars", F.when(F.col(left).isNull(), F.col("n_chars")).otherwise(F.length(left)).cast(docs.schema["n_chars"].dataType))
     return out.withColumn("text", F.coalesce(left, "text")).select(docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item."""
+    """Documents that contain no benchmark item; rows of one id go together, and those without an id stay."""
     leaks = decontam.contained_items(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
     return docs.join(leaks.hint("merge"), "doc_id", "left_anti").select(docs.columns)
 
