@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import decontam, licenses, topk
+from lodestone.llm import decontam, infill, licenses, repair, topk
 from lodestone.plans.stages import table
 
 
@@ -16,6 +16,12 @@ def bpe_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def pieces_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.toxicity import classify
 
@@ -72,6 +78,20 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
+def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.pieces import token_digests
+
+    return token_digests(table(spark, sf_dir, "documents"), pieces_path())
+
+
+def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_substrings": op2_substrings,
@@ -83,9 +103,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_quality": op9_quality,
     "op10_topk": op10_topk,
+    "op11_repair": op11_repair,
+    "op12_pieces": op12_pieces,
+    "op13_infill": op13_infill,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_decontamination": decontam.oracle_sql(),
     "op5_licenses": licenses.oracle_sql(),
     "op10_topk": topk.oracle_sql(),
+    "op11_repair": repair.oracle_sql(),
+    "op13_infill": infill.oracle_sql(),
 }
