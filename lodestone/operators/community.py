@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.operators.components import connected_components
@@ -30,75 +30,144 @@ def modularity(pairs: DataFrame, membership: DataFrame, gamma: float = 1.0) -> D
     return x.agg(F.round(F.sum(part), 6).alias("modularity"))
 
 
-def communities(pairs: DataFrame, gamma: float = 1.0, max_levels: int = 5, patience: int = 3) -> DataFrame:
-    """``node, level, community``: communities by local moves, refinement and contraction.
-
-    In a sweep first one half of the nodes (by a hash of node and sweep), then the other moves
-    to the neighbouring community with the highest positive modularity gain, ties to the
-    smallest name. A level's sweeps end when neither half moves a node; as nodes that move at
-    once can undo each other's gain, they also end when ``patience`` sweeps on end have not
-    raised the modularity, and the best places count. Then every community is split into its
-    connected components, the graph is contracted, and the next level starts from those, until
-    nothing merges. Each half is written to shared storage. Null ends and loops are left out.
-    Community names are those of their smallest nodes.
+#: A move must gain more than this.
+LEAST_GAIN = 1e-9
+
+
+class _Level:
+    """One level's graph: ``ends`` (``node, other, weight, k``, both ways) with ``k`` the node's weighted degree, which
+    counts what lies inside it, and the weight of all edges."""
+
+    def __init__(self, ends: DataFrame, total: float, gamma: float):
+        self.ends, self.total, self.gamma = ends, total, gamma
+
+    def expected(self, k: Column, rest: Column) -> Column:
+        """The weight that chance puts between parts of these degrees."""
+        return F.lit(self.gamma) * k * rest / (2 * self.total)
+
+    def half(self, place: DataFrame, turn: Column) -> DataFrame:
+        """``node, k, community, moved, w, kc`` after the nodes in turn have moved to their best communities.
+
+        ``w`` is what a node had in its community before, ``kc`` that community's degree. A hub's edges are summed up by
+        (node, community), and these by node, each time before the shuffle.
+        """
+        kc = place.groupBy("community").agg(F.sum("k").alias("kc"))
+        at = place.select("node", "community").join(kc, "community").select("node", "community", "kc")
+        x = self.ends.join(at, "node").join(at.toDF("other", "to", "kt"), "other")
+        x = x.groupBy("node", "to").agg(F.sum("weight").alias("w"), *(F.max(c).alias(c) for c in ("k", "kt", "kc", "community")))
+        own, loss = F.col("to") == F.col("community"), self.expected(F.col("k"), F.col("kt")) - F.col("w")
+        x = x.groupBy("node").agg(F.coalesce(F.max(F.when(own, F.col("w"))), F.lit(0.0)).alias("w"), F.min(F.when(~own, F.struct(loss.alias("loss"), "to"))).alias("best"), *(F.max(c).alias(c) for c in ("k", "kc", "community")))
+        stay = F.col("w") - self.expected(F.col("k"), F.col("kc") - F.col("k"))
+        x = x.withColumn("moved", F.coalesce(turn & (-F.col("best.loss") > stay + LEAST_GAIN), F.lit(False)))
+        return x.select("node", "k", F.when(F.col("moved"), F.col("best.to")).otherwise(F.col("community")).alias("community"), "moved", "w", "kc")
+
+    def local_moves(self, place: DataFrame, patience: int) -> tuple[DataFrame, int]:
+        """The best places that sweeps over both halves of the nodes reach, and how many communities they make."""
+        best, most, waited, idle, step = place, None, 0, 0, 0
+        while True:
+            new = materialise(self.half(place, F.pmod(F.xxhash64("node", F.lit(step // 2)), F.lit(2)) == step % 2), "place")
+            # the quality of the places before the moves, up to what lies inside the nodes
+            moved, held, square = new.agg(F.sum(F.col("moved").cast("long")), F.sum("w"), F.sum(F.col("k") * F.col("kc"))).first()
+            quality = (held or 0) / (2 * self.total) - self.gamma * (square or 0) / (2 * self.total) ** 2
+            best, most, waited = (place, quality, 0) if most is None or quality > most + LEAST_GAIN else (best, most, waited + 1)
+            idle = 0 if moved else idle + 1
+            if idle == 2 or waited >= 2 * patience:
+                return best, best.agg(F.count_distinct("community")).first()[0]
+            place, step = new.select("node", "k", "community"), step + 1
+
+    def refined(self, place: DataFrame) -> tuple[DataFrame, int]:
+        """``node, k, community, part`` with well-connected nodes merged inside their communities, and the number of parts.
+
+        Parts start as single nodes. A node that is still single and well connected with its community
+        joins the well-connected part with the highest positive gain. Nodes of one half (a new one each
+        time) may join what does not move then itself, so a part is connected: whoever joins has an edge into it.
+        """
+        at = place.select("node", "community")
+        same = self.ends.join(at, "node").join(at.toDF("other", "c"), "other")
+        inner = materialise(same.where("community = c").select("node", "other", "weight", "k"), "inner")
+        kc = place.groupBy("community").agg(F.sum("k").alias("kc"))
+        tied = inner.groupBy("node").agg(F.sum("weight").alias("w"))
+        start = place.select("node", "k", "community").join(kc, "community").join(tied, "node", "left").withColumn("w", F.coalesce("w", F.lit(0.0)))
+        parts, idle, step = materialise(start.withColumn("part", F.col("node")), "parts"), 0, 0
+        count = place.count()
+        while True:
+            turn = lambda c: F.pmod(F.xxhash64(c, F.lit(step // 2)), F.lit(2)) == step % 2  # noqa: B023, E731
+            own = parts.select("node", "part")
+            near = inner.join(own, "node").join(own.toDF("other", "to"), "other").groupBy("node", "to").agg(F.sum("weight").alias("v"), F.max("k").alias("k"), F.max("part").alias("part"))
+            inside = near.where("part = to").groupBy("part").agg(F.sum("v").alias("inside"))
+            size = parts.groupBy("part").agg(F.sum("k").alias("kp"), F.sum("w").alias("wp"), F.count("*").alias("n"), F.max("kc").alias("kc")).join(inside, "part", "left")
+            fine = F.col("wp") - F.coalesce("inside", F.lit(0.0)) >= self.expected(F.col("kp"), F.col("kc") - F.col("kp")) - LEAST_GAIN
+            goal = size.where(fine & ((F.col("n") > 1) | ~turn("part"))).select(F.col("part").alias("to"), "kp")
+            loss = self.expected(F.col("k"), F.col("kp")) - F.col("v")
+            way = near.where(turn("node")).join(goal, "to", "left").groupBy("node").agg(
+                F.max(F.col("part") == F.col("to")).alias("joined"), F.min(F.when((F.col("part") != F.col("to")) & (loss < -LEAST_GAIN), F.struct(loss.alias("loss"), "to"))).alias("best"))
+            # a node whose part holds none of its neighbours is still single
+            way = way.where("not joined and best is not null").select("node", F.col("best.to").alias("goal"))
+            well = F.col("w") >= self.expected(F.col("k"), F.col("kc") - F.col("k")) - LEAST_GAIN
+            new = parts.join(way, "node", "left").withColumn("moves", F.col("goal").isNotNull() & well)
+            new = materialise(new.withColumn("part", F.when(F.col("moves"), F.col("goal")).otherwise(F.col("part"))).drop("goal"), "parts")
+            moved = new.agg(F.sum(F.col("moves").cast("long"))).first()[0] or 0
+            parts, step, count, idle = new.drop("moves"), step + 1, count - moved, 0 if moved else idle + 1
+            if idle == 2:
+                name = parts.groupBy("part").agg(F.min("node").alias("name"))
+                return parts.join(name, "part").select("node", "k", "community", F.col("name").alias("part")), count
+
+    def contracted(self, parts: DataFrame) -> tuple[_Level, DataFrame]:
+        """The graph of the parts, and their places in the communities that they came from."""
+        parts = materialise(parts, "refined")
+        degree = parts.groupBy("part").agg(F.sum("k").alias("k"), F.max("community").alias("community"))
+        name = degree.groupBy("community").agg(F.min("part").alias("name"))
+        place = materialise(degree.join(name, "community").select(F.col("part").alias("node"), "k", F.col("name").alias("community")), "place")
+        own = parts.select("node", "part")
+        ends = self.ends.select("node", "other", "weight").join(own, "node").join(own.toDF("other", "to"), "other").where("part <> to")
+        ends = ends.groupBy(F.col("part").alias("node"), F.col("to").alias("other")).agg(F.sum("weight").alias("weight"))
+        return _Level(materialise(ends.join(degree.select(F.col("part").alias("node"), "k"), "node").select("node", "other", "weight", "k"), "ends"), self.total, self.gamma), place
+
+
+def communities(pairs: DataFrame, gamma: float = 1.0, max_levels: int = 5, patience: int = 1) -> DataFrame:
+    """``node, level, community``: a hierarchy of connected communities by local moves, refinement and contraction (Leiden).
+
+    On every level first one half of the nodes (by a hash of node and sweep), then the other moves to the
+    neighbouring community with the highest gain of modularity, ties to the smallest name, until no
+    node moves or ``patience`` sweeps on end have not raised it; the best places count. Each
+    community is then taken apart into single nodes, which merge again only where they are well connected
+    with it and with what they join. These parts are the level's communities and the nodes of
+    the next level's graph, whose moves start from the communities before they were taken apart.
+    The last level has the final communities, split where they are not connected; it is
+    reached when refinement merges nothing more or after ``max_levels``.
+
+    Each sweep is one job, written to shared storage. Null ends and loops are left out, and an empty graph
+    gives an empty result. Community names are those of their smallest nodes.
     """
-    level_pairs = materialise(pairs.where("a is not null and b is not null and a <> b").select("a", "b", F.col("weight").cast("double").alias("weight")), "pairs")
-    total = level_pairs.agg(F.sum("weight")).first()[0] or 1.0
-    weight = materialise(_ends(level_pairs).groupBy(F.col("a").alias("node")).agg(F.sum("weight").alias("k")), "weight")
-    out, above = None, None
-
-    def quality(place: DataFrame) -> float:
-        """Modularity, up to what lies inside the level's nodes."""
-        held = level_pairs.join(place.toDF("a", "ca"), "a").join(place.toDF("b", "cb"), "b").where("ca = cb").agg(F.sum("weight")).first()[0] or 0.0
-        size = place.join(weight, "node").groupBy("community").agg(F.sum("k").alias("kc"))
-        return held / total - gamma * (size.agg(F.sum(F.pow(F.col("kc") / (2 * total), 2))).first()[0] or 0.0)
-
-    for level in range(max_levels):
-        place = weight.select("node", F.col("node").alias("community"))
-        best_place, most, waited, sweep = place, quality(place), 0, 0
-        while waited < patience:
-            moved = False
-            for half in (0, 1):
-                size = place.join(weight, "node").groupBy("community").agg(F.sum("k").alias("kc"))
-                near = _ends(level_pairs).select(F.col("a").alias("node"), "b", "weight").join(place.toDF("b", "community"), "b").groupBy("node", "community").agg(F.sum("weight").alias("w"))
-                own = place.toDF("node", "own").join(weight, "node")
-                x = near.join(own, "node").join(size, "community")
-                # gain of joining a community, the node's own part taken out
-                rest = F.col("kc") - F.when(F.col("community") == F.col("own"), F.col("k")).otherwise(0.0)
-                x = x.withColumn("gain", F.col("w") - F.lit(gamma) * F.col("k") * rest / (2 * total))
-                # a node without neighbours in its community leaves w = 0 there
-                alone = own.join(size.withColumnRenamed("community", "own"), "own").select("node", (-F.lit(gamma) * F.col("k") * (F.col("kc") - F.col("k")) / (2 * total)).alias("bare"))
-                base = x.where("community = own").select("node", F.col("gain").alias("stay"))
-                best = x.where("community <> own").withColumn("n", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("gain"), "community"))).where("n = 1")
-                best = best.select("node", F.col("community").alias("to"), "gain").join(base, "node", "left").join(alone, "node")
-                best = best.where(F.col("gain") > F.coalesce("stay", "bare") + 1e-9).select("node", "to")
-                turn = F.pmod(F.xxhash64("node", F.lit(sweep)), F.lit(2)) == half
-                new = place.join(best.where(turn), "node", "left").select("node", F.coalesce("to", "community").alias("community"), F.col("to").isNotNull().alias("moved"))
-                new = materialise(new, "place")
-                moved = not new.where("moved").isEmpty() or moved
-                place = new.select("node", "community")
-            if not moved:
-                break
-            now = quality(place)
-            best_place, most, waited = (place, now, 0) if now > most + 1e-9 else (best_place, most, waited + 1)
-            sweep += 1
-        place = best_place
-        inside = level_pairs.join(place.toDF("a", "ca"), "a").join(place.toDF("b", "cb"), "b").where("ca = cb").select("a", "b")
-        comp = connected_components(inside, "a", "b")
-        place = place.join(comp, "node", "left").select("node", F.coalesce("component", "node").alias("community"))
-        place = materialise(place, "place")
-        if above is not None and place.where("community <> node").isEmpty():
-            break  # nothing merges any more
-        member = place if above is None else above.join(place.toDF("community", "next"), "community").select("node", F.col("next").alias("community"))
-        above = materialise(member, "members")
-        row = above.select("node", F.lit(level).alias("level"), "community")
-        out = row if out is None else out.union(row)
-        new = level_pairs.join(place.toDF("a", "ca"), "a").join(place.toDF("b", "cb"), "b").groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.sum("weight").alias("weight"))
-        weight = materialise(weight.join(place, "node").groupBy(F.col("community").alias("node")).agg(F.sum("k").alias("k")), "weight")
-        level_pairs = materialise(new.where("a <> b"), "pairs")
-        if level_pairs.isEmpty():
-            break
-    return out
+    clean = pairs.where("a is not null and b is not null and a <> b").select("a", "b", F.col("weight").cast("double").alias("weight"))
+    both = _ends(clean).toDF("node", "other", "weight").groupBy("node", "other").agg(F.sum("weight").alias("weight"))
+    degree = both.groupBy("node").agg(F.sum("weight").alias("k"))
+    ends = materialise(both.join(degree, "node").select("node", "other", "weight", "k"), "ends")
+    total = (ends.agg(F.sum("weight")).first()[0] or 2.0) / 2
+    level, place = _Level(ends, total, gamma), ends.groupBy("node").agg(F.max("k").alias("k")).withColumn("community", F.col("node"))
+    place, member, out, n = materialise(place, "place"), None, None, 0
+
+    def add(found: DataFrame) -> DataFrame:
+        """The level's rows for all nodes, from ``node, part`` of the level's own ones."""
+        nonlocal member, out
+        member = materialise(found if member is None else member.join(found.toDF("part", "up"), "part").select("node", F.col("up").alias("part")), "members")
+        rows = member.select("node", F.lit(n).alias("level"), F.col("part").alias("community"))
+        out = rows if out is None else out.union(rows)
+        return out
+
+    while True:
+        best, count = level.local_moves(place, patience)
+        whole = best.count()
+        if count == whole and n:
+            return out  # nothing merges any more
+        parts, found = (best, whole) if n + 1 == max_levels else level.refined(best)
+        if found == whole:
+            inside = level.ends.join(best.select("node", "community"), "node").join(best.select(F.col("node").alias("other"), F.col("community").alias("c")), "other").where("community = c")
+            split = connected_components(inside, "node", "other") if count < whole else best.select("node", F.col("node").alias("component"))
+            return add(best.join(split, "node", "left").select("node", F.coalesce("component", "node").alias("part")))
+        add(parts.select("node", "part"))
+        level, place = level.contracted(parts)
+        n += 1
 
 
 def materialize_levels(membership: DataFrame, least: int = 2) -> DataFrame:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.plans.stages import broadcast_if_small
+from lodestone.plans.stages import broadcast_if_small, materialise
 
 
 def callers(edges: DataFrame, nodes: DataFrame, rel: str) -> DataFrame:
@@ -45,10 +45,38 @@ def link_by_basename(tasks: DataFrame, scripts: DataFrame) -> tuple[DataFrame, D
     return linked, t.join(linked, "task", "left_anti").select("task")
 
 
+def _grams(text: Column, n: int) -> Column:
+    """The distinct runs of n letters of a text that has at least as many."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substr(text, i, F.lit(n))))
+
+
+def contained_in(short: DataFrame, long: DataFrame, n: int = 3) -> DataFrame:
+    """``short, long``: every distinct pair of texts of which the second contains the first.
+
+    A short text is looked up by one of its runs of n letters, the one that fewest of the long texts have; a text of
+    fewer letters by itself. Long texts give only those runs that some short text is looked up by, and these before
+    the shuffle while the keys are few. Null and empty texts are in none.
+    """
+    s = materialise(short.select("short").where("short <> ''").distinct(), "short")
+    texts = long.select("long").where("long <> ''").distinct()
+    texts, out = materialise(texts, "long"), None
+    for size in sorted(r[0] for r in s.select(F.least(F.length("short"), F.lit(n))).distinct().collect()):  # n lengths at most
+        own = s.where(F.length("short") == size) if size < n else s.where(F.length("short") >= n)
+        of = own.select("short", F.explode(_grams(F.col("short"), size)).alias("gram"))
+        runs = texts.where(F.length("long") >= size).select("long", F.explode(_grams(F.col("long"), size)).alias("gram"))
+        seen = runs.join(broadcast_if_small(of.select("gram").distinct()), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+        # a run that no long text has tells that there is no pair
+        key = of.join(seen, "gram", "left").groupBy("short").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("key")).where("key.n > 0")
+        key = materialise(key.select("short", "key.gram"), "keys")
+        near = runs.join(broadcast_if_small(key.select("gram").distinct()), "gram", "left_semi").join(key, "gram").where(F.contains("long", "short")).select("short", "long")
+        out = near if out is None else out.union(near)
+    return out if out is not None else s.join(texts.limit(0), F.lit(False)).select("short", "long")
+
+
 def link_mentions(mentions: DataFrame, files: DataFrame) -> DataFrame:
-    """``doc, path``: mentions (``doc, mention``) whose basename is a file's and that the path contains."""
-    m = mentions.select("doc", "mention", basename(F.col("mention")).alias("base"))
-    return m.join(files.select("path", basename(F.col("path")).alias("base")), "base").where(F.contains("path", "mention")).select("doc", "path").distinct()
+    """``doc, path``: documents whose mentions (``doc, mention``) are part of a file's path, anywhere in it."""
+    pairs = contained_in(mentions.select(F.col("mention").alias("short")), files.select(F.col("path").alias("long")))
+    return mentions.select("doc", F.col("mention").alias("short")).join(pairs, "short").select("doc", F.col("long").alias("path")).distinct()
 
 
 def resolve_executable(refs: DataFrame, programs: DataFrame, known: DataFrame | None = None) -> DataFrame:

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import cosine, word_array
+from lodestone.operators.joins import contained_in
+from lodestone.operators.postings import top_scores
 from lodestone.plans.stages import broadcast_if_small, materialise
 
 K1, B, RRF = 1.2, 0.75, 60
@@ -29,26 +31,34 @@ def top(rows: DataFrame, k: int, score: str = "score", key: str = "query_id", id
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def bm25_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """``query_id, id, score`` of every document that shares a term with a query.
+def bm25_postings(queries: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The queries' distinct terms (``query_id, term``), and for these ``term, id, part``: what a term adds to a document's BM25.
 
-    Only the queries' terms are counted, and those counts are summed before the shuffle.
+    Texts are read once: only the queries' terms and one mark of each document, which tells their number and mean length, leave
+    the scan, and are counted before the shuffle.
     """
     q = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    wanted = broadcast_if_small(q.select("term").distinct())
-    d = docs.select("id", terms(F.col("text")).alias("w")).withColumn("len", F.size("w"))
-    stats = d.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
-    tf = d.select("id", "len", F.explode("w").alias("term")).join(wanted, "term").groupBy("term", "id", "len").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    n, mean = stats.first()
-    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    mark = F.array(F.lit(""))
+    wanted = broadcast_if_small(q.select("term").union(docs.sparkSession.range(1).select(F.lit(""))).distinct())
+    d = docs.select("id", terms(F.col("text")).alias("w")).select("id", F.coalesce(F.size("w"), F.lit(0)).alias("len"), F.explode(F.concat(F.coalesce("w", F.slice(mark, 1, 0)), mark)).alias("term"))
+    tf = materialise(d.join(wanted, "term").groupBy("term", "id", "len").agg(F.count("*").alias("tf")), "terms")
+    n, mean = tf.where("term = ''").agg(F.sum("tf"), F.sum(F.col("len") * F.col("tf")) / F.sum("tf")).first()
+    tf = tf.where("term <> ''")
+    df = broadcast_if_small(tf.groupBy("term").agg(F.count("*").alias("df")))
+    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(float(mean or 1))))
-    return q.join(tf, "term").join(df, "term").groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
+    return q, tf.join(df, "term").select("term", "id", part.alias("part"))
+
+
+def bm25_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
+    """``query_id, id, score`` of every document that shares a term with a query; :func:`bm25` gives the best of them without the others."""
+    q, parts = bm25_postings(queries, docs)
+    return q.join(parts, "term").groupBy("query_id", "id").agg(F.round(F.sum("part"), 6).alias("score"))
 
 
 def bm25(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """``query_id, id, score, rank``: the k best documents by BM25."""
-    return top(bm25_scores(queries, docs), k)
+    return top_scores(*bm25_postings(queries, docs), k)
 
 
 #: Vectors of a block. A task holds one block of queries, one of vectors, and their scores.
@@ -248,24 +258,21 @@ def category_search(postings: DataFrame, words: DataFrame, k: int) -> DataFrame:
 
 
 def keyword_search(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """The k documents with most distinct terms of a query."""
+    """``query_id, id, score, rank``: the k documents with most distinct terms of a query, whose number is the score."""
     q = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
     d = docs.select("id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).join(broadcast_if_small(q.select("term").distinct()), "term", "left_semi")
-    return top(q.join(d, "term").groupBy("query_id", "id").agg(F.count("*").alias("score")), k)
+    return top_scores(q, d.select("term", "id", F.lit(1.0).alias("part")), k).withColumn("score", F.col("score").cast("long"))
 
 
 def explain(topics: DataFrame, hits: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Hits of each topic (``query_id, text``) and the nodes whose name contains it.
+    """Hits of each topic (``query_id, text``) and the nodes whose name contains it, whatever the case.
 
-    A name is met over its runs of letters as long as a topic's key, its first three letters or all of a
-    shorter topic, and only then searched for the topic. An empty topic has no nodes.
+    An empty topic has no nodes.
     """
-    t = topics.select("query_id", F.lower("text").alias("text")).where("text <> ''").withColumn("key", F.substring("text", 1, 3))
-    name = F.lower(F.col("name"))
-    runs = lambda n: F.transform(F.sequence(F.lit(1), F.length(name)), lambda i: F.substr(name, i, F.lit(n)))
-    keys = F.array_distinct(F.flatten(F.array(runs(1), runs(2), runs(3))))
-    n = nodes.where("name <> ''").select("node_id", "name", F.explode(keys).alias("key"))
-    near = n.join(broadcast_if_small(t), "key").where(F.contains(name, F.col("text"))).select("query_id", F.lit("graph").alias("kind"), F.col("node_id").cast("string").alias("id"))
+    t = topics.select("query_id", F.lower("text").alias("short"))
+    n = nodes.select("node_id", F.lower("name").alias("long"))
+    near = contained_in(t.select("short"), n.select("long")).join(t, "short").join(n, "long")
+    near = near.select("query_id", F.lit("graph").alias("kind"), F.col("node_id").cast("string").alias("id"))
     return hits.select("query_id", F.lit("text").alias("kind"), F.col("id").cast("string").alias("id")).union(near)
 
 

@@ -435,11 +435,16 @@ def j05(spark, d):
     return linked.union(rest.select("task", F.lit(None).cast("string")))
 
 
-@query("j06_link_mentions", f"WITH m AS (SELECT o_orderkey AS doc, CASE WHEN o_orderkey % 2 = 0 THEN path ELSE 'no/' || {BASE} END AS mention, path FROM (SELECT *, {SCRIPT_PATH} AS path FROM orders) o) SELECT doc, path FROM m WHERE doc % 2 = 0")
+#: Four parts of an order's path for each supplier: its middle, its end, a run of two letters, and a part of no path.
+MENTION = "CASE s_suppkey % 4 WHEN 0 THEN substr(path, 3, 9) WHEN 1 THEN substr(path, 6, 40) WHEN 2 THEN substr(path, 8, 2) ELSE 'no/' || path END"
+
+
+@query("j06_link_mentions", f"""WITH p AS (SELECT DISTINCT {SCRIPT_PATH} AS path FROM orders), m AS (SELECT s_suppkey AS doc, {MENTION} AS mention FROM supplier JOIN (SELECT o_orderkey, {SCRIPT_PATH} AS path FROM orders) o ON o_orderkey = s_suppkey)
+    SELECT DISTINCT doc, path FROM m, p WHERE contains(path, mention)""")
 def j06(spark, d):
-    x = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc"), F.expr(SCRIPT_PATH).alias("path"))
-    mention = F.when(F.col("doc") % 2 == 0, F.col("path")).otherwise(F.concat(F.lit("no/"), F.element_at(F.split("path", "/"), -1)))
-    return J.link_mentions(x.select("doc", mention.alias("mention")), x.select("path"))
+    paths = table(spark, d, "orders").select("o_orderkey", F.expr(SCRIPT_PATH).alias("path"))
+    m = table(spark, d, "supplier").join(paths, F.expr("o_orderkey = s_suppkey")).select(F.col("s_suppkey").alias("doc"), F.expr(MENTION).alias("mention"))
+    return J.link_mentions(m, paths)
 
 
 @query("j07_resolve_executable", """WITH s AS (SELECT DISTINCT p_size AS s FROM part) SELECT 'gfs_' || s AS ref, CASE s % 4 WHEN 0 THEN 'gfs_' || s WHEN 1 THEN 'gfs_' || s || '_main' WHEN 2 THEN 'gfs_' || s || '_x_y' ELSE 'gfs' END AS program, CAST(CASE s % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 4 END AS INT) AS rule FROM s""")

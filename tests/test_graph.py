@@ -1,10 +1,12 @@
 """Traversal, resolution and community operators on a small code graph."""
 
 import itertools
+import random
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lodestone.operators import community as C
 from lodestone.operators import joins as J
@@ -98,6 +100,10 @@ def test_link_mentions_configs_chunks_and_references(spark, rows):
     files = spark.createDataFrame([("src/a/run.py",), ("src/b/go.sh",)], "path string")
     m = spark.createDataFrame([(1, "a/run.py"), (2, "b/run.py")], "doc int, mention string")
     assert rows(J.link_mentions(m, files)) == [(1, "src/a/run.py")]
+    part = spark.createDataFrame([(1, "ush/run"), (2, "n_"), (3, "/"), (4, ""), (5, None), (6, "run_a.sh.x"), (7, "ush/run")], "doc int, mention string")
+    paths = spark.createDataFrame([("x/ush/run_a.sh",), ("run",), (None,), ("",), ("x/ush/run_a.sh",)], "path string")
+    assert rows(J.link_mentions(part, paths)) == [(i, "x/ush/run_a.sh") for i in (1, 2, 3, 7)]
+    assert J.link_mentions(part, paths.limit(0)).count() == J.link_mentions(part.limit(0), paths).count() == 0
     c = spark.createDataFrame([("e1", "base"), ("e2", "config.resources.x")], "config string, short string")
     assert rows(J.resolve_configs(c, spark.createDataFrame([("g", "base"), ("h", "config.resources.x")], "config string, short string"))) == [("e1", "g")]
     nodes = spark.createDataFrame([("f", "p", None), ("f:g", "p", "g")], "node_id string, path string, name string")
@@ -148,6 +154,51 @@ def test_communities_of_two_cliques(spark):
     assert len(got) == 10 and best > 0.3
 
 
+def test_refinement_parts_what_local_moves_leave_apart(spark):
+    """Node 0 holds two triangles together in one community and then moves to a third group, which it is tied to more."""
+    tri = lambda x: [(f"{x}{i}", f"{x}{j}", 4) for i, j in itertools.combinations(range(3), 2)]
+    pairs = tri("a") + tri("b") + tri("d") + [("0", "a0", 1), ("0", "b0", 1), ("0", "d0", 6), ("0", "d1", 6)] + [(f"z{i}", f"z{j}", 9) for i, j in itertools.combinations(range(8), 2)]
+    df = spark.createDataFrame(pairs, "a string, b string, weight int")
+    ends = C._ends(df).toDF("node", "other", "weight")
+    ends = ends.join(ends.groupBy("node").agg(F.sum("weight").alias("k")), "node").select("node", "other", "weight", "k")
+    level = C._Level(ends, float(sum(p[2] for p in pairs)), 1.0)
+    first = {n: "a0" if n[0] in "ab0" else n[0] for p in pairs for n in p[:2]}
+    place = ends.groupBy("node").agg(F.max("k").alias("k")).join(spark.createDataFrame(list(first.items()), "node string, community string"), "node")
+    best, _ = level.local_moves(place, 1)
+    coarse = {r.node: r.community for r in best.collect()}
+    assert coarse["0"] == coarse["d0"] and coarse["a1"] == coarse["b1"]  # no edge leads from a to b now
+    parts, n = level.refined(best)
+    fine = {r.node: r.part for r in parts.collect()}
+    assert len(set(fine.values())) == n and not {fine[x] for x in fine if x[0] == "a"} & {fine[x] for x in fine if x[0] == "b"}
+    got = {r.node: r.community for r in C.communities(df).where("level = 0").collect()}
+    assert got["a0"] != got["b0"] and got["d0"] == got["0"]
+
+
+def test_communities_are_connected_and_nested(spark):
+    rng = random.Random(3)
+    pairs = {tuple(sorted((f"{g}{rng.randrange(12):02}", f"{h}{rng.randrange(12):02}"))) for g in "abcde" for h in "abcde" for _ in range(40 if g == h else 2)}
+    pairs = [(a, b, 1) for a, b in pairs if a != b]
+    df = spark.createDataFrame(pairs, "a string, b string, weight int")
+    levels = {}
+    for r in C.communities(df).collect():
+        levels.setdefault(r.level, {})[r.node] = r.community
+    for level in levels.values():
+        for name in set(level.values()):
+            own = {n for n, c in level.items() if c == name}
+            reach, grown = {name}, None
+            while reach != grown:
+                grown, reach = reach, reach | {y for a, b, _ in pairs for x, y in ((a, b), (b, a)) if x in reach and y in own}
+            assert min(own) == name and reach == own
+    for i in range(max(levels)):
+        up = {}
+        assert all(up.setdefault(levels[i][n], levels[i + 1][n]) == levels[i + 1][n] for n in levels[i])
+    last = levels[max(levels)]
+    found = C.modularity(df, spark.createDataFrame(list(last.items()), "node string, community string")).first()[0]
+    planted = C.modularity(df, spark.createDataFrame([(n, n[0]) for n in last], "node string, community string")).first()[0]
+    assert found >= planted - 0.01
+    assert C.communities(df.limit(0)).count() == 0
+
+
 def test_communities_of_a_chain_need_three_levels(spark):
     n = 150
     pairs = spark.createDataFrame([(i, i + 1, 1) for i in range(n - 1)], "a long, b long, weight int")
