@@ -142,14 +142,8 @@ def load(path: str) -> Bpe:
     return kept(("bpe", path), lambda: Bpe(path))
 
 
-def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, ids, decoded)`` for every document: token ids, and the text they decode to.
-
-    A null text counts as empty and gives no ids and an empty text. Special tokens'
-    strings in a text become their ids, and ids decode back to those strings. Rows are
-    independent: repeated rows give repeated results, other columns are not read.
-    """
-    id_type = docs.schema[id_col].dataType.simpleString()
+def _encoder(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What turns batches of ids and texts into batches of ``id, ids, decoded``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
@@ -163,21 +157,30 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
                         ["id", "ids", "decoded"],
                     )
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {id_type}, ids array<int>, decoded string").withColumnRenamed("id", id_col)
+    return run
+
+
+def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, ids, decoded)`` for every document: token ids, and the text they decode to.
+
+    A null text counts as empty and gives no ids and an empty text. Special tokens'
+    strings in a text become their ids, and ids decode back to those strings. Rows are
+    independent: repeated rows give repeated results, other columns are not read.
+    """
+    id_type = docs.schema[id_col].dataType.simpleString()
+    return docs.select(id_col, text_col).mapInArrow(_encoder(path), f"id {id_type}, ids array<int>, decoded string").withColumnRenamed("id", id_col)
 
 
 def token_digests(docs: DataFrame, path: str) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of :func:`encode_documents`.
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of what :func:`encode_documents` gives.
 
-    The digests are taken in the task that made the ids, so that neither ids nor
-    texts leave it.
+    The digests are taken in the process that made the ids, so that neither ids nor texts leave it.
     """
-    encoded = encode_documents(docs, path)
-    id_type = docs.schema["doc_id"].dataType.simpleString()
+    id_type, encode = docs.schema["doc_id"].dataType.simpleString(), _encoder(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [str(i) for i in range(1 << 17)]
-        for batch in batches:
+        for batch in encode(batches):
             keys, n, a, b = batch.column(0), [], [], []
             for ids, text in zip(batch.column(1), batch.column(2), strict=True):
                 ids = ids.values.to_numpy()
@@ -186,4 +189,4 @@ def token_digests(docs: DataFrame, path: str) -> DataFrame:
                 b.append(hashlib.sha256(text.as_buffer()).hexdigest())
             yield pa.RecordBatch.from_arrays([keys, pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return encoded.mapInArrow(run, f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string")

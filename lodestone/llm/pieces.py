@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -221,15 +221,8 @@ def load(path: str) -> Pieces:
     return kept(("pieces", path), read)
 
 
-def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, ids, begins, ends, decoded)`` for every document: ids of pieces without begin and end
-    ids, the span of each in the text's UTF-8 bytes, and the text that the ids decode to.
-
-    Of the ids that stand for the bytes of one unknown character the last has its span. A null text counts as empty
-    and gives no ids. Rows are independent: repeated rows give repeated results, other columns are
-    not read, and an empty table gives an empty result. ``path`` is read by every Python worker.
-    """
-    kind = docs.schema[id_col].dataType.simpleString()
+def _encoder(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What turns batches of ids and texts into batches of ``id, ids, begins, ends, decoded``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(path)
@@ -241,20 +234,32 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
                 text = pa.array([model.decode(x[0]) for x in got], pa.string())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *(pa.ListArray.from_arrays(at, pa.array(x)) for x in flat), text], ["id", "ids", "begins", "ends", "decoded"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, ids array<int>, begins array<int>, ends array<int>, decoded string").withColumnRenamed("id", id_col)
+    return run
+
+
+def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, ids, begins, ends, decoded)`` for every document: ids of pieces without begin and end
+    ids, the span of each in the text's UTF-8 bytes, and the text that the ids decode to.
+
+    Of the ids that stand for the bytes of one unknown character the last has its span. A null text counts as empty
+    and gives no ids. Rows are independent: repeated rows give repeated results, other columns are
+    not read, and an empty table gives an empty result. ``path`` is read by every Python worker.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(id_col, text_col).mapInArrow(_encoder(path), f"id {kind}, ids array<int>, begins array<int>, ends array<int>, decoded string").withColumnRenamed("id", id_col)
 
 
 def token_digests(docs: DataFrame, path: str) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256, spanned`` of :func:`encode_documents`.
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256, spanned`` of what :func:`encode_documents` gives.
 
     ``spanned`` is the sum of the spans' lengths, which is the number of bytes of the text. Digests
-    are taken in the task that made the ids.
+    are taken in the process that made the ids.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    kind, encode = docs.schema["doc_id"].dataType.simpleString(), _encoder(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [str(i) for i in range(1 << 16)]
-        for batch in batches:
+        for batch in encode(batches):
             out: list[tuple] = []
             for ids, begins, ends, text in zip(*(batch.column(i) for i in range(1, 5)), strict=True):
                 own = ids.values.to_numpy().tolist()
@@ -263,4 +268,4 @@ def token_digests(docs: DataFrame, path: str) -> DataFrame:
             n, a, b, c = zip(*out, strict=True) if out else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(c, pa.int64())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spanned"])
 
-    return encode_documents(docs, path).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, spanned long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, spanned long")
