@@ -80,18 +80,29 @@ def merge_small(sizes: list[int], least: int) -> list[int]:
 
 
 def pack_chunks(elements: DataFrame, target: int = 1500, most: int = 3000, least: int = 200) -> DataFrame:
-    """``id, chunk, text`` of elements (``id, n, text, splittable``): greedy packing, then small chunks
-    join their successors. A document's elements are folded in one task; documents are bounded."""
+    """``id, chunk, text`` of elements (``id, n, text, splittable``): greedy packing, then small chunks join their successors.
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("n")
-        part["chunk"] = pack(part.text.str.len().tolist(), part.splittable.tolist(), target, most)
-        got = part.groupby("chunk").text.agg("\n".join)
-        to = merge_small(got.str.len().tolist(), least)
-        got = got.groupby(to).agg("\n".join)
-        return pd.DataFrame({"id": str(part.id.iloc[0]), "chunk": got.index, "text": got.to_numpy()})
+    Elements are taken by ``n``; a null text counts as empty, and ``splittable`` null as not. Both steps fold one document's sorted
+    array, which one row holds; nothing leaves the JVM. An id without elements has no rows.
+    """
+    own = elements.select("id", F.struct("n", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("splittable", F.lit(False)).alias("can")).alias("e"))
+    packed = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("held"), F.lit(0).alias("size"))
 
-    return elements.groupBy("id").applyInPandas(fold, "id string, chunk int, text string")
+    def put(a: Column, e: Column) -> Column:
+        size = F.length(e["text"])
+        full = (a["size"] > 0) & (a["size"] + size > target) & (~e["can"] | (a["size"] + size > most))
+        text = F.when(full | a["held"].isNull(), e["text"]).otherwise(F.concat(a["held"], F.lit("\n"), e["text"]))
+        return F.struct(F.when(full, F.concat(a["done"], F.array(a["held"]))).otherwise(a["done"]).alias("done"), text.alias("held"), F.when(full, size).otherwise(a["size"] + size).alias("size"))
+
+    def join(a: Column, text: Column) -> Column:
+        small = a["held"].isNull() & (F.length(text) < least)
+        whole = F.when(a["held"].isNull(), text).otherwise(F.concat(a["held"], F.lit("\n"), text))
+        return F.struct(F.when(small, a["done"]).otherwise(F.concat(a["done"], F.array(whole))).alias("done"), F.when(small, text).alias("held"))
+
+    last = lambda a: F.concat(a["done"], F.when(a["held"].isNull(), F.array().cast("array<string>")).otherwise(F.array(a["held"])))
+    merged = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("held"))
+    x = own.groupBy("id").agg(F.array_sort(F.collect_list("e")).alias("e")).select("id", F.aggregate("e", packed, put, last).alias("chunks"))
+    return x.select("id", F.posexplode(F.aggregate("chunks", merged, join, last)).alias("chunk", "text"))
 
 
 def chunk_tokens(docs: DataFrame, size: int = 512, overlap: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -105,27 +116,22 @@ def chunk_tokens(docs: DataFrame, size: int = 512, overlap: int = 64, id_col: st
 
 
 def chunk_sentences(docs: DataFrame, size: int = 500) -> DataFrame:
-    """``id, chunk, text``: sentences packed up to ``size`` letters; longer ones are cut at words."""
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import re
-
-        for part in batches:
-            out = []
-            for key, text in zip(part.id, part.text.fillna(""), strict=True):
-                pieces = [p for s in re.split(r"(?<=[.!?])\s+", text) if s for p in ([s] if len(s) <= size else s.split())]
-                chunk = ""
-                k = 0
-                for p in pieces:
-                    if chunk and len(chunk) + 1 + len(p) > size:
-                        out.append((str(key), k, chunk))
-                        chunk, k = "", k + 1
-                    chunk = f"{chunk} {p}" if chunk else p
-                if chunk:
-                    out.append((str(key), k, chunk))
-            yield pd.DataFrame(out, columns=["id", "chunk", "text"])
-
-    return docs.select("id", "text").mapInPandas(cut, "id string, chunk int, text string")
+    """``id, chunk, text``: sentences packed up to ``size`` letters; longer ones are cut at words.
+
+    A sentence ends with white space behind ``.``, ``!`` or ``?``. A single longer word is a chunk by itself. The fold stays in the JVM.
+    """
+    sentences = F.filter(F.split(F.coalesce("text", F.lit("")), r"(?<=[.!?])[ \t\n\x0B\f\r]+"), lambda s: s != "")
+    words = lambda s: F.filter(F.split(s, r"[ \t\n\x0B\f\r]+"), lambda w: w != "")
+    pieces = F.flatten(F.transform(sentences, lambda s: F.when(F.length(s) <= size, F.array(s)).otherwise(words(s))))
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("held"))
+
+    def put(a: Column, p: Column) -> Column:
+        full = (a["held"] != "") & (F.length(a["held"]) + 1 + F.length(p) > size)
+        text = F.when(full | (a["held"] == ""), p).otherwise(F.concat(a["held"], F.lit(" "), p))
+        return F.struct(F.when(full, F.concat(a["done"], F.array(a["held"]))).otherwise(a["done"]).alias("done"), text.alias("held"))
+
+    end = lambda a: F.when(a["held"] == "", a["done"]).otherwise(F.concat(a["done"], F.array(a["held"])))
+    return docs.select("id", F.posexplode(F.aggregate(pieces, start, put, end)).alias("chunk", "text"))
 
 
 def split_text(text: str, size: int, separators: tuple[str, ...] = ("\n\n", "\n", " ", "")) -> list[str]:

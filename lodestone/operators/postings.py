@@ -1,18 +1,12 @@
-"""Top-k retrieval over posting lists with bounds, so that what cannot reach the top is never scored.
-
-A posting ``term, id, part`` says how much a term adds to a document's score. The postings of a
-term fall into levels, by sixteenths of the term's largest part, and a level into shares of about :data:`SHARE`
-documents, so that a term of every document is many small groups. The largest part of each
-level bounds what its documents can get from the term. A query runs in two passes:
-
-* a threshold: the shares of the highest levels of its terms are scored in full, about :data:`SEEDS` documents for each
-  of the k; their k-th score can only be surpassed,
-* candidates: a document below the threshold is not needed. Terms whose largest parts, summed up from
-  the smallest on, stay below it cannot lift a document over it alone, so only the other terms are looked up,
-  and of these only levels that reach it together with all other terms' largest parts.
-
-Candidates are scored by a join on term and document. So a word that every document has adds to the scores
-of candidates, and makes none.
+"""Top-k retrieval over posting lists with bounds, so that common words add to scores but make no candidates.
+
+A posting ``term, id, part`` says how much a term adds to a document's score; a term's largest part bounds what any
+document can get from it. Of a query's terms those with the smallest bounds, as many as together make up at most
+:data:`UNREAD` of the sum of all, are not read at first: these are the words that very many documents have. The sums over the
+others' postings are lower bounds of the scores, so their k-th largest is a threshold, and a
+document whose sum stays below it by more than the unread terms' bounds cannot be among the k. The few that are left get
+the unread terms' parts by a join on term and document. A query whose threshold the unread terms could
+reach alone is read in full.
 """
 
 from __future__ import annotations
@@ -20,62 +14,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.plans.stages import broadcast_if_small, materialise
+from lodestone.plans.stages import materialise
 
-#: Levels of a term, documents of a share, and documents scored for a threshold, for each of the k.
-LEVELS, SHARE, SEEDS = 16, 128, 32
+#: Share of a query's bounds that is not read at first.
+UNREAD = 0.1
 #: Scores are rounded to this many digits before they are ranked; bounds leave more than that.
 DIGITS, SLACK = 6, 1e-5
 
 
-def levelled(postings: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Postings with ``level`` and ``share``, written to shared storage, and ``term, level, n, bound, top`` of each level.
-
-    ``bound`` is a level's largest part, ``top`` its term's. Parts are positive.
-    """
-    top = broadcast_if_small(postings.groupBy("term").agg(F.max("part").alias("top")))
-    x = postings.join(top, "term")
-    level = F.least(F.lit(LEVELS - 1), F.floor((1 - F.col("part") / F.col("top")) * LEVELS)).cast("int")
-    x = materialise(x.select("term", "id", "part", level.alias("level")), "postings")
-    levels = x.groupBy("term", "level").agg(F.count("*").alias("n"), F.max("part").alias("bound"))
-    levels = materialise(levels.join(levels.groupBy("term").agg(F.max("bound").alias("top")), "term"), "levels")
-    return x, levels
-
-
-def _scored(candidates: DataFrame, asked: DataFrame, postings: DataFrame) -> DataFrame:
-    """``query_id, id, score`` of candidate pairs, over all of their queries' terms."""
-    x = candidates.join(asked.select("query_id", "term"), "query_id").join(postings.select("term", "id", "part"), ["term", "id"])
-    return x.groupBy("query_id", "id").agg(F.round(F.sum("part"), DIGITS).alias("score"))
+def _sums(asked: DataFrame, posts: DataFrame) -> DataFrame:
+    return asked.join(posts, "term").groupBy("query_id", "id").agg(F.sum("part").alias("part"))
 
 
-def top_scores(asked: DataFrame, postings: DataFrame, k: int) -> DataFrame:
+def top_scores(asked: DataFrame, postings: DataFrame, k: int, unread: float = UNREAD) -> DataFrame:
     """``query_id, id, score, rank``: of each query (``query_id, term``, distinct) the k documents with the highest sums of parts.
 
-    Exact: what is left out cannot be among them. Ties go to the smaller id. Queries without a term that a posting has
-    give no rows, nor do empty tables; a null term matches nothing.
+    Exact: what is left out cannot be among them. Parts are positive, and a term has one for a document. Ties go to the
+    smaller id. Queries without a term that a posting has give no rows, nor do empty tables; a null term
+    matches nothing. Ranks are limited to k in every task before rows are shuffled by query.
     """
-    posts, levels = levelled(postings)
-    # a query's terms with their largest parts; the sum of those up to it, from the smallest on
-    up = Window.partitionBy("query_id").orderBy("top", "term").rowsBetween(Window.unboundedPreceding, 0)
-    q = asked.join(levels.select("term", "top").distinct(), "term")
-    q = q.withColumn("below", F.sum("top").over(up)).withColumn("all", F.sum("top").over(Window.partitionBy("query_id")))
-    q = materialise(q, "asked")
-    # the highest levels of a query's terms, as many documents as a threshold takes
-    high = Window.partitionBy("query_id").orderBy(F.desc("bound"), "term", "level").rowsBetween(Window.unboundedPreceding, -1)
-    best = q.select("query_id", "term").join(levels, "term").withColumn("before", F.coalesce(F.sum("n").over(high), F.lit(0)))
-    best = best.where(F.col("before") < SEEDS * k).withColumn("shares", F.ceil(F.col("n") / SHARE))
-    wanted = best.select("query_id", "term", "level", "shares", F.least("shares", F.ceil((SEEDS * k - F.col("before")) / SHARE)).alias("take"))
-    wanted = wanted.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("take") - 1))).select("query_id", "term", "level", "share")
-    of = levels.select("term", "level", F.ceil(F.col("n") / SHARE).alias("shares"))
-    needed = broadcast_if_small(wanted.groupBy("term", "level").agg(F.max("share").alias("last")))
-    some = posts.join(needed, ["term", "level"]).join(broadcast_if_small(of), ["term", "level"])
-    some = some.withColumn("share", F.pmod(F.xxhash64("id"), F.col("shares"))).where("share <= last")
-    seeds = some.join(wanted, ["term", "level", "share"]).select("query_id", "id").distinct()
+    posts = materialise(postings.select("term", "id", "part"), "postings")
+    bounds = posts.groupBy("term").agg(F.max("part").alias("top"), F.count("*").alias("df"))
+    up = Window.partitionBy("query_id").orderBy("top", F.desc("df"), "term").rowsBetween(Window.unboundedPreceding, 0)
+    q = asked.select("query_id", "term").join(bounds, "term").withColumn("below", F.sum("top").over(up))
+    q = q.withColumn("late", F.col("below") <= unread * F.sum("top").over(Window.partitionBy("query_id")))
+    q = materialise(q.select("query_id", "term", "below", "late"), "asked")
+    early, late = q.where("not late").select("query_id", "term"), q.where("late")
+    sums = materialise(_sums(early, posts), "sums")
+    best = Window.partitionBy("query_id").orderBy(F.desc("part"), "id")
+    kth = sums.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k).groupBy("query_id").agg(F.when(F.count("*") == k, F.min("part") - SLACK).alias("least"))
+    rest = q.groupBy("query_id").agg(F.coalesce(F.max(F.when(F.col("late"), F.col("below"))), F.lit(0.0)).alias("rest"))
+    limit = materialise(rest.join(kth, "query_id", "left").withColumn("whole", F.coalesce("rest", F.lit(0.0)) >= F.coalesce("least", F.lit(0.0))), "limits")
+    near = sums.join(limit.where("not whole"), "query_id").where("part + rest >= least").select("query_id", "id", "part")
+    more = near.select("query_id", "id").join(late.select("query_id", "term"), "query_id").join(posts, ["term", "id"]).select("query_id", "id", "part")
+    whole = _sums(q.join(limit.where("whole"), "query_id", "left_semi").select("query_id", "term"), posts)
+    out = near.union(more).groupBy("query_id", "id").agg(F.sum("part").alias("part")).union(whole)
+    out = out.select("query_id", "id", F.round("part", DIGITS).alias("score"))
     rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    least = _scored(seeds, q, posts).withColumn("n", F.row_number().over(rank)).where(F.col("n") == k).select("query_id", (F.col("score") - SLACK).alias("least"))
-    q = materialise(q.join(least, "query_id", "left").withColumn("least", F.coalesce("least", F.lit(0.0))), "thresholds")
-    # levels of essential terms that reach the threshold with the help of all other terms
-    ways = q.where("below >= least").join(levels.select("term", "level", "bound"), "term").where(F.col("bound") + F.col("all") - F.col("top") >= F.col("least"))
-    found = posts.select("term", "level", "id").join(ways.select("query_id", "term", "level"), ["term", "level"]).select("query_id", "id").distinct()
-    out = _scored(materialise(found, "candidates"), q, posts)
     return out.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)

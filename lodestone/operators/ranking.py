@@ -75,9 +75,14 @@ def by_priority(urls: DataFrame) -> DataFrame:
 
 
 def sample_metadata(df: DataFrame, collection: str, n: int, collections: int, seed: int = 0) -> DataFrame:
-    """About n rows, as many of each collection, by a seeded hash."""
+    """About n rows, as many of each collection: those with the smallest digests of seed and row.
+
+    The digest is that of the columns as text, joined by ``|`` without nulls. Ranks are limited in every task before rows
+    are shuffled, so a large collection sends no more of them than a small one.
+    """
     most = max(1, n // max(1, collections))
-    return cap_per_group(df, collection, most, [F.xxhash64(F.struct(*df.columns), F.lit(seed))])
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(f"`{c}`").cast("string") for c in df.columns)))
+    return cap_per_group(df, collection, most, [digest])
 
 
 def last_sessions(events: DataFrame, session: str, ts: str, n: int) -> DataFrame:

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,48 +113,6 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, by: str | None = None) -
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def ann(queries: DataFrame, vectors: DataFrame, k: int, cells: int | None = None, probes: int | None = None, recall: float = 0.97) -> DataFrame:
-    """Approximate k-NN: ``query_id, id, score, rank`` by exact cosine among the vectors of the nearest cells.
-
-    The cells are k-means centres, as many as the root of the count (at most 1,024) by default, fitted on a
-    hashed sample of about 64 vectors a cell; every vector is then put into its cell. A query looks into its
-    ``probes`` nearest cells. By default that number comes from about 64 of the vectors, whose true
-    neighbours are found by :func:`knn`: so many cells hold ``recall`` of these. All vectors have one length.
-    """
-    import numpy as np
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    v = materialise(_usable(vectors, "id"), "vectors")
-    n = v.count()
-    cells = max(1, min(cells or int(n**0.5), 1024))
-    share = lambda rows: F.pmod(F.xxhash64("id", "v"), F.lit(max(n, 1))) < rows
-    unit = v.where(share(64 * cells) & F.exists("v", lambda x: x != 0)).select(array_to_vector("v").alias("features"))
-    if cells == 1 or unit.limit(cells).count() < cells:
-        return knn(queries, vectors, k)
-    centres = np.array(KMeans(k=cells, seed=1, maxIter=10, distanceMeasure="cosine").fit(unit).clusterCenters())
-    centres = centres / np.linalg.norm(centres, axis=1, keepdims=True)
-
-    def order(most: int):
-        @F.pandas_udf("array<int>")
-        def nearest(x: pd.Series) -> pd.Series:
-            near = np.argsort(-(np.stack(x.to_list()) @ centres.T), axis=1, kind="stable")[:, :most]
-            return pd.Series(list(near.astype("int32")))
-
-        return nearest
-
-    placed = materialise(v.select("id", "v", order(1)("v")[0].alias("cell")), "cells")
-    if probes is None:
-        some = placed.where(share(64)).select(F.col("id").alias("query_id"), F.col("v").alias("vector"))
-        true = knn(some, placed.select("id", F.col("v").alias("vector")), k).join(placed.select("id", "cell"), "id")
-        true = true.join(some.select("query_id", order(len(centres))("vector").alias("order")), "query_id")
-        at = true.select(F.percentile(F.array_position("order", F.col("cell")), F.lit(recall))).first()[0]
-        probes = int(np.ceil(at)) if at else len(centres)
-    q = _usable(queries, "query_id").select("query_id", F.col("v").alias("q"), F.explode(order(probes)("v")).alias("cell"))
-    pairs = placed.join(broadcast_if_small(q), "cell")
-    return top(pairs.select("query_id", "id", F.round(cosine(F.col("q"), F.col("v")), 6).alias("score")), k)
-
-
 def hybrid(lexical: DataFrame, vector: DataFrame, k: int, w_lex: float = 1.0, w_vec: float = 1.0, allowed: DataFrame | None = None) -> DataFrame:
     """``query_id, id, score, clamped, rank``: the weighted sum of both scores (``query_id, id, score``).
 

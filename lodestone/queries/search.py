@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import cosine
@@ -11,7 +13,8 @@ from lodestone.operators import joins as J
 from lodestone.operators import predicates as P
 from lodestone.operators import quality as Q
 from lodestone.operators import search as R
-from lodestone.plans.stages import table
+from lodestone.operators import vector_index as V
+from lodestone.plans.stages import shared_dir, table
 from lodestone.queries.text import CANON, WORDS
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -65,9 +68,20 @@ def r02(spark, d):
     return R.knn(vqueries(spark, d), vectors(spark, d), 10)
 
 
+def index(spark, d):
+    """The stored index of a folder's vectors, built once in an application."""
+    name = hashlib.sha256(d.encode()).hexdigest()[:16]
+    return V.stored(vectors(spark, d), f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/index-{name}")
+
+
+@query("r03_index", "SELECT count(*) AS vectors FROM embeddings WHERE len(embedding) > 0")
+def r03_index(spark, d):
+    return spark.read.parquet(f"{index(spark, d)}/vectors").agg(F.count("*").alias("vectors"))
+
+
 @query("r03_ann")
 def r03(spark, d):
-    return R.ann(vqueries(spark, d), vectors(spark, d), 10)
+    return V.search(vqueries(spark, d), index(spark, d), 10)
 
 
 def of_label(spark, d):
@@ -250,11 +264,37 @@ def d06(spark, d):
     return D.chunk_recursive(docs(spark, d))
 
 
-@query("d05_chunk_sentences")
+#: What is open, a mark, and finished chunks, the last first: folds of one string over a document's pieces.
+SENTENCES = r"list_filter(string_split(regexp_replace(coalesce(text, ''), '([.!?])[ \t\n\x0B\f\r]+', '\1' || chr(1), 'g'), chr(1)), lambda s: s <> '')"
+CUT = f"flatten(list_transform({SENTENCES}, lambda s: CASE WHEN length(s) <= 500 THEN [s] ELSE list_filter(string_split_regex(s, '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '') END))"
+
+
+@query("d05_chunk_sentences", f"""WITH p AS (SELECT doc_id AS id, {CUT} AS p FROM documents),
+    f AS (SELECT id, list_reduce(list_concat([p[1] || chr(1)], p[2:]), lambda a, x: CASE WHEN instr(a, chr(1)) + length(x) > 500 THEN x || chr(1) || a ELSE left(a, instr(a, chr(1)) - 1) || ' ' || x || substr(a, instr(a, chr(1))) END) AS a FROM p WHERE len(p) > 0),
+    c AS (SELECT id, list_reverse(string_split(a, chr(1))[:-2]) AS c FROM f) SELECT id, unnest(range(0, len(c)))::INT AS chunk, unnest(c) AS text FROM c""")
 def d05(spark, d):
     return D.chunk_sentences(docs(spark, d))
 
 
+OPEN, SIZE = "instr(a, chr(1))", "CAST(split_part(a, chr(4), 1) AS INT)"
+FULL = f"({SIZE} > 0 AND {SIZE} + length(x[1]) > 1500 AND (x[2] = 'no' OR {SIZE} + length(x[1]) > 3000))"
+
+
+@query("w12_pack_chunks", f"""WITH s AS (SELECT doc_id AS id, string_split(coalesce(text, ''), '. ') AS s FROM documents),
+    e AS (SELECT id, list_transform(range(1, len(s) + 1), lambda i: [s[i], CASE WHEN i % 3 = 0 THEN 'no' ELSE 'yes' END]) AS e FROM s),
+    f AS (SELECT id, list_reduce(list_concat([[length(e[1][1])::VARCHAR || chr(4) || e[1][1] || chr(1)]], e[2:]), lambda b, x: list_transform([b[1]], lambda a: CASE WHEN {FULL}
+        THEN length(x[1])::VARCHAR || chr(4) || x[1] || chr(1) || substr(a, instr(a, chr(4)) + 1)
+        ELSE ({SIZE} + length(x[1]))::VARCHAR || chr(4) || substr(a, instr(a, chr(4)) + 1, {OPEN} - instr(a, chr(4)) - 1) || chr(10) || x[1] || substr(a, {OPEN}) END))[1] AS a FROM e),
+    c AS (SELECT id, list_reverse(string_split(substr(a, instr(a, chr(4)) + 1), chr(1))[:-2]) AS c FROM f),
+    m AS (SELECT id, list_reduce(list_concat([chr(2)], c), lambda a, x: CASE WHEN left(a, 1) = chr(3) THEN chr(2) || substr(a, 2, instr(a, chr(2)) - 2) || chr(10) || x || chr(1) || substr(a, instr(a, chr(2)) + 1)
+        WHEN length(x) < 200 THEN chr(3) || x || a ELSE chr(2) || x || chr(1) || substr(a, 2) END) AS a FROM c),
+    d AS (SELECT id, list_reverse(string_split(CASE WHEN left(a, 1) = chr(3) THEN substr(a, 2, instr(a, chr(2)) - 2) || chr(1) || substr(a, instr(a, chr(2)) + 1) ELSE substr(a, 2) END, chr(1))[:-2]) AS c FROM m)
+    SELECT id, unnest(range(0, len(c)))::INT AS chunk, unnest(c) AS text FROM d""")
+def w12(spark, d):
+    x = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), r"\. ")).alias("n", "text"))
+    return D.pack_chunks(x.withColumn("splittable", (F.col("n") + 1) % 3 != 0))
+
+
 def hits(col, words):
     return " + ".join(f"CAST(contains({col}, '{w}') AS INT)" for w in words)
 

@@ -250,7 +250,7 @@ def t02(spark, d):
     return W.merge_by_distance(docs(spark, d).select("source", F.col("doc_id").alias("id"), F.col("n_chars").alias("distance")), "source", 5).select("source", "id")
 
 
-@query("t06_sample_metadata")
+@query("t06_sample_metadata", "SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5(concat_ws('|', '0', doc_id::VARCHAR, source))) AS n FROM documents) x WHERE n <= 5")
 def t06(spark, d):
     return W.sample_metadata(docs(spark, d).select("doc_id", "source"), "source", 100, 20)
 

@@ -227,15 +227,99 @@ def test_retrieval_composition(spark, rows):
     assert [r.id for r in R.search_source(t, c, "s", 5).collect()] == [1]
 
 
-def test_ann_recall(spark):
+def test_stored_index(spark, tmp_path, monkeypatch):
     import numpy as np
 
-    v = np.random.default_rng(0).normal(size=(300, 8))
-    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id int, vector array<double>")
-    q = df.where("id < 20").withColumnRenamed("id", "query_id")
-    want = {(r.query_id, r.id) for r in R.knn(q, df, 5).collect()}
-    got = {(r.query_id, r.id) for r in R.ann(q, df, 5).collect()}
-    assert len(want & got) / len(want) >= 0.9
+    from lodestone.operators import vector_index as V
+
+    rng = np.random.default_rng(0)
+    v = np.concatenate([rng.normal(size=(300, 8)), np.tile(rng.normal(size=8), (300, 1)), np.zeros((2, 8))])
+    odd = [(900, None), (901, []), (902, [float("nan")] * 8), (903, [None] * 8)]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + odd, "id int, vector array<double>")
+    q = df.where("id < 20 or id in (310, 601, 902)").withColumnRenamed("id", "query_id")
+    want = {(r.query_id, r.id): r.score for r in R.knn(q, df, 5).collect()}
+    for rows in (4096, 50):  # half of all rows are one vector, whose cell is then dealt over several groups
+        monkeypatch.setattr(V, "ROWS", rows)
+        path = V.stored(df, str(tmp_path / f"index{rows}"))
+        got = {(r.query_id, r.id): r.score for r in V.search(q, path, 5).collect()}
+        assert len(want.keys() & got.keys()) / len(want) >= 0.9 and all(got[k] == s for k, s in want.items() if k in got)
+        assert spark.read.parquet(f"{path}/vectors").select("id").distinct().count() == 602  # every usable vector
+    whole = V.search(q, path, 5, probes=10**6)
+    assert {(r.query_id, r.id) for r in whole.collect()} == want.keys()
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "index50").rglob("*.parquet")}
+    V.stored(df, path)
+    assert before == {p: p.stat().st_mtime_ns for p in (tmp_path / "index50").rglob("*.parquet")}
+    V.build(df.limit(0), str(tmp_path / "none"))
+    assert V.search(q, str(tmp_path / "none"), 5).count() == 0
+
+
+def test_stored_index_recall_on_the_embeddings(spark):
+    """At least 0.9 of the true neighbours of every query, with folders pruned and no limit on cells."""
+    from lodestone.queries import search as Q
+
+    d = "/root/testdata/sf0.1"
+    want = {(r.query_id, r.id) for r in Q.QUERIES["r02_knn"](spark, d).collect()}
+    got = {(r.query_id, r.id) for r in Q.QUERIES["r03_ann"](spark, d).collect()}
+    assert len({q for q, _ in want}) == 200 and len(want & got) / len(want) >= 0.9
+
+
+def test_bounded_search_matches_all_scores(spark, rows):
+    """Stop words of every document, ties, and queries of stop words alone."""
+    import random
+
+    from lodestone.operators import postings as PO
+
+    rng = random.Random(1)
+    words = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(i, " ".join(["the", "of"] * rng.randrange(1, 5) + rng.choices(words, [1 / (1 + k) for k in range(60)], k=rng.randrange(30)))) for i in range(400)] + [(900, None), (901, "")], "id int, text string")
+    asked = [(i, " ".join(["the", "of", "of", *rng.sample(words, 8)])) for i in range(12)] + [(20, "the of"), (21, "the"), (22, "nowhere"), (23, None), (24, ""), (25, "w3")]
+    q = spark.createDataFrame(asked, "query_id int, text string")
+    for k in (1, 5, 1000):
+        want = R.top(R.bm25_scores(q, docs), k).select("query_id", "id", "score", "rank")
+        assert rows(R.bm25(q, docs, k).select("query_id", "id", "score", "rank")) == rows(want)
+    terms, parts = R.bm25_postings(q, docs)
+    for unread in (0.0, 0.4, 0.9):
+        got = PO.top_scores(terms, parts, 5, unread).select("query_id", "id", "score", "rank")
+        assert rows(got) == rows(R.top(R.bm25_scores(q, docs), 5).select("query_id", "id", "score", "rank"))
+    assert R.bm25(q.limit(0), docs, 5).count() == R.bm25(q, docs.limit(0), 5).count() == 0
+
+
+def test_a_word_of_every_document_makes_no_candidates(spark, monkeypatch):
+    from lodestone.operators import postings as PO
+
+    docs = spark.range(2000).selectExpr("id", "concat('the ', if(id % 100 = 0, 'rare', 'x'), ' and the ', id % 7) as text")
+    q = spark.range(30).selectExpr("id as query_id", "'the rare and' as text")
+    sizes, write = {}, PO.materialise
+    monkeypatch.setattr(PO, "materialise", lambda df, name="stage": sizes.setdefault(name, write(df, name)))
+    assert R.bm25(q, docs, 5).count() == 150
+    assert sizes["sums"].count() == 30 * 20  # not 30 x 2000
+
+
+def test_packing_folds_match_python(spark):
+    import random
+
+    rng = random.Random(4)
+    own = {f"d{i}": [("x" * rng.choice([0, 1, 30, 90, 200, 350, 900]), rng.random() < 0.6) for _ in range(rng.randrange(1, 25))] for i in range(40)}
+    e = spark.createDataFrame([(d, n, t, c) for d, x in own.items() for n, (t, c) in enumerate(x)], "id string, n int, text string, splittable boolean")
+    want = []
+    for d, x in own.items():
+        number = D.pack([len(t) for t, _ in x], [c for _, c in x], 400, 700)
+        chunks = ["\n".join(t for (t, _), k in zip(x, number) if k == c) for c in range(number[-1] + 1)]
+        to = D.merge_small([len(c) for c in chunks], 150)
+        want += [(d, k, "\n".join(c for c, j in zip(chunks, to) if j == k)) for k in range(to[-1] + 1)]
+    got = D.pack_chunks(e, 400, 700, 150)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    plan = got._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_samples_are_limited_before_the_shuffle(spark):
+    from lodestone.operators import ranking as W
+
+    df = spark.range(5000).selectExpr("id", "if(id % 50 = 0, 'small', 'large') as c")
+    got = W.sample_metadata(df, "c", 40, 2)
+    assert sorted((r.c, r["count"]) for r in got.groupBy("c").count().collect()) == [("large", 20), ("small", 20)]
+    assert got._jdf.queryExecution().toString().count("WindowGroupLimit") >= 2  # before and behind the exchange
 
 
 def test_quality_reports(spark, rows):
