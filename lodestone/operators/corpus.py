@@ -38,10 +38,14 @@ def marked_lines(rows: DataFrame) -> DataFrame:
     return x.withColumn("header_path", F.concat_ws(" > ", *parts))
 
 
-def chunk_markdown(docs: DataFrame) -> DataFrame:
-    """``id, section, header_path, text``: one row for each section, code fences kept whole."""
+def chunk_markdown(docs: DataFrame, least: int = 200) -> DataFrame:
+    """``id, section, header_path, text``: one row for each section of at least ``least`` letters, code fences kept whole.
+
+    A heading closes what stands before it: that is a chunk if it is long enough and is left out otherwise.
+    """
     x = marked_lines(lines(docs)).groupBy("id", "section").agg(F.min_by("header_path", "n").alias("header_path"), F.array_sort(F.collect_list(F.struct("n", "line"))).alias("l"))
-    return x.select("id", "section", "header_path", F.array_join(F.transform("l", lambda r: r["line"]), "\n").alias("text"))
+    x = x.select("id", "section", "header_path", F.array_join(F.transform("l", lambda r: r["line"]), "\n").alias("text"))
+    return x.where(F.length("text") >= least)
 
 
 def chunk_rst(docs: DataFrame) -> DataFrame:

@@ -26,14 +26,15 @@ BUILTIN = ["HOME", "PATH", "PWD", "USER", "SHELL", "IFS", "PS4", "LINENO", "RAND
 
 
 def shell_facts(files: DataFrame) -> DataFrame:
-    """``path, kind, name, value, n``: sourced files, invoked scripts, exports (value cut at 200 letters),
-    functions and used variables. Comment lines count for functions and variables only."""
+    """``path, kind, name, value, n``: sourced files, invoked scripts (below a variable's folder, or directly: ``./x.sh``,
+    ``sh x.sh``, ``bash x.sh``), exports (value cut at 200 letters), functions and used variables. Comment lines count for functions and variables only."""
     rows = file_lines(files)
     code = rows.where(~F.col("line").rlike(r"^\s*#"))
     value = F.left(F.regexp_extract("line", r"^\s*export\s+\w+=(.*)$", 1), F.lit(200))
     parts = [
         _all(code, "source", r"^\s*(?:source|\.)\s+([^\s;#]+)"),
         _all(code, "invoke", r"(\$\{?\w+\}?/[\w./-]+\.(?:sh|py|ksh))"),
+        _all(code, "invoke", r"(?:^|\s)(?:\./|sh\s+|bash\s+)([^;\s\"']+\.sh)").where(~F.col("name").startswith("$")),
         _all(code, "export", r"^\s*export\s+(\w+)=", value=value),
         _all(rows, "function", r"^\s*(?:function\s+)?(\w+)\s*\(\)\s*\{?"),
         _all(rows, "env", r"\$\{?([A-Z][A-Z0-9_]+)").where(~F.col("name").isin(BUILTIN)),

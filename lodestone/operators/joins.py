@@ -16,11 +16,35 @@ def callers(edges: DataFrame, nodes: DataFrame, rel: str) -> DataFrame:
     return e.join(nodes.select(F.col("node_id").alias("caller"), F.col("name").alias("caller_name")), "caller", "left").select("target", "caller", "caller_name").distinct()
 
 
-def related_files(edges: DataFrame, k: int) -> DataFrame:
-    """``file, other, shared``: the k files that share most targets with each file, itself left out."""
-    u = edges.select("src", "dst").distinct()
-    x = u.select(F.col("src").alias("file"), "dst").join(u.select(F.col("src").alias("other"), "dst"), "dst").where("file <> other").groupBy("file", "other").agg(F.count("*").alias("shared"))
-    return x.withColumn("n", F.row_number().over(Window.partitionBy("file").orderBy(F.desc("shared"), "other"))).where(F.col("n") <= k).drop("n")
+#: Files of a target from which it is a hub.
+HUB = 1000
+
+
+def related_files(edges: DataFrame, k: int, hub: int = HUB) -> DataFrame:
+    """``file, other, shared``: the k files that share most targets with each file (``src, dst``), itself left out; ties to the smaller name.
+
+    Files meet over targets of at most ``hub`` files, which makes at most ``hub`` pairs an edge. Those with the same hubs
+    are one class; classes meet over hubs, and each class keeps the k + 1 first of the files that share most hubs with it, so a target of
+    all files makes one class and no pairs. Exact: a file that no other target leads to can only be among
+    the k if it is among these.
+    """
+    u = materialise(edges.where("src is not null and dst is not null").select("src", "dst").distinct(), "targets")
+    hubs = broadcast_if_small(u.groupBy("dst").agg(F.count("*").alias("n")).where(F.col("n") > hub).select("dst"))
+    rare = u.join(hubs, "dst", "left_anti")
+    pairs = rare.select("dst", F.col("src").alias("file")).join(rare.select("dst", F.col("src").alias("other")), "dst").where("file <> other").groupBy("file", "other").agg(F.count("*").alias("shared"))
+    # a file's hubs are its class
+    member = materialise(u.join(hubs, "dst", "left_semi").groupBy("src").agg(F.array_sort(F.collect_set("dst")).alias("hubs")).select("src", "hubs", F.sha2(F.array_join("hubs", "\n"), 256).alias("cls")), "members")
+    own = member.groupBy("cls").agg(F.first("hubs").alias("hubs")).select("cls", F.explode("hubs").alias("hub"))
+    over = materialise(own.toDF("cls", "hub").join(own.toDF("to", "hub"), "hub").groupBy("cls", "to").agg(F.count("*").alias("overlap")), "classes")
+    order = lambda key, score, name: F.row_number().over(Window.partitionBy(key).orderBy(F.desc(score), name))
+    first = member.withColumn("n", F.row_number().over(Window.partitionBy("cls").orderBy("src"))).where(F.col("n") <= k + 1).select(F.col("cls").alias("to"), F.col("src").alias("other"))
+    best = over.join(first, "to").withColumn("n", order("cls", "overlap", "other")).where(F.col("n") <= k + 1).select("cls", "other", F.col("overlap").alias("shared"))
+    mine = member.select("src", "cls")
+    far = mine.withColumnRenamed("src", "file").join(broadcast_if_small(best), "cls").where("file <> other").select("file", "other", "shared")
+    near = pairs.join(mine.toDF("file", "cls"), "file", "left").join(mine.toDF("other", "to"), "other", "left").join(broadcast_if_small(over), ["cls", "to"], "left")
+    near = near.select("file", "other", (F.col("shared") + F.coalesce("overlap", F.lit(0))).alias("shared"))
+    x = near.union(far).groupBy("file", "other").agg(F.max("shared").alias("shared"))
+    return x.withColumn("n", order("file", "shared", "other")).where(F.col("n") <= k).drop("n")
 
 
 def basename(path: Column) -> Column:

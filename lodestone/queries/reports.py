@@ -46,7 +46,7 @@ CODE = "o_orderstatus || chr(10) || '```sh' || chr(10) || '# no heading' || chr(
     UNION ALL SELECT o_orderkey, 2, 'Order ' || o_orderkey || ' > Status', '## Status' || chr(10) || o_orderpriority FROM orders
     UNION ALL SELECT o_orderkey, 3, 'Last', '# Last' FROM orders WHERE o_orderkey % 2 = 0""")
 def d01(spark, d):
-    return D.chunk_markdown(orders(spark, d, MARKDOWN))
+    return D.chunk_markdown(orders(spark, d, MARKDOWN), 0)
 
 
 @query("w09_header_paths", """WITH l AS (SELECT o_orderkey AS id, unnest(range(0, 9)) AS n, o_orderkey % 2 = 0 AS even FROM orders) SELECT id, n, CASE WHEN n = 0 THEN '' WHEN n = 8 THEN 'Last' WHEN n >= 6 THEN 'Order ' || id || ' > Status' ELSE 'Order ' || id END AS header_path,

@@ -470,3 +470,19 @@ def j16(spark, d):
     nodes = nodes.union(c.where("c_custkey < 60").select(F.concat(F.lit("sym"), "c_custkey"), path("c_custkey"), F.lit("run")))
     name = F.when(F.col("o_orderkey") % 3 == 0, None).when(F.col("o_orderkey") % 3 == 1, "run").otherwise("other")
     return J.link_chunks(nodes, o.select(F.concat(F.lit("c"), "o_orderkey").alias("chunk_id"), path("o_custkey").alias("path"), name.cast("string").alias("name")))
+
+
+#: Scripts that call others directly, below a variable's folder, and not at all.
+DIRECT = _text(
+    f"'  sh tools/run_' || {_s('o_orderkey % 13')} || '.sh -v; ./go.sh'",
+    f"'cd /x && bash jobs/x_' || {_s('o_custkey % 7')} || '.sh # note'",
+    "'# sh no.sh'",
+    f"'sh $USHgfs/var_' || {_s('o_orderkey % 5')} || '.sh'",
+    "'mash x.sh | sh y.ksh'",
+)
+
+
+@query("x01_direct_invocations", f"""WITH o AS (SELECT *, {SCRIPT_PATH} AS path FROM orders) SELECT path, 'tools/run_' || (o_orderkey % 13) || '.sh' AS name, 1 AS n FROM o UNION ALL SELECT path, 'go.sh', 1 FROM o
+    UNION ALL SELECT path, 'jobs/x_' || (o_custkey % 7) || '.sh', 2 FROM o UNION ALL SELECT path, '$USHgfs/var_' || (o_orderkey % 5) || '.sh', 4 FROM o""")
+def x01_direct(spark, d):
+    return X.shell_facts(files(spark, d, DIRECT)).where("kind = 'invoke'").select("path", "name", "n")

@@ -418,3 +418,22 @@ def q05(spark, d):
     v = vectors(spark, d)
     fresh = v.select(F.explode(F.when(F.expr("id % 20 = 0"), F.array("id", F.col("id") + 1)).when(F.expr("id % 20 = 1"), F.array().cast("array<bigint>")).otherwise(F.array("id"))).alias("id"), "vector")
     return Q.embedding_drift(v, fresh, "id")
+
+
+@query("d01_long_sections", """WITH l AS (SELECT doc_id AS id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS n, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL),
+    f AS (SELECT *, regexp_matches(line, '^\\s*```') AS fence FROM l), g AS (SELECT *, fence OR sum(fence::INT) OVER w % 2 = 1 AS fenced FROM f WINDOW w AS (PARTITION BY id ORDER BY n)),
+    h AS (SELECT *, CASE WHEN NOT fenced AND regexp_matches(line, '^#{1,6}\\s+\\S') THEN 1 ELSE 0 END AS head FROM g),
+    s AS (SELECT *, sum(head) OVER (PARTITION BY id ORDER BY n)::BIGINT AS section FROM h), t AS (SELECT id, section, string_agg(line, chr(10) ORDER BY n) AS text FROM s GROUP BY 1, 2)
+    SELECT id, section, text FROM t WHERE length(text) >= 200""")
+def d01_long(spark, d):
+    return D.chunk_markdown(docs(spark, d)).select("id", "section", "text")
+
+
+@query("r14_explain", """WITH t AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS query_id FROM part), h AS (SELECT query_id, p_partkey FROM t JOIN part ON p_name = query_id)
+    SELECT query_id, 'text' AS kind, p_partkey::VARCHAR AS id FROM h UNION ALL SELECT query_id, 'graph', s_suppkey::VARCHAR FROM t, supplier WHERE contains(lower(s_name), lower(query_id)) UNION ALL SELECT query_id, 'graph', 'p' || p_partkey FROM t, part WHERE contains(lower(p_name), lower(query_id))""")
+def r14(spark, d):
+    part = table(spark, d, "part")
+    topics = part.select(F.split("p_name", " ")[0].alias("query_id")).distinct().withColumn("text", F.col("query_id"))
+    hits = topics.join(part, F.expr("p_name = query_id")).select("query_id", F.col("p_partkey").alias("id"))
+    named = part.select(F.concat(F.lit("p"), "p_partkey").alias("node_id"), F.col("p_name").alias("name"))
+    return R.explain(topics, hits, named.union(table(spark, d, "supplier").select(F.col("s_suppkey").cast("string"), "s_name")))

@@ -96,6 +96,21 @@ def test_links_by_basename(spark, rows):
     assert rows(linked) == [("t1", "repo/jobs/JRUN")] and rows(rest) == [("t2",)]
 
 
+def test_related_files_with_hubs(spark, rows):
+    """Targets of all files, of many and of few, against all pairs."""
+    rng = random.Random(5)
+    own = {f"f{i:02}": {"all"} | {f"h{j}" for j in range(3) if rng.random() < 0.4} | {f"t{rng.randrange(12)}" for _ in range(rng.randrange(4))} for i in range(40)}
+    own["lone"], own["far"] = {"all"}, {"t99"}
+    edges = spark.createDataFrame([(f, t) for f, x in own.items() for t in x] + [("f00", "all"), (None, "all"), ("f01", None)], "src string, dst string")
+    want = []
+    for f, x in own.items():
+        near = sorted(((-len(x & y), g) for g, y in own.items() if g != f and x & y))[:3]
+        want += [(f, g, -n) for n, g in near]
+    for hub in (1, 6, 20, 1000):
+        assert rows(J.related_files(edges, 3, hub)) == sorted(want, key=repr)
+    assert J.related_files(edges.limit(0), 3).count() == 0
+
+
 def test_link_mentions_configs_chunks_and_references(spark, rows):
     files = spark.createDataFrame([("src/a/run.py",), ("src/b/go.sh",)], "path string")
     m = spark.createDataFrame([(1, "a/run.py"), (2, "b/run.py")], "doc int, mention string")

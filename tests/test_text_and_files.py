@@ -30,7 +30,9 @@ def one(spark, expr, **values):
 
 def test_markdown_sections(spark, rows):
     text = "intro\n# A\none\n### B\n```\n# not a heading\n```\n## C\ntwo"
-    got = rows(D.chunk_markdown(spark.createDataFrame([(1, text)], "id int, text string")))
+    docs = spark.createDataFrame([(1, text)], "id int, text string")
+    got = rows(D.chunk_markdown(docs, 0))
+    assert D.chunk_markdown(docs).count() == 0 and [r[1] for r in rows(D.chunk_markdown(docs, 10))] == [2]  # short sections are left out
     assert [(r[1], r[2]) for r in got] == [(0, ""), (1, "A"), (2, "A > B"), (3, "A > C")]
     assert "# not a heading" in got[2][3]
 
@@ -76,6 +78,8 @@ def test_shell_facts(spark, rows):
     f = files(spark, a="#!/bin/bash\n# source no.sh\nsource lib.sh\nexport RUN=\"x y\"\n$USHgfs/run.sh\nfoo() {\n echo $DATA ${RUN}\n}\nLOCAL=1")
     got = {(k, n): v for _, k, n, v, _ in rows(X.shell_facts(f))}
     assert got[("export", "RUN")] == '"x y"' and ("source", "lib.sh") in got and ("function", "foo") in got
+    direct = files(spark, a="sh x/a.sh; ./b.sh\n  bash c.sh\n# sh d.sh\nsh $E/f.sh\nmash g.sh\ncd y && ./h.sh -v")
+    assert {n for _, k, n, *_ in rows(X.shell_facts(direct)) if k == "invoke"} == {"x/a.sh", "b.sh", "c.sh", "$E/f.sh", "h.sh"}
     assert ("invoke", "$USHgfs/run.sh") in got and ("env", "DATA") in got and ("source", "no.sh") not in got
     e = {n: r for _, n, r in rows(X.env_edges(f))}
     assert e["RUN"] == "EXPORTS" and e["LOCAL"] == "SETS" and e["DATA"] == "DEPENDS_ON_ENV"
