@@ -13,6 +13,9 @@ Built-in expressions only.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,32 +31,46 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), WORD_GAP), lambda w: w != "")
 
 
-def _shingles(rows: DataFrame) -> DataFrame:
-    """``id, shingle`` from ``id, words``: the texts' shingles; a shorter text is one shingle."""
+def _places(rows: DataFrame, k: int | None) -> tuple[DataFrame, int]:
+    """``id, words, at`` of each place at which k words begin; without k five words, or a shorter text as a whole."""
     n = F.size("words")
+    if k:
+        return rows.where(n >= k).select("id", "words", F.explode(F.sequence(F.lit(0), n - k)).alias("at")), k
     at = F.explode(F.when(n >= WORDS, F.sequence(F.lit(0), n - WORDS)).when(n > 0, F.array(F.lit(0))))
-    word = [F.get("words", F.col("at") + i) for i in range(WORDS)]
-    return rows.where(n > 0).select("id", "words", at.alias("at")).select("id", F.concat_ws(" ", *word).alias("shingle"))
+    return rows.where(n > 0).select("id", "words", at.alias("at")), WORDS
 
 
-def _probe(rows: DataFrame) -> DataFrame:
-    """``id, hash`` of each shingle of ``id, words``, without making its text."""
-    n = F.size("words")
-    at = F.explode(F.when(n >= WORDS, F.sequence(F.lit(0), n - WORDS)).when(n > 0, F.array(F.lit(0))))
-    return rows.where(n > 0).select("id", "words", at.alias("at")).select("id", F.xxhash64(*(F.get("words", F.col("at") + i) for i in range(WORDS))).alias("hash"))
+def _shingles(rows: DataFrame, k: int | None = None) -> DataFrame:
+    """``id, shingle`` from ``id, words``: the texts' shingles; a shorter text is one shingle."""
+    x, n = _places(rows, k)
+    return x.select("id", F.concat_ws(" ", *(F.get("words", F.col("at") + i) for i in range(n))).alias("shingle"))
+
+
+def _probe(rows: DataFrame, k: int | None = None) -> DataFrame:
+    """``id, hash`` of each shingle of ``id, words``, without making its text; missing words do not change a hash."""
+    x, n = _places(rows, k)
+    return x.select("id", F.xxhash64(*(F.get("words", F.col("at") + i) for i in range(n))).alias("hash"))
+
+
+def _with_short(make: Callable[..., DataFrame], rows: DataFrame, sizes: list[int]) -> DataFrame:
+    """``make`` of the rows, and for each size of shorter items of all their runs of so many words."""
+    return reduce(DataFrame.union, [make(rows), *(make(rows, k) for k in sizes)])
 
 
 def contained_items(docs: DataFrame, items: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """``doc_id, item_id, n_shared, n_item`` for each item contained in a document.
 
     Words are runs without ASCII white space, lower-cased. An item of fewer than five words
-    is one shingle and only found in a document of exactly those words. Null and empty texts
+    is one shingle of its own size, and is found wherever a document has those words. Null and empty texts
     take no part on either side; rows that repeat an id count as one text's shingles; other
     columns are not read. Items are broadcast while their counted sketches are few and
     joined by a shuffle beyond that.
     """
     own = docs.select(F.col(id_col).alias("id"), _words(F.col(text_col)).alias("words"))
     query = items.select(F.col(item_col).alias("id"), _words(F.col(text_col)).alias("words"))
+    # of the sizes below five those that some item has
+    short = query.where((F.size("words") > 0) & (F.size("words") < WORDS)).select(F.size("words").alias("n")).distinct()
+    sizes = sorted(r["n"] for r in short.collect())
     exact = materialise(_shingles(query).distinct().select(F.col("id").alias("item"), "shingle"), "items")
     size = exact.groupBy("item").agg(F.count("*").alias("n_item"))
     hashed = _probe(query).distinct().join(size, F.expr("id = item"))
@@ -62,12 +79,12 @@ def contained_items(docs: DataFrame, items: DataFrame, percent: int = PERCENT, i
     minima = hashed.groupBy("id", "n_item").agg(F.array_sort(F.collect_set("hash")).alias("all"))
     sketch = materialise(minima.select(F.col("id").alias("item"), F.explode(F.slice("all", F.lit(1), spare)).alias("hash")), "sketch")
 
-    hits = _probe(own).join(broadcast_if_small(sketch), "hash").select("id", "item").distinct()
+    hits = _with_short(_probe, own, sizes).join(broadcast_if_small(sketch), "hash").select("id", "item").distinct()
     hits = materialise(hits, "candidates")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     found = texts.join(hits.select("id").distinct().hint("merge"), "id", "left_semi")
     # only shingles of some item are kept, before anything is shuffled
-    kept = _shingles(found.select("id", _words(F.col("text")).alias("words"))).join(broadcast_if_small(exact), "shingle").select("id", "item", "shingle").distinct()
+    kept = _with_short(_shingles, found.select("id", _words(F.col("text")).alias("words")), sizes).join(broadcast_if_small(exact), "shingle").select("id", "item", "shingle").distinct()
     shared = kept.groupBy("id", "item").agg(F.count("*").alias("n_shared")).join(hits, ["id", "item"], "left_semi").join(size, "item")
     shared = shared.where(F.col("n_shared") * 100 >= F.col("n_item") * percent)
     return shared.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "n_shared", "n_item")
@@ -84,6 +101,9 @@ def oracle_sql(percent: int = PERCENT) -> str:
 
     return f"""
         WITH {grams('documents', 'doc_id')}, {grams('benchmark', 'item_id')},
+        sizes AS (SELECT DISTINCT len(w) AS k FROM benchmark_w WHERE len(w) BETWEEN 1 AND {WORDS - 1}),
+        places AS (SELECT id, w, k, unnest(range(1, len(w) - k + 2)) AS a FROM documents_w, sizes WHERE len(w) >= k),
+        held AS (SELECT id, g FROM documents_s UNION SELECT id, array_to_string(w[a : a + k - 1], ' ') FROM places),
         n AS (SELECT id, count(*) AS n_item FROM benchmark_s GROUP BY id),
-        pairs AS (SELECT d.id AS doc_id, b.id AS item_id, count(*) AS n_shared FROM documents_s d JOIN benchmark_s b ON d.g = b.g GROUP BY 1, 2)
+        pairs AS (SELECT d.id AS doc_id, b.id AS item_id, count(*) AS n_shared FROM held d JOIN benchmark_s b ON d.g = b.g GROUP BY 1, 2)
         SELECT doc_id, item_id, n_shared, n_item FROM pairs JOIN n ON n.id = pairs.item_id WHERE 100 * n_shared >= {percent} * n_item"""

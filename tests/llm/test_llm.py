@@ -6,7 +6,9 @@ import zlib
 from collections import Counter
 from pathlib import Path
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 
@@ -244,11 +246,12 @@ def test_maxent_empty_tables(spark):
 
 
 def brute_contained(docs_, items):
-    def grams(t):
+    def grams(t, sizes=()):
         w = (t or "").lower().encode().split()
-        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} | {tuple(w[i : i + k]) for k in sizes for i in range(len(w) - k + 1)} if w else set()
 
-    d, b = {i: grams(t) for i, t in docs_.items()}, {i: grams(t) for i, t in items.items()}
+    sizes = {n for t in items.values() if 0 < (n := len((t or "").split())) < 5}
+    d, b = {i: grams(t, sizes) for i, t in docs_.items()}, {i: grams(t) for i, t in items.items()}
     return sorted((i, j, len(x & y), len(y)) for i, x in d.items() for j, y in b.items() if y and 100 * len(x & y) >= 80 * len(y))
 
 
@@ -263,6 +266,11 @@ def test_decontamination_matches_brute_force(spark):
     df = spark.createDataFrame(list(items.items()), "item_id long, text string")
     got = sorted(tuple(r) for r in decontam.contained_items(table(spark, rows), df).collect())
     assert got == brute_contained(dict(enumerate(rows)), items) and len(got) >= 9
+    assert (0, 0) in {r[:2] for r in got}  # three words inside a long text
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame([(i, t) for i, t in enumerate(rows)], columns=["doc_id", "text"]))
+    con.register("benchmark", pd.DataFrame(list(items.items()), columns=["item_id", "text"]))
+    assert sorted(con.sql(decontam.oracle_sql()).fetchall()) == got
     assert decontam.contained_items(table(spark, rows), df.limit(0)).count() == 0
 
 
