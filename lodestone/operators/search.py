@@ -182,11 +182,27 @@ def global_search(hits: DataFrame, children: DataFrame, strengths: DataFrame, k:
     return best.join(c, "id", "left").join(s, "id", "left")
 
 
-def context(neighbours: DataFrame, hits: DataFrame) -> DataFrame:
-    """``anchor, neighbours, documents, tokens`` from scored neighbours and hits of each anchor."""
-    a = neighbours.groupBy("anchor").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "name", "rel"))).alias("neighbours"), F.max("used").alias("tokens"))
-    b = hits.groupBy(F.col("query_id").alias("anchor")).agg(F.array_sort(F.collect_list(F.struct("rank", "id"))).alias("documents"))
-    return a.join(b, "anchor", "full")
+def probe_texts(anchors: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """``query_id, text``: what to search for an anchor: its name and its extra keys (``anchor, n, key``) in their order,
+    trimmed, without blank and repeated ones, joined by spaces."""
+    own = anchors.select("anchor").distinct()
+    rows = own.select("anchor", F.struct(F.lit(0).alias("own"), F.lit(0).cast("long").alias("n"), F.col("anchor").cast("string").alias("key")).alias("k"))
+    if keys is not None:
+        more = keys.join(own, "anchor", "left_semi").select("anchor", F.struct(F.lit(1).alias("own"), F.col("n").cast("long").alias("n"), F.col("key").cast("string").alias("key")).alias("k"))
+        rows = rows.union(more)
+    x = rows.groupBy("anchor").agg(F.array_sort(F.collect_list("k")).alias("k"))
+    named = F.filter(F.transform("k", lambda k: F.trim(k["key"])), lambda k: k.isNotNull() & (k != ""))
+    return x.select(F.col("anchor").alias("query_id"), F.array_join(F.array_distinct(named), " ").alias("text"))
+
+
+def context(neighbours: DataFrame, hits: DataFrame, anchors: DataFrame | None = None, documents: int = 5) -> DataFrame:
+    """``anchor, neighbours, documents, tokens, graph_count, semantic_count`` from scored neighbours (bounded by their budget) and
+    the first ``documents`` hits of each anchor; with ``anchors`` a row for each, without results too."""
+    a = neighbours.groupBy("anchor").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "name", "rel"))).alias("neighbours"), F.max("used").alias("tokens"), F.count("*").alias("graph_count"))
+    b = hits.where(F.col("rank") <= documents).groupBy(F.col("query_id").alias("anchor")).agg(F.array_sort(F.collect_list(F.struct("rank", "id"))).alias("documents"), F.count("*").alias("semantic_count"))
+    x = a.join(b, "anchor", "full")
+    x = anchors.select("anchor").distinct().join(x, "anchor", "left") if anchors is not None else x
+    return x.fillna(0, ["tokens", "graph_count", "semantic_count"])
 
 
 def text_relevance(queries: DataFrame, chunks: DataFrame, k: int, least: float = 0.1) -> DataFrame:

@@ -437,3 +437,23 @@ def r14(spark, d):
     hits = topics.join(part, F.expr("p_name = query_id")).select("query_id", F.col("p_partkey").alias("id"))
     named = part.select(F.concat(F.lit("p"), "p_partkey").alias("node_id"), F.col("p_name").alias("name"))
     return R.explain(topics, hits, named.union(table(spark, d, "supplier").select(F.col("s_suppkey").cast("string"), "s_name")))
+
+
+@query("r10_probe_texts", """WITH k AS (SELECT conv_id, turn, trim(split_part(text, ' ', 1 + (turn % 2)::INT)) AS key FROM conversations UNION ALL SELECT DISTINCT conv_id, -1, conv_id::VARCHAR FROM conversations),
+    f AS (SELECT conv_id, key, min(turn) AS turn FROM k WHERE key <> '' GROUP BY 1, 2) SELECT conv_id AS query_id, string_agg(key, ' ' ORDER BY turn) AS text FROM f GROUP BY 1""")
+def r10(spark, d):
+    c = table(spark, d, "conversations").select(F.col("conv_id").alias("anchor"), F.col("turn").alias("n"), F.split_part("text", F.lit(" "), (1 + F.col("turn") % 2).cast("int")).alias("key"))
+    return R.probe_texts(c, c)
+
+
+@query("r09_global_search", """WITH h AS (SELECT b.item_id AS query_id, l.doc_id AS id, l.quality AS level, length(b.text) % 7 + l.doc_id % 11 AS score FROM benchmark b JOIN labels l ON l.doc_id % 200 = b.item_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY level DESC, score DESC, id) AS rank FROM h), k AS (SELECT * FROM r WHERE rank <= 5),
+    c AS (SELECT DISTINCT doc_id AS community, item_id AS child FROM labels JOIN benchmark ON item_id % 50 = doc_id % 50),
+    n AS (SELECT *, row_number() OVER (PARTITION BY community ORDER BY child) AS i FROM c), f AS (SELECT community, string_agg(child::VARCHAR, ',' ORDER BY child) AS children FROM n WHERE i <= 5 GROUP BY 1)
+    SELECT query_id, id, rank, children FROM k LEFT JOIN f ON community = id""")
+def r09(spark, d):
+    b, x = asked(spark, d), table(spark, d, "labels")
+    hits = x.join(b, F.expr("doc_id % 200 = query_id")).select("query_id", F.col("doc_id").alias("id"), F.col("quality").alias("level"), F.expr("length(text) % 7 + doc_id % 11").alias("score"))
+    children = x.join(b, F.expr("query_id % 50 = doc_id % 50")).select(F.col("doc_id").alias("community"), F.col("query_id").alias("child"))
+    none = children.limit(0).select(F.col("community").alias("a"), F.col("child").alias("b"), F.lit(1).alias("strength"))
+    return R.global_search(hits, children, none, 5).select("query_id", "id", "rank", F.array_join("children", ",").alias("children"))

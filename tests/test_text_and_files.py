@@ -231,6 +231,18 @@ def test_retrieval_composition(spark, rows):
     assert [r.id for r in R.search_source(t, c, "s", 5).collect()] == [1]
 
 
+def test_guided_context_has_extra_keys_and_counters(spark, rows):
+    anchors = spark.createDataFrame([("run",), ("lone",), ("run",)], "anchor string")
+    keys = spark.createDataFrame([("run", 3, "c"), ("run", 1, " b "), ("run", 2, "run"), ("run", 4, "b"), ("run", 5, " "), ("run", 6, None), ("other", 1, "x")], "anchor string, n int, key string")
+    assert rows(R.probe_texts(anchors, keys)) == [("lone", "lone"), ("run", "run b c")]
+    near = spark.createDataFrame([("run", "n1", "CALLS", 0.5, 40), ("run", "n2", "USES", 0.9, 90)], "anchor string, name string, rel string, score double, used int")
+    hits = spark.createDataFrame([("run", i, i) for i in range(1, 9)], "query_id string, id int, rank int")
+    got = {r.anchor: r for r in R.context(near, hits, anchors).collect()}
+    assert [n.name for n in got["run"].neighbours] == ["n2", "n1"] and [d.id for d in got["run"].documents] == [1, 2, 3, 4, 5]
+    assert (got["run"].tokens, got["run"].graph_count, got["run"].semantic_count) == (90, 2, 5)
+    assert (got["lone"].tokens, got["lone"].graph_count, got["lone"].semantic_count, got["lone"].documents) == (0, 0, 0, None)
+
+
 def test_stored_index(spark, tmp_path, monkeypatch):
     import numpy as np
 
