@@ -50,8 +50,8 @@ def write_graph_csv(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     def flat(df: DataFrame, keep: list[str]) -> list:
         return [F.to_json(c).alias(c) if t.startswith(("array", "map", "struct")) else F.col(c) for c, t in df.dtypes if c not in keep]
 
-    nodes.select(F.col("node_id").alias("~id"), F.col("label").alias("~label"), *flat(nodes, ["node_id", "label"])).write.mode("overwrite").option("header", True).csv(f"{path}/nodes")
-    edges.select(F.sha2(F.concat_ws("|", "src", "rel", "dst"), 256).alias("~id"), F.col("src").alias("~from"), F.col("dst").alias("~to"), F.col("rel").alias("~label"), *flat(edges, ["src", "dst", "rel"])).write.mode("overwrite").option("header", True).csv(f"{path}/edges")
+    nodes.select(F.col("node_id").alias("~id"), F.col("label").alias("~label"), *flat(nodes, ["node_id", "label"])).write.mode("overwrite").option("header", True).option("escape", "\"").csv(f"{path}/nodes")
+    edges.select(F.sha2(F.concat_ws("|", "src", "rel", "dst"), 256).alias("~id"), F.col("src").alias("~from"), F.col("dst").alias("~to"), F.col("rel").alias("~label"), *flat(edges, ["src", "dst", "rel"])).write.mode("overwrite").option("header", True).option("escape", "\"").csv(f"{path}/edges")
 
 
 MANIFEST = "sources array<struct<name string, source_type string, collection_target string, embedding_profile string, enabled boolean, scope string, last_ingested string, doc_count long, type_fields map<string,string>>>"
