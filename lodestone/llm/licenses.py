@@ -10,15 +10,17 @@ this module and the full texts in ``licence_texts``, so their side of the join i
 
 from __future__ import annotations
 
+import hashlib
 import re
 from pathlib import Path
 
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.plans.stages import broadcast_if_small
 
-#: Known licence statements (fixed values): identifier, text. The SQL knows these.
+#: Known licence statements (fixed values): identifier, text.
 STATEMENTS = [
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
@@ -118,9 +120,8 @@ def full_texts() -> list[tuple[str, str]]:
 
 KNOWN = [*STATEMENTS, *notices(), *full_texts()]
 
-#: Copyright lines in the SQL, and here: behind comment marks too, but not where the wrapped
-#: text of a licence begins a line with the word.
-COPYRIGHT = r"(?m)^[ \t]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*$"
+#: Copyright lines, also behind comment marks, but not where the wrapped text of a licence
+#: begins a line with the word.
 NOTICE = r"(?m)^[^\p{L}\p{N}\n]*(?:copyright(?![ \t]+(?:notices?|holders?|owners?|licen[sc]es?|laws?|statements?|interests?)\b)|\(c\)(?![ \t]+you\b)|©|all rights reserved)[^\n]*$"
 #: Equivalent spellings, applied after that to lower-case text in this order.
 SPELLINGS = [
@@ -179,19 +180,39 @@ def scan(docs: DataFrame, known: DataFrame | list[tuple[str, str]] | None = None
     )
 
 
-def oracle_sql() -> str:
-    """The same result in DuckDB's SQL, for texts in which only statements stand."""
+def _plain_normal(text: str) -> str:
+    """The normal form of a known text in plain Python, for the SQL: it shares no expression with :func:`normal_form`."""
+    low = "\n".join(line for line in text.lower().split("\n") if not regex.match(NOTICE, line))
+    for a, b in SPELLINGS:
+        low = low.replace(a, b)
+    return regex.sub(r"[^\p{L}\p{N}]+", " ", low).strip()
+
+
+def oracle_sql(known: list[tuple[str, str]] = KNOWN) -> str:
+    """The same result in DuckDB's SQL, with the digests of all known texts.
+
+    Its patterns have no lookahead, so a line is a notice if it begins like one and not like the
+    exceptions. Lines end at line feeds alone here.
+    """
     quote = lambda t: "'" + t.replace("'", "''") + "'"
+    mark, words = r"^[^\p{L}\p{N}\n]*", "(?:notices?|holders?|owners?|licen[sc]es?|laws?|statements?|interests?)"
+    begins = lambda x, what: f"regexp_matches({x}, {quote(mark + what)})"
+    notice = f"""({begins("x", "copyright")} AND NOT {begins("x", "copyright[ " + chr(92) + "t]+" + words + chr(92) + "b")})
+            OR ({begins("x", r"[(]c[)]")} AND NOT {begins("x", r"[(]c[)][ \t]+you\b")}) OR {begins("x", "(?:©|all rights reserved)")}"""
 
     def normal(text: str) -> str:
-        low = f"regexp_replace(lower({text}), {quote(COPYRIGHT)}, '', 'g')"
+        low = f"array_to_string(list_filter(string_split(lower({text}), chr(10)), lambda x: NOT ({notice})), chr(10))"
         for a, b in SPELLINGS:
             low = f"replace({low}, {quote(a)}, {quote(b)})"
         return f"sha256(trim(regexp_replace({low}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')))"
 
-    rows = ", ".join(f"({quote(i)}, {quote(t)})" for i, t in STATEMENTS)
+    digests: dict[str, str] = {}
+    for i, text in known:
+        digest = hashlib.sha256(_plain_normal(text).encode()).hexdigest()
+        digests[digest] = min(i, digests.get(digest, i))
+    rows = ", ".join(f"('{d}', {quote(i)})" for d, i in digests.items())
     return f"""
-        WITH known AS (SELECT {normal('t')} AS digest, min(i) AS license_id FROM (VALUES {rows}) AS v(i, t) GROUP BY 1),
+        WITH known(digest, license_id) AS (VALUES {rows}),
         own AS (SELECT doc_id, text, {normal('text')} AS digest FROM documents),
         lines AS (SELECT doc_id, {normal('line')} AS digest FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) u),
         found AS (SELECT l.doc_id, string_agg(DISTINCT k.license_id, ',' ORDER BY k.license_id) AS line_licenses FROM lines l JOIN known k ON l.digest = k.digest GROUP BY 1)

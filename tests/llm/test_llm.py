@@ -1,7 +1,9 @@
 """The ten operators against brute force, exact round trips, held-out quality and edge cases."""
 
 import hashlib
+import math
 import random
+import re
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -311,6 +313,19 @@ def test_licenses_full_texts(spark):
     assert [(r.license_id, r.line_licenses) for r in got] == [("Own-1", "Own-1"), (None, "Own-1")]
 
 
+def test_licenses_match_sql_on_full_texts(spark, texts):
+    """Given documents, every known text, and what is no licence, beside the SQL of all known texts."""
+    own = [t for _, t in licenses.KNOWN] + [t for _, t in licenses.KNOWN[:40:3]] + list(texts.values()) + ODD
+    own += ["# Copyright 2020 A\n" + licenses.STATEMENTS[0][1], "(C) you may not\nMIT", "\u00a9 copyright notice\n" + licenses.STATEMENTS[1][1], "copyright holders\n" + licenses.STATEMENTS[1][1]]
+    got = licenses.scan(table(spark, own)).toPandas().sort_values("doc_id").astype(object)
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame([(i, t) for i, t in enumerate(own)], columns=["doc_id", "text"]))
+    want = con.sql(licenses.oracle_sql()).df().sort_values("doc_id").astype(object)
+    plain = lambda df: [tuple(None if pd.isna(v) else v for v in r) for r in df[["doc_id", "digest", "license_id", "line_licenses"]].itertuples(index=False)]
+    assert plain(got) == plain(want)
+    assert got.license_id.notna().sum() >= len(licenses.KNOWN)
+
+
 def test_licenses_whole_texts_are_joined_on_the_given_tables(spark, docs):
     # the given documents hold licence lines only; each such line as a document of its own is found whole
     lines = docs.selectExpr("explode(split(text, '\n')) as text").selectExpr("monotonically_increasing_id() as doc_id", "text")
@@ -490,6 +505,56 @@ def test_quality_held_out_and_edges(spark):
     assert quality.classify(own.limit(0), lab).count() == 0
 
 
+def _plain_statistics(text):
+    """The statistics of one text, word by word."""
+    data = (text or "").encode()
+    ws = re.findall(rb"[^\x20\x09-\x0D]+", data)
+    n, size = len(ws), len(data)
+    upper, digit, mark, stop = (set(x) for x in (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"!#$%&*|<>{}[]=~^\\/_@+", b".,;:?!'\"()-"))
+    letter = upper | set(b"abcdefghijklmnopqrstuvwxyz") | set(range(128, 256))
+    share = lambda table: sum(c in table for c in data) / max(size, 1)
+    per = lambda flags: sum(flags) / max(n, 1)
+    marked = [any(c in mark for c in w) for w in ws]
+    shout = [2 * sum(c in upper for c in w) > len(w) for w in ws]
+    again = [i > 0 and ws[i] == ws[i - 1] for i in range(n)]
+    late = lambda flags: sum(f for i, f in enumerate(flags) if 2 * i >= n) / max(n / 2, 1)
+    lines = [x for x in data.split(b"\n") if x]
+    return [
+        math.log1p(n), sum(map(len, ws)) / max(n, 1), share(upper), share(digit), share(mark), share(stop), share(letter), data.count(b"\n") / max(n, 1), per(again),
+        per([i > 1 and ws[i] == ws[i - 2] for i in range(n)]), sum(len(set(ws[i : i + 64])) for i in range(0, n, 64)) / max(n, 1), per(marked), per([s and len(w) > 1 for s, w in zip(shout, ws, strict=True)]),
+        per([len(w) > 20 for w in ws]), per([len(w) < 3 for w in ws]), 1 - len(set(lines)) / len(lines) if lines else 0.0, late(marked), late(shout), late(again),
+    ]
+
+
+def test_quality_scores_match_brute_force(spark):
+    """The network's value from statistics taken word by word, for given, odd, null and repeated texts."""
+    d = "/root/testdata/sf0.001"
+    own, lab = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    texts = [r.text for r in own.select("text").collect()] + ODD + ODD
+    odd = own.select("doc_id", "text").union(spark.createDataFrame([(10_000_000 + i, t) for i, t in enumerate(ODD + ODD)], "doc_id long, text string"))
+    found = quality.classify(odd, lab)  # the added rows have no labels, but may be drawn as unlabelled ones
+    model = quality.train(odd, lab, 4, 2)
+    want = Counter()
+    for t in texts:
+        x = _plain_statistics(t)
+        z = [min(6, max(-6, (v - m) / s)) for v, m, s in zip(x, model.mean, model.scale, strict=True)]
+        f = sum(w * math.tanh(sum(v * c for v, c in zip(z, col, strict=True)) + b) for w, col, b in zip(model.w2, model.w1.T, model.b1, strict=True)) + model.b2
+        want[round(1 / (1 + math.exp(-min(30, max(-30, f)))) if x[0] else 0.0, 3)] += 1
+    got = Counter(round(r.score, 3) for r in found.collect())
+    off = (got - want) + (want - got)  # single precision may round the third digit the other way
+    assert sum(off.values()) <= 0.02 * len(texts) and 0 < model.prior < 1
+
+
+def test_quality_risk_is_the_published_one():
+    """Where the negative part of the risk would fall below zero, the plain estimator's training is left; otherwise they agree."""
+    rng = np.random.default_rng(3)
+    positive, unlabelled = np.ones((400, 19)) + rng.normal(0, 0.3, (400, 19)), np.vstack([np.ones((300, 19)), -np.ones((300, 19))]) + rng.normal(0, 0.3, (600, 19))
+    positive[:, 0], unlabelled[:, 0] = 1, 1
+    m = quality.fit(positive, unlabelled, 0.5)
+    assert (m.score(unlabelled[:300]) > 0.5).mean() > 0.95 and (m.score(unlabelled[300:]) < 0.5).mean() > 0.95
+    assert abs(quality.class_prior(positive, unlabelled) - 0.5) < 0.1
+
+
 # -- op10 top-k
 
 
