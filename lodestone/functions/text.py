@@ -125,3 +125,28 @@ def language_of_labels(labels: Column) -> Column:
 def sanitised(metadata: Column) -> Column:
     """A map with every value as text; nulls become empty text."""
     return F.transform_values(metadata, lambda k, v: F.coalesce(v.cast("string"), F.lit("")))
+
+
+#: Named character references that are replaced (fixed values); the ampersand comes last.
+ENTITIES = [
+    ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("nbsp", "\u00a0"), ("copy", "\u00a9"), ("reg", "\u00ae"), ("deg", "\u00b0"), ("middot", "\u00b7"),
+    ("laquo", "\u00ab"), ("raquo", "\u00bb"), ("times", "\u00d7"), ("ndash", "\u2013"), ("mdash", "\u2014"), ("lsquo", "\u2018"), ("rsquo", "\u2019"),
+    ("ldquo", "\u201c"), ("rdquo", "\u201d"), ("bull", "\u2022"), ("hellip", "\u2026"), ("amp", "&"),
+]
+
+
+def unescape(text: Column) -> Column:
+    """Character references replaced: the names in ``ENTITIES`` and any number; others stay as they are."""
+
+    def one(part: Column) -> Column:
+        number = F.regexp_extract(part, r"^([xX][0-9a-fA-F]{1,6}|[0-9]{1,7});", 1)
+        code = F.when(number.rlike("^[xX]"), F.conv(F.substr(number, F.lit(2)), 16, 10).cast("long")).otherwise(number.cast("long"))
+        valid = (number != "") & code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        letter = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        return F.when(valid, F.concat(letter, F.substr(part, F.length(number) + 2))).otherwise(F.concat(F.lit("&#"), part))
+
+    parts = F.split(text, "&#")
+    out = F.when(text.contains("&#"), F.concat(parts[0], F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), one), ""))).otherwise(text)
+    for name, letter in ENTITIES:
+        out = F.replace(out, F.lit(f"&{name};"), F.lit(letter))
+    return out

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import reduce
-from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import density_ok, normalised_hash, word_array
+from lodestone.functions.text import density_ok, normalised_hash, unescape, word_array
 
 
 def lines(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
@@ -176,58 +175,41 @@ def chunk_recursive(docs: DataFrame, size: int = 1000, overlap: int = 200) -> Da
     return docs.select("id", "text").mapInPandas(cut, "id string, chunk int, text string")
 
 
-class _Sections(HTMLParser):
-    """Headings, paragraphs, lists, code and tables of a page, without navigation and scripts."""
-
-    SKIP = {"nav", "script", "style", "header", "footer", "aside"}
-    KINDS = {**{f"h{i}": "heading" for i in range(1, 7)}, "p": "text", "li": "list", "pre": "code", "td": "table", "th": "table"}
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.skip, self.open, self.rows, self.text = 0, [], [], []
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        self.skip += tag in self.SKIP
-        if tag in self.KINDS and not self.skip:
-            self._close()
-            self.open, self.text = [tag], []
-
-    def handle_endtag(self, tag: str) -> None:
-        if tag in self.SKIP:
-            self.skip = max(0, self.skip - 1)
-        elif self.open and tag == self.open[0]:
-            self._close()
-
-    def handle_data(self, data: str) -> None:
-        if self.open and not self.skip:
-            self.text.append(data)
-
-    def _close(self) -> None:
-        if self.open:
-            text = "".join(self.text).strip()
-            if text:
-                tag = self.open[0]
-                self.rows.append((self.KINDS[tag], int(tag[1]) if tag[0] == "h" and tag[1:].isdigit() else None, text))
-        self.open = []
+#: Elements of a page that are left out, and those that are its parts (fixed values).
+SKIPPED = ["nav", "header", "footer", "aside"]
+PARTS = {"p": "text", "li": "list", "pre": "code", "td": "table", "th": "table"}
+#: Skipped elements may stand in others of the same name this deep.
+SKIP_DEPTH = 4
+_PART = r"(?:h[1-6]|" + "|".join(PARTS) + r")(?=[\s>/])"
 
 
 def chunk_html(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """``id, seq, kind, level, text``: the parts of each page in order. Null pages have none."""
-    kind = pages.schema[id_col].dataType.simpleString()
+    """``id, seq, kind, level, text``: headings, paragraphs, lists, code and tables of each page in order.
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            out = []
-            for key, html in zip(part[id_col], part[html_col], strict=True):
-                p = _Sections()
-                p.feed(html or "")
-                p.close()
-                p._close()
-                out += [(key, i, *row) for i, row in enumerate(p.rows)]
-            df = pd.DataFrame(out, columns=[id_col, "seq", "kind", "level", "text"])
-            yield df.astype({"level": "Int32"})
-
-    return pages.select(id_col, html_col).mapInPandas(parse, f"{id_col} {kind}, seq int, kind string, level int, text string")
+    Comments, scripts, styles, navigation, headers, footers and asides are left out with all that
+    is in them. A part ends at its own end tag, at the next part, or with the page; other tags inside
+    it go, and character references are replaced. Parts without text are left out; null pages have none.
+    Each page is one row for regular expressions without backtracking, so no page is gathered from rows.
+    """
+    html = F.regexp_replace(html_col, r"(?s)<!--.*?(?:-->|\z)|(?i)<(script|style)(?=[\s>/])[^>]*>.*?(?:</\1\s*>|\z)", "")
+    skipped = "|".join(SKIPPED)
+    for _ in range(SKIP_DEPTH):  # the innermost first
+        html = F.regexp_replace(html, rf"(?i)<({skipped})(?=[\s>/])[^<]*+(?:<(?!/?\1[\s>/])[^<]*+)*+</\1\s*>", "")
+    html = F.regexp_replace(html, rf"(?is)<(?:{skipped})(?=[\s>/]).*", "")
+    pattern = rf"(?i)<({_PART})[^>]*>([^<]*+(?:<(?!/\1\s*>|{_PART})[^<]*+)*+)"
+
+    def part(x: Column) -> Column:
+        tag = F.lower(x["0"])
+        kind = F.when(tag.startswith("h"), "heading")
+        for name, k in PARTS.items():
+            kind = kind.when(tag == name, k)
+        text = unescape(F.regexp_replace(x["1"], r"<(?=[A-Za-z/!?])[^>]*>", ""))
+        return F.struct(kind.alias("kind"), F.when(tag.startswith("h"), F.substr(tag, F.lit(2)).cast("int")).alias("level"), F.regexp_replace(text, r"^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$", "").alias("text"))
+
+    both = F.arrays_zip(F.regexp_extract_all("html", F.lit(pattern), 1), F.regexp_extract_all("html", F.lit(pattern), 2))
+    found = F.filter(F.transform(both, part), lambda x: x["text"] != "")
+    x = pages.select(F.col(id_col), html.alias("html")).select(F.col(id_col), F.posexplode(found).alias("seq", "part"))
+    return x.select(id_col, "seq", "part.kind", "part.level", "part.text")
 
 
 def _hits(text: Column, words: list[str]) -> Column:

@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions.text import unescape
+from lodestone.plans.stages import materialise
+
 
 def file_lines(files: DataFrame) -> DataFrame:
     """``path, n, line`` with numbers from 1."""
@@ -149,47 +152,96 @@ def call_counts(facts: DataFrame) -> DataFrame:
     return x.groupBy("path", F.col("parent").alias("caller"), F.col("name").alias("callee")).agg(F.count("*").alias("call_count"), F.min("n").alias("n"))
 
 
-def workflow_rows(path: str, content: str) -> list[tuple]:
-    """Tasks, metatasks (with how many members) and dependencies of one workflow document."""
-    import re
-    import xml.etree.ElementTree as ET
+#: Elements that combine dependencies, and those whose text is taken (fixed values).
+OPERATORS, SPOKEN = ["and", "or", "not", "nand", "nor", "xor"], ["command", "datadep"]
+#: An element's markup up to its text: slash, name, attributes, text.
+TAG = r"(?s)^(/?)([\w:.-]+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>(.*)$"
+#: How deep entities may stand in other entities.
+ENTITY_DEPTH = 5
 
-    entities = dict(re.findall(r"<!ENTITY\s+(\w+)\s+\"([^\"]*)\"", content))
-    text = re.sub(r"<!DOCTYPE.*?\]>|<!DOCTYPE[^>]*>", "", content, flags=re.S)
-    for _ in range(5):
-        text = re.sub(r"&(\w+);", lambda m: entities.get(m[1], m[0]), text)
-    rows: list[tuple] = []
 
-    def deps(node: ET.Element, task: str, op: str) -> None:
-        for x in node:
-            if x.tag in ("and", "or", "not", "nand", "nor"):
-                deps(x, task, x.tag)
-            elif x.tag in ("taskdep", "metataskdep"):
-                rows.append((path, x.tag, task, x.get("task") or x.get("metatask"), op, x.get("cycle_offset"), None))
-            elif x.tag == "datadep":
-                rows.append((path, "datadep", task, "".join(x.itertext()).strip(), op, None, None))
-
-    def walk(node: ET.Element, members: int) -> None:
-        for x in node:
-            if x.tag == "metatask":
-                n = 1
-                for v in x.findall("var"):
-                    n = max(n, len((v.text or "").split()))
-                rows.append((path, "metatask", x.get("name"), None, None, None, members * n))
-                walk(x, members * n)
-            elif x.tag == "task":
-                rows.append((path, "task", x.get("name"), (x.findtext("command") or "").strip(), None, None, members))
-                for d in x.findall("dependency"):
-                    deps(d, x.get("name"), "and")
-
-    walk(ET.fromstring(text), 1)
-    return rows
+def xml_tags(files: DataFrame) -> DataFrame:
+    """``path, pos, tag, opens, closes, attrs, text, level, up, up_tag`` for each tag of XML documents, and one row with pos 0 for what stands before them.
+
+    Entities of the document's own are replaced; comments and processing instructions go, and CDATA marks. ``text`` is what
+    follows the tag, ``level`` its element's depth from 1. ``up`` and ``up_tag`` are the position and name of the element around an element, and
+    of the opening tag for an end tag. ``tag`` is null where the markup is none. Elements find what is around them by
+    the depth: it is the last element before them that opened one level higher.
+    """
+    raw = F.coalesce("content", F.lit(""))
+    defined = F.arrays_zip(F.regexp_extract_all(raw, F.lit(r'<!ENTITY\s+([\w.-]+)\s+"([^"]*)"'), 1), F.regexp_extract_all(raw, F.lit(r'<!ENTITY\s+([\w.-]+)\s+"([^"]*)"'), 2))
+    text = F.regexp_replace(raw, r"(?s)<!--.*?-->|<\?.*?\?>|<!DOCTYPE[^>\[]*(?:\[.*?\]\s*)?>", "")
+    text = F.regexp_replace(text, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1")
+    text = F.aggregate(F.flatten(F.array_repeat(defined, ENTITY_DEPTH)), text, lambda t, e: F.replace(t, F.concat(F.lit("&"), e["0"], F.lit(";")), e["1"]))
+    x = files.select("path", text.alias("content")).select("path", F.posexplode(F.split("content", "<")).alias("pos", "piece"))
+    part = lambda k: F.when(F.col("pos") > 0, F.regexp_extract("piece", TAG, k))
+    x = x.select("path", "pos", F.nullif(part(2), F.lit("")).alias("tag"), part(1).alias("slash"), part(3).alias("attrs"), F.when(F.col("pos") > 0, part(4)).otherwise(F.col("piece")).alias("text"))
+    ends, alone = F.col("slash") == "/", F.rtrim("attrs").endswith("/")
+    x = x.withColumn("opens", F.coalesce(F.col("tag").isNotNull() & ~ends, F.lit(False))).withColumn("closes", F.coalesce(F.col("tag").isNotNull() & (ends | alone), F.lit(False)))
+    run = Window.partitionBy("path").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumn("level", F.sum(F.col("opens").cast("int") - F.col("closes").cast("int")).over(run) + F.col("closes").cast("int"))
+    # each opening tag stands at its own level, and everything asks at the level of what is around it
+    here = F.when(F.col("opens") & ~F.col("closes"), F.struct("pos", "tag"))
+    rows = x.withColumn("at", F.col("level")).withColumn("around", here).withColumn("asks", F.lit(False)).where("around is not null")
+    asks = x.withColumn("at", F.col("level") - F.col("opens").cast("int")).withColumn("around", F.lit(None).cast("struct<pos:int,tag:string>")).withColumn("asks", F.lit(True))
+    up = F.last("around", ignorenulls=True).over(Window.partitionBy("path", "at").orderBy("pos", "asks").rowsBetween(Window.unboundedPreceding, 0))
+    found = rows.unionByName(asks).withColumn("up", up).where("asks")
+    return found.select("path", "pos", "tag", "opens", "closes", "attrs", "text", "level", F.col("up.pos").alias("up"), F.col("up.tag").alias("up_tag"))
+
+
+def _attribute(name: str) -> Column:
+    """An attribute's value, null without one."""
+    own = F.regexp_extract("attrs", rf"(?:^|\s){name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)')", 1)
+    other = F.regexp_extract("attrs", rf"(?:^|\s){name}\s*=\s*'([^']*)'", 1)
+    return unescape(F.coalesce(F.nullif(own, F.lit("")), F.nullif(other, F.lit(""))))
 
 
 def workflow_edges(files: DataFrame) -> DataFrame:
-    """``path, kind, name, target, operator, cycle_offset, members, error`` of workflow documents."""
-    names = ["path", "kind", "name", "target", "operator", "cycle_offset", "members"]
-    return parse_files(files, workflow_rows, "path string, kind string, name string, target string, operator string, cycle_offset string, members int", names)
+    """``path, kind, name, target, operator, cycle_offset, members, error`` of workflow documents.
+
+    Kinds: metatask (members: product of the sizes of its own variables' lists), task (target: its command; members:
+    product over all metatasks around it), taskdep, metataskdep and datadep (name: the task; target; operator: the nearest around
+    it, else "and"). A document that is not well formed gives one row with its error and no other.
+    """
+    tags = materialise(xml_tags(files), "tags").withColumn("end", F.col("closes") & ~F.col("opens"))
+    wrong = (F.col("pos") > 0) & (F.col("tag").isNull() | (F.col("end") & ~F.col("tag").eqNullSafe(F.col("up_tag"))) | (F.col("level") < 1)) | (F.col("pos") == 0) & F.col("text").rlike(r"\S")
+    balance = F.sum(F.col("opens").cast("int") - F.col("closes").cast("int"))
+    checked = tags.groupBy("path").agg(F.min(F.when(wrong, F.col("pos"))).alias("at"), balance.alias("balance"), F.max("pos").alias("last"), F.count(F.when(F.col("opens") & (F.col("level") == 1), 1)).alias("roots"))
+    error = F.when(F.col("at").isNotNull(), F.concat(F.lit("malformed at tag "), F.col("at").cast("string"))).when(F.col("balance") != 0, "element not closed").when(F.col("roots") != 1, "not one root element")
+    bad = checked.withColumn("error", error).where("error is not null").select("path", "error")
+    tags = tags.join(bad, "path", "left_anti")
+
+    sizes = tags.where(F.col("opens") & (F.col("tag") == "var") & (F.col("up_tag") == "metatask")).select("path", F.col("up").alias("meta"), F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("n"))
+    sizes = sizes.groupBy("path", "meta").agg(F.product("n").cast("long").alias("own"))
+    meta = F.when(F.col("tag") == "metatask", F.when(F.col("end"), F.col("up")).otherwise(F.col("pos")))
+    x = tags.withColumn("meta", meta).join(sizes, ["path", "meta"], "left").withColumn("own", F.when(F.col("tag") == "metatask", F.coalesce("own", F.lit(1))))
+    run = Window.partitionBy("path").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    sign = F.when(F.col("end"), -1).otherwise(F.when(F.col("closes"), 0).otherwise(1))
+    grown = F.sum(F.when(F.col("own") > 0, sign * F.log("own"))).over(run)
+    none = F.sum(F.when(F.col("own") == 0, sign)).over(run)
+    x = x.withColumn("around", F.when(F.coalesce(none, F.lit(0)) > 0, 0).otherwise(F.round(F.exp(F.coalesce(grown, F.lit(0.0)))))).withColumn("name", _attribute("name"))
+    # tasks do not stand in each other, and neither do commands or data dependencies
+    task = F.last(F.when(F.col("tag") == "task", F.struct(F.when(~F.col("end"), F.col("pos")).alias("pos"), "name")), ignorenulls=True).over(run)
+    spoken = F.last(F.when(F.col("tag").isin(SPOKEN), F.struct(F.when(~F.col("closes"), F.col("pos")).alias("pos"))), ignorenulls=True).over(run)
+    x = materialise(x.withColumn("task", task).withColumn("spoken", spoken["pos"]), "elements")
+    said = x.where("spoken is not null").groupBy("path", "spoken").agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("said"))
+    said = said.select("path", "spoken", F.trim(F.regexp_replace(unescape(F.array_join(F.transform("said", lambda p: p["text"]), "")), r"^\s+|\s+$", "")).alias("said"))
+    first = F.col("opens")
+    heard = x.where(first & F.col("tag").isin(SPOKEN)).select("path", "tag", "pos", "up", "up_tag", "task").join(said.withColumnRenamed("spoken", "pos"), ["path", "pos"], "left")
+    commands = heard.where("tag = 'command' and up_tag = 'task'").groupBy("path", "up").agg(F.min_by("said", "pos").alias("command"))
+    null = F.lit(None).cast("string")
+    none = F.lit(None).cast("int")
+    metas = x.where(first & (F.col("tag") == "metatask")).select("path", F.lit("metatask").alias("kind"), "name", null.alias("target"), null.alias("operator"), null.alias("cycle_offset"), F.col("own").cast("int").alias("members"))
+    tasks = x.where(first & (F.col("tag") == "task")).select("path", F.col("pos").alias("up"), "name", F.col("around").cast("int").alias("members")).join(commands, ["path", "up"], "left")
+    tasks = tasks.select("path", F.lit("task").alias("kind"), "name", F.coalesce("command", F.lit("")).alias("target"), null.alias("operator"), null.alias("cycle_offset"), "members")
+    inside = F.col("task.pos").isNotNull()
+    operator = F.when(F.col("up_tag").isin(OPERATORS), F.col("up_tag")).otherwise("and").alias("operator")
+    deps = x.where(first & F.col("tag").isin("taskdep", "metataskdep") & inside).select(
+        "path", F.col("tag").alias("kind"), F.col("task.name").alias("name"), F.coalesce(_attribute("task"), _attribute("metatask")).alias("target"), operator, _attribute("cycle_offset").alias("cycle_offset"), none.alias("members")
+    )
+    data = heard.where((F.col("tag") == "datadep") & inside).select("path", F.lit("datadep").alias("kind"), F.col("task.name").alias("name"), F.coalesce("said", F.lit("")).alias("target"), operator, null.alias("cycle_offset"), none.alias("members"))
+    out = metas.unionByName(tasks).unionByName(deps).unionByName(data).withColumn("error", null)
+    return out.unionByName(bad.select("path", *(F.lit(None).cast(t).alias(c) for c, t in [("kind", "string"), ("name", "string"), ("target", "string"), ("operator", "string"), ("cycle_offset", "string"), ("members", "int")]), "error"))
 
 
 def job_script_facts(files: DataFrame) -> DataFrame:

@@ -486,3 +486,34 @@ DIRECT = _text(
     UNION ALL SELECT path, 'jobs/x_' || (o_custkey % 7) || '.sh', 2 FROM o UNION ALL SELECT path, '$USHgfs/var_' || (o_orderkey % 5) || '.sh', 4 FROM o""")
 def x01_direct(spark, d):
     return X.shell_facts(files(spark, d, DIRECT)).where("kind = 'invoke'").select("path", "name", "n")
+
+
+#: Workflow documents of orders: metatasks in each other, entities, and dependencies under operators; some are not well formed.
+OPERATOR = "CASE o_orderkey % 3 WHEN 0 THEN 'and' WHEN 1 THEN 'or' ELSE 'nand' END"
+WORKFLOW = _text(
+    f"'<?xml version=\"1.0\"?><!DOCTYPE workflow [<!ENTITY RUN \"run_' || {_s('o_orderkey % 13')} || '.sh\">]>'",
+    f"'<workflow><!-- <task name=\"no\"/> --><metatask name=\"out_' || {C} || '\"><var name=\"a\">' || trim(repeat('x ', CAST(o_custkey % 4 + 1 AS INT))) || '</var>'",
+    "'<metatask name=\"in\"><var name=\"b\">' || trim(repeat('y ', CAST(o_orderkey % 3 + 1 AS INT))) || '</var><var name=\"c\">1 2</var>'",
+    f"'<task name=\"t_' || {K} || '\"><command>&RUN; ' || o_orderstatus || '</command><dependency><' || {OPERATOR} || '>'",
+    f"'<taskdep task=\"prep_' || {C} || '\" cycle_offset=\"-06:00:00\"/><not><datadep><cyclestr>f_' || {K} || '</cyclestr>.nc</datadep></not>'",
+    f"'</' || CASE WHEN o_orderkey % 11 = 0 THEN 'no' ELSE {OPERATOR} END || '></dependency></task></metatask></metatask>'",
+    f"'<task name=\"end\"><command> done </command><dependency><metataskdep metatask=\"out_' || {C} || '\"/></dependency></task></workflow>'",
+)
+WORKFLOW_COLUMNS = "{} AS kind, {} AS name, {} AS target, {} AS operator, {} AS cycle_offset, CAST({} AS INTEGER) AS members, {} AS error"
+
+
+def _workflow_row(*values: str) -> str:
+    return "SELECT path, " + WORKFLOW_COLUMNS.format(*values)
+
+
+@query("x07_workflow_edges", f"""WITH o AS (SELECT *, {ORDER_PATH} AS path, {OPERATOR} AS op FROM orders), f AS (SELECT * FROM o WHERE o_orderkey % 11 <> 0)
+    {_workflow_row("'metatask'", f"'out_' || {C}", "NULL", "NULL", "NULL", "o_custkey % 4 + 1", "NULL")} FROM f
+    UNION ALL {_workflow_row("'metatask'", "'in'", "NULL", "NULL", "NULL", "(o_orderkey % 3 + 1) * 2", "NULL")} FROM f
+    UNION ALL {_workflow_row("'task'", f"'t_' || {K}", "'run_' || (o_orderkey % 13) || '.sh ' || o_orderstatus", "NULL", "NULL", "(o_custkey % 4 + 1) * (o_orderkey % 3 + 1) * 2", "NULL")} FROM f
+    UNION ALL {_workflow_row("'taskdep'", f"'t_' || {K}", f"'prep_' || {C}", "op", "'-06:00:00'", "NULL", "NULL")} FROM f
+    UNION ALL {_workflow_row("'datadep'", f"'t_' || {K}", f"'f_' || {K} || '.nc'", "'not'", "NULL", "NULL", "NULL")} FROM f
+    UNION ALL {_workflow_row("'task'", "'end'", "'done'", "NULL", "NULL", "1", "NULL")} FROM f
+    UNION ALL {_workflow_row("'metataskdep'", "'end'", f"'out_' || {C}", "'and'", "NULL", "NULL", "NULL")} FROM f
+    UNION ALL {_workflow_row("NULL", "NULL", "NULL", "NULL", "NULL", "NULL", "'malformed at tag 22'")} FROM o WHERE o_orderkey % 11 = 0""")
+def x07(spark, d):
+    return X.workflow_edges(files(spark, d, WORKFLOW, ORDER_PATH))

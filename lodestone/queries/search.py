@@ -6,7 +6,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import cosine
+from lodestone.functions.text import ENTITIES, cosine
 from lodestone.operators import corpus as D
 from lodestone.operators import evaluate as E
 from lodestone.operators import joins as J
@@ -246,7 +246,24 @@ def e13(spark, d):
     return x.select("o_custkey", F.round(E.overlap_at_k(F.col("a"), F.col("b"), 3), 6).alias("v"))
 
 
-@query("d03_chunk_html")
+#: Pages without what is left out, cut at each tag; a part is what stands between its tag and the next part's or its own end.
+CLEAN = "regexp_replace(html, '(?s)<!--.*?-->', '', 'g')"
+for _tag in ("script", "style", "nav", "header", "footer", "aside"):
+    CLEAN = f"regexp_replace({CLEAN}, '(?is)<{_tag}[ \\s>].*?</{_tag}\\s*>', '', 'g')"
+PLAIN = "string_agg(text, '' ORDER BY i)"
+for _name, _letter in ENTITIES:
+    PLAIN = "replace({}, '&{};', '{}')".format(PLAIN, _name, _letter.replace("'", "''"))
+
+
+@query("d03_chunk_html", f"""WITH c AS (SELECT page_id, string_split({CLEAN}, '<') AS p FROM pages),
+    t AS (SELECT page_id, unnest(range(len(p))) AS i, unnest(p) AS piece FROM c),
+    g AS (SELECT *, lower(regexp_extract(piece, '^(/?[A-Za-z][A-Za-z0-9]*)', 1)) AS tag, CASE WHEN regexp_matches(piece, '^[A-Za-z/!?]') AND contains(piece, '>') THEN substr(piece, strpos(piece, '>') + 1) ELSE '<' || piece END AS text FROM t WHERE i > 0),
+    o AS (SELECT *, sum(CASE WHEN regexp_full_match(tag, 'h[1-6]|p|li|pre|td|th') THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY i) AS part FROM g),
+    f AS (SELECT *, first_value(tag) OVER (PARTITION BY page_id, part ORDER BY i) AS head FROM o WHERE part > 0),
+    e AS (SELECT *, sum(CASE WHEN tag = '/' || head THEN 1 ELSE 0 END) OVER (PARTITION BY page_id, part ORDER BY i) AS ended FROM f),
+    r AS (SELECT page_id, part, head, trim({PLAIN}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS text FROM e WHERE ended = 0 GROUP BY page_id, part, head)
+    SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY part) - 1 AS INTEGER) AS seq, CASE head WHEN 'p' THEN 'text' WHEN 'li' THEN 'list' WHEN 'pre' THEN 'code' WHEN 'td' THEN 'table' WHEN 'th' THEN 'table' ELSE 'heading' END AS kind,
+    CASE WHEN head LIKE 'h_' THEN CAST(substr(head, 2) AS INTEGER) END AS level, text FROM r WHERE text <> ''""")
 def d03(spark, d):
     return D.chunk_html(table(spark, d, "pages"))
 

@@ -106,6 +106,39 @@ def test_python_facts_and_errors(spark, rows):
     assert rows(stats) == [("py", 1, 1)]
 
 
+def test_workflow_nesting_and_odd_documents(spark, rows):
+    xml = (
+        "<?xml version='1.0'?><!-- <task name='no'> --><!DOCTYPE w [<!ENTITY A \"&B;/x\"><!ENTITY B \"/top\">]><workflow><metatask name='out'><var name='a'>1 2</var><var name='b'> x\ty z </var>"
+        "<metatask name='in'><var name='c'>p q</var><task name='t'><command><cyclestr>&A;/run @Y</cyclestr> &gt; log</command>"
+        "<dependency><or><taskdep task='p' cycle_offset='-06:00:00'/><and><datadep><cyclestr>@Y.nc</cyclestr></datadep><metataskdep metatask='m'/></and><taskdep task='q'/></or></dependency></task></metatask></metatask>"
+        "<task name='last'><command>a</command><dependency><taskdep task='t'></taskdep></dependency></task><taskdep task='outside'/><metatask name='none'><var name='v'></var><task name='z'/></metatask></workflow>"
+    )
+    odd = {"cross": "<a><b></a></b>", "none": None, "blank": "", "text": "no markup", "two": "<a/><b/>", "open": "<a><b></b>", "more": "<a/></b>", "left": "x<a/>", "less": "<a>1 < 2</a>"}
+    got = rows(X.workflow_edges(files(spark, w=xml, **odd)))
+    assert {r[0]: r[-1] is not None for r in got if r[0] != "w"} == dict.fromkeys(odd, True)
+    assert {r[1:7] for r in got if r[0] == "w"} == {
+        ("metatask", "out", None, None, None, 6), ("metatask", "in", None, None, None, 2), ("task", "t", "/top/x/run @Y > log", None, None, 12), ("taskdep", "t", "p", "or", "-06:00:00", None),
+        ("datadep", "t", "@Y.nc", "and", None, None), ("metataskdep", "t", "m", "and", None, None), ("taskdep", "t", "q", "or", None, None), ("task", "last", "a", None, None, 1),
+        ("taskdep", "last", "t", "and", None, None), ("metatask", "none", None, None, None, 0), ("task", "z", "", None, None, 0),
+    }
+    assert X.workflow_edges(files(spark, w=xml).limit(0)).count() == 0
+
+
+def test_html_odd_pages(spark, rows):
+    pages = [
+        "<p>a<p>b &#233;&#x1F600;&#0;&bogus; &amp;lt;</p>c<pre class='x'>1 < 2\n <b>y</b></pre>",
+        "<nav><p>x</p><nav><p>y</p></nav><p>z</p></nav><script>var t='<p>no</p>';</script><H2>Big</H2><header><p>q",
+        "<table><tr><th>h</th><td> v </td><td></td></tr></table><!-- <p>no</p> --><pretty>no</pretty><p>",
+        "<p>" + "long " * 200_000 + "</p>" + "<li>i</li>" * 2_000,
+        "",
+    ]
+    got = rows(D.chunk_html(spark.createDataFrame(list(enumerate(pages)), "page_id int, html string")))
+    assert [r[1:] for r in got if r[0] == 0] == [(0, "text", None, "a"), (1, "text", None, "b \u00e9\U0001f600&#0;&bogus; &lt;"), (2, "code", None, "1 < 2\n y")]
+    assert [r[1:] for r in got if r[0] == 1] == [(0, "heading", 2, "Big")]
+    assert [r[1:] for r in got if r[0] == 2] == [(0, "table", None, "h"), (1, "table", None, "v")]
+    assert len([r for r in got if r[0] == 3]) == 2_001 and not [r for r in got if r[0] == 4]
+
+
 def test_workflow(spark, rows):
     xml = '<?xml version="1.0"?><!DOCTYPE workflow [<!ENTITY CMD "run.sh">]><workflow><metatask name="mt"><var name="v">a b c</var><task name="t_#v#"><command>&CMD; x</command><dependency><and><taskdep task="prep"/><not><datadep>f.nc</datadep></not></and></dependency></task></metatask></workflow>'
     got = rows(X.workflow_edges(files(spark, w=xml, bad="<a")))
