@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ast
 from collections.abc import Iterator
 
 import pandas as pd
@@ -94,36 +93,6 @@ def fortran_facts(files: DataFrame) -> DataFrame:
 PY_BUILTIN = {"print", "len", "range", "str", "int", "float", "list", "dict", "set", "tuple", "open", "isinstance", "super", "enumerate", "zip", "sorted", "min", "max", "sum", "any", "all", "map", "filter", "getattr", "setattr", "hasattr", "type", "repr"}
 
 
-def python_rows(path: str, content: str) -> list[tuple]:
-    """Definitions, imports, inheritance and calls of one module."""
-    rows: list[tuple] = []
-
-    def visit(node: ast.AST, owner: str | None, in_class: bool) -> None:
-        for child in ast.iter_child_nodes(node):
-            inner, cls = owner, in_class
-            if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef)):
-                kind = "method" if in_class else "function"
-                rows.append((path, kind, child.name, owner, child.lineno, ",".join(a.arg for a in child.args.args)))
-                inner, cls = child.name, False
-            elif isinstance(child, ast.ClassDef):
-                rows.append((path, "class", child.name, owner, child.lineno, None))
-                rows.extend((path, "inherits", ast.unparse(b), child.name, child.lineno, None) for b in child.bases)
-                inner, cls = child.name, True
-            elif isinstance(child, ast.Import):
-                rows.extend((path, "import", a.name, owner, child.lineno, None) for a in child.names)
-            elif isinstance(child, ast.ImportFrom):
-                rows.append((path, "import", child.module or "", owner, child.lineno, None))
-            elif isinstance(child, ast.Call):
-                name = ast.unparse(child.func) if isinstance(child.func, (ast.Name, ast.Attribute)) else ""
-                last = name.rsplit(".", 1)[-1]
-                if name and not name.startswith("self.") and name.count(".") < 2 and last not in PY_BUILTIN and not last.endswith(("Error", "Exception")):
-                    rows.append((path, "call", last, owner, child.lineno, None))
-            visit(child, inner, cls)
-
-    visit(ast.parse(content), None, False)
-    return rows
-
-
 def parse_files(files: DataFrame, parse, columns: str, names: list[str]) -> DataFrame:
     """A parser over every file; a file that fails gives one row with its ``error`` and no fact."""
 
@@ -141,9 +110,105 @@ def parse_files(files: DataFrame, parse, columns: str, names: list[str]) -> Data
     return files.select("path", "content").mapInPandas(run, f"{columns}, error string")
 
 
+#: Words that may stand before a bracket and are no calls (fixed values).
+PY_KEYWORDS = "and as assert async await case class def del elif else except finally for from global if import in is lambda match nonlocal not or raise return while with yield".split()
+#: Strings over lines and in a line, comments, joined and plain line ends, brackets, anything else; no form backtracks.
+PY_TOKEN = (
+    r"\"\"\"[^\"\\]*+(?:(?:\\[\s\S]|\"(?!\"\"))[^\"\\]*+)*+\"\"\"|'''[^'\\]*+(?:(?:\\[\s\S]|'(?!''))[^'\\]*+)*+'''"
+    r"|\"[^\"\\\n]*+(?:\\[\s\S][^\"\\\n]*+)*+\"|'[^'\\\n]*+(?:\\[\s\S][^'\\\n]*+)*+'|#[^\n]*|\\\r?\n|\r?\n|[\[({]|[\])}]|[^\"'#\r\n\\\[\](){}]+|[\s\S]"
+)
+
+
+def python_lines(files: DataFrame) -> DataFrame:
+    """``path, logical, n, indent, code, flat, raw, wrong`` for each logical line of Python files that holds code.
+
+    A logical line goes on while a bracket is open and after a backslash. ``n`` is its first line, ``code`` has empty
+    strings for strings and no comments, ``flat`` leaves out what is in brackets inside brackets, ``raw`` is
+    as written; ``wrong`` marks lines that end a bracket too many, leave one open, or hold an open string.
+    """
+    x = files.select("path", F.posexplode(F.regexp_extract_all(F.coalesce("content", F.lit("")), F.lit(PY_TOKEN), 0)).alias("pos", "t"))
+    text = F.length("t") > 1
+    string, end, join = text & F.left("t", F.lit(1)).isin('"', "'"), F.col("t").rlike(r"^\r?\n$"), F.col("t").rlike(r"^\\\r?\n$")
+    opens, closes = F.col("t").isin("(", "[", "{"), F.col("t").isin(")", "]", "}")
+    w = Window.partitionBy("path").orderBy("pos")
+    run, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    x = x.withColumn("depth", F.sum(opens.cast("int") - closes.cast("int")).over(run))
+    x = x.withColumn("ends", end & (F.col("depth") <= 0)).withColumn("breaks", F.length("t") - F.length(F.replace("t", F.lit("\n"), F.lit(""))))
+    x = x.withColumn("logical", F.coalesce(F.sum(F.col("ends").cast("int")).over(before), F.lit(0))).withColumn("n", F.coalesce(F.sum("breaks").over(before), F.lit(0)) + 1)
+    code = F.when(string, '""').when(F.col("t").startswith("#") | F.col("ends"), "").when(end | join, " ").otherwise(F.col("t"))
+    flat = F.when(F.col("depth") >= F.when(closes, 1).otherwise(2), "").otherwise(code)
+    wrong = (F.col("depth") < 0) | F.col("t").isin('"', "'")
+    x = x.select("path", "logical", "n", "pos", "depth", F.struct("pos", code.alias("code"), flat.alias("flat"), F.when(F.col("ends") | F.col("t").startswith("#"), "").otherwise(F.col("t")).alias("raw")).alias("part"), wrong.alias("wrong"))
+    x = x.groupBy("path", "logical").agg(F.min("n").alias("n"), F.array_sort(F.collect_list("part")).alias("parts"), (F.max("wrong") | (F.max_by("depth", "pos") > 0)).alias("wrong"))
+    whole = lambda c: F.rtrim(F.array_join(F.transform("parts", lambda p: p[c]), "")).alias(c)
+    x = x.select("path", "logical", "n", whole("code"), whole("flat"), whole("raw"), "wrong").where(F.col("code").rlike(r"\S") | F.col("wrong"))
+    indent = F.length(F.replace(F.regexp_extract("code", r"^[ \t\f]*", 0), F.lit("\t"), F.lit(" " * 8)))
+    cut = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "").alias(c)
+    return x.select("path", "logical", "n", indent.alias("indent"), cut("code"), cut("flat"), cut("raw"), "wrong")
+
+
 def python_facts(files: DataFrame) -> DataFrame:
-    """``path, kind, name, parent, n, detail, error`` of Python files."""
-    return parse_files(files, python_rows, "path string, kind string, name string, parent string, n long, detail string", ["path", "kind", "name", "parent", "n", "detail"])
+    """``path, kind, name, parent, n, detail, error`` of Python files.
+
+    Kinds: function and method (detail: parameters that can be given by place), class, inherits (bases without subscripts), import, call,
+    decorator, async, returns (detail: the type) and docstring (detail: its text), the last four under the name of their definition, which is also their
+    parent. The parent of a definition, import or call is the definition around it: of the definitions with less indent, the deepest
+    that no line with as little indent has ended. Calls by ``self``, by two or more dots, of common built-ins and of exceptions
+    are left out, as are calls on the value of another expression, in decorators, and inside strings. Statements behind a colon or semicolon count for calls only.
+    A file with an open bracket or string, or a definition that is none, gives one row with its error and no other.
+    """
+    lines = materialise(python_lines(files), "python")
+    head = r"^(?:(async)\s+)?(def|class)\s+([^\W\d]\w*)"
+    get = lambda k, c="code", p=head: F.regexp_extract(c, p, k)
+    is_def = F.col("code").rlike(head)
+    starts = F.col("code").rlike(r"^(?:async\s+)?(?:def|class)\b")
+    sound = F.col("flat").rlike(r"^(?:async\s+)?def\s+[^\W\d]\w*\s*(?:\[[^\[\]]*\]\s*)?\([^()]*\)[^:]*:|^class\s+[^\W\d]\w*\s*(?:\[[^\[\]]*\]\s*)?(?:\([^()]*\)\s*)?:")
+    bad = lines.where(F.col("wrong") | starts & ~sound).groupBy("path").agg(F.min("n").alias("n")).select("path", F.concat(F.lit("line "), F.col("n").cast("string"), F.lit(": not Python")).alias("error"))
+    x = lines.join(bad, "path", "left_anti").withColumn("def", F.when(is_def, F.struct(get(3).alias("name"), get(2).alias("what"))))
+    # at each indent that some definition of the file has: the last line that is not deeper, if it is a definition there
+    indents = x.where(is_def).select("path", F.col("indent").alias("at")).distinct()
+    rows = x.select("path", "logical", "indent", "def").join(indents, "path")
+    last = F.last(F.when(F.col("indent") <= F.col("at"), F.struct("indent", "def")), ignorenulls=True).over(Window.partitionBy("path", "at").orderBy("logical").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("up", last).where("at < indent and up.indent = at and up.def is not null")
+    owners = rows.groupBy("path", "logical").agg(F.max_by("up.def", "at").alias("up"))
+    line_before = F.lag(F.struct("def", "code")).over(Window.partitionBy("path").orderBy("logical"))
+    next_def = F.first("def", ignorenulls=True).over(Window.partitionBy("path").orderBy("logical").rowsBetween(0, Window.unboundedFollowing))
+    x = materialise(x.withColumn("before", line_before).withColumn("next", next_def).join(owners, ["path", "logical"], "left"), "owned")
+
+    def fact(rows: DataFrame, kind: str | Column, name: Column, parent: Column, detail: Column | None = None) -> DataFrame:
+        return rows.select("path", (F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), name.alias("name"), parent.alias("parent"), "n", (F.lit(None).cast("string") if detail is None else detail).alias("detail"))
+
+    own, up = F.col("def.name"), F.col("up.name")
+    arguments = F.split(F.regexp_extract("flat", r"^[^(]*\(([^()]*)\)", 1), ",")
+    trimmed = F.transform(arguments, lambda a: F.regexp_replace(a, r"^\s+|\s+$", ""))
+    star = F.array_position(F.transform(trimmed, lambda a: a.startswith("*")), True)
+    placed = F.when(star > 0, F.slice(trimmed, 1, F.greatest(star - 1, F.lit(0)).cast("int"))).otherwise(trimmed)
+    names = F.array_join(F.filter(F.transform(placed, lambda a: F.regexp_extract(a, r"^\w+", 0)), lambda a: a != ""), ",")
+    defs, classes = x.where("def.what = 'def'"), x.where("def.what = 'class'")
+    bases = F.filter(trimmed, lambda a: (a != "") & ~a.rlike(r"^(?:\*|\w+\s*=[^=])"))
+    called = F.explode(F.regexp_extract_all(F.regexp_replace("code", head, ""), F.lit(r"(?<![\w.])(?<![\])}\"]\s?\.)([A-Za-z_]\w*(?:\s*\.\s*[A-Za-z_]\w*)*)\s*\("), 1))
+    calls = x.where(~F.col("code").startswith("@")).withColumn("called", F.coalesce("def", "up")["name"]).withColumn("full", called).withColumn("full", F.regexp_replace("full", r"\s+", ""))
+    short = F.substring_index("full", ".", -1)
+    calls = calls.where(~F.col("full").startswith("self.") & (F.size(F.split("full", r"\.")) < 3) & ~short.isin(sorted(PY_BUILTIN)) & ~short.rlike("(?:Error|Exception)$") & ~F.col("full").isin(PY_KEYWORDS))
+    imports = x.where(F.col("code").rlike(r"^import\s")).withColumn("one", F.explode(F.split(F.regexp_extract("code", r"^import\s+([^;]*)", 1), ",")))
+    parts = [
+        fact(defs, F.when(F.col("up.what") == "class", "method").otherwise("function"), own, up, names),
+        fact(classes, "class", own, up),
+        fact(classes.withColumn("base", F.explode(bases)), "inherits", F.col("base"), own),
+        fact(imports, "import", F.regexp_extract("one", r"^\s*([\w.]+)", 1), up),
+        fact(x.where(F.col("code").rlike(r"^from\s*[\w.]+\s*import\b")), "import", F.regexp_extract("code", r"^from\s*\.*\s*([\w.]*?)\s*import\b", 1), up),
+        fact(calls, "call", short, F.col("called")),
+        fact(x.where(F.col("code").startswith("@") & F.col("next").isNotNull()), "decorator", F.regexp_extract("code", r"^@\s*([\w.]+)", 1), F.col("next.name")),
+        fact(defs.where(get(1) != ""), "async", own, own),
+        fact(defs.where(F.col("code").rlike(r"\)\s*->")), "returns", own, own, F.regexp_extract("raw", r"(?s)\)\s*->\s*([^:]*?)\s*:", 1)),
+        fact(x.where(F.col("code").rlike(r'^[rRuU]?""$') & F.col("before.def").isNotNull() & F.col("before.code").endswith(":")), "docstring", F.col("before.def.name"), F.col("before.def.name"), F.regexp_replace("raw", r"""^[rRuU]?(?:\"{3}|'{3}|[\"'])\s*|\s*(?:\"{3}|'{3}|[\"'])$""", "")),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    null = F.lit(None).cast("string")
+    out = out.withColumn("n", F.col("n").cast("long")).withColumn("error", null)
+    return out.unionByName(bad.select("path", null.alias("kind"), null.alias("name"), null.alias("parent"), F.lit(None).cast("long").alias("n"), null.alias("detail"), "error"))
 
 
 def call_counts(facts: DataFrame) -> DataFrame:

@@ -517,3 +517,31 @@ def _workflow_row(*values: str) -> str:
     UNION ALL {_workflow_row("NULL", "NULL", "NULL", "NULL", "NULL", "NULL", "'malformed at tag 22'")} FROM o WHERE o_orderkey % 11 = 0""")
 def x07(spark, d):
     return X.workflow_edges(files(spark, d, WORKFLOW, ORDER_PATH))
+
+
+#: Python sources of parts: strings that look like code, open lines, nested definitions; some are no Python.
+PYTHON = _text(
+    "'import os, pkg_' || CAST(p_size % 5 AS STRING) || ' as q'",
+    f"'class Part_' || {_s('p_partkey')} || '(Base, metaclass=M):  # class No:'",
+    "'    \"\"\"Of size ' || CAST(p_size AS STRING) || chr(10) || '    def no(): go(1)' || chr(10) || '    \"\"\"'",
+    "CASE WHEN p_size % 2 = 0 THEN '    @cached(size=3)' END",
+    f"'    def run_' || {_s('p_size % 7')} || '(self, a: dict[str, int] = make(1),' || chr(10) || '  b=(1, 2), *rest) -> str:'",
+    "'        def inner(): return q.load(\"go(2)\")'",
+    f"'        self.x(); a.b.c(); raise BadError(print(step_' || {_s('p_size % 3')} || '(a)))'",
+    "CASE WHEN p_partkey % 10 = 0 THEN 'def (:' END",
+    "'async def main(): await go(3)'",
+)
+
+
+@query("x04_python_facts", f"""WITH o AS (SELECT *, 'py/' || p_partkey || '.py' AS path, CAST(CASE WHEN p_size % 2 = 0 THEN 1 ELSE 0 END AS BIGINT) AS more FROM part), f AS (SELECT * FROM o WHERE p_partkey % 10 <> 0)
+    SELECT path, 'import' AS kind, 'os' AS name, NULL AS parent, 1 AS n, NULL AS detail, NULL AS error FROM f UNION ALL SELECT path, 'import', 'pkg_' || (p_size % 5), NULL, 1, NULL, NULL FROM f
+    UNION ALL SELECT path, 'class', 'Part_' || p_partkey, NULL, 2, NULL, NULL FROM f UNION ALL SELECT path, 'inherits', 'Base', 'Part_' || p_partkey, 2, NULL, NULL FROM f
+    UNION ALL SELECT path, 'docstring', 'Part_' || p_partkey, 'Part_' || p_partkey, 3, 'Of size ' || p_size || chr(10) || '    def no(): go(1)', NULL FROM f
+    UNION ALL SELECT path, 'decorator', 'cached', 'run_' || (p_size % 7), 6, NULL, NULL FROM f WHERE more = 1
+    UNION ALL SELECT path, 'method', 'run_' || (p_size % 7), 'Part_' || p_partkey, 6 + more, 'self,a,b', NULL FROM f UNION ALL SELECT path, 'returns', 'run_' || (p_size % 7), 'run_' || (p_size % 7), 6 + more, 'str', NULL FROM f
+    UNION ALL SELECT path, 'call', 'make', 'run_' || (p_size % 7), 6 + more, NULL, NULL FROM f UNION ALL SELECT path, 'function', 'inner', 'run_' || (p_size % 7), 8 + more, '', NULL FROM f
+    UNION ALL SELECT path, 'call', 'load', 'inner', 8 + more, NULL, NULL FROM f UNION ALL SELECT path, 'call', 'step_' || (p_size % 3), 'run_' || (p_size % 7), 9 + more, NULL, NULL FROM f
+    UNION ALL SELECT path, 'function', 'main', NULL, 10 + more, '', NULL FROM f UNION ALL SELECT path, 'async', 'main', 'main', 10 + more, NULL, NULL FROM f UNION ALL SELECT path, 'call', 'go', 'main', 10 + more, NULL, NULL FROM f
+    UNION ALL SELECT path, NULL, NULL, NULL, NULL, NULL, 'line ' || (10 + more) || ': not Python' FROM o WHERE p_partkey % 10 = 0""")
+def x04(spark, d):
+    return X.python_facts(files(spark, d, PYTHON, f"'py/' || {_s('p_partkey')} || '.py'", "part"))

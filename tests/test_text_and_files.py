@@ -1,6 +1,8 @@
 """Corpus, extraction, rule, log, file and evaluation operators on small fixtures."""
 
+import ast
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -139,6 +141,57 @@ def test_html_odd_pages(spark, rows):
     assert len([r for r in got if r[0] == 3]) == 2_001 and not [r for r in got if r[0] == 4]
 
 
+def _syntax_facts(source):
+    """Definitions, bases, imports, decorators, types and docstrings by the interpreter's own parser."""
+    out = []
+
+    def visit(node, owner, in_class):
+        for x in ast.iter_child_nodes(node):
+            inner, cls = owner, in_class
+            if isinstance(x, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+                inner, cls = x.name, isinstance(x, ast.ClassDef)
+                out.extend(("decorator", ast.unparse(d.func if isinstance(d, ast.Call) else d), x.name) for d in x.decorator_list)
+                out.extend([("docstring", x.name, x.name)] if ast.get_docstring(x) is not None else [])
+                if cls:
+                    out.append(("class", x.name, owner))
+                    out.extend(("inherits", ast.unparse(b).split("[")[0], x.name) for b in x.bases)
+                else:
+                    out.append(("method" if in_class else "function", x.name, owner, ",".join(y.arg for y in x.args.posonlyargs + x.args.args)))
+                    out.extend([("async", x.name, x.name)] if isinstance(x, ast.AsyncFunctionDef) else [])
+                    out.extend([("returns", x.name, x.name)] if x.returns else [])
+            elif isinstance(x, ast.Import):
+                out.extend(("import", y.name, owner) for y in x.names)
+            elif isinstance(x, ast.ImportFrom):
+                out.append(("import", x.module or "", owner))
+            visit(x, inner, cls)
+
+    visit(ast.parse(source), None, False)
+    return sorted(out, key=repr)
+
+
+def test_python_facts_match_the_interpreter_on_this_library(spark):
+    """Every source file of this library, the tests but those for deletable folders, and some that are awkward."""
+    root = Path(__file__).parents[1]
+    own = {str(p): p.read_text() for p in [*(root / "lodestone" / "operators").glob("*.py"), *(root / "lodestone" / "sources").glob("*.py"), *(root / "tests").glob("*.py")]}
+    own["odd"] = (
+        "class A(B[int], metaclass=M):\n    \"\"\"Doc\n    def no(): \\\"\"\" pass\n    \"\"\"\n    @prop.setter\n    @deco(1, x=\"(\")\n    async def m(self, a: dict[str, int] = f(1, 2), /, b=\"#)\", *args, k=1, **kw) -> 'X':\n        'doc'\n"
+        "        if a:\n            def inner(\n  q,  # note (\n): return q\n        from . import z\n    def n(self): pass\n\nx = 1; import no\nfrom .a.b import (c,\n  d)\nif x:\n\timport os.path as p, sys\n\n\tdef late(): pass\ndef end(*, k): \\\n  pass\n"
+    ).replace("; import no", "")
+    got = X.python_facts(spark.createDataFrame(list(own.items()), "path string, content string")).where("kind <> 'call' or kind is null").collect()
+    assert not [r for r in got if r.error]
+    for path, source in own.items():
+        mine = sorted([(r.kind, r.name, r.parent, r.detail) if r.kind in ("function", "method") else (r.kind, r.name, r.parent) for r in got if r.path == path], key=repr)
+        assert mine == _syntax_facts(source), path
+
+
+def test_python_facts_odd_files(spark, rows):
+    f = files(spark, none=None, blank="", open="f(1", string="x = 'a\n", close="a)", definition="class 1:\n  pass", fine="# def no():\ns = 'go()'\nif (a): go(b)(c)\nx.y.z(1); o.run(); raise OwnError(1)\n")
+    got = rows(X.python_facts(f))
+    assert {r[0] for r in got if r[-1]} == {"open", "string", "close", "definition"}
+    assert sorted(r[1:5] for r in got if not r[-1]) == [("call", "go", None, 3), ("call", "run", None, 4)]
+    assert X.python_facts(f.limit(0)).count() == 0
+
+
 def test_workflow(spark, rows):
     xml = '<?xml version="1.0"?><!DOCTYPE workflow [<!ENTITY CMD "run.sh">]><workflow><metatask name="mt"><var name="v">a b c</var><task name="t_#v#"><command>&CMD; x</command><dependency><and><taskdep task="prep"/><not><datadep>f.nc</datadep></not></and></dependency></task></metatask></workflow>'
     got = rows(X.workflow_edges(files(spark, w=xml, bad="<a")))
