@@ -14,8 +14,10 @@ before that:
 Counts are exact and taken over all training text. Every feature counts pairs that are gathered
 where the text is and summed by shuffles; a class's weights depend on no other class, so each is
 trained in its own task by gradient updates, observed less expected counts, over all of its pairs.
-The number of rows is ``ROWS`` times the cube root of the training tokens, so what is sent to
-tasks as weights (about 520 bytes a row) grows far slower than the text, but does grow.
+The number of rows is ``ROWS`` times the cube root of the training tokens, 522 bytes of weights each. Weights of
+more than ``MODEL_BYTES`` stay in a written table: the texts are then scored in passes, each
+with the weights of a range of rows that is within the bound, and a text's sums are added up. What
+stays whole on the driver and in tasks are at most 40 bytes a row: places, counts and shares.
 
 Scoring looks common words up in a broadcast table; the counts of the rest come by a join.
 Words are compared by 64-bit hashes: two of 10**7 words have the same one with probability 3e-6.
@@ -28,7 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +49,8 @@ COMMON = 200_000
 COUNTED, PAIRED = 2_000_000, 3_000_000
 #: Rows of a class that are summed up together.
 CHUNK = 256
+#: Bytes of weights that are fetched and broadcast at a time, those of a row, and rows of one class in a row of their table.
+MODEL_BYTES, ROW_BYTES, SPAN = 256 << 20, 4 * BEFORE * 2 + 2, 4096
 #: Gradient updates, their step, and what is added to counts in the step's scale.
 STEPS, RATE, SMOOTH = 8, 0.5, 3.0
 #: The token after a text's last word, in class 0; its hash is that of no word's.
@@ -127,16 +131,29 @@ class Model:
     go: np.ndarray
     tri: np.ndarray
     total: np.ndarray
+    low: int = 0  # the first row whose weights are here; ``norm`` and ``tri`` are, whatever the rows
 
     def log10(self, t: Tokens, rows: np.ndarray) -> np.ndarray:
-        """Log10 probability of each token's row and class."""
+        """Log10 probability of each token's row and class; of a part of the rows, its share of that.
+
+        The shares of all parts add up to the whole. What depends on classes alone is in the share of the first rows.
+        """
         c, k, b, u = t.classes, t.before(t.classes, 1, CLASSES), t.before(t.classes, 2, CLASSES), t.before(rows, 1, self.layout.start[-1])
-        z = self.base[rows] - self.norm.reshape(-1)[(c * BEFORE + k) * BEFORE + b] + self.tri.reshape(-1)[(k * BEFORE + b) * CLASSES + c]
-        z += self.near.reshape(-1)[rows * BEFORE + k]
-        z += self.skip.reshape(-1)[rows * BEFORE + b]
-        z += self.go.reshape(-1)[u * CLASSES + c]
-        z -= self.total.reshape(-1)[u * BEFORE + b]
-        return z.astype(np.float64) / np.log(10)
+        if len(self.base) == self.layout.start[-1] + 1:
+            z = self.base[rows] - self.norm.reshape(-1)[(c * BEFORE + k) * BEFORE + b] + self.tri.reshape(-1)[(k * BEFORE + b) * CLASSES + c]
+            z += self.near.reshape(-1)[rows * BEFORE + k]
+            z += self.skip.reshape(-1)[rows * BEFORE + b]
+            z += self.go.reshape(-1)[u * CLASSES + c]
+            z -= self.total.reshape(-1)[u * BEFORE + b]
+            return z.astype(np.float64) / np.log(10)
+        z = np.zeros(len(rows))
+        if self.low == 0:
+            z += self.tri[k, b, c] - self.norm[c, k, b]
+        own, before = rows - self.low, u - self.low
+        here, there = (np.flatnonzero((x >= 0) & (x < len(self.base))) for x in (own, before))
+        z[here] += self.base[own[here]].astype(np.float64) + self.near[own[here], k[here]] + self.skip[own[here], b[here]]
+        z[there] += self.go[before[there], c[there]].astype(np.float64) - self.total[before[there], b[there]]
+        return z / np.log(10)
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -271,34 +288,59 @@ def _train_class(part: dict[tuple, np.ndarray], size: int, classes: np.ndarray)
 _TYPES = {"base": np.float32, "near": np.float16, "skip": np.float16, "norm": np.float32, "go": np.float16, "tri": np.float32, "total": np.float16}
 
 
-def train(docs: DataFrame, place: Layout, totals: np.ndarray, room: np.ndarray) -> Model:
-    """The model from all texts of ``docs`` (``id, text``); ``totals`` are the classes' tokens."""
-    classes = np.log((totals + 1) / (totals.sum() + CLASSES)).astype(np.float32)
+#: Weights of rows, of which a range can be taken, and of classes.
+_BY_ROW, _BY_CLASS = ("base", "near", "skip", "go", "total"), ("norm", "tri")
+
+
+def train(docs: DataFrame, place: Layout, totals: np.ndarray) -> DataFrame:
+    """``class, first, n`` and weights from all texts of ``docs`` (``id, text``); ``totals`` are the classes' tokens.
+
+    A row has up to ``SPAN`` model rows of one class, from ``first``; a class's first also has what belongs to all of it.
+    """
+    classes = _class_logs(totals)
     sizes = np.append(np.diff(place.start), 1)
     pairs = _pair_counts(docs, docs.sparkSession.sparkContext.broadcast(vars(place)))
+    types, by_row, by_class, span = dict(_TYPES), _BY_ROW, _BY_CLASS, SPAN
 
     def fit(table: pa.Table) -> pa.Table:
         k = table.column("class")[0].as_py()
         part = {(kind, chunk): np.frombuffer(p.as_buffer(), np.float32) for kind, chunk, p in zip(table.column("kind").to_pylist(), table.column("chunk").to_pylist(), table.column("pairs"), strict=True)}
         found = _train_class(part, int(sizes[k]), classes)
-        return pa.table({"class": pa.array([k], pa.int32()), **{name: pa.array([np.ascontiguousarray(found[name].astype(t)).tobytes()], pa.binary()) for name, t in _TYPES.items()}})
+        found = {name: np.ascontiguousarray(found[name].astype(t)) for name, t in types.items()}
+        cuts = range(0, int(sizes[k]), span)
+        out = {"class": pa.array([k] * len(cuts), pa.int32()), "first": pa.array([int(place.start[k]) + at for at in cuts]), "n": pa.array([min(span, int(sizes[k]) - at) for at in cuts])}
+        out |= {name: pa.array([found[name][at : at + span].tobytes() for at in cuts], pa.binary()) for name in by_row}
+        out |= {name: pa.array([b"" if at else found[name].tobytes() for at in cuts], pa.binary()) for name in by_class}
+        return pa.table(out)
+
+    return pairs.groupBy("class").applyInArrow(fit, "class int, first long, n long, " + ", ".join(f"{n} binary" for n in (*_BY_ROW, *_BY_CLASS)))
 
-    rows = int(place.start[-1]) + 1
+
+def _class_logs(totals: np.ndarray) -> np.ndarray:
+    return np.log((totals + 1) / (totals.sum() + CLASSES)).astype(np.float32)
+
+
+def fetch(weights: DataFrame, place: Layout, totals: np.ndarray, room: np.ndarray, low: int, high: int) -> Model:
+    """The model with the weights of the rows from ``low`` to before ``high``; classes that nothing was counted for have their defaults."""
+    sizes, rows = np.diff(place.start), high - low
+    base = np.zeros(int(place.start[-1]) + 1, np.float32)
+    base[:-1] = -np.log(np.repeat(sizes, sizes))
     m = Model(
-        place, room, np.zeros(rows, np.float32), np.zeros((rows, BEFORE), np.float16), np.zeros((rows, BEFORE), np.float16), np.zeros((CLASSES, BEFORE, BEFORE), np.float32),
-        np.zeros((rows, CLASSES), np.float16), np.tile(classes, (BEFORE, BEFORE, 1)), np.zeros((rows, BEFORE), np.float16),
+        place, room, base[low:high].copy(), np.zeros((rows, BEFORE), np.float16), np.zeros((rows, BEFORE), np.float16), np.zeros((CLASSES, BEFORE, BEFORE), np.float32),
+        np.zeros((rows, CLASSES), np.float16), np.tile(_class_logs(totals), (BEFORE, BEFORE, 1)), np.zeros((rows, BEFORE), np.float16), low,
     )
-    m.base[:-1] = -np.log(np.repeat(sizes[:-1], sizes[:-1]))
-    # one row for each class; together as large as the model
-    for r in pairs.groupBy("class").applyInArrow(fit, "class int, " + ", ".join(f"{n} binary" for n in _TYPES)).collect():
-        k = r["class"]
-        own = slice(int(place.start[k]), int(place.start[k]) + int(sizes[k]))
-        for name, t in _TYPES.items():
+    # the rows of the range, and one more row for each class with what all its rows share
+    for r in weights.where((F.col("first") < high) & (F.col("first") + F.col("n") > low)).select("first", "n", *_BY_ROW).collect():
+        a, b = max(low, r["first"]), min(high, r["first"] + r["n"])
+        for name in _BY_ROW:
             into = getattr(m, name)
-            at = own if name in ("base", "near", "skip", "go", "total") else k
-            if name == "norm" and k == CLASSES:
-                continue
-            into[at] = np.frombuffer(r[name], t).reshape(into[at].shape)
+            into[a - low : b - low] = np.frombuffer(r[name], _TYPES[name]).reshape(r["n"], *into.shape[1:])[a - r["first"] : b - r["first"]]
+    if low == 0:
+        for r in weights.where(F.length("tri") > 0).select("class", *_BY_CLASS).collect():
+            k = r["class"]
+            m.tri[k] = np.frombuffer(r["tri"], np.float32).reshape(m.tri[k].shape)
+            if k < CLASSES:
+                m.norm[k] = np.frombuffer(r["norm"], np.float32).reshape(m.norm[k].shape)
     return m
 
 
@@ -321,8 +363,8 @@ def _level() -> F.Column:
     return F.floor(F.log2("c") * 8).cast("int")
 
 
-def build(vocab: DataFrame, train_docs: DataFrame) -> tuple[Model, np.ndarray, np.ndarray, np.ndarray, int]:
-    """The model, sorted hashes and counts of common words, and totals and distinct words of all training tokens."""
+def build(vocab: DataFrame, train_docs: DataFrame) -> tuple[Iterator[Model], np.ndarray, np.ndarray, np.ndarray, int]:
+    """The models of ranges of rows that are within ``MODEL_BYTES``, most often one of all rows, sorted hashes and counts of common words, and totals and distinct words of all training tokens."""
     sums = {r["class"]: r for r in vocab.groupBy("class").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()}
     totals, distinct = (np.array([sums[k][x] if k in sums else 0 for k in range(CLASSES)], np.int64) for x in "cv")
     rows = int(ROWS * max(1, int(totals.sum())) ** (1 / 3))
@@ -341,28 +383,15 @@ def build(vocab: DataFrame, train_docs: DataFrame) -> tuple[Model, np.ndarray, n
     room = np.ones(int(place.start[-1]) + 1)
     sums_of = vocab.where(_level() < own_cut).select("h", "class", "c").mapInArrow(row_of, "row long, c long").groupBy("row").agg(F.sum(F.col("c") + 1).alias("c")).toPandas()
     room[sums_of.row.to_numpy(np.int64)] += sums_of.c.to_numpy(np.int64)
-    model = train(train_docs, place, totals, np.log10(room))
+    weights = materialise(train(train_docs, place, totals), "weights")
+    step = min(len(room), max(1, MODEL_BYTES // ROW_BYTES))
+    models = (fetch(weights, place, totals, np.log10(room), low, min(low + step, len(room))) for low in range(0, len(room), step))
     order = np.argsort(h)
-    return model, h[order], c[order], totals, int(distinct.sum())
+    return models, h[order], c[order], totals, int(distinct.sum())
 
 
-def score_texts(docs: DataFrame, train_docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, n_tokens, n_known, train_tokens, base_score, score`` for every text of ``docs``.
-
-    Both scores are sums of log10 probabilities over a text's tokens: of the add-one
-    unigram model, and of the model described above. A null text counts as empty, which is
-    the end alone. Rows are scored one by one, so repeated ids and null ids give a result
-    for each row. Without training text, all words are unseen. Other columns are not read.
-    """
-    kind = docs.schema[id_col].dataType.simpleString()
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    learn = train_docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    vocab = materialise(count_words(learn), "vocabulary")
-    model, hashes, counts, totals, distinct = build(vocab, learn)
-    total = int(totals.sum())
-    floor = np.log10(total + distinct + 1)
-    # broadcasts hold arrays, no objects of this package: those are pickled by name, which executors may not know
-    lookup = docs.sparkSession.sparkContext.broadcast((vars(model.layout), {k: v for k, v in vars(model).items() if k != "layout"}, hashes, counts))
+def _scorer(lookup: Broadcast, floor: float, first: bool, keyed: bool):
+    """Texts (``id, text`` and, if ``keyed``, ``key``) to the sums of each, and its unknown words; passes but the first give the model's share only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, weights, hashes, counts = lookup.value
@@ -375,15 +404,19 @@ def score_texts(docs: DataFrame, train_docs: DataFrame, id_col: str = "doc_id",
                 kind_of = np.zeros(len(one), np.int64)
                 kind_of[back] = t.classes
                 rows = place.rows(one, kind_of)
+                docs_, n = hi - lo, np.diff(t.first)
+                keys = batch.column(2).slice(lo, docs_).to_numpy() if keyed else key + np.arange(docs_)
+                key += docs_
+                found = model.log10(t, rows[back])
+                if not first:
+                    none = pa.array(np.zeros(docs_, np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column(0).slice(lo, docs_), pa.nulls(docs_, pa.int64()), none, none, pa.array(np.zeros(docs_)), pa.array(np.bincount(t.doc, found, docs_))], NAMES)
+                    continue
                 hashed = rows >= place.hashed[kind_of]
                 at = np.minimum(np.searchsorted(hashes, one), max(0, len(hashes) - 1))
                 known = hashes[at] == one if len(hashes) else np.zeros(len(one), bool)
                 share = np.where(known, np.log10(np.where(known, counts[at] if len(counts) else 0, 0) + 1.0), 0.0)
-                inner = np.where(hashed, share - model.room[rows], 0.0)
-                docs_, n = hi - lo, np.diff(t.first)
-                found = model.log10(t, rows[back]) + inner[back]
-                keys = key + np.arange(docs_)
-                key += docs_
+                found = found + np.where(hashed, share - model.room[rows], 0.0)[back]
                 sums = [np.bincount(t.doc, known[back], docs_).astype(np.int64), np.bincount(t.doc, (share - floor)[back], docs_), np.bincount(t.doc, found, docs_)]
                 yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column(0).slice(lo, docs_), pa.nulls(docs_, pa.int64()), pa.array(n), *map(pa.array, sums)], NAMES)
                 rare = np.flatnonzero(~known[back])
@@ -395,7 +428,37 @@ def score_texts(docs: DataFrame, train_docs: DataFrame, id_col: str = "doc_id",
                     zero = np.zeros(len(pair))
                     yield pa.RecordBatch.from_arrays([pa.array(keys[doc]), batch.column(0).slice(lo, docs_).take(pa.array(doc)), pa.array(one[word].view(np.int64)), pa.array(times), pa.array(np.zeros(len(pair), np.int64)), pa.array(zero), pa.array(zero)], NAMES)
 
-    parts = materialise(own.mapInArrow(run, f"key long, id {kind}, h long, n long, n_known long, base double, model double"), "parts")
+    return run
+
+
+def score_texts(docs: DataFrame, train_docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id, n_tokens, n_known, train_tokens, base_score, score`` for every text of ``docs``.
+
+    Both scores are sums of log10 probabilities over a text's tokens: of the add-one
+    unigram model, and of the model described above. A null text counts as empty, which is
+    the end alone. Rows are scored one by one, so repeated ids and null ids give a result
+    for each row. Without training text, all words are unseen. Other columns are not read.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    learn = train_docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    vocab = materialise(count_words(learn), "vocabulary")
+    models, hashes, counts, totals, distinct = build(vocab, learn)
+    total = int(totals.sum())
+    floor = np.log10(total + distinct + 1)
+    sc, parts = docs.sparkSession.sparkContext, None
+    for model in models:
+        # broadcasts hold arrays, no objects of this package: those are pickled by name, which executors may not know
+        lookup = sc.broadcast((vars(model.layout), {k: v for k, v in vars(model).items() if k != "layout"}, hashes, counts))
+        if parts is None and len(model.base) < model.layout.start[-1] + 1:
+            own = materialise(own.withColumn("key", F.monotonically_increasing_id()), "keyed")  # rows keep their keys through all passes
+        scored = own.mapInArrow(_scorer(lookup, floor, model.low == 0, "key" in own.columns), f"key long, id {kind}, h long, n long, n_known long, base double, model double")
+        scored = materialise(scored, "parts")
+        parts = scored if parts is None else parts.unionByName(scored)
+        lookup.unpersist()
+    if "key" in own.columns:
+        sums = parts.where("h is null").groupBy("key").agg(F.any_value("id").alias("id"), *(F.sum(c).alias(c) for c in ("n", "n_known", "base", "model")))
+        parts = sums.select("key", "id", F.lit(None).cast("long").alias("h"), "n", "n_known", "base", "model").unionByName(parts.where("h is not null"))
     rare = parts.where("h is not null").select("key", "h", "n").join(vocab.select("h", "c").hint("merge"), "h")
     rare = rare.groupBy("key").agg(F.sum("n").alias("r_known"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("r_log"))
     whole = parts.where("h is null").join(rare.hint("merge"), "key", "left")

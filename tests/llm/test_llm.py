@@ -199,7 +199,8 @@ def test_maxent_counts_and_normalisation(spark, docs, texts, monkeypatch, common
 def test_maxent_probabilities_sum_to_one_and_match_brute_force(spark, docs):
     learn = docs.selectExpr("doc_id as id", "text").limit(60).cache()
     vocab = maxent.count_words(learn).cache()
-    m, hashes, counts, totals, distinct = maxent.build(vocab, learn)
+    models, hashes, counts, totals, distinct = maxent.build(vocab, learn)
+    (m,) = models
     place, none = m.layout, int(m.layout.start[-1])
     # every row after two words, one word and none
     of = np.repeat(np.arange(maxent.CLASSES), np.diff(place.start))
@@ -226,6 +227,22 @@ def test_maxent_probabilities_sum_to_one_and_match_brute_force(spark, docs):
         assert got[r.id].score == pytest.approx(total, rel=1e-4)
 
 
+def test_maxent_scores_are_the_same_in_passes(spark, docs, monkeypatch):
+    """Weights beyond the bound are used range by range; ranges cut classes and rows of the weights' table."""
+    own = docs.select("doc_id", "text").union(table(spark, ODD + ODD).select("doc_id", "text"))
+    keys = ["doc_id", "n_tokens", "n_known", "train_tokens"]
+    whole = maxent.score_texts(own, docs).toPandas().sort_values([*keys, "score"])
+    fetched = []
+    plain = maxent.fetch
+    monkeypatch.setattr(maxent, "fetch", lambda *a: fetched.append(a[-2:]) or plain(*a))
+    monkeypatch.setattr(maxent, "SPAN", 37)
+    monkeypatch.setattr(maxent, "MODEL_BYTES", 2_500 * maxent.ROW_BYTES)
+    parts = maxent.score_texts(own, docs).toPandas().sort_values([*keys, "score"])
+    assert len(fetched) > 2 and all(b - a <= 2_500 for a, b in fetched)
+    assert parts[keys].values.tolist() == whole[keys].values.tolist()
+    assert np.allclose(parts.score, whole.score, rtol=1e-5) and np.allclose(parts.base_score, whole.base_score, rtol=1e-12)
+
+
 def test_maxent_gains_a_tenth_held_out_and_keeps_repeated_rows(spark):
     own = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     got = maxent.score_documents(own).where("held_out").selectExpr("sum(score) a", "sum(base_score) b").first()
