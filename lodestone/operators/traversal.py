@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.plans.stages import materialise
+from lodestone.plans.stages import broadcast_if_small, materialise
 from lodestone.sources.star_graph import UNKNOWN_WEIGHT, rel_weights
 
 MAX_DEPTH = 5
@@ -134,23 +134,37 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, depth: int = 5, ties: int
     ``rels`` has the relationship of each step, the first by name where two nodes have several.
 
     Levels of a breadth-first search from each source: a node is entered at its first level only, so a level
-    has at most one row for each source, node and predecessor, and each is written to shared storage. Paths
-    are then followed back from the pairs that were met, over predecessors one level nearer.
+    has at most one row for each source, node and predecessor, and each is written to shared storage. A level has only
+    nodes from which some pair's end can still be reached in the steps left, the last one only ends of the source's own
+    pairs, and a source whose ends were all met is left out. Paths are then followed back from the pairs that were met,
+    over predecessors one level nearer.
     """
-    e = edges.select(F.col("src").alias("near"), F.col("dst").alias("far"), "rel").groupBy("near", "far").agg(F.min("rel").alias("rel"))
+    most = clamp_depth(depth)
     asked = materialise(pairs.select("src", "dst").where("src <> dst").distinct(), "pairs")
+    raw = edges.select(F.col("src").alias("near"), F.col("dst").alias("far"), "rel")
+    raw = materialise(raw, "steps") if most > 1 else raw
+    # ends[k]: nodes from which an end is at most k steps away
+    ends = [materialise(asked.select(F.col("dst").alias("far")).distinct(), "ends")]
+    for _ in range(1, most):
+        before = raw.join(broadcast_if_small(ends[-1]), "far", "left_semi").select(F.col("near").alias("far"))
+        ends.append(materialise(ends[-1].union(before).distinct(), "ends"))
+    e = raw.join(broadcast_if_small(ends[-1]), "far", "left_semi")
     level = asked.select("src", F.col("src").alias("node")).distinct()
-    seen, steps, met = level, [], None
-    for d in range(1, clamp_depth(depth) + 1):
-        new = level.join(e, F.expr("node = near")).select("src", F.col("near").alias("before"), F.col("far").alias("node"), "rel")
+    seen, steps, met, left = level, [], None, asked
+    for d in range(1, most + 1):
+        onward = e if d == 1 else e.join(broadcast_if_small(ends[most - d]), "far", "left_semi")
+        onward = onward.groupBy("near", "far").agg(F.min("rel").alias("rel"))
+        new = level.join(onward, F.expr("node = near")).select("src", F.col("near").alias("before"), F.col("far").alias("node"), "rel")
+        new = new.join(left.select("src", F.col("dst").alias("node")), ["src", "node"], "left_semi") if d == most else new
         new = materialise(new.join(seen, ["src", "node"], "left_anti"), "level")
         steps.append(new)
-        level = new.select("src", "node").distinct()
-        hit = asked.join(level.withColumnRenamed("node", "dst"), ["src", "dst"], "left_semi").select("src", "dst", F.lit(d).alias("length"))
+        reached = new.select("src", "node").distinct()
+        hit = left.join(reached.withColumnRenamed("node", "dst"), ["src", "dst"], "left_semi").select("src", "dst", F.lit(d).alias("length"))
         met = hit if met is None else met.union(hit)
-        seen = seen.union(level)
-        if new.isEmpty():
+        if d == most or new.isEmpty():
             break
+        left = materialise(left.join(hit.select("src", "dst"), ["src", "dst"], "left_anti"), "left")
+        level, seen = reached.join(left.select("src").distinct(), "src", "left_semi"), seen.union(reached)
     met = materialise(met, "met")
     out = None
     for d in range(1, len(steps) + 1):
