@@ -58,8 +58,18 @@ def neighborhood(edges: DataFrame, anchors: DataFrame, hops: int = 1, budget: in
     one = anchors.select("anchor").join(e, F.expr("anchor = src")).select("anchor", F.col("dst").alias("name"), "rel", F.lit(1).alias("hop"), "weight", step(F.col("weight")).alias("score"))
     rows = one.drop("weight")
     if clamp_depth(hops, 2) == 2:
+        one = materialise(one, "near")
+        rows = one.drop("weight")
+        # A middle node's neighbours of one weight score the same for an anchor. Of these an anchor needs no more, by name, than
+        # its results, itself and, as they keep their first score in decay mode, its direct neighbours.
+        own = one.groupBy("anchor").agg(F.count_distinct("name").alias("direct"))
+        need = F.when(F.lit(mode == "decay"), F.col("direct")).otherwise(0) + max_results + 1
+        middle = one.select("anchor", F.col("name").alias("mid"), "weight").distinct().join(own, "anchor").withColumn("need", need).drop("direct")
+        most = materialise(middle.groupBy("mid").agg(F.max("need").alias("most")), "middle")
         back = e.select(F.col("src").alias("mid"), F.col("dst").alias("far"), F.col("rel").alias("rel2"), F.col("weight").alias("weight2"))
-        two = one.join(back, F.expr("name = mid and far <> anchor"))
+        back = back.join(broadcast_if_small(most), "mid").groupBy("mid", "far", "weight2", "most").agg(F.min("rel2").alias("rel2"))
+        back = back.withColumn("place", F.row_number().over(Window.partitionBy("mid", "weight2").orderBy("far"))).where("place <= most")
+        two = middle.join(back, "mid").where("place <= need and far <> anchor")
         score = F.col("weight2") * 0.25 if mode == "decay" else F.col("weight") * F.col("weight2") * 0.5
         rows = rows.union(two.select("anchor", "far", "rel2", F.lit(2), score))
         best = Window.partitionBy("anchor", "name").orderBy(*([F.col("hop")] if mode == "decay" else []), F.desc("score"), "rel")
