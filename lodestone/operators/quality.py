@@ -54,6 +54,16 @@ def embedding_drift(stored: DataFrame, fresh: DataFrame, key: str, least: float
     return x.agg(F.count("*").alias("n"), F.round(F.avg("c"), 6).alias("mean"), F.round(F.min("c"), 6).alias("lowest"), F.count_if(F.col("c") < least).alias("drifted"))
 
 
+def steady_mean(value: Column, kind: str = "decimal(28,10)") -> Column:
+    """The mean of doubles that are short decimals, summed as decimals, so that it does not depend on the order of rows.
+
+    A group with a value that ``kind`` does not hold exactly has the mean of its doubles.
+    """
+    short = value.try_cast(kind)
+    short = F.when(short.cast("double") == value, short)
+    return F.when(F.count(short) == F.count(value), F.avg(short).cast("double")).otherwise(F.avg(value))
+
+
 def range_drift(metrics: DataFrame, ranges: DataFrame) -> DataFrame:
     """Metrics outside their range (``metric, low, high``)."""
     return metrics.join(ranges, "metric").where("value < low or value > high").select("metric", "value", "low", "high")

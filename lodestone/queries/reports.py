@@ -148,7 +148,7 @@ def t05(spark, d):
 
 @query("q06_range_drift", """WITH m AS (SELECT event_type || user_id AS metric, event_type, avg(value) AS value FROM events GROUP BY 1, 2) SELECT metric, round(value, 6) AS value, low, high FROM (SELECT metric, value, 40.0::DOUBLE AS low, 60.0::DOUBLE AS high FROM m) x WHERE value < low OR value > high""")
 def q06(spark, d):
-    m = table(spark, d, "events").groupBy(F.concat("event_type", "user_id").alias("metric")).agg(F.avg("value").alias("value"))
+    m = table(spark, d, "events").groupBy(F.concat("event_type", "user_id").alias("metric")).agg(Q.steady_mean(F.col("value")).alias("value"))
     ranges = m.select("metric", F.lit(40.0).alias("low"), F.lit(60.0).alias("high"))
     return Q.range_drift(m, ranges).withColumn("value", F.round("value", 6))
 
