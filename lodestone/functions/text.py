@@ -149,4 +149,4 @@ def unescape(text: Column) -> Column:
     out = F.when(text.contains("&#"), F.concat(parts[0], F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), one), ""))).otherwise(text)
     for name, letter in ENTITIES:
         out = F.replace(out, F.lit(f"&{name};"), F.lit(letter))
-    return out
+    return F.when(text.contains("&"), out).otherwise(text)
