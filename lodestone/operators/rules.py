@@ -88,10 +88,12 @@ def shell_counts(files: DataFrame) -> DataFrame:
 
 def snippets(files: DataFrame, patterns: list[str], around: int = 3) -> DataFrame:
     """``path, n, snippet``: each line that a pattern matches with the lines around it."""
-    x = file_lines(files)
-    hit = x.where(reduce(lambda a, p: a | F.col("line").rlike(p), patterns, F.lit(False))).select("path", F.col("n").alias("hit"))
-    near = hit.select("path", "hit", F.explode(F.sequence(F.col("hit") - around, F.col("hit") + around)).alias("n")).join(x, ["path", "n"])
-    return near.groupBy("path", F.col("hit").alias("n")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda r: r["line"]), "\n").alias("snippet"))
+    test = lambda line: reduce(lambda a, p: a | line.rlike(p), patterns, F.lit(False))
+    first = lambda i: F.greatest(i + (1 - around), F.lit(1))
+    near = lambda i: F.array_join(F.slice("lines", first(i), i + (2 + around) - first(i)), "\n")
+    found = F.transform("lines", lambda line, i: F.when(test(line), F.struct((i + 1).alias("n"), near(i).alias("snippet"))))
+    # all lines of a file are in its row, so nothing is shuffled
+    return files.select("path", _lines().alias("lines")).select("path", F.inline_outer(F.array_compact(found))).where("n is not null")
 
 
 def shebang_block(files: DataFrame) -> DataFrame:
