@@ -103,14 +103,37 @@ def shebang_block(files: DataFrame) -> DataFrame:
     return files.select("path", F.when(F.get(head, 0).startswith("#!"), F.get(head, 0)).alias("shebang"), at.alias("set_x_line"))
 
 
+#: First lines of tables of loaded modules, and lines that set a variable.
+MODULES, SETTING = r"(?i)^\s*currently loaded modules", r"^\s*(?:export\s+)?[A-Z_][A-Z0-9_]*="
+
+
 def denoise(log_lines: DataFrame) -> DataFrame:
     """Lines (``id, n, line``) without environment settings and tables of loaded modules."""
     w = Window.partitionBy("id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    begin, end = F.col("line").rlike(r"(?i)^\s*currently loaded modules"), F.trim("line") == ""
+    begin, end = F.col("line").rlike(MODULES), F.trim("line") == ""
     opened = F.max(F.when(begin, F.col("n"))).over(w)
     closed = F.max(F.when(end, F.col("n"))).over(w)
     inside = opened.isNotNull() & (closed.isNull() | (closed < opened))
-    return log_lines.withColumn("t", inside).where(~F.col("t") & ~F.col("line").rlike(r"^\s*(?:export\s+)?[A-Z_][A-Z0-9_]*=")).drop("t")
+    return log_lines.withColumn("t", inside).where(~F.col("t") & ~F.col("line").rlike(SETTING)).drop("t")
+
+
+def denoise_logs(logs: DataFrame) -> DataFrame:
+    """``denoise`` of whole logs (``id, text``): ``id, n, line``, each log within its row.
+
+    A walk over the lines notes where tables of modules begin and end; the lines between tables are then unfolded.
+    """
+
+    def step(state: Column, line: Column) -> Column:
+        inside = F.when(line.rlike(MODULES), True).when(F.trim(line) == "", False).otherwise(state["inside"])
+        cuts = F.when(inside != state["inside"], F.concat(state["cuts"], F.array(state["n"] + 1))).otherwise(state["cuts"])
+        return F.struct(inside.alias("inside"), (state["n"] + 1).alias("n"), cuts.alias("cuts"))
+
+    start = F.struct(F.lit(False).alias("inside"), F.lit(0).alias("n"), F.array(F.lit(1)).alias("cuts"))
+    x = logs.select("id", F.split("text", "\n").alias("lines")).select("id", "lines", F.aggregate("lines", start, step).alias("walk"))
+    x = x.select("id", "lines", F.when(F.col("walk.inside"), F.col("walk.cuts")).otherwise(F.concat("walk.cuts", F.array(F.col("walk.n") + 1))).alias("cuts"))
+    parts = F.transform(F.sequence(F.lit(0), (F.size("cuts") / 2).cast("int") - 1), lambda i: F.struct(F.get("cuts", i * 2).alias("n"), F.slice("lines", F.get("cuts", i * 2), F.get("cuts", i * 2 + 1) - F.get("cuts", i * 2)).alias("lines")))
+    x = x.select("id", F.explode_outer(parts).alias("part")).select("id", "part.n", F.posexplode_outer("part.lines").alias("i", "line"))
+    return x.select("id", (F.col("n") + F.col("i")).alias("n"), "line").where(F.col("line").isNotNull() & ~F.col("line").rlike(SETTING))
 
 
 def _signal(size: int, align: int) -> Column:

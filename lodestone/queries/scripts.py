@@ -328,8 +328,7 @@ def logs(spark, d):
 
 @query("v09_denoise", f"WITH {LOGS_SQL}, l AS (SELECT id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS n, unnest(string_split(text, chr(10))) AS line FROM g) SELECT id, n, line FROM l WHERE n > 3")
 def v09(spark, d):
-    lines = logs(spark, d).select("id", F.posexplode(F.split("text", "\n")).alias("i", "line")).select("id", (F.col("i") + 1).alias("n"), "line")
-    return V.denoise(lines)
+    return V.denoise_logs(logs(spark, d))
 
 
 @query("v10_log_signal", f"""WITH {LOGS_SQL}, s AS (SELECT id, text, strlen(text) AS n, CASE WHEN strlen(text) > 8192 THEN right(text, 8192) ELSE text END AS signal FROM g)
