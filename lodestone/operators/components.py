@@ -14,6 +14,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     Each round takes the smallest label among a node and its neighbours, then jumps
     to that label's own label, so that long chains halve. A hub's rows are reduced by
     the partial minimum before the shuffle; each round is written to shared storage.
+    Joins are told to merge, as small sides would be broadcast through the driver in every round.
     Null ends are left out; an empty edge list gives an empty result.
     """
     pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
@@ -21,14 +22,14 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("component")), "labels")
     while True:
         near = (
-            both.join(labels.withColumnRenamed("node", "b"), "b")
+            both.join(labels.withColumnRenamed("node", "b").hint("merge"), "b")
             .groupBy(F.col("a").alias("node"))
             .agg(F.min("component").alias("seen"))
         )
-        taken = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "seen").alias("mid"))
+        taken = labels.join(near.hint("merge"), "node").select("node", F.col("component").alias("old"), F.least("component", "seen").alias("mid"))
         jump = labels.select(F.col("node").alias("mid"), F.col("component").alias("far"))
         new = materialise(
-            taken.join(jump, "mid", "left").select("node", "old", F.least("mid", F.coalesce("far", "mid")).alias("component")),
+            taken.join(jump.hint("merge"), "mid", "left").select("node", "old", F.least("mid", F.coalesce("far", "mid")).alias("component")),
             "labels",
         )
         labels = new.select("node", "component")
