@@ -52,8 +52,8 @@ class _Level:
         (node, community), and these by node, each time before the shuffle.
         """
         kc = place.groupBy("community").agg(F.sum("k").alias("kc"))
-        at = place.select("node", "community").join(kc, "community").select("node", "community", "kc")
-        x = self.ends.join(at, "node").join(at.toDF("other", "to", "kt"), "other")
+        at = place.select("node", "community").join(kc.hint("merge"), "community").select("node", "community", "kc")
+        x = self.ends.join(at.hint("merge"), "node").join(at.toDF("other", "to", "kt").hint("merge"), "other")
         x = x.groupBy("node", "to").agg(F.sum("weight").alias("w"), *(F.max(c).alias(c) for c in ("k", "kt", "kc", "community")))
         own, loss = F.col("to") == F.col("community"), self.expected(F.col("k"), F.col("kt")) - F.col("w")
         x = x.groupBy("node").agg(F.coalesce(F.max(F.when(own, F.col("w"))), F.lit(0.0)).alias("w"), F.min(F.when(~own, F.struct(loss.alias("loss"), "to"))).alias("best"), *(F.max(c).alias(c) for c in ("k", "kc", "community")))
@@ -83,45 +83,45 @@ class _Level:
         time) may join what does not move then itself, so a part is connected: whoever joins has an edge into it.
         """
         at = place.select("node", "community")
-        same = self.ends.join(at, "node").join(at.toDF("other", "c"), "other")
+        same = self.ends.join(at.hint("merge"), "node").join(at.toDF("other", "c").hint("merge"), "other")
         inner = materialise(same.where("community = c").select("node", "other", "weight", "k"), "inner")
         kc = place.groupBy("community").agg(F.sum("k").alias("kc"))
         tied = inner.groupBy("node").agg(F.sum("weight").alias("w"))
-        start = place.select("node", "k", "community").join(kc, "community").join(tied, "node", "left").withColumn("w", F.coalesce("w", F.lit(0.0)))
+        start = place.select("node", "k", "community").join(kc.hint("merge"), "community").join(tied.hint("merge"), "node", "left").withColumn("w", F.coalesce("w", F.lit(0.0)))
         parts, idle, step = materialise(start.withColumn("part", F.col("node")), "parts"), 0, 0
         count = place.count()
         while True:
             turn = lambda c: F.pmod(F.xxhash64(c, F.lit(step // 2)), F.lit(2)) == step % 2  # noqa: B023, E731
             own = parts.select("node", "part")
-            near = inner.join(own, "node").join(own.toDF("other", "to"), "other").groupBy("node", "to").agg(F.sum("weight").alias("v"), F.max("k").alias("k"), F.max("part").alias("part"))
+            near = inner.join(own.hint("merge"), "node").join(own.toDF("other", "to").hint("merge"), "other").groupBy("node", "to").agg(F.sum("weight").alias("v"), F.max("k").alias("k"), F.max("part").alias("part"))
             inside = near.where("part = to").groupBy("part").agg(F.sum("v").alias("inside"))
-            size = parts.groupBy("part").agg(F.sum("k").alias("kp"), F.sum("w").alias("wp"), F.count("*").alias("n"), F.max("kc").alias("kc")).join(inside, "part", "left")
+            size = parts.groupBy("part").agg(F.sum("k").alias("kp"), F.sum("w").alias("wp"), F.count("*").alias("n"), F.max("kc").alias("kc")).join(inside.hint("merge"), "part", "left")
             fine = F.col("wp") - F.coalesce("inside", F.lit(0.0)) >= self.expected(F.col("kp"), F.col("kc") - F.col("kp")) - LEAST_GAIN
             goal = size.where(fine & ((F.col("n") > 1) | ~turn("part"))).select(F.col("part").alias("to"), "kp")
             loss = self.expected(F.col("k"), F.col("kp")) - F.col("v")
-            way = near.where(turn("node")).join(goal, "to", "left").groupBy("node").agg(
+            way = near.where(turn("node")).join(goal.hint("merge"), "to", "left").groupBy("node").agg(
                 F.max(F.col("part") == F.col("to")).alias("joined"), F.min(F.when((F.col("part") != F.col("to")) & (loss < -LEAST_GAIN), F.struct(loss.alias("loss"), "to"))).alias("best"))
             # a node whose part holds none of its neighbours is still single
             way = way.where("not joined and best is not null").select("node", F.col("best.to").alias("goal"))
             well = F.col("w") >= self.expected(F.col("k"), F.col("kc") - F.col("k")) - LEAST_GAIN
-            new = parts.join(way, "node", "left").withColumn("moves", F.col("goal").isNotNull() & well)
+            new = parts.join(way.hint("merge"), "node", "left").withColumn("moves", F.col("goal").isNotNull() & well)
             new = materialise(new.withColumn("part", F.when(F.col("moves"), F.col("goal")).otherwise(F.col("part"))).drop("goal"), "parts")
             moved = new.agg(F.sum(F.col("moves").cast("long"))).first()[0] or 0
             parts, step, count, idle = new.drop("moves"), step + 1, count - moved, 0 if moved else idle + 1
             if idle == 2:
                 name = parts.groupBy("part").agg(F.min("node").alias("name"))
-                return parts.join(name, "part").select("node", "k", "community", F.col("name").alias("part")), count
+                return parts.join(name.hint("merge"), "part").select("node", "k", "community", F.col("name").alias("part")), count
 
     def contracted(self, parts: DataFrame) -> tuple[_Level, DataFrame]:
         """The graph of the parts, and their places in the communities that they came from."""
         parts = materialise(parts, "refined")
         degree = parts.groupBy("part").agg(F.sum("k").alias("k"), F.max("community").alias("community"))
         name = degree.groupBy("community").agg(F.min("part").alias("name"))
-        place = materialise(degree.join(name, "community").select(F.col("part").alias("node"), "k", F.col("name").alias("community")), "place")
+        place = materialise(degree.join(name.hint("merge"), "community").select(F.col("part").alias("node"), "k", F.col("name").alias("community")), "place")
         own = parts.select("node", "part")
-        ends = self.ends.select("node", "other", "weight").join(own, "node").join(own.toDF("other", "to"), "other").where("part <> to")
+        ends = self.ends.select("node", "other", "weight").join(own.hint("merge"), "node").join(own.toDF("other", "to").hint("merge"), "other").where("part <> to")
         ends = ends.groupBy(F.col("part").alias("node"), F.col("to").alias("other")).agg(F.sum("weight").alias("weight"))
-        return _Level(materialise(ends.join(degree.select(F.col("part").alias("node"), "k"), "node").select("node", "other", "weight", "k"), "ends"), self.total, self.gamma), place
+        return _Level(materialise(ends.join(degree.select(F.col("part").alias("node"), "k").hint("merge"), "node").select("node", "other", "weight", "k"), "ends"), self.total, self.gamma), place
 
 
 def communities(pairs: DataFrame, gamma: float = 1.0, max_levels: int = 5, patience: int = 1) -> DataFrame:
@@ -136,13 +136,14 @@ def communities(pairs: DataFrame, gamma: float = 1.0, max_levels: int = 5, patie
     The last level has the final communities, split where they are not connected; it is
     reached when refinement merges nothing more or after ``max_levels``.
 
-    Each sweep is one job, written to shared storage. Null ends and loops are left out, and an empty graph
+    Each sweep is one job, written to shared storage. Joins are told to merge, as small sides would be broadcast through the
+    driver in every sweep. Null ends and loops are left out, and an empty graph
     gives an empty result. Community names are those of their smallest nodes.
     """
     clean = pairs.where("a is not null and b is not null and a <> b").select("a", "b", F.col("weight").cast("double").alias("weight"))
     both = _ends(clean).toDF("node", "other", "weight").groupBy("node", "other").agg(F.sum("weight").alias("weight"))
     degree = both.groupBy("node").agg(F.sum("weight").alias("k"))
-    ends = materialise(both.join(degree, "node").select("node", "other", "weight", "k"), "ends")
+    ends = materialise(both.join(degree.hint("merge"), "node").select("node", "other", "weight", "k"), "ends")
     total = (ends.agg(F.sum("weight")).first()[0] or 2.0) / 2
     level, place = _Level(ends, total, gamma), ends.groupBy("node").agg(F.max("k").alias("k")).withColumn("community", F.col("node"))
     place, member, out, n = materialise(place, "place"), None, None, 0
@@ -150,7 +151,7 @@ def communities(pairs: DataFrame, gamma: float = 1.0, max_levels: int = 5, patie
     def add(found: DataFrame) -> DataFrame:
         """The level's rows for all nodes, from ``node, part`` of the level's own ones."""
         nonlocal member, out
-        member = materialise(found if member is None else member.join(found.toDF("part", "up"), "part").select("node", F.col("up").alias("part")), "members")
+        member = materialise(found if member is None else member.join(found.toDF("part", "up").hint("merge"), "part").select("node", F.col("up").alias("part")), "members")
         rows = member.select("node", F.lit(n).alias("level"), F.col("part").alias("community"))
         out = rows if out is None else out.union(rows)
         return out
@@ -162,9 +163,9 @@ def communities(pairs: DataFrame, gamma: float = 1.0, max_levels: int = 5, patie
             return out  # nothing merges any more
         parts, found = (best, whole) if n + 1 == max_levels else level.refined(best)
         if found == whole:
-            inside = level.ends.join(best.select("node", "community"), "node").join(best.select(F.col("node").alias("other"), F.col("community").alias("c")), "other").where("community = c")
+            inside = level.ends.join(best.select("node", "community").hint("merge"), "node").join(best.select(F.col("node").alias("other"), F.col("community").alias("c")).hint("merge"), "other").where("community = c")
             split = connected_components(inside, "node", "other") if count < whole else best.select("node", F.col("node").alias("component"))
-            return add(best.join(split, "node", "left").select("node", F.coalesce("component", "node").alias("part")))
+            return add(best.join(split.hint("merge"), "node", "left").select("node", F.coalesce("component", "node").alias("part")))
         add(parts.select("node", "part"))
         level, place = level.contracted(parts)
         n += 1
