@@ -229,12 +229,13 @@ def bridge_scores(rows: DataFrame) -> DataFrame:
 def hard_negatives(edges: DataFrame, membership: DataFrame, per_anchor: int = 3) -> DataFrame:
     """``anchor, positive, negative``: a neighbour of the anchor's community and one of another."""
     member = membership.select("node", "community")
-    near = undirected(edges).select(F.col("src").alias("anchor"), F.col("dst").alias("node")).distinct()
-    near = near.join(member.toDF("anchor", "own"), "anchor").join(member, "node")
-    near = near.withColumn("same", F.col("own") == F.col("community"))
+    # edges lose the ends that are in no community before they are turned round, and are made only once
+    e = edges.select("src", "dst").join(member.toDF("src", "a"), "src").join(member.toDF("dst", "b"), "dst").withColumn("same", F.col("a") == F.col("b"))
+    ways = F.array(F.struct(F.col("src").alias("anchor"), F.col("dst").alias("node")), F.struct(F.col("dst").alias("anchor"), F.col("src").alias("node")))
+    near = e.select(F.inline(ways), "same").distinct()
     near = near.withColumn("n", F.row_number().over(Window.partitionBy("anchor", "same").orderBy("node"))).where(F.col("n") <= per_anchor)
-    a, b = near.where("same"), near.where("not same")
-    return a.select("anchor", F.col("node").alias("positive"), "n").join(b.select("anchor", F.col("node").alias("negative"), "n"), ["anchor", "n"]).drop("n")
+    pairs = near.groupBy("anchor", "n").agg(F.max(F.when(F.col("same"), F.col("node"))).alias("positive"), F.max(F.when(~F.col("same"), F.col("node"))).alias("negative"))
+    return pairs.where("positive is not null and negative is not null").select("anchor", "positive", "negative")
 
 
 def dependency_paths(edges: DataFrame, files: DataFrame, depth: int, nodes: DataFrame | None = None) -> DataFrame:
