@@ -127,6 +127,26 @@ def hybrid(lexical: DataFrame, vector: DataFrame, k: int, w_lex: float = 1.0, w_
     return top(x, k).withColumn("clamped", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score"))))
 
 
+def hybrid_by_key(queries: DataFrame, docs: DataFrame, vector: DataFrame, k: int, w_lex: float = 1.0, w_vec: float = 1.0, allowed: DataFrame | None = None) -> DataFrame:
+    """:func:`hybrid` whose lexical side gives a query (``query_id, key``) every row of its key (``id, key, score``).
+
+    A key's rows score the same for each of its queries, so they are ranked once for the key and not for each query: of the
+    rows that are no hit of ``vector`` k are enough, and hits are looked up. Nothing is made for each query and row of a key.
+    """
+    if allowed is not None:
+        ids = broadcast_if_small(allowed.select("id").distinct())
+        docs, vector = docs.join(ids, "id", "left_semi"), vector.join(ids, "id", "left_semi")
+    vector = materialise(vector.select("query_id", "id", "score"), "near")
+    most = vector.groupBy("query_id").count().agg(F.max("count")).first()[0] or 0
+    alone = F.round(w_lex * F.coalesce("score", F.lit(0.0)), 6)
+    best = docs.where("key is not null").withColumn("n", F.dense_rank().over(Window.partitionBy("key").orderBy(alone.desc(), "id"))).where(F.col("n") <= k + most)
+    asked, hits = queries.select("query_id", "key"), vector.select("query_id", "id").distinct()
+    names = ["query_id", "id", "score"]
+    others = asked.join(best, "key").select(names).join(hits, ["query_id", "id"], "left_anti")
+    shared = hits.join(asked, "query_id").join(docs, ["id", "key"]).select(names)
+    return hybrid(others.union(shared), vector, k, w_lex, w_vec)
+
+
 def rrf(*rankings: DataFrame, k: int = 10, constant: int = RRF) -> DataFrame:
     """``query_id, id, score, rank``: reciprocal rank fusion of ``query_id, id, rank``."""
     x = reduce(DataFrame.union, [r.select("query_id", "id", "rank") for r in rankings])
