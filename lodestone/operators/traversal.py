@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.plans.stages import broadcast_if_small, materialise
+from lodestone.plans.stages import broadcast_if_small, materialise, small
 from lodestone.sources.star_graph import UNKNOWN_WEIGHT, rel_weights
 
 MAX_DEPTH = 5
@@ -80,6 +80,18 @@ def neighborhood(edges: DataFrame, anchors: DataFrame, hops: int = 1, budget: in
     return trim_to_budget(rows, "anchor", order, "name", budget)
 
 
+def _from(edges: DataFrame, frontier: DataFrame, near: str) -> DataFrame:
+    """``edges`` that can start at a node of ``frontier`` (``node``), a filter that goes down to the tables that edges are made from.
+
+    A small frontier is broadcast for a semi-join, which Spark puts below unions and distincts; a large one gives its smallest and largest node.
+    """
+    own = frontier.select(F.col("node").alias(near)).distinct()
+    if small(own):
+        return edges.join(F.broadcast(own), near, "left_semi")
+    low, high = own.agg(F.min(near), F.max(near)).first()
+    return edges.where(F.col(near).between(low, high))
+
+
 def one_hop(edges: DataFrame, anchors: DataFrame, rels: list[str] | None = None, direction: str = "out") -> DataFrame:
     """``anchor, node, rel``: distinct direct neighbours over the relationships, out, in or both."""
     e = edges if rels is None else edges.where(F.col("rel").isin(rels))
@@ -91,12 +103,14 @@ def one_hop(edges: DataFrame, anchors: DataFrame, rels: list[str] | None = None,
 def call_chain(edges: DataFrame, anchors: DataFrame, depth: int = 4, rels: list[str] | None = None) -> DataFrame:
     """``anchor, node, depth, path``: one row for each path from an anchor, no edge twice in a path."""
     e = edges if rels is None else edges.where(F.col("rel").isin(rels))
-    e = e.select("src", "dst", F.concat_ws("|", "src", "rel", "dst").alias("edge"))
+    e = e.select("src", "dst", "rel")
     level = anchors.select("anchor", F.col("anchor").alias("node"), F.lit(0).alias("depth"), F.array("anchor").alias("path"), F.array().cast("array<string>").alias("used"))
     out = None
     for d in range(1, clamp_depth(depth, 4) + 1):
-        level = level.join(e, F.col("node") == F.col("src")).where(~F.array_contains("used", F.col("edge")))
+        onward = _from(e, level, "src").withColumn("edge", F.concat_ws("|", "src", "rel", "dst"))
+        level = level.join(onward, F.col("node") == F.col("src")).where(~F.array_contains("used", F.col("edge")))
         level = level.select("anchor", F.col("dst").alias("node"), F.lit(d).alias("depth"), F.concat("path", F.array("dst")).alias("path"), F.concat("used", F.array("edge")).alias("used"))
+        level = materialise(level, "level")
         out = level if out is None else out.union(level)
     return out.select("anchor", "node", "depth", "path")
 
@@ -109,7 +123,9 @@ def reach(edges: DataFrame, anchors: DataFrame, direction: str = "out", depth: i
     level = anchors.select("anchor", F.col("anchor").alias("node"), F.lit(0).alias("hop"), F.lit(None).cast("string").alias("rel"))
     out = level
     for d in range(1, clamp_depth(depth) + 1):
-        level = level.select("anchor", "node").distinct().join(e, F.expr("node = near")).select("anchor", F.col("far").alias("node"), F.lit(d).alias("hop"), F.col("via").alias("rel")).distinct()
+        onward = _from(e, level, "near")
+        level = level.select("anchor", "node").distinct().join(onward, F.expr("node = near")).select("anchor", F.col("far").alias("node"), F.lit(d).alias("hop"), F.col("via").alias("rel")).distinct()
+        level = materialise(level, "level")
         out = out.union(level)
     return out
 
@@ -202,10 +218,15 @@ def cycles(edges: DataFrame, max_len: int = 5) -> DataFrame:
 
 def guarded(edges: DataFrame, anchors: DataFrame, depth: int = 2, threshold: int = 100) -> DataFrame:
     """``anchor, node, hop, degraded``: reach of ordinary anchors, and only one hop of hubs."""
-    near = degrees(edges).withColumnRenamed("node", "anchor")
-    marked = anchors.select("anchor").join(near, "anchor", "left").withColumn("hub", F.coalesce(F.col("degree") > threshold, F.lit(True)))
+    own = anchors.select(F.col("anchor").alias("node"))
+    # degrees are counted for the anchors only
+    ends = _from(edges, own, "src").select(F.col("src").alias("anchor")).union(_from(edges, own, "dst").select("dst"))
+    near = ends.groupBy("anchor").agg(F.count("*").alias("degree"))
+    marked = materialise(anchors.select("anchor").join(near, "anchor", "left").withColumn("hub", F.coalesce(F.col("degree") > threshold, F.lit(True))), "marked")
     full = reach(edges, marked.where("not hub"), "out", depth).where("hop > 0").select("anchor", "node", "hop").distinct().withColumn("degraded", F.lit(False))
-    return full.union(one_hop(edges, marked.where("hub")).select("anchor", "node", F.lit(1), F.lit(True)).distinct())
+    hubs = marked.where("hub")
+    onward = _from(edges, hubs.select(F.col("anchor").alias("node")), "src")
+    return full.union(one_hop(onward, hubs).select("anchor", "node", F.lit(1), F.lit(True)).distinct())
 
 
 def degrees(edges: DataFrame) -> DataFrame:
