@@ -30,8 +30,9 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     bought = t("orders").join(li, F.expr("o_orderkey = l_orderkey")).groupBy("o_custkey", "l_partkey").count().where("count >= 2")
     parts = [
         t("orders").select(_key("o", "o_orderkey"), _key("c", "o_custkey"), F.lit("DEPENDS_ON")),
-        li.select(_key("o", "l_orderkey"), _key("p", "l_partkey"), F.lit("CONTAINS")).distinct(),
-        li.select(_key("p", "l_partkey"), _key("s", "l_suppkey"), F.lit("PROVIDED_BY")).distinct(),
+        # made distinct as numbers, which are shorter than names
+        li.select("l_orderkey", "l_partkey").distinct().select(_key("o", "l_orderkey"), _key("p", "l_partkey"), F.lit("CONTAINS")),
+        li.select("l_partkey", "l_suppkey").distinct().select(_key("p", "l_partkey"), _key("s", "l_suppkey"), F.lit("PROVIDED_BY")),
         t("customer").select(_key("c", "c_custkey"), _key("n", "c_nationkey"), F.lit("USES")),
         t("supplier").select(_key("s", "s_suppkey"), _key("n", "s_nationkey"), F.lit("USES")),
         t("nation").select(_key("n", "n_nationkey"), _key("r", "n_regionkey"), F.lit("SAME_DIRECTORY")),
