@@ -30,8 +30,9 @@ def merge_nodes(rows: DataFrame, key: str, order: str) -> DataFrame:
 def merge_edges(edges: DataFrame, targets: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     """``src, dst, rel, n``: distinct edges whose ends both exist, with how many rows they had."""
     sources = targets if sources is None else sources
-    e = edges.groupBy("src", "dst", "rel").agg(F.count("*").alias("n"))
-    e = e.join(sources.select(F.col("node_id").alias("src")).distinct(), "src", "left_semi")
+    # counted where the first join has dealt the edges by their source: no shuffle of its own
+    e = edges.join(sources.select(F.col("node_id").alias("src")).distinct(), "src", "left_semi")
+    e = e.groupBy("src", "dst", "rel").agg(F.count("*").alias("n"))
     return e.join(targets.select(F.col("node_id").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst", "rel", "n")
 
 
