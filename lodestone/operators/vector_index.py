@@ -10,7 +10,8 @@
 * ``about``: the number of vectors, cells, and cells to look into.
 
 ``search`` reads the folders that some query looks into, scores codes, and takes the best of
-these for exact cosines, for which whole vectors of the candidates' cells are read. A large cell is dealt over several groups.
+these for exact cosines, for which whole vectors of the candidates' cells are read. A query meets a first cell once, with all its cells there that are
+looked into, and large first cells are dealt over several groups.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ from lodestone.plans.stages import materialise
 
 #: Vectors of a sample for each centre, rounds of k-means, and the share of true neighbours that ``build`` looks for.
 SAMPLE, ROUNDS, RECALL = 64, 10, 0.97
-#: Vectors, or queries, of one group; candidates for exact scores, for each of the k.
-ROWS, MORE = 4096, 4
+#: Vectors of one group, and queries of one; groups of one task; candidates for exact scores, for each of the k.
+ROWS, ASKED, GROUPS, MORE = 4096, 1024, 16, 4
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -98,6 +99,33 @@ def _cells(rows: DataFrame, key: str, count: int, centres: DataFrame, coarse: np
     return left.groupBy("coarse", "deal").cogroup(right.groupBy("coarse", "deal")).applyInArrow(place, f"{key} {kind}, v array<double>, coarse int, cell int, base double")
 
 
+def _probed(queries: DataFrame, count: int, centres: DataFrame, probes: int) -> DataFrame:
+    """``query_id, v, coarse, cells, bases``: the ``probes`` nearest of all cells of each query, a row for each first cell that has some of them.
+
+    Queries are dealt into blocks, each of which gets all centres (the root of the vectors) at once, so a query is never shuffled for each cell.
+    """
+    deal = max(1, -(-count // ASKED))
+    kind = queries.schema["query_id"].dataType.simpleString()
+
+    def place(left: pa.Table, right: pa.Table) -> pa.Table:
+        types = {"query_id": left.schema.field("query_id").type, "v": pa.list_(pa.float64()), "coarse": pa.int32(), "cells": pa.list_(pa.int32()), "bases": pa.list_(pa.float64())}
+        if not len(left) or not len(right):
+            return pa.table({c: pa.array([], t) for c, t in types.items()})
+        right = right.sort_by([("coarse", "ascending"), ("cell", "ascending")])
+        v, coarse, cell = _unit(_matrix(left.column("v"))), right.column("coarse").to_numpy(), right.column("cell").to_numpy()
+        same = v @ _matrix(right.column("centre")).T
+        best = np.sort(np.argsort(-same, axis=1, kind="stable")[:, :probes], axis=1)  # back in the order of first cells
+        row, best = np.repeat(np.arange(len(v)), best.shape[1]), best.ravel()
+        first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (coarse[best[1:]] != coarse[best[:-1]])])
+        ends = pa.array(np.r_[first, len(row)], pa.int32())
+        at = pa.array(row[first])
+        return pa.table({"query_id": left.column("query_id").take(at), "v": left.column("v").take(at), "coarse": pa.array(coarse[best[first]], pa.int32()), "cells": pa.ListArray.from_arrays(ends, pa.array(cell[best], pa.int32())), "bases": pa.ListArray.from_arrays(ends, pa.array(same[row, best]))})
+
+    left = queries.select("query_id", "v").withColumn("deal", F.pmod(F.xxhash64("query_id", "v"), F.lit(deal)))
+    right = centres.withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(deal - 1).cast("long"))))
+    return left.groupBy("deal").cogroup(right.groupBy("deal")).applyInArrow(place, f"query_id {kind}, v array<double>, coarse int, cells array<int>, bases array<double>")
+
+
 def build(vectors: DataFrame, path: str, cells: int | None = None, recall: float = RECALL, k: int = 10) -> None:
     """Write the index of ``vectors`` (``id, vector``, all of one length) below ``path``.
 
@@ -160,35 +188,47 @@ def search(queries: DataFrame, path: str, k: int, probes: int | None = None) ->
     if not about["vectors"]:
         return queries.limit(0).select("query_id", F.lit(None).cast(about["id_type"]).alias("id"), F.lit(0.0).alias("score"), F.lit(1).alias("rank"))
     centres = spark.read.parquet(f"{path}/centres")
-    coarse = np.array([r["centre"] for r in spark.read.parquet(f"{path}/coarse").orderBy("coarse").collect()])  # the fourth root of the vectors
     probes = probes or about["probes"]
     q = materialise(_usable(queries, "query_id"), "queries")
     asked, most = q.count(), MORE * k
-    best = Window.partitionBy("query_id").orderBy(F.desc("base"), "coarse", "cell")
-    near = _cells(q, "query_id", asked, centres, coarse, len(coarse), probes)
-    near = near.withColumn("n", F.row_number().over(best)).where(F.col("n") <= probes).select("query_id", "v", "coarse", "cell", "base")
-    near = materialise(near, "probed")
+    near = materialise(_probed(q, asked, centres, probes), "probed")
     folders = [r[0] for r in near.select("coarse").distinct().collect()]
     stored = spark.read.parquet(f"{path}/vectors").where(F.col("coarse").isin(folders))
-    # so many groups for a cell as its vectors and its queries ask for, both counted
-    held = near.groupBy("coarse", "cell").agg(F.count("*").alias("m")).join(stored.groupBy("coarse", "cell").agg(F.count("*").alias("n")), ["coarse", "cell"])
-    held = materialise(held.select("coarse", "cell", F.ceil(F.col("m") / ROWS).alias("qs"), F.ceil(F.col("n") / ROWS).alias("vs")), "held")
+    # so many groups for a first cell as its vectors and its queries ask for, both counted
+    held = near.groupBy("coarse").agg(F.count("*").alias("m")).join(stored.groupBy("coarse").agg(F.count("*").alias("n")), "coarse")
+    held = materialise(held.select("coarse", F.ceil(F.col("m") / ASKED).alias("qs"), F.ceil(F.col("n") / ROWS).alias("vs")), "held")
     every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
-    left = near.join(held, ["coarse", "cell"]).withColumn("qb", F.pmod(F.xxhash64("query_id", "v"), "qs")).withColumn("vb", every("vs")).select("query_id", "v", "base", "coarse", "cell", "qb", "vb")
-    right = stored.select("id", "code", "scale", "coarse", "cell").join(held, ["coarse", "cell"]).withColumn("vb", F.pmod(F.xxhash64("id", "code"), "vs")).withColumn("qb", every("qs")).select("id", "code", "scale", "coarse", "cell", "qb", "vb")
+    left = near.join(F.broadcast(held), "coarse").withColumn("qb", F.pmod(F.xxhash64("query_id", "v"), "qs")).withColumn("vb", every("vs")).select("query_id", "v", "cells", "bases", "coarse", "qb", "vb")
+    right = stored.select("id", "code", "scale", "coarse", "cell").join(F.broadcast(held), "coarse").withColumn("vb", F.pmod(F.xxhash64("id", "code"), "vs")).withColumn("qb", every("qs")).select("id", "code", "scale", "coarse", "cell", "qb", "vb")
     kinds = {f.name: f.dataType.simpleString() for f in [*q.schema, *stored.schema]}
+    keys = ["coarse", "qb", "vb"]
+    # a task gets a few groups, however many there are
+    groups = held.agg(F.sum(F.col("qs") * F.col("vs"))).first()[0] or 0
+    if groups // GROUPS > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        left, right = left.repartition(groups // GROUPS, *keys), right.repartition(groups // GROUPS, *keys)
 
     def block(a: pa.Table, b: pa.Table) -> pa.Table:
         types = {"query_id": a.schema.field("query_id").type, "id": b.schema.field("id").type, "coarse": pa.int32(), "score": pa.float64()}
         if not len(a) or not len(b):
             return pa.table({c: pa.array([], t) for c, t in types.items()})
         b = b.sort_by("id")  # equal scores then go to the smaller id
-        rest = (_unit(_matrix(a.column("v"))) @ _matrix(b.column("code")).T.astype(np.float64)) * b.column("scale").to_numpy()
-        score = a.column("base").to_numpy()[:, None] + rest
-        top = np.argsort(-score, axis=1, kind="stable")[:, :most]
-        return pa.table({"query_id": a.column("query_id").take(pa.array(np.repeat(np.arange(len(a)), top.shape[1]))), "id": b.column("id").take(pa.array(top.ravel())), "coarse": pa.array(np.full(top.size, a.column("coarse")[0].as_py()), pa.int32()), "score": pa.array(np.take_along_axis(score, top, 1).ravel())})
+        v, code, scale, own = _unit(_matrix(a.column("v"))), _matrix(b.column("code")).astype(np.float64), b.column("scale").to_numpy(), b.column("cell").to_numpy()
+        cells, bases = (a.column(c).combine_chunks() for c in ("cells", "bases"))
+        asking = np.repeat(np.arange(len(a)), cells.value_lengths().to_numpy(zero_copy_only=False))
+        cells, bases = cells.flatten().to_numpy(), bases.flatten().to_numpy()
+        score = np.full((len(a), len(b)), -np.inf)
+        for cell in np.intersect1d(cells, own):
+            at, held = np.flatnonzero(cells == cell), np.flatnonzero(own == cell)
+            score[np.ix_(asking[at], held)] = bases[at][:, None] + (v[asking[at]] @ code[held].T) * scale[held]
+        least = np.partition(score, -most, axis=1)[:, -most] if len(b) > most else np.full(len(a), -np.inf)
+        row, col = np.nonzero((score >= least[:, None]) & (score > -np.inf))
+        score = score[row, col]
+        order = np.lexsort((col, -score, row))
+        row, col, score = row[order], col[order], score[order]
+        kept = np.arange(len(row)) - np.searchsorted(row, row) < most
+        row, col, score = row[kept], col[kept], score[kept]
+        return pa.table({"query_id": a.column("query_id").take(pa.array(row)), "id": b.column("id").take(pa.array(col)), "coarse": pa.array(np.full(len(row), a.column("coarse")[0].as_py()), pa.int32()), "score": pa.array(score)})
 
-    keys = ["coarse", "cell", "qb", "vb"]
     rough = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(block, f"query_id {kinds['query_id']}, id {kinds['id']}, coarse int, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     rough = materialise(rough.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).select("query_id", "id", "coarse"), "rough")
