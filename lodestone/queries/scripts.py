@@ -13,7 +13,7 @@ from lodestone.operators import extract as X
 from lodestone.operators import joins as J
 from lodestone.operators import predicates as P
 from lodestone.operators import rules as V
-from lodestone.plans.stages import table
+from lodestone.plans.stages import dealt, table
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -515,7 +515,8 @@ def _workflow_row(*values: str) -> str:
     UNION ALL {_workflow_row("'metataskdep'", "'end'", f"'out_' || {C}", "'and'", "NULL", "NULL", "NULL")} FROM f
     UNION ALL {_workflow_row("NULL", "NULL", "NULL", "NULL", "NULL", "NULL", "'malformed at tag 22'")} FROM o WHERE o_orderkey % 11 = 0""")
 def x07(spark, d):
-    return X.workflow_edges(files(spark, d, WORKFLOW, ORDER_PATH))
+    o = dealt(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"))
+    return X.workflow_edges(o.select(F.expr(ORDER_PATH).alias("path"), F.expr(WORKFLOW).alias("content")))
 
 
 #: Python sources of parts: strings that look like code, open lines, nested definitions; some are no Python.
