@@ -319,9 +319,9 @@ def c02(spark, d):
 
 @query("components_of_graph")
 def components(spark, d):
-    from lodestone.operators.components import connected_components
+    from lodestone.operators.components import contracted_components
 
-    return connected_components(edges(spark, d))
+    return contracted_components(edges(spark, d))
 
 
 @query("j01_callers", f"{GRAPH} SELECT DISTINCT e.dst AS target, e.src AS caller, n.name AS caller_name FROM edges e LEFT JOIN nodes n ON e.src = n.node_id WHERE e.rel = 'CALLS'")
